@@ -6,7 +6,7 @@ is sandboxed: it knows names, literals, dictionary fields, comparisons, ``and or
 ``FILTERS`` and the statements ``for if set generation``; it reaches no attribute, method or function of Python.
 
 Texts are escaped so that no control string (``<|`` or ``|>``) of the template can stand in them: a backslash goes
-before every backslash and before the bar of either string.  ``unescape`` takes exactly those away.
+before every backslash and between the two characters of either string.  ``unescape`` takes exactly those away.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ TEMPLATE = (
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>\n"
 PART = 1 << 16
 
-CONTROL = re.compile(r"\\|(?<=<)\||\|(?=>)")
+CONTROL = re.compile(r"\\|(?<=<)\||(?<=\|)>")
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -299,7 +299,11 @@ def fold_body(body: list[tuple]) -> list[tuple]:
             if not arms:
                 continue
             if arms[0][0][0] == "const":
-                out.extend(arms[0][1])
+                body_of_arm = arms[0][1]
+                if body_of_arm and body_of_arm[0][0] == "text" and out and out[-1][0] == "text":
+                    out[-1] = ("text", out[-1][1] + body_of_arm[0][1])
+                    body_of_arm = body_of_arm[1:]
+                out.extend(body_of_arm)
                 continue
             s = ("if", arms)
         if s[0] == "text" and out and out[-1][0] == "text":

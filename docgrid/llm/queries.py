@@ -77,9 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_kd_sharding, op4_mixing, op5_media, op6_simhash, op7_decontaminate, op8_language, op9_token_count, op10_html_extract)}
 
 
-#: How many characters the escapes add to a text: one before a backslash, and one before the bar of "<|" or "|>".
+#: How many characters the escapes add to a text: one for each backslash, "<|" and "|>".
 _ADDED = """(length({0}) - length(replace({0}, '\\', '')) + (length({0}) - length(replace({0}, '<|', ''))) // 2
-  + (length({0}) - length(replace({0}, '|>', ''))) // 2 - (length({0}) - length(replace({0}, '<|>', ''))) // 3)"""
+  + (length({0}) - length(replace({0}, '|>', ''))) // 2)"""
 
 _OP1 = f"""
 WITH rows AS (
