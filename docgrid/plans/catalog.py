@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("retrieval", "governance", "sections")
+
+
+def _all(name: str) -> dict:
+    found: dict = {}
+    for m in MODULES:
+        found |= getattr(import_module(f"docgrid.plans.{m}"), name)
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
