@@ -47,6 +47,14 @@ def test_tokens_in_blocks(monkeypatch):
     assert COUNTING.count(text) == len(SP.encode(text))
 
 
+def test_tokens_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(token_count, "CACHE", 3)
+    counting = token_count.Counting(PROTO, COUNTING.whole)
+    for k in range(50):
+        text = f"zqx{k} zqx{k + 1} the zqx{k - 3}kk"
+        assert counting.count(text) == len(SP.encode(text))
+
+
 def test_proof_refuses_a_model_that_normalises():
     assert "▁" in token_count.prove(PROTO)
     assert all(len(SP.encode(p[1:])) == 1 for p in list(COUNTING.whole)[:500] if p != "▁")
