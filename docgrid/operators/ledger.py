@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 BACKOFF_SECONDS = (2, 4, 8)
 MAX_ATTEMPTS = 3
 STALE_SECONDS = 1800
-RETRYABLE = "timeout|timed out|temporar|connection|429|500|502|503|504|超时|限流|连接|网络"
+# What marks an error as temporary.
+RETRYABLE = (
+    "timeout|timed out|connecterror|connect error|connection refused|winerror 10013|连接|connection|temporarily|rate limit|too many requests|"
+    "http 429|http 500|http 502|http 503|http 504|operationalerror|server error"
+)
 
 
 def create_batch(files: DataFrame, done: DataFrame, path: str = "path", digest: str = "file_hash", done_id: str = "file_id") -> DataFrame:
@@ -44,18 +48,17 @@ def after_attempt(items: DataFrame, now: Column, max_attempts: int = MAX_ATTEMPT
     )
 
 
-def batch_summary(items: DataFrame, batch: str = "batch_id", status: str = "status") -> DataFrame:
-    """Counts and the status of each batch."""
-    s = F.col(status)
+def batch_summary(items: DataFrame, batch: str = "batch_id", status: str = "status", kind: str = "error_kind") -> DataFrame:
+    """Four counts and the status of each batch: by its failures once all items ended, else running, pending or waiting."""
+    s, k = F.col(status), F.coalesce(F.col(kind), F.lit(""))
     g = items.groupBy(batch).agg(
-        F.count("*").alias("total"), F.count_if(s == "succeeded").alias("succeeded"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "skipped").alias("skipped"),
-        F.count_if(s.isin("pending", "retry_wait")).alias("waiting"), F.count_if(s == "running").alias("running"),
-    )
-    state = (
-        F.when(F.col("running") > 0, "running").when(F.col("waiting") == F.col("total"), "pending").when(F.col("waiting") > 0, "paused")
-        .when(F.col("failed") == 0, "succeeded").when(F.col("succeeded") + F.col("skipped") > 0, "partial_failed").otherwise("failed")
+        F.count_if(s == "succeeded").alias("succeeded_count"), F.count_if(s == "skipped").alias("skipped_count"), F.count_if((s == "retry_wait") | ((s == "failed") & (k == "transient"))).alias("retryable_failed_count"),
+        F.count_if((s == "failed") & (k == "permanent")).alias("permanent_failed_count"), F.bool_and(s.isin("succeeded", "skipped", "failed")).alias("__ended"), F.bool_or(s == "failed").alias("__failed"),
+        F.bool_or(s == "running").alias("__running"), F.bool_or(s == "pending").alias("__pending"), F.bool_or(s == "retry_wait").alias("__waiting"),
     )
-    return g.withColumn("status", state)
+    ended = F.when(~F.col("__failed"), "succeeded").when(F.col("succeeded_count") + F.col("skipped_count") > 0, "partial_failed").otherwise("failed")
+    state = F.when(F.col("__ended"), ended).when(F.col("__running"), "running").when(F.col("__pending"), "pending").when(F.col("__waiting"), "retry_wait").otherwise("pending")
+    return g.withColumn("status", state).drop("__ended", "__failed", "__running", "__pending", "__waiting")
 
 
 def run_summary(items: DataFrame, run: str = "run_id", status: str = "status") -> DataFrame:

@@ -46,27 +46,46 @@ def even_sample(rows: DataFrame, group: str, order: list[str], limit: int) -> Da
     return r.filter((F.col("__n") <= limit) | F.array_contains(at, F.col("__i"))).drop("__i", "__n")
 
 
-def balanced_sample(rows: DataFrame, category: str, policy: str, key: str, count: int) -> DataFrame:
-    """Up to ``count`` rows, categories in turn, from the policies sampled least so far.
+# Sample categories and the words that put a clause into them; None asks for a parent instead.
+SAMPLE_CATEGORIES = (
+    ("条件材料期限金额", "如果|符合|条件|材料|申请表|日内|期限|不超过|元|标准"), ("上下文与省略主体", None), ("多动作或许可禁止", "不得|禁止|可以|并|分别"),
+    ("定义与适用范围", "是指|适用于|本办法所称|定义"), ("责任与动作", "应当|必须|负责|提交|审核|盘点|应"), ("补充覆盖", "."),
+)
 
-    The choice is greedy and needs only the first ``count`` rows of each category and policy, in key order; the driver
-    plays it on these.
+
+def balanced_sample(clauses: DataFrame, count: int = 20, categories: tuple = SAMPLE_CATEGORIES) -> DataFrame:
+    """Up to ``count`` clauses, categories in turn, each time from the policy sampled least so far.
+
+    ``clauses`` has policy_id, clause_id, parent_clause_id, sequence_no and raw_text.  The choice is greedy, but it can
+    only ever take the first ``count`` clauses of a category from one of its first ``count`` policies, so Spark keeps
+    those and the driver plays the choice on at most ``categories * count * count`` keys.
     """
-    w = Window.partitionBy(category, policy).orderBy(key)
-    pool = [tuple(r) for r in rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= count).select(category, policy, key).collect()]
-    pool.sort()
-    used: dict = {}
-    picked = []
-    while pool and len(picked) < count:
-        for c in sorted({r[0] for r in pool}):
-            mine = [r for r in pool if r[0] == c]
-            if mine and len(picked) < count:
-                best = min(mine, key=lambda r: (used.get(r[1], 0), r[1], r[2]))
-                used[best[1]] = used.get(best[1], 0) + 1
-                picked.append(best)
-                pool.remove(best)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.sparkSession.createDataFrame([(k + 1, *r) for k, r in enumerate(picked)], f"sample_no int, `{category}` {kinds[category]}, `{policy}` {kinds[policy]}, `{key}` {kinds[key]}")
+    order = ["sequence_no", "clause_id"]
+    c = clauses.withColumn("sequence_no", F.coalesce(F.col("sequence_no").cast("long"), F.lit(0)))
+    meets = [(F.col("parent_clause_id").isNotNull() & (F.col("parent_clause_id") != "")) if p is None else F.rlike("raw_text", F.lit(p)) for _, p in categories]
+    each = c.select("policy_id", *order, F.explode(F.array_compact(F.array(*[F.when(m, F.lit(k)) for k, m in enumerate(meets)]))).alias("k"))
+    firsts = each.groupBy("k", "policy_id").agg(F.min(F.struct(*order)).alias("f"))
+    some = firsts.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("policy_id"))).filter(F.col("n") <= count).select("k", "policy_id")
+    kept = each.join(F.broadcast(some), ["k", "policy_id"]).withColumn("n", F.row_number().over(Window.partitionBy("k", "policy_id").orderBy(*order))).filter(F.col("n") <= count)
+    pools: dict[int, list] = {}
+    for r in kept.collect():
+        pools.setdefault(r["k"], []).append((str(r["policy_id"]), r["sequence_no"], r["clause_id"]))
+    used: dict[str, int] = {}
+    seen: set = set()
+    picked: list[tuple] = []
+    while len(picked) < count:
+        before = len(picked)
+        for k, (reason, _) in enumerate(categories):
+            free = [x for x in pools.get(k, ()) if x[2] not in seen]
+            if free and len(picked) < count:
+                policy, sequence, clause = min(free, key=lambda x: (used.get(x[0], 0), x))
+                seen.add(clause)
+                used[policy] = used.get(policy, 0) + 1
+                picked.append((len(picked) + 1, clause, policy, reason))
+        if len(picked) == before:
+            break
+    kind = clauses.schema["clause_id"].dataType.simpleString()
+    return clauses.sparkSession.createDataFrame(picked, f"sample_no int, clause_id {kind}, policy_id string, reason string")
 
 
 def latest_annotations(annotations: DataFrame) -> DataFrame:

@@ -14,9 +14,12 @@ from docgrid.functions.text import squash, strip
 
 # Keywords of table classes, date forms of cells.
 TOTAL_WORDS = ("合计", "小计", "总计", "平均", "总和", "汇总")
-HEADER_WORDS = ("序号", "编号", "名称", "金额", "数量", "单价", "日期", "年份", "比例", "单位")
-FORM_WORDS = ("姓名", "签字", "盖章", "申请人", "联系电话", "意见", "审批", "填表")
-DATE_CELL = r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日)$"
+HEADER_WORDS = (
+    "学号", "姓名", "编号", "序号", "日期", "时间", "金额", "数量", "成绩", "分数", "部门", "单位",
+    "年级", "班级", "专业", "课程", "代码", "名称", "类型", "状态", "备注", "说明", "地址", "电话",
+)
+FORM_WORDS = ("签名", "签章", "审批意见", "审批", "意见", "说明", "申请理由", "承诺", "声明", "照片", "粘贴处", "贴照片", "盖章")
+DATE_CELL = r"^(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{4}年\d{1,2}月\d{1,2}日)$"
 SAMPLE_ROWS = 20
 HIDDEN = ("_row_id", "_page_num", "_row_idx")
 
@@ -170,9 +173,10 @@ def column_keys(names: DataFrame, table: str, ordinal: str, label: str) -> DataF
 def table_class(headers: Column, rows: Column) -> Column:
     """data_table, form or uncertain by the sum of what speaks for a data table."""
     cells = F.flatten(F.concat(F.array(headers), rows))
+    names = F.array_join(headers, "")
     has = lambda words: F.exists(cells, lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words]))
     empty = F.size(F.filter(cells, lambda c: strip(c) == "")) / F.greatest(F.size(cells), F.lit(1))
-    score = F.when(F.size(headers) >= 3, 2).otherwise(-2) + F.when(F.size(rows) >= 5, 2).otherwise(-2) + F.when(has(HEADER_WORDS), 2).otherwise(0) + F.when(has(TOTAL_WORDS), 3).otherwise(0) - F.when(has(FORM_WORDS), 2).otherwise(0)
+    score = F.when(F.size(headers) >= 3, 2).otherwise(-2) + F.when(F.size(rows) >= 5, 2).otherwise(-2) + F.when(names.rlike("|".join(HEADER_WORDS)), 2).otherwise(0) + F.when(has(TOTAL_WORDS), 3).otherwise(0) - F.when(has(FORM_WORDS), 2).otherwise(0)
     return F.when(empty >= 0.5, "form").when(score > 0, "data_table").when(score < 0, "form").otherwise("uncertain")
 
 

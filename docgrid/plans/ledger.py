@@ -127,8 +127,8 @@ def even_sample(spark, sf_dir):
 
 
 def balanced_sample(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
-    return R.balanced_sample(d, "lang", "source", "doc_id", 20)
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("policy_id"), F.col("doc_id").alias("clause_id"), F.when(F.col("doc_id") % 3 == 0, "p").alias("parent_clause_id"), F.col("doc_id").alias("sequence_no"), F.col("text").alias("raw_text"))
+    return R.balanced_sample(d, 20, (("en", "the"), ("parent", None), ("fr", "eau"), ("any", ".")))
 
 
 def latest_annotation(spark, sf_dir):
@@ -183,9 +183,11 @@ OR (status = 'failed' AND error_kind = 'transient' AND attempt_count < 3)""",
     "ledger_transition": f"""WITH {_ITEMS}, o AS (SELECT *, status = 'succeeded' AS ok, error_kind = 'transient' AS tr, attempt_count + 1 AS n FROM i WHERE status IN ('failed', 'succeeded'))
 SELECT item_id, CASE WHEN ok THEN 'succeeded' WHEN tr AND n < 3 THEN 'retry_wait' ELSE 'failed' END AS new_status, n AS new_attempt_count, CASE WHEN NOT ok THEN CASE WHEN tr THEN 'transient' ELSE 'permanent' END END AS new_error_kind,
 CASE WHEN NOT ok AND tr AND n < 3 THEN strftime(TIMESTAMP '{NOW}' + to_seconds(CASE n WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END), '%Y-%m-%d %H:%M:%S') END AS new_retry_at FROM o""",
-    "batch_rollup": f"""WITH {_ITEMS}, g AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
-count(*) FILTER (status IN ('pending', 'retry_wait')) AS waiting, count(*) FILTER (status = 'running') AS running FROM i GROUP BY 1)
-SELECT *, CASE WHEN running > 0 THEN 'running' WHEN waiting = total THEN 'pending' WHEN waiting > 0 THEN 'paused' WHEN failed = 0 THEN 'succeeded' WHEN succeeded + skipped > 0 THEN 'partial_failed' ELSE 'failed' END AS status FROM g""",
+    "batch_rollup": f"""WITH {_ITEMS}, g AS (SELECT batch_id, count(*) FILTER (status = 'succeeded') AS succeeded_count, count(*) FILTER (status = 'skipped') AS skipped_count,
+count(*) FILTER (status = 'failed' AND error_kind = 'transient') AS retryable_failed_count, count(*) FILTER (status = 'failed' AND error_kind = 'permanent') AS permanent_failed_count,
+bool_and(status IN ('succeeded', 'skipped', 'failed')) AS e, bool_or(status = 'failed') AS f, bool_or(status = 'running') AS r FROM i GROUP BY 1)
+SELECT batch_id, succeeded_count, skipped_count, retryable_failed_count, permanent_failed_count,
+CASE WHEN e THEN CASE WHEN NOT f THEN 'succeeded' WHEN succeeded_count + skipped_count > 0 THEN 'partial_failed' ELSE 'failed' END WHEN r THEN 'running' ELSE 'pending' END AS status FROM g""",
     "run_rollup": f"""WITH {_ITEMS}, g AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS needs_review FROM i GROUP BY 1)
 SELECT *, CASE WHEN succeeded + failed + needs_review < total THEN 'running' WHEN failed > 0 THEN 'partial_failed' ELSE 'succeeded' END AS status FROM g""",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
