@@ -2,6 +2,8 @@ r"""Text functions as column expressions, Unicode-safe: ``(?U)`` makes ``\s`` an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ POSITIVE = ("yes", "y", "true", "1", "是", "正确", "通过")
 NEGATIVE = ("no", "n", "false", "0", "否", "错误", "不通过")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -131,6 +138,5 @@ def keyword_score(query: Column, text: Column, most: float = 0.15) -> Column:
         hit = F.aggregate(F.filter(bound["terms"], lambda x: F.contains(bound["text"], x)), F.lit(0), add)
         return F.when((total == 0) | (bound["text"] == ""), F.lit(0.0)).otherwise(F.bround(F.least(F.lit(most), most * hit / total), 6))
 
-    # bound once, so that no term repeats the work on the text
-    bound = F.array(F.struct(query_terms(query).alias("terms"), F.lower(squash(text)).alias("text")))
-    return F.get(F.transform(bound, score), F.lit(0))
+    # bound, so that no term repeats the work on the text
+    return bind(F.struct(query_terms(query).alias("terms"), F.lower(squash(text)).alias("text")), score)
