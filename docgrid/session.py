@@ -23,10 +23,10 @@ class Warehouse:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def snapshot(self, name: str) -> str | None:
-        path, fs = self._file(f"{self.root}/{name}/_current")
+        path, fs = self._file(f"{self.root}/{name}/CURRENT")
         if not fs.exists(path):
             return None
-        return self.spark.read.text(f"{self.root}/{name}/_current").first()[0]
+        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
 
     def has(self, name: str) -> bool:
         return self.snapshot(name) is not None
@@ -44,7 +44,7 @@ class Warehouse:
             raise ValueError(f"{name!r} changed meanwhile")
         snapshot = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{name}/{snapshot}")
-        path, fs = self._file(f"{self.root}/{name}/_current")
+        path, fs = self._file(f"{self.root}/{name}/CURRENT")
         out = fs.create(path, True)
         out.write(bytearray(f"{snapshot}\n".encode()))
         out.close()
