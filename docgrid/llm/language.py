@@ -139,12 +139,15 @@ def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None)
     row was there to learn from.  Ties go to the first language by code point; rows stay as they are, repeated ones
     too; an empty table gives an empty result.  Columns of ``docs`` named like the new ones are replaced.
     """
-    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by NGRAMS x landmarks
+    # arrays and strings, bounded by NGRAMS x landmarks; the class itself travels with the function
+    given = docs.sparkSession.sparkContext.broadcast((model.langs, model.column, model.landmarks, model.project, model.weights))
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
 
     def make():
+        here = KernelModel(*given.value)
+
         def apply(c):
-            lang, score = given.value.score(c["__text"])
+            lang, score = here.score(c["__text"])
             return {n: c[n] for n in names} | {"lang_pred": lang, "score": score}
 
         return apply

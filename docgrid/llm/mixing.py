@@ -3,7 +3,8 @@
 Targets come from weights by water filling.  Within a source every document is expected ``target / source size`` times;
 these expectations are prefix-summed, a random offset of the source is added, and a document is emitted once for each
 whole number that its interval crosses.  Documents go by falling size, so that the words taken differ from the target
-by less than the source's largest document.
+by less than the source's largest document.  The offset is the best of ``TURNS`` even turns of one random number: that
+whose words come nearest to the target, which the counts of sizes tell without a look at the documents.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ SHARE = 1.5
 MOST = 2
 WORD = r"[^\x20\x09-\x0D]+"
 SALT = 64
+TURNS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -52,6 +54,26 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def crossed(start: Column, end: Column, rate: Column, u: Column) -> Column:
+    """Whole numbers that the expectations of documents ``start`` + 1 to ``end`` cross."""
+    return (F.floor(end * rate + u) - F.floor(start * rate + u)).cast("long")
+
+
+def nearest_offsets(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """source, source_size, target, __rate, __offset: the turn of the source's random number that takes nearest to its target.
+
+    ``sizes`` has a row for each size of a source, with how many documents have it (n) and how many are larger (start).
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    t = targets.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("__rate"), offset(F.col("source"), seed).alias("__u"))
+    each = sizes.join(t, sizes["source"].eqNullSafe(F.col("__source")))
+    turned = lambda k: (F.col("__u") + k / TURNS) - F.floor(F.col("__u") + k / TURNS)
+    taken = [F.sum(F.col("size") * crossed(F.col("start"), F.col("start") + F.col("n"), F.col("__rate"), turned(k))).alias(f"t{k}") for k in range(TURNS)]
+    sums = each.groupBy("source", "source_size", "target", "__rate", "__u").agg(*taken)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"), turned(k).alias("u")) for k in range(TURNS)]))
+    return sums.select("source", "source_size", "target", "__rate", best["u"].alias("__offset"))
+
+
 def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``docs`` with size, source_size, target and copies (how often the mix takes the document), all rows kept.
 
@@ -66,18 +88,18 @@ def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
     counts = staged(rows.groupBy("source", "size", "__salt").agg(F.count("*").alias("n")), "mix")
     targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     bigger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(bigger), F.lit(0))).drop("n")
+    sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(bigger), F.lit(0)))
+    offsets = nearest_offsets(sizes, targets, seed)
     left = Window.partitionBy("source", "size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__in", F.coalesce(F.sum("n").over(left), F.lit(0))).drop("n")
     same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
     starts = starts.join(sizes, same(starts, sizes, ("source", "size"))).select(starts["source"], starts["size"], "__salt", (F.col("start") + F.col("__in")).alias("__start"))
-    starts = starts.join(targets, same(starts, targets, ("source",))).select(starts["source"].alias("__source"), starts["size"].alias("__size"), F.col("__salt").alias("__s"), "__start", "source_size", "target")
+    starts = starts.join(offsets, same(starts, offsets, ("source",))).select(starts["source"].alias("__source"), starts["size"].alias("__size"), F.col("__salt").alias("__s"), "__start", "source_size", "target", "__rate", "__offset")
     group = Window.partitionBy("source", "size", "__salt").orderBy(F.col("doc_id").asc_nulls_first())
     ranked = rows.withColumn("__rank", F.row_number().over(group))
     on = ranked["source"].eqNullSafe(F.col("__source")) & (ranked["size"] == F.col("__size")) & (ranked["__salt"] == F.col("__s"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place, u = F.col("__start") + F.col("__rank"), offset(F.col("source"), seed)
-    copies = (F.floor(place * rate + u) - F.floor((place - 1) * rate + u)).cast("long")
+    place = F.col("__start") + F.col("__rank")
+    copies = crossed(place - 1, place, F.col("__rate"), F.col("__offset"))
     return ranked.join(starts, on).select(*plain, "size", "source_size", "target", copies.alias("copies"))
 
 

@@ -180,12 +180,15 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
     one label only it is that label's smoothed share.  Repeated rows stay, an empty table gives an empty result, other
     columns are ignored.
     """
-    given = docs.sparkSession.sparkContext.broadcast(forest)  # TREES x 2^DEPTH numbers
+    # TREES x 2^DEPTH numbers; the class itself travels with the function
+    given = docs.sparkSession.sparkContext.broadcast((forest.base, forest.feature, forest.limit, forest.leaf))
 
     def make():
+        here = Forest(*given.value)
+
         def apply(c):
             x = np.array([statistics(t) for t in c["text"]]).reshape(-1, len(NAMES))
-            s = given.value.score(x)
+            s = here.score(x)
             return {"doc_id": c["doc_id"], "score": s.tolist(), "predicted": (s >= 0.5).astype(np.int32).tolist()}
 
         return apply

@@ -107,15 +107,18 @@ l AS (
     row_number() OVER (ORDER BY ratio, source NULLS LAST) AS pos FROM r),
 f AS (SELECT level FROM l WHERE level <= ratio ORDER BY pos LIMIT 1),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * weight) AS target,
-    CAST('0x' || substr(md5('mix' || coalesce('|' || source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM l),
+    CAST('0x' || substr(md5('mix' || coalesce('|' || source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u0 FROM l),
 p AS (
-  SELECT doc_id, d.size, t.source_size, t.target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+  SELECT doc_id, d.source, d.size, t.source_size, t.target, u0, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, ((coalesce(doc_id, 0) % 64) + 64) % 64, doc_id NULLS FIRST) AS place
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, k, (u0 + k / 32.0::DOUBLE) - floor(u0 + k / 32.0::DOUBLE) AS u FROM p, range(32) x(k)),
+m AS (SELECT source, k, u, abs(sum(size * CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT)) - target) AS miss FROM k GROUP BY source, k, u, target),
+b AS (SELECT source, u FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
 SELECT doc_id, size, source_size, target,
   CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) * size AS taken,
   CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) AS copies
-FROM p
+FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -175,7 +175,7 @@ def test_mixing(spark, docs, none):
     for r in got:
         assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["copies"] <= 2
         taken[r["source"]] += r["copies"] * r["size"]
-    assert all(abs(taken[s] - target[s]) <= 60 for s in size)
+    assert all(abs(taken[s] - target[s]) <= 20 for s in size)
     assert len(got) == 600 and sorted(map(str, got)) == sorted(map(str, mixing.with_copies(df).collect()))
     assert mixing.mix(df).count() == sum(r["copies"] for r in got) and mixing.mix(df).columns == df.columns
     assert mixing.with_copies(docs).count() == len(ROWS) and mixing.mix(none).count() == 0 and mixing.with_copies(none).count() == 0
