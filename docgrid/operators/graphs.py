@@ -9,9 +9,10 @@ from docgrid.functions.ids import assertion_id
 from docgrid.functions.text import evidence_supported, text_or_blank
 
 VISIBLE = ("approved", "auto_approved", "corrected")
-USABLE = ("machine", "approved", "corrected")
-KINDS = ("obligation", "permission", "prohibition", "procedure", "definition", "condition")
-MODALITIES = ("must", "may", "must_not", "none")
+# States of assertions that may be used, and the kinds and modalities there are.
+USABLE = ("machine_extracted", "approved", "corrected")
+KINDS = ("action", "condition", "definition", "scope", "standard", "status", "reference")
+MODALITIES = ("required", "permitted", "prohibited", "factual")
 
 
 def graph_candidates(entities: DataFrame, relations: DataFrame) -> DataFrame:

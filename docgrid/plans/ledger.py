@@ -153,8 +153,8 @@ def workflow_graph_edges(spark, sf_dir):
 
 
 ASSERTIONS = [
-    ("c1", "obligation", "must", "申请人", "提交", "材料", "申请人应当提交材料", 0, 9), ("c1", "obligation", "must", "申请人", "提交", "材料", "申请人应当提交材料", 5, 9), ("c1", "obligation", "must", "财务处", "审核", "", "财务处", 1, 2),
-    ("c1", "wish", "must", "", "", "", "材料", 0, 2), ("c2", "permission", "may", "甲", "可以", "", "甲", 9, 10), ("c9", "permission", "may", "", "", "", "甲", 0, 1), ("c2", "permission", "may", "", "", "", "", 0, 0),
+    ("c1", "action", "required", "申请人", "提交", "材料", "申请人应当提交材料", 0, 9), ("c1", "action", "required", "申请人", "提交", "材料", "申请人应当提交材料", 5, 9), ("c1", "action", "required", "财务处", "审核", "", "财务处", 1, 2),
+    ("c1", "wish", "required", "", "", "", "材料", 0, 2), ("c2", "scope", "permitted", "甲", "可以", "", "甲", 9, 10), ("c9", "scope", "permitted", "", "", "", "甲", 0, 1), ("c2", "scope", "permitted", "", "", "", "", 0, 0),
 ]
 CLAUSE_TEXTS = [("c1", "申请人应当提交材料，由主管审核。"), ("c2", "甲可以委托，甲不得转让。")]
 
@@ -219,6 +219,6 @@ UNION ALL SELECT 'x' || n_nationkey, 'relation', 'part_of', s.name, o.name FROM
     "workflow_graph_edges": """WITH a AS (SELECT user_id AS k, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT c_custkey AS k FROM customer LEFT JOIN a ON k = c_custkey WHERE coalesce(ok, c_acctbal > 0))
 SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS subject_id, 'c' || (o_custkey + 1) AS object_id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (FROM n) AND o_custkey + 1 IN (FROM n)""",
-    "assertion_checks": """SELECT * FROM (VALUES ('c1', 'obligation', '申请人应当提交材料', NULL::VARCHAR, 0), ('c1', 'obligation', '财务处', 'evidence isn''t in the clause once', NULL), ('c1', 'wish', '材料', 'unknown kind', NULL),
-('c2', 'permission', '甲', 'evidence isn''t in the clause once', NULL), ('c9', 'permission', '甲', 'unknown clause', NULL), ('c2', 'permission', '', 'no evidence', NULL)) t(clause_id, kind, evidence, error, start)""",
+    "assertion_checks": """SELECT * FROM (VALUES ('c1', 'action', '申请人应当提交材料', NULL::VARCHAR, 0), ('c1', 'action', '财务处', 'evidence isn''t in the clause once', NULL), ('c1', 'wish', '材料', 'unknown kind', NULL),
+('c2', 'scope', '甲', 'evidence isn''t in the clause once', NULL), ('c9', 'scope', '甲', 'unknown clause', NULL), ('c2', 'scope', '', 'no evidence', NULL)) t(clause_id, kind, evidence, error, start)""",
 }
