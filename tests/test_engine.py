@@ -193,3 +193,17 @@ def test_table_pages(session, spark):
     session.w.write("cells", spark.createDataFrame(cells, "file_id string, block_id string, row_idx int, col_idx int, key string, data_type string, value string"))
     got = session.table_data("f", "b", [{"column": "sum", "operator": "gte", "value": 10}], 2, 1).collect()
     assert [(r["name"], r["sum"], r["has_more"]) for r in got] == [("n2", 20, True), ("n3", 30, True)]
+
+
+def test_providers(spark):
+    from docgrid.operators import providers
+
+    c = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", "z", 3)], "clause_id string, search_text string, rank int")
+    got = providers.semantic_rerank(c, "q", lambda q, texts: [0.1, 0.9, 0.9]).collect()
+    assert [r["clause_id"] for r in got] == ["b", "c", "a"] and got[0]["reranked"]
+    for bad in (lambda q, t: [1.0], lambda q, t: [2.0] * 3, lambda q, t: 1 / 0):
+        assert [(r["clause_id"], r["reranked"]) for r in providers.semantic_rerank(c, "q", bad).collect()] == [("a", False), ("b", False), ("c", False)]
+    v = providers.embed(c, "clause_id", "search_text", lambda texts: [[3.0, 4.0]] * len(texts), 2).first()["embedding"]
+    assert v == pytest.approx([0.6, 0.8])
+    h = {r["clause_id"]: r["embedding"] for r in providers.hashed_vectors(c.union(spark.createDataFrame([("d", "x", 4), ("e", "", 5)], c.schema)), "clause_id", "search_text", 8).collect()}
+    assert h["a"] == h["d"] and sum(h["e"]) == 0 and sum(x * x for x in h["a"]) == pytest.approx(1)
