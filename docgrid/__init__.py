@@ -1 +1,10 @@
-"""A PySpark-native engine for document collections."""
+"""A PySpark-native engine for document collections.
+
+Functions of the package are pickled by value, so executors need no copy of it on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

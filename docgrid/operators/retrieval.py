@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +39,17 @@ def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id"
 
     A query term counts as often as it occurs; documents that share no term with the query aren't returned.
     """
-    post = postings(docs, key, text)
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     wanted = query.select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    # document frequencies combine before their shuffle; term frequencies are counted for the query's terms only
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean_idf"))
     weights = df.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean)).select("term", "times", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     # as many rows as the query has terms
-    hit = post.join(F.broadcast(weights), "term")
+    hit = words.select(key, F.explode("w").alias("term"), F.size("w").alias("dl")).join(F.broadcast(weights), "term")
+    hit = hit.groupBy(key, "term", "dl", "times", "idf", "avgdl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
     return ranked(scored, key, "bm25_score", "bm25_rank", top_k)
@@ -64,9 +70,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, similarity, vector_rank) of the nearest vectors to the one-row table ``query`` (column query_vector)."""
-    both = vectors.select(key, vector).crossJoin(F.broadcast(query.select("query_vector").limit(1)))
-    return ranked(both.select(key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("similarity")), key, "similarity", "vector_rank", top_k)
+    """(key, similarity, vector_rank) of the nearest vectors to the one-row table ``query`` (column query_vector).
+
+    Exact: every vector is compared, a batch of them in one product.  Null vectors and those of another length have no
+    similarity and aren't returned.
+    """
+    asked = query.select("query_vector").first()
+    q = np.asarray(asked[0] if asked and asked[0] is not None else [], np.float64)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = max(float(np.linalg.norm(q)), 1e-300)
+        for b in batches:
+            b = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), len(q)))
+            if not b.num_rows or not len(q):
+                continue
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, len(q))
+            similarity = m @ q / np.maximum(np.linalg.norm(m, axis=1) * length, 1e-300)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(similarity)], [key, "similarity"])
+
+    scored = vectors.select(key, vector).mapInArrow(run, f"`{key}` {kind}, similarity double")
+    return ranked(scored.select(key, F.round("similarity", 6).alias("similarity")), key, "similarity", "vector_rank", top_k)
 
 
 def rrf(lists: list[tuple[DataFrame, str]], key: str, top_k: int = 100, k: int = RRF_K) -> DataFrame:
