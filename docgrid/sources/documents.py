@@ -199,3 +199,31 @@ def page_blocks(pages: DataFrame, key: str = "page_id", source: str = "html") ->
 
     parsed = pages.select(key, source).mapInArrow(run, f"`{key}` {kind}, blocks array<struct<ordinal:int,type:string,page_num:int,content:string,table_html:string>>")
     return parsed.select(key, F.explode("blocks").alias("b")).select(key, "b.ordinal", "b.type", "b.content")
+
+
+def read_artifacts(files: DataFrame, preferred: tuple[str, ...] = ("full.md", "auto.md")) -> DataFrame:
+    """ZIP results of remote parsers: file_id, markdown, content_list (JSON text), images, error.
+
+    The Markdown file is the first of the preferred names, else the first in the archive.
+    """
+
+    def open_one(data: bytes) -> tuple:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                names = z.namelist()
+                marked = [n for n in names if n.lower().endswith(".md")]
+                chosen = next((n for p in preferred for n in marked if n.rsplit("/", 1)[-1] == p), marked[0] if marked else None)
+                lists = [n for n in names if n.endswith("content_list.json")]
+                images = [n for n in names if n.lower().rsplit(".", 1)[-1] in ("png", "jpg", "jpeg", "gif", "webp")]
+                text = z.read(chosen).decode("utf-8", "replace") if chosen else None
+                return text, z.read(lists[0]).decode("utf-8", "replace") if lists else None, images, None if chosen else "no Markdown in the archive"
+        except zipfile.BadZipFile:
+            return None, None, [], "not a ZIP archive"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+        for b in batches:
+            got = list(zip(*map(open_one, b.column(1).to_pylist()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(got, kinds, strict=True)]], ["file_id", "markdown", "content_list", "images", "error"])
+
+    return files.select("file_id", "content").mapInArrow(run, "file_id string, markdown string, content_list string, images array<string>, error string")

@@ -207,3 +207,67 @@ def test_providers(spark):
     assert v == pytest.approx([0.6, 0.8])
     h = {r["clause_id"]: r["embedding"] for r in providers.hashed_vectors(c.union(spark.createDataFrame([("d", "x", 4), ("e", "", 5)], c.schema)), "clause_id", "search_text", 8).collect()}
     assert h["a"] == h["d"] and sum(h["e"]) == 0 and sum(x * x for x in h["a"]) == pytest.approx(1)
+
+
+def test_products_of_files(spark):
+    from docgrid.operators import process
+
+    block = lambda k, text, kind="text": {"ordinal": k, "type": kind, "page_num": 1, "content": text, "table_html": text if kind == "table" else ""}
+    grid = "<table><tr><th>序号</th><th>名称</th><th>金额</th></tr>" + "".join(f"<tr><td>{k}</td><td>x{k}</td><td>{k}00</td></tr>" for k in range(6)) + "</table>"
+    form = "<table><tr><td>签名</td><td></td></tr><tr><td>日期</td><td></td></tr></table>"
+    rows = [
+        ("f1", "办法.docx", [block(0, "采购管理办法"), block(1, "校发〔2023〕7号"), block(2, "第一条 原《旧办法》同时废止。\n第二条 二。\n第三条 通知及办法。"), block(3, grid, "table"), block(4, form, "table")], {}, None),
+        ("f2", "x.doc", [], {}, "the document is empty"),
+    ]
+    parsed = spark.createDataFrame(rows, "file_id string, file_name string, blocks array<struct<ordinal:int,type:string,page_num:int,content:string,table_html:string>>, metadata map<string,string>, error string")
+    out = process.process_documents(parsed)
+    assert out["types"].first()["doc_type"] == "policy_regulation"
+    about = {r["file_id"]: r for r in out["metadata"].collect()}
+    assert about["f1"]["title"] == "办法" and about["f1"]["doc_number"] == "校发〔2023〕7号"
+    assert [r["level"] for r in out["clauses"].orderBy("sequence_no").collect()] == ["preamble", "article", "article", "article"]
+    assert [r["target_title"] for r in out["relations"].collect()] == ["旧办法"]
+    assert {r["category"] for r in out["tables"].collect()} == {"data_table", "form"} and out["cells"].count() == 18
+    assert out["chunks"].count() == 3 and out["lineage"].count() == 5 and out["errors"].count() == 1
+
+
+def test_relations_and_reviews(spark):
+    from docgrid.operators import process
+
+    clauses = spark.createDataFrame([("c1", "p1", "2019年印发的《旧办法》同时废止。"), ("c2", "p1", "《另一办法》废止。")], "clause_id string, policy_id string, raw_text string")
+    docs = spark.createDataFrame([("p1", "新办法", "", None), ("p2", "旧办法", "校发〔2019〕1号", None), ("p3", "旧办法", "校发〔2020〕1号", None)], "policy_id string, title string, doc_number string, issue_date string").withColumn("issue_date", F.col("issue_date").cast("date"))
+    r = process.abolition_relations(clauses, docs)
+    assert {x["target_title"]: x["target_policy_id"] for x in r.collect()} == {"旧办法": "p2", "另一办法": None}
+    later = docs.union(spark.createDataFrame([("p9", "另一办法", "", None)], docs.schema))
+    assert [x["target_policy_id"] for x in process.reconcile(r, later, "p9").collect()] == ["p9"]
+    ids_ = {x["target_title"]: x["relation_id"] for x in r.collect()}
+    say = spark.createDataFrame([(ids_["旧办法"], "approved", None, None), (ids_["另一办法"], "approved", None, None)], "relation_id string, decision string, target_policy_id string, effective_date date")
+    assert {x["target_title"]: x["review_status"] for x in process.review_relations(r, say).collect()} == {"旧办法": "approved", "另一办法": "pending"}
+
+
+def test_run_items_and_report(spark):
+    from docgrid.operators import process
+
+    items = spark.createDataFrame([(1, "pending", 0, None), (2, "succeeded", 1, None), (3, "pending", 0, None)], "item_id int, status string, attempt_count int, error_kind string")
+    items = items.withColumn("next_retry_at", F.lit(None).cast("timestamp")).withColumn("heartbeat_at", F.lit(None).cast("timestamp"))
+    work = lambda df: df.select("item_id", (F.col("item_id") == 1).alias("ok"), F.when(F.col("item_id") == 3, "HTTP 500").alias("error"))
+    got = {r["item_id"]: r for r in process.run_items(items, work, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()}
+    assert [got[k]["status"] for k in (1, 2, 3)] == ["succeeded", "succeeded", "retry_wait"] and got[3]["attempt_count"] == 1
+    rows = spark.createDataFrame([("是", "e1,E2"), ("no", "e1")], "ok string, codes string")
+    text = process.report(review.quality_summary(rows, ["ok"]), review.error_codes(rows, "codes"))
+    assert "| E1 | 2 |" in text and "| reviewed | 2 |" in text
+    d = spark.createDataFrame([("a", "corrected", "", ""), ("a", "approved", "", "no"), ("b", "approved", "", "")], "candidate_id string, decision string, label string, evidence_text string")
+    c = spark.createDataFrame([("a", "原文")], "candidate_id string, raw_text string")
+    assert {r["error"] for r in process.annotate(c, d).collect()} == {"a correction needs a label", "evidence isn't in the clause", "unknown candidate"}
+
+
+def test_artifacts(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("r/other.md", "no")
+        z.writestr("r/full.md", "标题")
+        z.writestr("r/x_content_list.json", "[]")
+        z.writestr("r/images/a.PNG", b"x")
+    f = spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", bytearray(b"junk"))], "file_id string, content binary")
+    got = {r["file_id"]: r for r in documents.read_artifacts(f).collect()}
+    assert got["a"]["markdown"] == "标题" and got["a"]["content_list"] == "[]" and got["a"]["images"] == ["r/images/a.PNG"]
+    assert got["b"]["error"] == "not a ZIP archive"
