@@ -132,8 +132,9 @@ def fit(docs: DataFrame, usable: Column) -> KernelModel:
     return train(*training_sample(docs, usable))
 
 
-def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` (the columns ``keep``, by default all) with lang_pred and score of their whole ``text``.
+def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Rows of ``docs`` (the columns ``keep``, by default all) with lang_pred and score of their whole ``text``
+    (``named`` gives these columns other names).
 
     Null texts and texts without a letter (the empty one too) give ``und`` and 0; so does every row when no labelled
     row was there to learn from.  Ties go to the first language by code point; rows stay as they are, repeated ones
@@ -141,17 +142,17 @@ def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None)
     """
     # arrays and strings, bounded by NGRAMS x landmarks; the class itself travels with the function
     given = docs.sparkSession.sparkContext.broadcast((model.langs, model.column, model.landmarks, model.project, model.weights))
-    names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    names = [c for c in (keep or docs.columns) if c not in named]
 
     def make():
         here = KernelModel(*given.value)
 
         def apply(c):
             lang, score = here.score(c["__text"])
-            return {n: c[n] for n in names} | {"lang_pred": lang, "score": score}
+            return {n: c[n] for n in names} | {named[0]: lang, named[1]: score}
 
         return apply
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + f", `{named[0]}` string, `{named[1]}` double"
     return map_rows(docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("__text")), make, schema, raw=tuple(names))

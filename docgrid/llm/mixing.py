@@ -74,36 +74,47 @@ def nearest_offsets(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFram
     return sums.select("source", "source_size", "target", "__rate", best["u"].alias("__offset"))
 
 
-def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the document), all rows kept.
-
-    Reads doc_id, text and source.  Null sources are one source, the last; null and empty texts have size 0 and take
-    part as others do; ties of size go by doc_id, null first, and rows equal in it are interchangeable; in an empty
-    table nothing is taken.  Columns of ``docs`` named like the new ones are replaced.
-    """
-    plain = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+def planned(docs: DataFrame, seed: str, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __copies; no column of ``docs`` is touched."""
+    plain = [F.col(f"`{c}`") for c in docs.columns]
     salt = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALT)).cast("int")
-    rows = docs.select(*plain, word_count(F.col("text")).alias("size"), salt.alias("__salt"))
+    rows = docs.select(*plain, word_count(F.col("text")).alias("__size"), salt.alias("__salt"))
     # one row for each size and salt of a source; everything else about ranks and targets comes from these
-    counts = staged(rows.groupBy("source", "size", "__salt").agg(F.count("*").alias("n")), "mix")
+    counts = staged(rows.groupBy("source", F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count("*").alias("n")), "mix")
     targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     bigger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(bigger), F.lit(0)))
     offsets = nearest_offsets(sizes, targets, seed)
-    left = Window.partitionBy("source", "size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__in", F.coalesce(F.sum("n").over(left), F.lit(0))).drop("n")
+    left = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("within", F.coalesce(F.sum("n").over(left), F.lit(0))).drop("n")
     same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
-    starts = starts.join(sizes, same(starts, sizes, ("source", "size"))).select(starts["source"], starts["size"], "__salt", (F.col("start") + F.col("__in")).alias("__start"))
-    starts = starts.join(offsets, same(starts, offsets, ("source",))).select(starts["source"].alias("__source"), starts["size"].alias("__size"), F.col("__salt").alias("__s"), "__start", "source_size", "target", "__rate", "__offset")
-    group = Window.partitionBy("source", "size", "__salt").orderBy(F.col("doc_id").asc_nulls_first())
+    starts = starts.join(sizes, same(starts, sizes, ("source", "size"))).select(starts["source"], starts["size"], "salt", (F.col("start") + F.col("within")).alias("__start"))
+    starts = starts.join(offsets, same(starts, offsets, ("source",))).select(starts["source"].alias("__source"), F.col("size").alias("__of_size"), F.col("salt").alias("__of_salt"), "__start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__rate", "__offset")
+    group = Window.partitionBy("source", "__size", "__salt").orderBy(F.col("doc_id").asc_nulls_first())
     ranked = rows.withColumn("__rank", F.row_number().over(group))
-    on = ranked["source"].eqNullSafe(F.col("__source")) & (ranked["size"] == F.col("__size")) & (ranked["__salt"] == F.col("__s"))
+    on = ranked["source"].eqNullSafe(F.col("__source")) & (ranked["__size"] == F.col("__of_size")) & (ranked["__salt"] == F.col("__of_salt"))
     place = F.col("__start") + F.col("__rank")
     copies = crossed(place - 1, place, F.col("__rate"), F.col("__offset"))
-    return ranked.join(starts, on).select(*plain, "size", "source_size", "target", copies.alias("copies"))
+    return ranked.join(starts, on).select(*plain, "__size", "__source_size", "__target", copies.alias("__copies"))
+
+
+def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` with size, source_size, target and copies (how often the mix takes the document), all rows kept.
+
+    Reads doc_id, text and source.  Null sources are one source, the last; null and empty texts have size 0 and take
+    part as others do; ties of size go by doc_id, null first, and rows equal in it are interchangeable; in an empty
+    table nothing is taken.  Columns of ``docs`` named like the new ones are replaced.
+    """
+    new = ("size", "source_size", "target", "copies")
+    plain = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return planned(docs, seed, weights, share, most).select(*plain, *[F.col(f"__{c}").alias(c) for c in new])
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as it is taken, with the columns of ``docs`` as they were.
+
+    Nulls, ties, repeated rows and empty tables as in ``with_copies``.
+    """
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return with_copies(docs, seed).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*kept)
+    taken = planned(docs, seed, weights, share, most).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*kept)

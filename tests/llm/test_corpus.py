@@ -178,6 +178,7 @@ def test_mixing(spark, docs, none):
     assert all(abs(taken[s] - target[s]) <= 20 for s in size)
     assert len(got) == 600 and sorted(map(str, got)) == sorted(map(str, mixing.with_copies(df).collect()))
     assert mixing.mix(df).count() == sum(r["copies"] for r in got) and mixing.mix(df).columns == df.columns
+    assert all(r["size"] == r["copies"] == "x" for r in mixing.mix(docs).collect())
     assert mixing.with_copies(docs).count() == len(ROWS) and mixing.mix(none).count() == 0 and mixing.with_copies(none).count() == 0
 
 

@@ -72,6 +72,14 @@ def test_stages(spark, folder):
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_columns_with_clashing_names_stay(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "'x' score", "'x' lang_pred", "'x' size", "'x' copies", "'x' fingerprint", "'x' item_id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.filter("score <> 'x' OR lang_pred <> 'x' OR size <> 'x' OR copies <> 'x' OR fingerprint <> 'x' OR item_id <> 'x'").count() == 0, name
+
+
 def test_run_and_queries(spark, folder):
     path, rows, _ = folder
     out = corpus_pipeline.run(spark, path)
