@@ -271,3 +271,20 @@ def test_artifacts(spark):
     got = {r["file_id"]: r for r in documents.read_artifacts(f).collect()}
     assert got["a"]["markdown"] == "标题" and got["a"]["content_list"] == "[]" and got["a"]["images"] == ["r/images/a.PNG"]
     assert got["b"]["error"] == "not a ZIP archive"
+
+
+def test_mojibake_and_acceptance(spark):
+    d = spark.createDataFrame([("Ã©tÃ©",), ("été",), ("plain",), ("采购",)], "t string")
+    assert [r[0] for r in d.select(rules.mojibake(F.col("t"))).collect()] == ["été", "été", "plain", "采购"]
+    s = spark.createDataFrame([("approved",), ("rejected",), ("corrected",), ("pending",)], "s string")
+    assert tuple(review.acceptance(s, F.col("s")).first()) == (3, 2, pytest.approx(0.666667))
+
+
+def test_machine_rows_give_way(spark):
+    old = spark.createDataFrame([(1, "machine"), (2, "approved")], "id int, status string")
+    new = spark.createDataFrame([(3, "machine")], "id int, status string")
+    assert {r["id"] for r in ledger.replace_machine_rows(old, new, ("approved",)).collect()} == {2, 3}
+    e = spark.createDataFrame([("t", "n", 0.5, 1), ("t", "n", 0.9, 2), ("t", "n", 0.9, 3)], "entity_type string, name string, confidence double, ordinal int")
+    assert graphs.best_entities(e).first()["ordinal"] == 2
+    a = spark.createDataFrame([("c1", "machine_extracted"), ("c2", "rejected")], "clause_id string, status string")
+    assert graphs.usable(a).count() == 1 and graphs.visible_context(a, a.filter("clause_id = 'c2'")).first()["clause_id"] == "c2"
