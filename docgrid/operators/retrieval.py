@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.functions.text import keyword_score
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 TOKEN = r"[a-z0-9\x{00C0}-\x{024F}]+|[\x{4e00}-\x{9fff}]"
@@ -109,19 +111,13 @@ def rerank(candidates: DataFrame, query: Column, top_k: int, key: str = "clause_
 
     The score is the fusion score, or similarity and keyword score together.
     """
-    c = candidates.withColumn("keyword_score", keyword_of(query, F.col(text)))
+    c = candidates.withColumn("keyword_score", keyword_score(query, F.col(text)))
     c = c.withColumn("score", F.bround(F.coalesce("rrf_score", F.lit(0.0)), 8) if fusion else F.bround(F.coalesce("similarity", F.lit(0.0)) + F.col("keyword_score"), 6))
     order = [F.desc("score"), F.coalesce("rrf_score", F.lit(0.0)).desc(), F.coalesce("similarity", F.lit(0.0)).desc(), F.desc("keyword_score"), F.col(key)]
     first = c.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
     return first.orderBy(*order).limit(top_k)
 
 
-def keyword_of(query: Column, text: Column) -> Column:
-    from docgrid.functions.text import keyword_score
-
-    return keyword_score(query, text)
-
-
 def assertion_boost(candidates: DataFrame, matches: DataFrame, key: str = "clause_id", weight: float = 0.2) -> DataFrame:
     """Candidates with score raised by up to ``weight`` for the best matching assertion of their clause."""
     best = matches.groupBy(key).agg(F.max("similarity").alias("assertion_score"))

@@ -94,7 +94,7 @@ def test_negation_and_partial_abolition():
     said = lambda t: [a["title"] for a in extraction.abolitions_of(t)]
     assert said("《甲办法》、《乙办法》和《丙办法》同时废止。") == ["甲办法", "乙办法", "丙办法"]
     assert said("《甲办法》不予废止。") == [] and said("不得废止《甲办法》") == [] and said("《甲办法》第二条废止") == []
-    assert said("根据《上位法》，《甲办法》即行废止") == [] or said("《甲办法》即废止") == ["甲办法"]
+    assert said("根据《上位法》，《甲办法》即废止") == ["甲办法"] and said("《甲办法》即行废止") == []
     assert said("《甲办法》继续执行。废止") == []
 
 
@@ -151,7 +151,7 @@ def session(spark, tmp_path):
 def test_session(session, spark):
     assert [r["clause_id"] for r in session.search("住宿费 不超过").collect()][0] == "c2"
     assert {r["clause_id"] for r in session.search("采购 住宿费", as_of="2021-01-01", today="2024-01-01").collect()} <= {"c1", "c2"}
-    assert [r["policy_id"] for r in session.list_policies().collect()] == ["p1", "p2"] or {r["policy_id"] for r in session.list_policies().collect()} == {"p1", "p2"}
+    assert [r["policy_id"] for r in session.list_policies().orderBy("title").collect()] == ["p1", "p2"]
     assert [c["clause_id"] for c in session.policy_detail("p1").first()["clauses"]] == ["c1", "c2"]
     assert session.context(session.search("住宿费 不超过", 1)).first()["related"] == ["c1"]
     said = session.answer("2021-01-01 住宿费 标准", today="2024-01-01")
