@@ -42,13 +42,16 @@ def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id"
     A query term counts as often as it occurs; documents that share no term with the query aren't returned.
     """
     words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     wanted = query.select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    # document frequencies combine before their shuffle; term frequencies are counted for the query's terms only
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean_idf"))
-    weights = df.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean)).select("term", "times", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    # one pass counts everything about the corpus: document frequencies combine before their shuffle, and the empty term,
+    # which every document gets, has the number of documents and their lengths
+    each = words.select(F.explode(F.concat(F.array_distinct("w"), F.array(F.lit("")))).alias("term"), F.size("w").alias("dl")).filter(F.col("term").isNotNull())
+    df = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    every = F.col("term") == ""
+    size = df.agg(F.max(F.when(every, F.col("df"))).alias("n"), F.max(F.when(every, F.col("total") / F.col("df"))).alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.crossJoin(F.broadcast(size)).agg(F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), F.avg(F.when(~every, raw)).alias("mean_idf"))
+    weights = df.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean)).select("term", "times", "avgdl", F.when(raw < 0, FLOOR * F.col("mean_idf")).otherwise(raw).alias("idf"))
     # as many rows as the query has terms
     hit = words.select(key, F.explode("w").alias("term"), F.size("w").alias("dl")).join(F.broadcast(weights), "term")
     hit = hit.groupBy(key, "term", "dl", "times", "idf", "avgdl").agg(F.count("*").alias("tf"))

@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEXTS = ("documents", "pages")
+SMALL = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; small ones of texts, whose few row groups would leave cores idle, are dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is under ``small`` bytes in fewer files than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < small and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
