@@ -12,9 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` under ``sf_dir``, read by Spark whatever the file system."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table ``name`` under ``sf_dir``, read by Spark whatever the file system.
+
+    A table under ``SMALL`` bytes in fewer files than cores is dealt over the cores, as its few row groups would leave
+    most of them idle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if name in ("documents", "pages") and int(str(size)) < SMALL and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
