@@ -183,18 +183,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: that whose doc_id is the component's.
+    """``docs`` with one row of each near-duplicate component.
 
-    Components are those of ``jaccard``: five-word shingle sets with a similarity of at least 0.8.  Of rows that repeat
-    this doc_id one stays, the first by text and then by the other columns' values as JSON.  Rows with a null doc_id
-    can't be told apart by it and all stay.
+    Components are those of ``jaccard``: five-word shingle sets with a similarity of at least 0.8.  The row with the
+    smallest doc_id stays, one without an id only where no other is there; of rows that repeat this doc_id the first by
+    text and then by the other columns' values as JSON.
     """
     from . import jaccard
 
-    roots = staged(jaccard.text_roots(docs), "text_roots")
-    of_row = docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(roots, "text_key")
-    kept = of_row.groupBy("root").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__keep")).drop("__keep")
-    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"}))
-    known = known.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    roots = staged(jaccard.text_roots(docs).withColumnsRenamed({"text_key": "__key", "root": "__root"}), "text_roots")
+    least = docs.select("doc_id", F.xxhash64("text").alias("__key")).join(roots, "__key").groupBy("__root").agg(F.min("doc_id").alias("__least"))
+    known = docs.withColumn("__key", F.xxhash64("text")).join(roots.join(least, "__root"), "__key").filter(F.col("doc_id").eqNullSafe(F.col("__least")))
+    order = Window.partitionBy("__root").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"}))
+    known = known.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns])

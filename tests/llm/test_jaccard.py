@@ -57,3 +57,12 @@ def test_shingles_and_bands():
     assert len(jaccard.shingles(None)) == len(jaccard.shingles(" \n")) == 0
     assert len(jaccard.shingles("a b")) == len(jaccard.shingles("a b c d e")) == 1 and len(jaccard.shingles("a b c d e f")) == 2
     assert not jaccard.bands(jaccard.shingles("a b c d e f g")) and len(jaccard.bands(jaccard.shingles("a b c d e f g h"))) == jaccard.BANDS
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    """An id with two texts keeps both; copies without an id go."""
+    a, b, c = (f"{w} one two three four five six seven eight nine" for w in ("alpha beta", "gamma delta zero", "none of these"))
+    b, c = b[::-1], c.replace("e", "o")
+    rows = [(1, a), (1, b), (2, a.upper()), (None, b), (None, c), (None, c), (3, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (1, b), (None, c), (3, None)], key=repr)
