@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-A first pass hashes the element subtrees of every page; Spark counts on how many different pages of a host each hash
-occurs; a second pass deletes the subtrees that recur on many pages of their host, beside those that their element,
+A first pass hashes the element subtrees of every page; Spark counts on how many pages of different main text of a host
+each hash occurs, so that copies of one page count once; a second pass deletes the subtrees that recur on many pages of their host, beside those that their element,
 role or class names mark as boilerplate, and reads the blocks that stay.
 """
 
@@ -217,19 +217,25 @@ def host(url):
 def recurring_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_key and the hashes of its subtrees that recur on ``min_pages`` and ``min_share`` of its host's pages.
 
-    Pages equal in url and html are one page; pages without a recurring subtree have no row.
+    Pages of a host whose text outside marked boilerplate is equal count as one page, whatever their urls; pages without a
+    recurring subtree have no row.
     """
 
     def make():
-        return lambda c: {"page_key": c["page_key"], "host": c["host"], "hashes": [list({h for _, h in Page(t or "").subtrees()}) for t in c["html"]]}
+        def apply(c):
+            read = [Page(t or "") for t in c["html"]]
+            content = [xxhash.xxh64_intdigest(p.text(frozenset()).encode("utf-8", "surrogatepass")) - (1 << 63) for p in read]
+            return {"page_key": c["page_key"], "host": c["host"], "content": content, "hashes": [list({h for _, h in p.subtrees()}) for p in read]}
+
+        return apply
 
     keyed = pages.select(F.xxhash64("url", "html").alias("page_key"), host("url").alias("host"), "html")
-    found = map_rows(keyed, make, "page_key long, host string, hashes array<long>", raw=("page_key", "host"))
+    found = map_rows(keyed, make, "page_key long, host string, content long, hashes array<long>", raw=("page_key", "host"))
     # one row for equal pages; the hashes of a page are as many as its elements at most
-    found = staged(found.groupBy("page_key").agg(F.any_value("host").alias("host"), F.any_value("hashes").alias("hashes")), "subtrees")
-    sites = found.groupBy("host").agg(F.count("*").alias("pages"))
-    each = found.select("page_key", "host", F.explode("hashes").alias("hash"))
-    often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    found = staged(found.groupBy("page_key").agg(F.any_value("host").alias("host"), F.any_value("content").alias("content"), F.any_value("hashes").alias("hashes")), "subtrees")
+    sites = found.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    each = found.select("page_key", "host", "content", F.explode("hashes").alias("hash"))
+    often = each.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     often = often.join(sites, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
     return each.join(often, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("recurring"))
 
@@ -237,7 +243,7 @@ def recurring_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows stay and count as one page;
+    Null or empty html gives an empty text; a null url is a host of its own; repeated rows and copies at other urls stay and count as one page;
     an empty table gives an empty result; other columns are ignored.
     """
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("__key"))

@@ -34,3 +34,16 @@ def test_recurring_paragraphs_of_articles_stay(spark):
     rows = [(i, f"http://a.example/{i}", f"<article><p>The same licence line.</p><p>Text {i}</p></article>") for i in range(10)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"The same licence line.\n\nText {r['page_id']}" for r in got)
+
+
+def test_copied_articles_keep_lists_tables_and_sections(spark):
+    long = " ".join(f"word{i}" for i in range(120))
+    copied = f"<article><p>{long}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><section><p>last part</p></section></article>"
+    box = "<div><span>Shared box</span></div>"
+    rows = [(i, f"http://a.example/{i}", f"<title>{i}</title>{box}{copied}") for i in range(8)]
+    rows += [(20 + i, f"http://a.example/x{i}", f"{box}<div><p>Own text {i} of a page that has no article at all</p></div>") for i in range(8)]
+    rows += [(40 + i, f"http://b.example/{i}", f"<div><p>{long}</p></div><div><ul><li>one<li>two</ul></div>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(8)} == {f"{long}\n\none\n\ntwo\n\na b\n\nlast part"}
+    assert all(got[20 + i] == f"Own text {i} of a page that has no article at all" for i in range(8))
+    assert {got[40 + i] for i in range(8)} == {f"{long}\n\none\n\ntwo"}
