@@ -15,6 +15,7 @@ from docgrid.functions.text import keyword_score
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
+QUERIES = 256
 TOKEN = r"[a-z0-9\x{00C0}-\x{024F}]+|[\x{4e00}-\x{9fff}]"
 
 
@@ -39,10 +40,12 @@ def idf(post: DataFrame, n_docs: Column) -> DataFrame:
 def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, bm25_score, bm25_rank) of the best documents for the one-row table ``query`` (column query_text).
 
-    A query term counts as often as it occurs; documents that share no term with the query aren't returned.
+    A query term counts as often as it occurs; documents that share no term with the query aren't returned.  With a
+    column query_id every row is a query of its own, and the result has the best documents of each query_id.
     """
+    ids = [c for c in query.columns if c == "query_id"]
     words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
-    wanted = query.select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    wanted = query.select(*ids, F.explode(tokens(F.col("query_text"))).alias("term")).groupBy(*ids, "term").agg(F.count("*").alias("times"))
     # one pass counts everything about the corpus: document frequencies combine before their shuffle, and the empty term,
     # which every document gets, has the number of documents and their lengths
     each = words.select(F.explode(F.concat(F.array_distinct("w"), F.array(F.lit("")))).alias("term"), F.size("w").alias("dl")).filter(F.col("term").isNotNull())
@@ -51,17 +54,22 @@ def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id"
     size = df.agg(F.max(F.when(every, F.col("df"))).alias("n"), F.max(F.when(every, F.col("total") / F.col("df"))).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = df.crossJoin(F.broadcast(size)).agg(F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), F.avg(F.when(~every, raw)).alias("mean_idf"))
-    weights = df.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean)).select("term", "times", "avgdl", F.when(raw < 0, FLOOR * F.col("mean_idf")).otherwise(raw).alias("idf"))
-    # as many rows as the query has terms
+    weights = df.join(F.broadcast(wanted.select("term").distinct()), "term").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(raw < 0, FLOOR * F.col("mean_idf")).otherwise(raw).alias("idf"))
+    # as many rows as the queries have terms
     hit = words.select(key, F.explode("w").alias("term"), F.size("w").alias("dl")).join(F.broadcast(weights), "term")
-    hit = hit.groupBy(key, "term", "dl", "times", "idf", "avgdl").agg(F.count("*").alias("tf"))
+    hit = hit.groupBy(key, "term", "dl", "idf", "avgdl").agg(F.count("*").alias("tf")).join(F.broadcast(wanted), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
-    return ranked(scored, key, "bm25_score", "bm25_rank", top_k)
+    scored = hit.groupBy(*ids, key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
+    return ranked(scored, key, "bm25_score", "bm25_rank", top_k, ids)
 
 
-def ranked(scored: DataFrame, key: str, score: str, rank: str, top_k: int) -> DataFrame:
-    """The ``top_k`` best rows with their rank; ties go to the smaller key.  The window sees ``top_k`` rows only."""
+def ranked(scored: DataFrame, key: str, score: str, rank: str, top_k: int, ids: list[str] | None = None) -> DataFrame:
+    """The ``top_k`` best rows (of each of ``ids``) with their rank; ties go to the smaller key.
+
+    Without ids the window sees ``top_k`` rows only.
+    """
+    if ids:
+        return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*ids).orderBy(F.col(score).desc(), F.col(key)))).filter(F.col(rank) <= top_k)
     best = scored.orderBy(F.col(score).desc(), F.col(key)).limit(top_k)
     return best.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(key))))
 
@@ -78,8 +86,11 @@ def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: st
     """(key, similarity, vector_rank) of the nearest vectors to the one-row table ``query`` (column query_vector).
 
     Exact: every vector is compared, a batch of them in one product.  Null vectors and those of another length have no
-    similarity and aren't returned.
+    similarity and aren't returned.  With a column query_id every row is a query of its own, and the result has the nearest
+    vectors of each query_id.
     """
+    if "query_id" in query.columns:
+        return _vector_search_each(vectors, query, top_k, key, vector)
     asked = query.select("query_vector").first()
     q = np.asarray(asked[0] if asked and asked[0] is not None else [], np.float64)
     kind = vectors.schema[key].dataType.simpleString()
@@ -98,6 +109,35 @@ def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: st
     return ranked(scored.select(key, F.round("similarity", 6).alias("similarity")), key, "similarity", "vector_rank", top_k)
 
 
+def _vector_search_each(vectors: DataFrame, query: DataFrame, top_k: int, key: str, vector: str) -> DataFrame:
+    """Blocks of queries of one length against every batch; of a batch the ``top_k`` nearest go on, and those that rounding ties with them."""
+    kinds = f"query_id {query.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, similarity double"
+    by_length: dict[int, list] = {}
+    for r in query.select("query_id", "query_vector").collect():
+        if r[1]:
+            by_length.setdefault(len(r[1]), []).append(r)
+    blocks = [rows[s : s + QUERIES] for rows in by_length.values() for s in range(0, len(rows), QUERIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in blocks:
+                q = np.asarray([r[1] for r in rows], np.float64)
+                part = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), q.shape[1]))
+                if not part.num_rows:
+                    continue
+                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, q.shape[1])
+                norms = np.linalg.norm(m, axis=1)
+                for (ident, _), one, length in zip(rows, q, np.linalg.norm(q, axis=1), strict=True):
+                    near = m @ one / np.maximum(norms * max(length, 1e-300), 1e-300)
+                    at = np.arange(len(near))
+                    if len(near) > top_k:
+                        at = np.flatnonzero(~(near < np.partition(near, -top_k)[-top_k] - 2e-6))
+                    yield pa.RecordBatch.from_arrays([pa.array([ident] * len(at)), part.column(0).take(pa.array(at)), pa.array(near[at])], ["query_id", key, "similarity"])
+
+    scored = vectors.select(key, vector).mapInArrow(run, kinds)
+    return ranked(scored.select("query_id", key, F.round("similarity", 6).alias("similarity")), key, "similarity", "vector_rank", top_k, ["query_id"])
+
+
 def rrf(lists: list[tuple[DataFrame, str]], key: str, top_k: int = 100, k: int = RRF_K) -> DataFrame:
     """(key, rrf_score): sum of 1 / (k + rank) over ranked lists, given as tables and their rank columns."""
     rows = reduce(DataFrame.unionByName, [t.select(key, (1.0 / (k + F.col(r))).alias("part")) for t, r in lists])

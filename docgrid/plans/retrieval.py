@@ -27,6 +27,18 @@ def vector_topk(spark, sf_dir):
     return R.vector_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 50)
 
 
+def bm25_topk_each(spark, sf_dir):
+    """Every benchmark item whose id is divisible by 20 as a query."""
+    q = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return R.bm25(table(spark, sf_dir, "documents"), q, 50)
+
+
+def vector_topk_each(spark, sf_dir):
+    """Every vector whose id is divisible by 20 as a query."""
+    e = table(spark, sf_dir, "embeddings")
+    return R.vector_search(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 50)
+
+
 def hybrid_search(spark, sf_dir):
     """Lexical and vector lists fused by reciprocal ranks."""
     lexical = R.bm25(table(spark, sf_dir, "documents"), _query(spark, sf_dir), 50).withColumnRenamed("doc_id", "id")
@@ -88,7 +100,7 @@ terms AS (SELECT DISTINCT substr(q, s, n) AS t FROM q, range(2, 5) r(n), range(1
 ks AS (SELECT doc_id, round_even(least(0.15::DOUBLE, 0.15::DOUBLE * sum(CASE WHEN contains(lower(regexp_replace(text, '\\s+', '', 'g')), t) THEN length(t) ELSE 0 END) / sum(length(t))), 6) AS keyword_score
   FROM documents, terms GROUP BY doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
+QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, bm25_score, bm25_rank FROM bm",
     "vector_topk": f"WITH {_VEC} SELECT vec_id, similarity, vector_rank FROM ve",
