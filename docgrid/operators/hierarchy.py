@@ -6,45 +6,75 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.functions.text import strip
 from docgrid.operators.staging import cut
 
-DEPTH = 32
-
-# The levels of a clause tree and what each may stand under; numerals and the marks of each level.
+# Numerals, the words of formal levels, the marks of items by rank, and what each level may stand under.
 NUMERAL = "[0-9一二三四五六七八九十百千万零〇两]+"
 CN = "[一二三四五六七八九十百千万零〇两]+"
-LEVEL_WORDS = {"book": "编", "chapter": "章", "section": "节", "article": "条", "paragraph": "款"}
-PARENTS = {"book": (), "chapter": ("book",), "section": ("book", "chapter"), "article": ("book", "chapter", "section"), "paragraph": ("article",), "item": ("article", "paragraph"), "preamble": ()}
-FORMAL = ("book", "chapter", "section", "article", "paragraph")
-ITEM_MARKS = ((1, rf"({CN})\s*、\s*(.*)", "{}、"), (2, rf"[（(]\s*({CN})\s*[）)]\s*(.*)", "（{}）"), (4, r"[（(]\s*(\d+)\s*[）)]\s*(.*)", "（{}）"), (3, r"(\d+)\s*[.、．](?!\d)\s*(.*)", "{}."))
+FORMAL = {"book": "编", "chapter": "章", "section": "节", "article": "条", "paragraph": "款"}
+ITEM_MARKS = ((1, rf"^({CN})\s*、\s*([\s\S]*)$", "{}、"), (2, rf"^[（(]\s*({CN})\s*[）)]\s*([\s\S]*)$", "（{}）"), (4, r"^[（(]\s*([0-9]+)\s*[）)]\s*([\s\S]*)$", "（{}）"), (3, r"^([0-9]+)\s*[.、．](?![0-9])\s*([\s\S]*)$", "{}."))
+BOOK, CHAPTER, SECTION, ARTICLE, PARAGRAPH, PREAMBLE = 0, 1, 2, 3, 4, 9
+UNDER = {BOOK: (), CHAPTER: (BOOK,), SECTION: (BOOK, CHAPTER), ARTICLE: (BOOK, CHAPTER, SECTION), PARAGRAPH: (ARTICLE,), PREAMBLE: ()}
 ORDER_WORDS = ("首先", "其次", "然后", "之后", "最后", "审核后", "批准后", "经.+后", "第一步", "第二步", "第三步")
 MATTER_TITLE = "申请|申报|办理|审批|认定|报销|聘任|变更|终止|登记|备案|采购|验收|入学|毕业|资助"
 
 
-def closure(nodes: DataFrame, key: str = "id", parent: str = "parent_id", depth: int = DEPTH) -> DataFrame:
-    """(ancestor, descendant, distance) for every proper pair up to ``depth``, shortest distance first in a cycle."""
-    return reach(nodes, key, parent, depth).filter("ancestor <> descendant")
+def closure(nodes: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(ancestor, descendant, distance) for every proper pair, whatever the depth; the shortest distance in a cycle."""
+    return reach(nodes, key, parent).filter("ancestor <> descendant")
+
+
+def reach(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """The closure by doubling: after k rounds it has all distances up to 2^k, and it ends when a round finds no new pair.
+
+    A node in a cycle reaches itself.
+    """
+    found = nodes.filter(F.col(parent).isNotNull()).select(F.col(key).cast("string").alias("descendant"), F.col(parent).cast("string").alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    pairs, before = cut(found), -1
+    while (now := pairs.count()) != before:
+        before = now
+        on = pairs.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("up"), F.col("distance").alias("more"))
+        longer = pairs.join(on, "ancestor").select("descendant", F.col("up").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        pairs = cut(pairs.unionByName(longer).groupBy("descendant", "ancestor").agg(F.min("distance").alias("distance")))
+    return pairs.select("ancestor", "descendant", "distance")
+
 
+def around(hits: DataFrame, nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(ancestor, descendant, distance) of the hits (column id) and all above and below them, a level at a time.
 
-def reach(nodes: DataFrame, key: str, parent: str, depth: int) -> DataFrame:
-    """The closure by doubling: after k rounds it has all distances up to 2^k.  A node in a cycle reaches itself."""
-    jump = nodes.filter(F.col(parent).isNotNull()).select(F.col(key).cast("string").alias("descendant"), F.col(parent).cast("string").alias("ancestor"), F.lit(1).alias("distance"))
-    found = jump
-    while depth > 1:
-        depth = (depth + 1) // 2
-        on = jump.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("__up"), F.col("distance").alias("__d"))
-        longer = found.join(on, "ancestor").select("descendant", F.col("__up").alias("ancestor"), (F.col("distance") + F.col("__d")).alias("distance"))
-        found = cut(found.unionByName(longer).groupBy("descendant", "ancestor").agg(F.min("distance").alias("distance")))
-        jump = cut(jump.join(on, "ancestor").select("descendant", F.col("__up").alias("ancestor"), (F.col("distance") + F.col("__d")).alias("distance")).distinct())
-        if jump.isEmpty():
-            break
-    return found.select("ancestor", "descendant", "distance")
+    Only the levels' nodes are joined, not the whole closure; a node that was met is not gone through again.
+    """
+    links = nodes.filter(F.col(parent).isNotNull()).select(F.col(key).cast("string").alias("below"), F.col(parent).cast("string").alias("above"))
+    out = None
+    for here, there in (("below", "above"), ("above", "below")):
+        front, seen, distance = hits.select("id", F.col("id").alias("at")).distinct(), None, 0
+        while True:
+            distance += 1
+            step = front.join(links, F.col("at") == F.col(here)).select("id", F.col(there).alias("at")).distinct().filter("id <> at")
+            step = cut(step if seen is None else step.join(seen.select("id", "at"), ["id", "at"], "left_anti"))
+            if step.isEmpty():
+                break
+            front, met = step, step.withColumn("distance", F.lit(distance))
+            seen = met if seen is None else seen.unionByName(met)
+        if seen is not None:
+            up, down = ("at", "id") if there == "above" else ("id", "at")
+            pairs = seen.select(F.col(up).alias("ancestor"), F.col(down).alias("descendant"), "distance")
+            out = pairs if out is None else out.unionByName(pairs)
+    if out is None:
+        return hits.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance")).limit(0)
+    return out.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
 
 
 def context(hits: DataFrame, pairs: DataFrame, most: int = 40) -> DataFrame:
-    """id, related (ancestors and descendants in order of id, at most ``most``), truncated."""
+    """id, related (ancestors and descendants in order of id, at most ``most``), truncated.
+
+    Relatives are ranked and cut before they are collected, so that a hit with very many of them is no large array.
+    """
     near = pairs.select(F.col("descendant").alias("id"), F.col("ancestor").alias("other")).unionByName(pairs.select(F.col("ancestor").alias("id"), F.col("descendant").alias("other")))
-    got = hits.select("id").join(near, "id").groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("all"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("other"))
+    got = hits.select("id").distinct().join(near.distinct(), "id").withColumn("place", place).filter(F.col("place") <= most + 1)
+    got = got.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("all"))
     out = hits.select("id").join(got, "id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
     return out.select("id", F.slice("all", 1, most).alias("related"), (F.size("all") > most).alias("truncated"))
 
@@ -72,12 +102,12 @@ def workflow_view(members: DataFrame, matter: str, order: str, text: str, words:
     return m.groupBy(matter).agg(F.count("*").alias("n_steps"), ((F.count("*") >= 2) & F.coalesce(F.bool_and(F.when(F.col("__n") > 1, F.col("__said"))), F.lit(False))).alias("order_confirmed"))
 
 
-def ui_tree(nodes: DataFrame, key: str, parent: str, order: str, depth: int = DEPTH) -> DataFrame:
+def ui_tree(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
     """id, root, level, path (order values from the root): nodes with a missing parent and those in a cycle are roots."""
     n = nodes.select(F.col(key).cast("string").alias("id"), F.col(parent).cast("string").alias("p"), F.col(order).cast("long").alias("o"))
     has = n.select(F.col("id").alias("p")).withColumn("known", F.lit(True))
     n = n.join(has, "p", "left").withColumn("p", F.when(F.col("known"), F.col("p"))).drop("known")
-    all_pairs = reach(n, "id", "p", depth)
+    all_pairs = reach(n, "id", "p")
     cyclic = all_pairs.filter("ancestor = descendant").select(F.col("descendant").alias("c")).distinct()
     # a walk up ends at the first node of a cycle, which is a root
     first = all_pairs.join(cyclic, F.col("ancestor") == F.col("c")).groupBy("descendant").agg(F.min("distance").alias("stop"))
@@ -89,82 +119,77 @@ def ui_tree(nodes: DataFrame, key: str, parent: str, order: str, depth: int = DE
     return out.select("id", F.coalesce(F.get("up", F.lit(0))["ancestor"], F.col("id")).alias("root"), F.size("up").alias("level"), F.array_join(path, "/").alias("path"))
 
 
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """Lines cut at articles within them, with mark (level, label, rest, slot) where one begins a clause; blank lines go."""
+    line = strip(F.col("line"))
+    article = rf"第\s*{NUMERAL}\s*条"
+    parts = F.when(line.rlike(f"^{article}"), F.split(line, rf"(?<=\s)(?={article})")).otherwise(F.array(line))
+    cut_up = lines.select("policy_id", "page", "ordinal", "line_no", F.posexplode(parts).alias("part_no", "part")).withColumn("part", strip(F.col("part"))).filter("part <> ''")
+    mark = lambda level, label, rest, slot: F.struct(F.lit(level).alias("level"), label.alias("label"), strip(rest).alias("rest"), F.lit(slot).alias("slot"))
+    found = []
+    for slot, (level, word) in enumerate(FORMAL.items()):
+        pattern = rf"^第\s*({NUMERAL}(?:\s+{NUMERAL})*)\s*{word}\s*([\s\S]*)$"
+        number = F.replace(F.regexp_extract("part", pattern, 1), F.lit(" "), F.lit(""))
+        found.append(F.when(F.col("part").rlike(pattern), mark(level, F.concat(F.lit("第"), number, F.lit(word)), F.regexp_extract("part", pattern, 2), slot)))
+    for rank, pattern, shape in ITEM_MARKS:
+        before, after = shape.split("{}")
+        label = F.concat(F.lit(before), strip(F.regexp_extract("part", pattern, 1)), F.lit(after))
+        found.append(F.when(F.col("part").rlike(pattern), mark("item", label, F.regexp_extract("part", pattern, 2), PARAGRAPH + rank)))
+    return cut_up.withColumn("mark", F.coalesce(*found))
+
+
 def build_clauses(lines: DataFrame) -> DataFrame:
     """Clause trees of documents from their ordered lines (policy_id, page, ordinal, line_no, line).
 
-    One document is one group: the grammar is sequential, and a document is bounded.  Returns policy_id, sequence_no,
-    parent_no, level, label, article_no, paragraph_no, item_no, chapter_path, raw_text, page_start, page_end.
+    Returns policy_id, sequence_no, parent_no, level, label, article_no, paragraph_no, item_no, chapter_path, raw_text,
+    page_start, page_end.  Lines are marked and gathered into clauses by Spark; only the clauses' slots go through a
+    stack, one document at a time.
     """
-    schema = "policy_id string, sequence_no int, parent_no int, level string, label string, article_no string, paragraph_no string, item_no string, chapter_path array<string>, raw_text string, page_start int, page_end int"
-    return lines.groupBy("policy_id").applyInPandas(_clauses, schema)
-
-
-def _clauses(rows: pd.DataFrame) -> pd.DataFrame:
-    import re
-
-    inline = re.compile(rf"(?:^|(?<=\s))第\s*{NUMERAL}\s*条")
-    formal = {level: re.compile(rf"第\s*({NUMERAL}(?:\s+{NUMERAL})*)\s*{word}\s*(.*)", re.S) for level, word in LEVEL_WORDS.items()}
-    items = [(rank, re.compile(p, re.S), shape) for rank, p, shape in ITEM_MARKS]
-
-    def marker(line):
-        for level, pattern in formal.items():
-            if m := pattern.fullmatch(line):
-                return level, f"第{m[1].replace(' ', '')}{LEVEL_WORDS[level]}", m[2].strip(), 0
-        for rank, pattern, shape in items:
-            if m := pattern.fullmatch(line):
-                return "item", shape.format(m[1].strip()), m[2].strip(), rank
-        return None
-
-    lines = []
-    for r in rows.sort_values(["page", "ordinal", "line_no"]).itertuples():
-        line = str(r.line or "").strip()
-        starts = [m.start() for m in inline.finditer(line)]
-        cuts = [*starts, len(line)] if len(starts) > 1 and starts[0] == 0 else [0, len(line)]
-        lines += [(part, int(r.page)) for a, b in zip(cuts, cuts[1:]) if (part := line[a:b].strip())]
-    marks = [marker(line) for line, _ in lines]
-    numbered = not any(m and m[0] in FORMAL for m in marks)
-    nodes: list[dict] = []
-    now = None
-
-    def parent_of(level, rank):
-        scope = now
-        while scope is not None and nodes[scope]["level"] == "item":
-            scope = nodes[scope]["parent"]
-        nested = numbered or (scope is not None and nodes[scope]["level"] in ("article", "paragraph"))
-        at = now
-        while at is not None:
-            n = nodes[at]
-            if (level == n["level"] == "item" and nested and n["rank"] < rank) or n["level"] in PARENTS[level]:
-                return at
-            at = n["parent"]
-        return None
-
-    for (line, page), mark in zip(lines, marks):
-        if mark is None and now is not None:
-            nodes[now]["text"].append(line)
-            nodes[now]["pages"].append(page)
-            continue
-        level, label, rest, rank = mark or ("preamble", "前言", line, 0)
-        up = parent_of(level, rank)
-        above = nodes[up] if up is not None else None
-        nodes.append(
-            {
-                "level": level, "label": label, "rank": rank, "parent": up, "text": [f"{label} {rest}".strip()], "pages": [page],
-                "article": label[1:-1] if level == "article" else above["article"] if above else "",
-                "path": [*(above["path"] if above else []), *([label] if level in ("book", "chapter", "section") else [])],
-            }
-        )
-        now = len(nodes) - 1
-    return pd.DataFrame(
-        {
-            "policy_id": rows["policy_id"].iloc[0], "sequence_no": range(1, len(nodes) + 1), "parent_no": pd.array([None if n["parent"] is None else n["parent"] + 1 for n in nodes], "Int64"),
-            "level": [n["level"] for n in nodes], "label": [n["label"] for n in nodes], "article_no": [n["article"] for n in nodes],
-            "paragraph_no": [n["label"][1:-1] if n["level"] == "paragraph" else "" for n in nodes], "item_no": [n["label"] if n["level"] == "item" else "" for n in nodes],
-            "chapter_path": [n["path"] for n in nodes], "raw_text": ["\n".join(n["text"]) for n in nodes], "page_start": [n["pages"][0] for n in nodes], "page_end": [max(n["pages"]) for n in nodes],
-        }
+    order = ["page", "ordinal", "line_no", "part_no"]
+    each = Window.partitionBy("policy_id").orderBy(*order)
+    first = F.struct(F.lit("preamble").alias("level"), F.lit("前言").alias("label"), F.col("part").alias("rest"), F.lit(PREAMBLE).alias("slot"))
+    m = marked_lines(lines).withColumn("begins", F.when(F.row_number().over(each) == 1, F.coalesce("mark", first)).otherwise(F.col("mark")))
+    m = m.withColumn("sequence_no", F.count("begins").over(each).cast("int"))
+    said = F.when(F.col("begins").isNotNull(), strip(F.concat_ws(" ", "begins.label", "begins.rest"))).otherwise(F.col("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, said.alias("said")))), lambda x: x["said"]), "\n")
+    nodes = m.groupBy("policy_id", "sequence_no").agg(F.max("begins").alias("b"), text.alias("raw_text"), F.min_by("page", F.struct(*order)).alias("page_start"), F.max("page").alias("page_end"))
+    numbered = F.min("b.slot").over(Window.partitionBy("policy_id")) > PARAGRAPH
+    nodes = nodes.select("policy_id", "sequence_no", "b.level", "b.label", "b.slot", numbered.alias("numbered"), "raw_text", "page_start", "page_end")
+    kind = lines.schema["policy_id"].dataType.simpleString()
+    up = nodes.select("policy_id", "sequence_no", "slot", "label", "numbered").groupBy("policy_id").applyInPandas(_stacked, f"policy_id {kind}, sequence_no int, parent_no int, article_no string, chapter_path array<string>")
+    number = F.expr("substring(label, 2, length(label) - 2)")
+    return nodes.join(up, ["policy_id", "sequence_no"]).select(
+        "policy_id", "sequence_no", "parent_no", "level", "label", "article_no", F.when(F.col("level") == "paragraph", number).otherwise("").alias("paragraph_no"),
+        F.when(F.col("level") == "item", F.col("label")).otherwise("").alias("item_no"), "chapter_path", "raw_text", "page_start", "page_end",
     )
 
 
+def _stacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Parents by a stack of open slots: a clause closes all slots that it can't stand under, then stands under the top.
+
+    Items stand under articles and paragraphs; under items of a higher rank too, if the document has no formal level or
+    an article or paragraph is open.
+    """
+    rows = rows.sort_values("sequence_no")
+    free = bool(rows["numbered"].iloc[0])
+    open_: list[tuple[int, int, str]] = []
+    parents, articles, paths = [], [], []
+    for number, slot, label in zip(rows["sequence_no"], rows["slot"], rows["label"], strict=True):
+        if slot in UNDER:
+            under = UNDER[slot]
+        else:
+            outer = [s for s, _, _ in open_ if s <= PARAGRAPH or s == PREAMBLE]
+            nested = free or (outer and outer[-1] in (ARTICLE, PARAGRAPH))
+            under = (ARTICLE, PARAGRAPH, *(range(PARAGRAPH + 1, slot) if nested else ()))
+        while open_ and open_[-1][0] not in under:
+            open_.pop()
+        parents.append(open_[-1][1] if open_ else None)
+        open_.append((slot, number, label))
+        articles.append(next((x[1:-1] for s, _, x in open_ if s == ARTICLE), ""))
+        paths.append([x for s, _, x in open_ if s <= SECTION])
+    return pd.DataFrame({"policy_id": rows["policy_id"], "sequence_no": rows["sequence_no"], "parent_no": pd.array(parents, "Int64"), "article_no": articles, "chapter_path": paths})
+
+
 def parse_quality(blocks: DataFrame, clauses: DataFrame, key: str = "policy_id") -> DataFrame:
     """key, quality (0 to 1, four places) from text coverage, boxes and replacement characters.
 

@@ -1,20 +1,18 @@
 """From parsed files to products: types, metadata, chunks, tables, forms, clauses, abolition links and lineage."""
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.functions import ids, rules
-from docgrid.functions.text import display_document_number, is_blank, strip
+from docgrid.functions.text import is_blank, squash, strip, text_or_blank
 
 from . import extraction, governance, hierarchy, ledger, metadata, sections, tables
 
 VERSION = "v1"
 # How a sentence says when a target was published, and how far it looks for it.
-PUBLISHED = re.compile(r"((?:19|20)\d{2})\s*年\s*(?:\d{1,2}\s*月\s*(?:\d{1,2}\s*日\s*)?)?(?:印发|发布|颁布|制定)\s*的?\s*$")
+PUBLISHED = r"((?:19|20)[0-9]{2})\s*年\s*(?:[0-9]{1,2}\s*月\s*(?:[0-9]{1,2}\s*日\s*)?)?(?:印发|发布|颁布|制定)\s*的?\s*"
 
 
 def blocks_of(parsed: DataFrame) -> DataFrame:
@@ -46,9 +44,13 @@ def process_documents(parsed: DataFrame) -> dict[str, DataFrame]:
     clauses = hierarchy.build_clauses(lines)
     clauses = clauses.withColumn("clause_id", ids.clause_id(F.col("policy_id"), F.lit(VERSION), F.col("sequence_no"), F.col("raw_text"))).withColumn("structure_version", F.lit(VERSION)).withColumn("is_active", F.lit(True))
     head = metadata.head_text(texts, "file_id")
-    title = metadata.guess_title(F.col("file_name"), rules.low_confidence_name(F.col("file_name")), F.col("head"))
-    about = parsed.select("file_id", "file_name").join(head, "file_id", "left").select("file_id", title.alias("title"), "head")
-    about = about.select("file_id", "title").join(metadata.policy(about, "file_id"), "file_id")
+    early = texts.filter("page_num <= 2").select("file_id", "page_num", "ordinal", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    early = early.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "ordinal", "line_no", "line"))), lambda x: F.struct(x["page_num"].alias("page"), x["line"].alias("line"))).alias("lines"))
+    own = metadata.confirmed_titles(F.transform("lines", lambda x: x["line"]))
+    guessed = metadata.guess_title(F.col("file_name"), rules.low_confidence_name(F.col("file_name")), F.col("lines"))
+    about = parsed.select("file_id", "file_name").join(head, "file_id", "left").join(early, "file_id", "left").withColumn("own", own)
+    about = about.select("file_id", F.coalesce("own.title", guessed).alias("title"), F.col("own.notice_title").alias("notice_title"), "head")
+    about = about.select("file_id", "title", "notice_title").join(metadata.policy(about, "file_id"), "file_id")
     chunks = sections.chunk_documents(texts.select(F.concat_ws(":", "file_id", "ordinal").alias("block"), F.col("content").alias("text")), "block")
     target = F.when(F.col("type") == "table", "tables").when(F.col("type") == "image", "images").otherwise("chunks")
     return {
@@ -57,33 +59,27 @@ def process_documents(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def target_year(evidence: str | None, title: str | None) -> int | None:
-    """The only year in which the evidence says that its quoted title was published."""
-    years = {int(m[1]) for q in extraction.QUOTED.finditer(evidence or "") if "".join(q["title"].split()) == "".join((title or "").split()) and (m := PUBLISHED.search(evidence, 0, q.start()))}
-    return years.pop() if len(years) == 1 else None
-
-
-def target_years(evidence: Column, title: Column) -> Column:
-    """``target_year`` of columns, by Arrow batches."""
-
-    def years(e: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([target_year(x, y) for x, y in zip(e, t, strict=True)], dtype="Int32")
-
-    return F.pandas_udf(years, "int")(evidence, title)
+def target_year(evidence: Column, title: Column) -> Column:
+    """The only year in which the evidence says that its quoted title was published, right before the title."""
+    e = text_or_blank(evidence)
+    pick = lambda g: F.regexp_extract_all(e, F.lit(PUBLISHED + extraction.QUOTED), F.lit(g))
+    said = F.filter(F.arrays_zip(pick(1).alias("year"), pick(2).alias("title")), lambda q: squash(q["title"]) == squash(title))
+    years = F.array_distinct(F.transform(said, lambda q: q["year"]))
+    return F.when(F.size(years) == 1, F.get(years, F.lit(0)).cast("int"))
 
 
 def abolition_relations(clauses: DataFrame, documents: DataFrame) -> DataFrame:
     """Pending relations of clauses (clause_id, policy_id, raw_text) with their target where exactly one fits."""
     c = extraction.abolition_candidates(clauses).join(clauses.select("clause_id", F.col("policy_id").alias("source_policy_id")), "clause_id")
     c = c.withColumn("relation_id", F.concat(F.lit("relation_"), F.substr(F.sha2(F.concat_ws("␟", "source_policy_id", "clause_id", "target_title", "target_doc_number"), 256), F.lit(1), F.lit(24))))
-    c = c.withColumn("target_year", target_years(F.col("evidence"), F.col("target_title"))).dropDuplicates(["relation_id"])
+    c = c.withColumn("target_year", target_year(F.col("evidence"), F.col("target_title"))).dropDuplicates(["relation_id"])
     found = governance.resolve_targets(c, documents)
-    return c.join(found, "relation_id", "left").select("relation_id", "source_policy_id", "target_policy_id", "target_title", display_document_number(F.col("target_doc_number")).alias("target_doc_number"), "effective_date", "evidence", F.col("clause_id").alias("evidence_clause_id"), F.when(F.col("effective_date").isNotNull(), 1.0).otherwise(0.7).alias("confidence"), F.lit("pending").alias("review_status"))
+    return c.join(found, "relation_id", "left").select("relation_id", "source_policy_id", "target_policy_id", "target_title", "target_doc_number", "effective_date", "evidence", F.col("clause_id").alias("evidence_clause_id"), F.when(F.col("effective_date").isNotNull(), 1.0).otherwise(0.7).alias("confidence"), F.lit("pending").alias("review_status"))
 
 
 def reconcile(relations: DataFrame, documents: DataFrame, policy_id: str) -> DataFrame:
     """Pending relations without a target which a newly stored document now answers, with it as their target."""
-    waiting = relations.filter("review_status = 'pending' AND target_policy_id IS NULL").withColumn("target_year", target_years(F.col("evidence"), F.col("target_title")))
+    waiting = relations.filter("review_status = 'pending' AND target_policy_id IS NULL").withColumn("target_year", target_year(F.col("evidence"), F.col("target_title")))
     found = governance.resolve_targets(waiting, documents).filter(F.col("target_policy_id") == policy_id)
     return waiting.drop("target_policy_id", "target_year").join(found, "relation_id").select(*relations.columns)
 

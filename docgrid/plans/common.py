@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TEXTS = ("documents", "pages")
-SMALL = 64 << 20
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+READ_PARTITIONS = "spark.docgrid.readPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; small ones of texts, whose few row groups would leave cores idle, are dealt over all of them."""
+    """A table; where the session sets ``spark.docgrid.readPartitions``, tables of texts are dealt over so many
+    partitions, for a caller whose table is one row group, of which a scan can make one task only."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXTS else df
+    asked = spark.conf.get(READ_PARTITIONS, "")
+    return df.repartition(int(asked)) if asked and name in ("documents", "pages") else df
 
 
-def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it is under ``small`` bytes in fewer files than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < small and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows that a query which both engines understand makes from the tables; it names them in braces."""
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql})
+
+
+def as_duck(sql: str) -> str:
+    """The same query for DuckDB."""
+    return sql.format(**{t: t for t in TABLES})

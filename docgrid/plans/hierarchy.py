@@ -1,4 +1,4 @@
-"""Trees: the places of the star schema as nodes, and literal clause lines."""
+"""Trees: the places of the star schema as nodes, and orders as lines of documents."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import hierarchy as H
 
-from .common import table
+from .common import as_duck, made, table
 
 
 def _nodes(spark, sf_dir):
@@ -52,21 +52,15 @@ def workflow_order(spark, sf_dir):
     return H.workflow_view(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", ("[Tt]hen", "é"))
 
 
-LINES = [
-    ("a", 1, 0, "关于采购的规定"), ("a", 1, 1, "第一章 总则"), ("a", 1, 2, "第一条 目的。 第二条 范围。"), ("a", 2, 3, "（一）货物"), ("a", 2, 4, "1. 设备"), ("a", 2, 5, "续行"), ("a", 2, 6, "（二）服务"), ("a", 3, 7, "第二章 程序"), ("a", 3, 8, "第三条 申请"),
-    ("b", 1, 0, "一、总体"), ("b", 1, 1, "（一）目标"), ("b", 1, 2, "1. 首先"), ("b", 1, 3, "（1）细目"), ("b", 1, 4, "二、其次"),
-]
-CLAUSES = [
-    ("a", 1, None, "preamble", "", "", "前言 关于采购的规定"), ("a", 2, None, "chapter", "", "", "第一章 总则"), ("a", 3, 2, "article", "第一", "", "第一条 目的。"), ("a", 4, 2, "article", "第二", "", "第二条 范围。"),
-    ("a", 5, 4, "item", "第二", "（一）", "（一） 货物"), ("a", 6, 5, "item", "第二", "1.", "1. 设备\n续行"), ("a", 7, 4, "item", "第二", "（二）", "（二） 服务"), ("a", 8, None, "chapter", "", "", "第二章 程序"), ("a", 9, 8, "article", "第三", "", "第三条 申请"),
-    ("b", 1, None, "item", "", "一、", "一、 总体"), ("b", 2, 1, "item", "", "（一）", "（一） 目标"), ("b", 3, 2, "item", "", "1.", "1. 首先"), ("b", 4, 3, "item", "", "（1）", "（1） 细目"), ("b", 5, None, "item", "", "二、", "二、 其次"),
-]
+#: Orders of a customer as the lines of a document, in nine kinds.
+LINES = """SELECT c AS policy_id, CAST(1 + floor(n / 4) AS INTEGER) AS page, n AS ordinal, 0 AS line_no, CASE n % 9 WHEN 0 THEN '第' || (1 + n) || '章 ' || t WHEN 1 THEN '第 ' || n || ' 条 目的' || t || '。 第' || (n + 50) || '条 范围'
+  WHEN 2 THEN '（一）' || t WHEN 3 THEN '1. ' || k WHEN 4 THEN '续行' || k WHEN 5 THEN '(二) ' || t WHEN 6 THEN '（' || n || '） 细目' WHEN 7 THEN ' ' ELSE '第' || n || '条' || k END AS line
+  FROM (SELECT CAST(o_custkey AS INTEGER) AS c, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS n, o_orderpriority AS t, o_orderkey AS k FROM {orders}) AS o"""
 
 
 def clause_tree(spark, sf_dir):
-    rows = [(d, p, o, 0, t) for d, p, o, t in LINES]
-    out = H.build_clauses(spark.createDataFrame(rows, "policy_id string, page int, ordinal int, line_no int, line string"))
-    return out.select("policy_id", "sequence_no", "parent_no", "level", F.concat(F.when(F.col("article_no") != "", "第").otherwise(""), "article_no").alias("article_no"), "item_no", "raw_text")
+    out = H.build_clauses(made(spark, sf_dir, LINES))
+    return out.select("policy_id", "sequence_no", F.col("parent_no").cast("long").alias("parent_no"), "level", "article_no", "item_no", F.array_join("chapter_path", "/").alias("path"), "raw_text", "page_start", "page_end")
 
 
 def parse_quality(spark, sf_dir):
@@ -78,7 +72,6 @@ def parse_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (tree_closure, tree_context, explicit_matters, ui_tree, workflow_order, clause_tree, parse_quality)}
-_LIT = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("\n", "' || chr(10) || '") + "'" for v in r) + ")" for r in CLAUSES)
 SQL = {
     "tree_closure": f"WITH RECURSIVE {_NODES} SELECT ancestor, descendant, min(distance) AS distance FROM up GROUP BY 1, 2",
     "tree_context": f"""WITH RECURSIVE {_NODES}, h AS (SELECT id FROM t WHERE NOT structural OR id LIKE 'n%'),
@@ -94,7 +87,20 @@ w AS (SELECT t.id, o, lpad(CAST(o AS VARCHAR), 8, '0') AS path, id AS root, 0 AS
 SELECT id, root, level, path FROM w UNION ALL SELECT * FROM (VALUES ('x1', 'x1', 0, '00000001'), ('x2', 'x2', 0, '00000002'), ('x3', 'x3', 0, '00000003'), ('x4', 'x1', 1, '00000001/00000004'), ('x5', 'x5', 0, '00000005'))""",
     "workflow_order": """WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_matches(text, '[Tt]hen|é') AS said FROM conversations)
 SELECT conv_id, count(*) AS n_steps, count(*) >= 2 AND coalesce(bool_and(said) FILTER (n > 1), false) AS order_confirmed FROM n GROUP BY 1""",
-    "clause_tree": f"SELECT * FROM (VALUES {_LIT}) t(policy_id, sequence_no, parent_no, level, article_no, item_no, raw_text)",
+    "clause_tree": f"""WITH l AS ({as_duck(LINES)}),
+p AS (SELECT policy_id, page, ordinal, 0 AS part, ordinal % 9 AS kind, CASE WHEN ordinal % 9 = 1 THEN split_part(line, '。 第', 1) || '。' ELSE line END AS line FROM l WHERE trim(line) <> ''
+  UNION ALL SELECT policy_id, page, ordinal, 1, 9, '第' || split_part(line, '。 第', 2) FROM l WHERE ordinal % 9 = 1),
+m AS (SELECT *, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 8 THEN 3 WHEN 9 THEN 3 WHEN 2 THEN 6 WHEN 5 THEN 6 WHEN 3 THEN 7 WHEN 6 THEN 8 END AS slot,
+  CASE kind WHEN 0 THEN regexp_replace(line, '^第([0-9]+)章 *', '第\\1章 ') WHEN 1 THEN regexp_replace(line, '^第 ([0-9]+) 条 *', '第\\1条 ') WHEN 8 THEN regexp_replace(line, '^第([0-9]+)条', '第\\1条 ')
+  WHEN 2 THEN '（一） ' || substr(line, 4) WHEN 5 THEN '（二） ' || substr(line, 5) WHEN 6 THEN regexp_replace(line, '^（([0-9]+)） *', '（\\1） ') ELSE line END AS said FROM p),
+s AS (SELECT *, CAST(count(slot) OVER (PARTITION BY policy_id ORDER BY ordinal, part) AS INTEGER) AS sequence_no FROM m),
+n AS (SELECT policy_id, sequence_no, max(slot) AS slot, string_agg(said, chr(10) ORDER BY ordinal, part) AS raw_text, first(page ORDER BY ordinal, part) AS page_start, max(page) AS page_end FROM s GROUP BY 1, 2),
+u AS (SELECT n.*, (SELECT max(sequence_no) FROM n p WHERE p.policy_id = n.policy_id AND p.sequence_no < n.sequence_no AND p.slot < n.slot) AS parent_no,
+  (SELECT max(sequence_no) FROM n p WHERE p.policy_id = n.policy_id AND p.sequence_no <= n.sequence_no AND p.slot = 3) AS article_at, (SELECT max(sequence_no) FROM n p WHERE p.policy_id = n.policy_id AND p.sequence_no <= n.sequence_no AND p.slot = 1) AS chapter_at FROM n)
+SELECT u.policy_id, u.sequence_no, CAST(u.parent_no AS BIGINT) AS parent_no, CASE u.slot WHEN 1 THEN 'chapter' WHEN 3 THEN 'article' ELSE 'item' END AS level,
+  CASE WHEN u.slot > 1 AND article_at > coalesce(chapter_at, 0) THEN regexp_extract(a.raw_text, '^第([0-9]+)条', 1) ELSE '' END AS article_no, CASE WHEN u.slot > 5 THEN regexp_extract(u.raw_text, '^（[^）]*）|^[0-9]+[.]') ELSE '' END AS item_no,
+  coalesce(regexp_extract(c.raw_text, '^第[0-9]+章'), '') AS path, u.raw_text, u.page_start, u.page_end
+FROM u LEFT JOIN n a ON a.policy_id = u.policy_id AND a.sequence_no = article_at LEFT JOIN n c ON c.policy_id = u.policy_id AND c.sequence_no = chapter_at""",
     "parse_quality": """SELECT source AS policy_id, round_even(0.45::DOUBLE * least(1.0::DOUBLE, sum(floor(length(text) / 2)) / sum(length(text))) + 0.25::DOUBLE * avg(CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) + 0.30::DOUBLE, 4) AS quality
 FROM documents WHERE trim(text) <> '' GROUP BY 1""",
 }

@@ -8,7 +8,7 @@ from docgrid.operators import graphs as G
 from docgrid.operators import ledger as L
 from docgrid.operators import review as R
 
-from .common import table
+from .common import as_duck, made, table
 
 NOW = "2024-01-20 12:00:00"
 STATUS = {"signup": "pending", "error": "failed", "click": "succeeded", "view": "skipped", "purchase": "running"}
@@ -152,17 +152,17 @@ def workflow_graph_edges(spark, sf_dir):
     return G.workflow_graph(c.unionByName(o), a)[1]
 
 
-ASSERTIONS = [
-    ("c1", "action", "required", "申请人", "提交", "材料", "申请人应当提交材料", 0, 9), ("c1", "action", "required", "申请人", "提交", "材料", "申请人应当提交材料", 5, 9), ("c1", "action", "required", "财务处", "审核", "", "财务处", 1, 2),
-    ("c1", "wish", "required", "", "", "", "材料", 0, 2), ("c2", "scope", "permitted", "甲", "可以", "", "甲", 9, 10), ("c9", "scope", "permitted", "", "", "", "甲", 0, 1), ("c2", "scope", "permitted", "", "", "", "", 0, 0),
-]
-CLAUSE_TEXTS = [("c1", "申请人应当提交材料，由主管审核。"), ("c2", "甲可以委托，甲不得转让。")]
+#: Customers as clauses and as what a model says of them, with each kind of fault.
+ASSERTIONS = """SELECT CASE WHEN c_custkey % 8 = 5 THEN 'none' || c_custkey ELSE 'c' || c_custkey END AS clause_id, CASE WHEN c_custkey % 8 = 3 THEN 'wish' ELSE 'action' END AS kind, CASE WHEN c_custkey % 8 = 7 THEN 'maybe' ELSE 'required' END AS modality,
+  CASE WHEN c_custkey % 8 = 6 THEN '校长' ELSE '申请人' END AS subject, '提交' AS predicate, c_mktsegment AS object,
+  CASE c_custkey % 8 WHEN 2 THEN '可以' WHEN 4 THEN '' ELSE '应当提交' || c_mktsegment END AS evidence, CASE WHEN c_custkey % 8 = 1 THEN 99 ELSE length(c_name) + 3 END AS start, length(c_name) + 7 + length(c_mktsegment) AS end FROM {customer}"""
+CLAUSE_TEXTS = "SELECT 'c' || c_custkey AS clause_id, c_name || '申请人应当提交' || c_mktsegment || '，可以委托，不可以转让。' AS raw_text FROM {customer}"
 
 
 def assertion_checks(spark, sf_dir):
-    a = spark.createDataFrame(ASSERTIONS, "clause_id string, kind string, modality string, subject string, predicate string, object string, evidence string, start int, end int")
-    out = G.check_assertions(a, spark.createDataFrame(CLAUSE_TEXTS, "clause_id string, raw_text string"))
-    return out.select("clause_id", "kind", "evidence", "error", F.when(F.col("error").isNull(), F.col("start")).alias("start"))
+    said = made(spark, sf_dir, ASSERTIONS)
+    out = G.check_assertions(said.unionAll(said), made(spark, sf_dir, CLAUSE_TEXTS))
+    return out.select("clause_id", "kind", "evidence", "error", F.when(F.col("error").isNull(), F.col("start")).cast("int").alias("start"))
 
 
 QUERIES = {
@@ -219,6 +219,7 @@ UNION ALL SELECT 'x' || n_nationkey, 'relation', 'part_of', s.name, o.name FROM
     "workflow_graph_edges": """WITH a AS (SELECT user_id AS k, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT c_custkey AS k FROM customer LEFT JOIN a ON k = c_custkey WHERE coalesce(ok, c_acctbal > 0))
 SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS subject_id, 'c' || (o_custkey + 1) AS object_id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (FROM n) AND o_custkey + 1 IN (FROM n)""",
-    "assertion_checks": """SELECT * FROM (VALUES ('c1', 'action', '申请人应当提交材料', NULL::VARCHAR, 0), ('c1', 'action', '财务处', 'evidence isn''t in the clause once', NULL), ('c1', 'wish', '材料', 'unknown kind', NULL),
-('c2', 'scope', '甲', 'evidence isn''t in the clause once', NULL), ('c9', 'scope', '甲', 'unknown clause', NULL), ('c2', 'scope', '', 'no evidence', NULL)) t(clause_id, kind, evidence, error, start)""",
+    "assertion_checks": f"""SELECT clause_id, kind, evidence, CASE WHEN clause_id LIKE 'none%' THEN 'unknown clause' WHEN kind = 'wish' THEN 'unknown kind' WHEN modality = 'maybe' THEN 'unknown modality' WHEN evidence = '' THEN 'no evidence'
+WHEN evidence = '可以' THEN 'evidence isn''t in the clause once' WHEN subject = '校长' THEN 'unsupported subject' END AS error,
+CASE WHEN clause_id NOT LIKE 'none%' AND kind = 'action' AND modality = 'required' AND evidence NOT IN ('', '可以') AND subject = '申请人' THEN CAST("end" - 4 - length(object) AS INTEGER) END AS start FROM ({as_duck(ASSERTIONS)})""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docgrid.operators import metadata as M
 from docgrid.operators import policies as P
 
-from .common import table
+from .common import as_duck, made, table
 
 LEVELS = ("preamble", "chapter", "article", "paragraph", "item")
 
@@ -47,12 +47,12 @@ def clause_selections(spark, sf_dir):
 
 def extraction_selection(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("policy_id"), F.concat(F.lit("f"), F.col("conv_id") % 7).alias("file_name")).distinct()
-    return P.extraction_selection(_clauses(spark, sf_dir), d, 60).select("file_name", "policy_id", "clause_id")
+    return P.extraction_selection(_clauses(spark, sf_dir), d).select("file_name", "policy_id", "clause_id")
 
 
 def eligible_labels(spark, sf_dir):
     c = _clauses(spark, sf_dir)
-    labels = c.select("clause_id", F.when(F.col("sequence_no") % 2 == 0, "process").otherwise("pending").alias("decision"), F.lit("approved").alias("review_status"), F.when(F.length("raw_text") % 2 == 0, F.array(F.lit("travel"))).otherwise(F.array(F.lit("travel"), F.lit("old"))).alias("domains"), F.substring("search_text", 1, 9).alias("evidence_text"))
+    labels = c.select("clause_id", F.when(F.col("sequence_no") % 2 == 0, "process").otherwise("pending").alias("decision"), F.lit("approved").alias("review_status"), F.when(F.length("raw_text") % 2 == 0, F.array(F.lit("travel"))).otherwise(F.array(F.lit("travel"), F.lit("old"))).alias("domains"), F.substring_index("search_text", ".", 1).alias("evidence_text"))
     return P.eligible_labels(labels, c.select("clause_id", "raw_text", "sequence_no"), ["travel"]).select("clause_id")
 
 
@@ -115,7 +115,7 @@ def recompute_targets(spark, sf_dir):
 
 def migrate_evidence(spark, sf_dir):
     c = _clauses(spark, sf_dir)
-    r = c.select(F.col("clause_id").alias("relation_id"), F.col("policy_id").alias("source_policy_id"), F.substring("raw_text", 1, 5).alias("evidence_text"))
+    r = c.select(F.col("clause_id").alias("relation_id"), F.col("policy_id").alias("source_policy_id"), F.substring_index("raw_text", ".", 1).alias("evidence_text"))
     return P.migrate_evidence(r, c)
 
 
@@ -128,14 +128,14 @@ def sample_manifest(spark, sf_dir):
 def match_context(spark, sf_dir):
     """Orders as matters with their parts, suppliers as matches with theirs."""
     li = table(spark, sf_dir, "lineitem")
-    matters = li.filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("matter_id")).agg(F.collect_list("l_partkey").alias("clause_ids"))
+    matters = li.groupBy(F.col("l_orderkey").alias("matter_id")).agg(F.collect_list("l_partkey").alias("clause_ids"))
     matches = li.filter("l_quantity > 48").groupBy(F.col("l_suppkey").alias("match_id")).agg(F.collect_list("l_partkey").alias("clause_ids"))
     return P.match_context(matches, matters)
 
 
 def expand_candidates(spark, sf_dir):
-    c = table(spark, sf_dir, "part").filter("p_partkey < 50 AND p_partkey % 2 = 0").select(F.col("p_partkey").alias("clause_id"), (F.col("p_size") / 100).alias("score"))
-    m = table(spark, sf_dir, "part").filter("p_partkey < 30").select(F.col("p_partkey").alias("clause_id"), F.col("p_partkey").alias("sequence_no"))
+    c = table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("clause_id"), (F.col("p_size") / 100).alias("score"))
+    m = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clause_id"), F.col("p_partkey").alias("sequence_no"))
     return P.expand_candidates(c, m)
 
 
@@ -159,72 +159,101 @@ def latest_run(spark, sf_dir):
     return P.latest_run(o).select("run_id", "batch_id")
 
 
-TYPE_CLAUSES = [("p", None, "article", "学校公文种类包括："), ("a", "p", "item", "（一）决定。适用于重要事项。"), ("b", "p", "item", "（二）通知 适用"), ("c", "x", "item", "（三）意见。适用于问题。")]
-LABEL_ROWS = [(1, ["prohibition", "obligation"], "义务、禁止"), (2, ["other"], "其他，义务"), (3, [], "未知"), (4, ["permission"], " 许可 ")]
+#: Parts of a brand as the items of a list; every third list is no list of kinds of documents.
+TYPE_CLAUSES = """SELECT '' || p_partkey AS clause_id, p_brand || p_size AS parent_clause_id, CASE WHEN p_partkey % 7 = 0 THEN 'article' ELSE 'item' END AS level,
+  '（' || p_size || '）' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' 适用' ELSE '。适用于' || p_name || '。' END AS raw_text FROM {part}
+  UNION ALL SELECT DISTINCT p_brand || p_size, NULL, 'article', CASE WHEN p_size % 3 = 0 THEN '一般规定' ELSE p_brand || '公文种类包括：' END FROM {part}"""
 
 
 def document_type_items(spark, sf_dir):
-    return P.document_type_items(spark.createDataFrame(TYPE_CLAUSES, "clause_id string, parent_clause_id string, level string, raw_text string"))
+    return P.document_type_items(made(spark, sf_dir, TYPE_CLAUSES))
 
 
-def label_words(spark, sf_dir):
-    d = spark.createDataFrame(LABEL_ROWS, "id int, labels array<string>, said string")
-    return d.select("id", P.format_labels(F.col("labels")).alias("shown"), F.array_join(P.parse_labels(F.col("said")), ",").alias("codes"))
+LABELS = """SELECT p_partkey AS id, p_size % 2 = 0 AS b, p_size % 3 = 0 AS c, p_size % 5 = 0 AS d, CASE p_partkey % 5 WHEN 0 THEN '义务、禁止' WHEN 1 THEN '其他，义务' WHEN 2 THEN p_brand WHEN 3 THEN ' 许可 ' ELSE '' END AS said FROM {part}"""
 
 
-HEADS = [("a", 1, 0, "Title 2021\nAnn Lee, Bo Li\nann@x.org bo@y.cn"), ("a", 1, 1, "doi: 10.1000/AB-1\nAbstract: Short text.\nKeywords: k"), ("b", 1, 0, "姓名：张三 部门：财务处 金额：1,200.5元"), ("c", 1, 0, "发布机构：教务处\n校发〔2023〕7号\n2023年5月6日"), ("c", 2, 0, "引用 校发〔2020〕1号")]
+def label_words(spark, sf_dir):
+    pick = F.array_compact(F.array(F.when(F.col("d"), "prohibition"), F.when(F.col("b"), "permission"), F.when(F.col("c"), "obligation")))
+    return made(spark, sf_dir, LABELS).select("id", P.format_labels(pick).alias("shown"), F.array_join(P.parse_labels(F.col("said")), ",").alias("codes"))
 
 
-def _heads(spark):
-    return M.head_text(spark.createDataFrame(HEADS, "file_id string, page_num int, ordinal int, content string"), "file_id")
+#: Suppliers as papers of five blocks, with the abstract said in one of three ways.
+PAPERS = """SELECT s_suppkey AS file_id, 1 AS page_num, o AS ordinal, CASE o WHEN 0 THEN 'On the matter of ' || s_name || ' and its kind ' || s_suppkey WHEN 1 THEN 'Ann Lee*, Bo R. Li and Cy Orr'
+  WHEN 2 THEN CASE s_suppkey % 3 WHEN 0 THEN 'Abstract: ' || s_name || ' is looked at in this paper from many sides.' WHEN 1 THEN 'ABSTRACT' ELSE 'School of Things, ann' || s_suppkey || '@x.org' END
+  WHEN 3 THEN s_name || ' is here described at some length, so that it is prose of over eighty characters, ' || s_suppkey || '.' WHEN 4 THEN 'Ann Lee, ann' || s_suppkey || '@x.org, Received 2021, doi 10.1000/AB-' || s_suppkey ELSE 'Introduction' END AS content,
+  CASE WHEN o = 0 AND s_suppkey % 2 = 0 THEN 'title' ELSE 'text' END AS raw_type, CASE WHEN o = 0 THEN 1 WHEN o = 5 THEN 2 END AS text_level
+  FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(o)"""
 
 
 def academic_metadata(spark, sf_dir):
-    return M.academic(_heads(spark).filter("file_id = 'a'"), "file_id").withColumn("emails", F.array_join("emails", ","))
+    a = M.academic(M.paper_heads(made(spark, sf_dir, PAPERS), "file_id"), "file_id")
+    said = lambda x: F.concat_ws(" ", x["normalized_name"], x["is_corresponding"].cast("string"), x["email"])
+    return a.select("file_id", "title", "abstract", F.array_join(F.transform("authors", said), ";").alias("authors"), "year", "doi")
+
+
+#: Customers as forms and policies.
+HEADS = """SELECT c_custkey AS file_id, '姓名：张' || (c_custkey % 10) || ' 部门：' || c_mktsegment || ' 金额：1,' || (100 + c_custkey % 900) || '.5元' AS form,
+  CASE c_custkey % 4 WHEN 0 THEN '发布机构：教务处' || chr(10) || '校发〔2023〕0' || c_custkey || '号' || chr(10) || '2023年5月' || (1 + c_custkey % 28) || '日' || chr(10) || '第一条 引用 校发〔2020〕1号'
+  WHEN 1 THEN '文号：校字[2021]' || c_custkey || '号 按照 教发〔2019〕3号' WHEN 2 THEN '根据校发〔2023〕' || c_custkey || '号制定' || chr(10) || '第一章 总则 2020年1月1日' ELSE c_name END AS policy,
+  c_name || ' Ann ' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN repeat('x', 600) ELSE ', ' END || ' a' || c_custkey || '@x.org b@y.cn' AS mail FROM {customer}"""
 
 
 def author_emails(spark, sf_dir):
-    h = _heads(spark).filter("file_id = 'a'").withColumn("authors", F.array(F.lit("Bo Li"), F.lit("Cy")))
+    h = made(spark, sf_dir, HEADS).select("file_id", F.col("mail").alias("head"), F.array(F.concat(F.lit("ann "), F.col("file_id")), F.lit("Cy")).alias("authors"))
     return M.author_emails(h, "file_id", "authors")
 
 
 def form_metadata(spark, sf_dir):
-    return M.form(_heads(spark).filter("file_id = 'b'"), "file_id")
+    return M.form(made(spark, sf_dir, HEADS).select("file_id", F.col("form").alias("head")), "file_id")
 
 
 def policy_metadata(spark, sf_dir):
-    return M.policy(_heads(spark).filter("file_id = 'c'"), "file_id").withColumn("issue_date", F.col("issue_date").cast("string"))
+    return M.policy(made(spark, sf_dir, HEADS).select("file_id", F.col("policy").alias("head")), "file_id").withColumn("issue_date", F.col("issue_date").cast("string"))
 
 
-PARTS = [("f", "关于印发《甲办法》《乙规定》的通知", p, k, t) for k, (p, t) in enumerate([(1, "各单位："), (1, "甲办法"), (2, "第一条 一"), (2, "附件2：乙"), (2, "规定"), (3, "一、二"), (3, "完")])] + [("g", "关于印发《甲办法》《丙》的通知", 1, 0, "甲办法"), ("g", "关于印发《甲办法》《丙》的通知", 1, 1, "第一条")]
+#: Parts as notices with two titles of their own in seven lines; where the size is odd one of them isn't there.
+PARTS = """SELECT p_partkey AS file_id, '关于印发《甲类' || p_size || '管理办法》《乙规定》的通知' AS notice, page, o AS ordinal, CASE o WHEN 0 THEN '各单位：' WHEN 1 THEN '甲类' || p_size || '管理办法' WHEN 2 THEN '第一条 ' || p_name
+  WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN '附件2：乙' ELSE '丙' END WHEN 4 THEN '规定' WHEN 5 THEN '一、' || p_type ELSE '完' END AS line
+  FROM {part} CROSS JOIN (VALUES (0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3)) AS v(o, page)"""
 
 
 def document_parts(spark, sf_dir):
-    return M.split_documents(spark.createDataFrame(PARTS, "file_id string, notice string, page int, ordinal int, line string"))
+    return M.split_documents(made(spark, sf_dir, PARTS))
+
+
+#: The same parts' titles: a notice's and, where one stands alone before the first clause, the document's.
+def document_titles(spark, sf_dir):
+    line = F.when((F.col("ordinal") == 0) & (F.col("file_id") % 3 == 0), F.col("notice")).otherwise(F.col("line"))
+    rows = made(spark, sf_dir, PARTS).withColumn("line", line).groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "page", "line"))), lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"))).alias("lines"))
+    own = M.confirmed_titles(F.transform("lines", lambda x: x["line"]))
+    guessed = M.guess_title(F.lit("tmpabcdefgh.pdf"), F.lit(True), F.col("lines"))
+    return rows.select("file_id", own["title"].alias("title"), own["notice_title"].alias("notice_title"), guessed.alias("guessed"))
 
 
 def cleaned_json(spark, sf_dir):
-    rows = [(1, '{"b": "<i>x</i>", "url": "<u>", "a": [{"id": "<1>", "t": "y<br>"}]}'), (2, "no"), (3, None)]
-    return M.clean_json(spark.createDataFrame(rows, "id int, raw string"), "id", "raw")
+    rows = made(spark, sf_dir, """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'no ' || event_id WHEN event_id % 3 = 1 THEN
+      '{{"b": "<i>' || event_type || '</i>", "url": "<u>", "a": [{{"id": "<1>", "t": "y<br>"}}], "k": ' || props || '}}' END AS raw FROM {events}""")
+    return M.clean_json(rows, "id", "raw")
 
 
 def table_text(spark, sf_dir):
-    rows = [(1, "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>"), (2, "plain")]
-    return spark.createDataFrame(rows, "id int, html string").select("id", M.html_text(F.col("html")).alias("text"))
+    rows = made(spark, sf_dir, "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE '<table><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr><tr><td> ' || p_brand || '</td></tr></table>' END AS html FROM {part}")
+    return rows.select("id", M.html_text(F.col("html")).alias("text"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         clause_selections, extraction_selection, eligible_labels, active_clauses, batch_documents, upsert_documents, replace_clauses, backfill_names, family_candidates, relation_counts, date_conflicts, recompute_targets, migrate_evidence,
-        sample_manifest, match_context, expand_candidates, review_candidates, matter_members, page_ranges, latest_run, document_type_items, label_words, academic_metadata, author_emails, form_metadata, policy_metadata, document_parts, cleaned_json, table_text,
+        sample_manifest, match_context, expand_candidates, review_candidates, matter_members, page_ranges, latest_run, document_type_items, label_words, academic_metadata, author_emails, form_metadata, policy_metadata, document_parts, document_titles, cleaned_json, table_text,
     )
 }
 _SQZ = r"regexp_replace({}, '\s+', '', 'g')"
+_HAS = r"regexp_replace({1}, '\s+', '', 'g') <> '' AND contains(regexp_replace({0}, '\s+', '', 'g'), regexp_replace({1}, '\s+', '', 'g'))"
 SQL = {
     "clause_selections": f"WITH {_C} SELECT clause_id, level IN ('article', 'paragraph', 'item') AND trim(raw_text) <> '' AS searchable, level <> 'chapter' AND (trim(raw_text) <> '' OR trim(search_text) <> '') AS substantive FROM c",
-    "extraction_selection": f"""WITH {_C} SELECT 'f' || CAST(policy_id AS BIGINT) % 7 AS file_name, policy_id, clause_id FROM c WHERE length(trim(search_text)) >= 20 AND level <> 'chapter' ORDER BY 1, 2, sequence_no LIMIT 60""",
-    "eligible_labels": f"WITH {_C} SELECT clause_id FROM c WHERE sequence_no % 2 = 0 AND length(raw_text) % 2 = 0 AND contains(raw_text, trim(substr(search_text, 1, 9)))",
+    "extraction_selection": f"""WITH {_C} SELECT 'f' || CAST(policy_id AS BIGINT) % 7 AS file_name, policy_id, clause_id FROM c WHERE length(trim(search_text)) >= 20 AND level <> 'chapter' ORDER BY 1, 2, sequence_no""",
+    "eligible_labels": f"WITH {_C} SELECT clause_id FROM c WHERE sequence_no % 2 = 0 AND length(raw_text) % 2 = 0 AND {_HAS.format('raw_text', "split_part(search_text, '.', 1)")}",
     "active_clauses": f"WITH {_C} SELECT policy_id, clause_id FROM c WHERE is_active AND structure_version = CASE WHEN CAST(policy_id AS BIGINT) % 2 = 0 THEN 'v1' ELSE 'v2' END",
     "batch_documents": """SELECT c_custkey AS file_id FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT coalesce(CASE WHEN event_id % 5 = 0 THEN user_id + 1 END, CASE WHEN event_id % 3 = 0 THEN user_id END) FROM events WHERE event_type <> 'error')""",
     "upsert_documents": """WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS e, CASE WHEN o_custkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 9 END AS x, o_orderstatus AS s, o_orderkey % 2 = 0 AS o, o_orderkey % 3 = 0 AS n FROM orders)
@@ -241,12 +270,12 @@ SELECT source_policy_id, target_policy_id, 'same' AS reason, first(relation_id O
 g AS (SELECT id, min(d) AS first, count(*) FILTER (gone) AS lost, min(d) FILTER (NOT gone) AS left_day, list(d) FILTER (gone) AS lost_days FROM a GROUP BY 1),
 x AS (SELECT c_custkey AS policy_id, first, lost, left_day, CASE WHEN coalesce(lost, 0) = 0 THEN first WHEN left_day IS NOT NULL THEN left_day WHEN list_contains(lost_days, first) THEN NULL ELSE first END AS e FROM customer LEFT JOIN g ON id = c_custkey)
 SELECT policy_id, CAST(e AS VARCHAR) AS expiry_date, CASE WHEN coalesce(lost, 0) = 0 THEN CASE WHEN first IS NOT NULL THEN 'invalid' ELSE 'current' END WHEN e IS NOT NULL THEN 'invalid' WHEN policy_id % 2 = 0 THEN 'unknown' ELSE 'current' END AS validity_status FROM x""",
-    "migrate_evidence": f"""WITH {_C}, e AS (SELECT clause_id AS relation_id, policy_id, {_SQZ.format("substr(raw_text, 1, 5)")} AS e FROM c),
+    "migrate_evidence": f"""WITH {_C}, e AS (SELECT clause_id AS relation_id, policy_id, {_SQZ.format("split_part(raw_text, '.', 1)")} AS e FROM c),
 m AS (SELECT relation_id, min(clause_id) AS clause_id, count(*) AS n FROM e JOIN c USING (policy_id) WHERE e <> '' AND contains({_SQZ.format("raw_text")}, e) GROUP BY 1) SELECT relation_id, clause_id FROM m WHERE n = 1""",
     "sample_manifest": f"WITH {_C} SELECT clause_id FROM c WHERE sequence_no % 2 = 0",
-    "match_context": """SELECT a.l_suppkey AS match_id, min(b.l_orderkey) AS matter_id FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_quantity > 48 AND b.l_orderkey < 2000 GROUP BY 1""",
-    "expand_candidates": """WITH c AS (SELECT p_partkey AS clause_id, p_size / 100.0::DOUBLE AS score FROM part WHERE p_partkey < 50 AND p_partkey % 2 = 0),
-n AS (SELECT p_partkey AS clause_id FROM part WHERE p_partkey < 30 AND p_partkey % 2 = 1 ORDER BY 1 LIMIT 6)
+    "match_context": """SELECT a.l_suppkey AS match_id, min(b.l_orderkey) AS matter_id FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_quantity > 48 GROUP BY 1""",
+    "expand_candidates": """WITH c AS (SELECT p_partkey AS clause_id, p_size / 100.0::DOUBLE AS score FROM part WHERE p_size % 2 = 0),
+n AS (SELECT p_partkey AS clause_id FROM part WHERE p_size % 2 = 1 ORDER BY 1 LIMIT 6)
 SELECT clause_id, score, false AS expanded FROM c UNION ALL SELECT clause_id, round((SELECT max(score) FROM c) * 0.9::DOUBLE, 6), true FROM n""",
     "review_candidates": """WITH u AS (SELECT 'entity' AS kind, 'e' || s_suppkey AS candidate_id, CASE WHEN s_acctbal > 5000 THEN 'pending' WHEN s_acctbal > 0 THEN 'auto_approved' ELSE 'rejected' END AS review_status, s_acctbal AS confidence FROM supplier
 UNION ALL SELECT 'relation', 'n' || n_nationkey, 'pending', CAST(n_regionkey AS DOUBLE) FROM nation)
@@ -254,13 +283,21 @@ SELECT * FROM u WHERE review_status <> 'rejected' ORDER BY CASE WHEN review_stat
     "matter_members": f"WITH {_C} SELECT policy_id AS matter_id, CAST(row_number() OVER (PARTITION BY policy_id ORDER BY sequence_no) - 1 AS INTEGER) AS sequence_no, clause_id FROM c",
     "page_ranges": "SELECT l_orderkey, l_returnflag, min(l_linenumber) AS page_start, max(l_linenumber) AS page_end FROM lineitem GROUP BY 1, 2",
     "latest_run": "SELECT o_orderkey AS run_id, o_custkey AS batch_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "document_type_items": "SELECT * FROM (VALUES ('a', '决定', '重要事项', '学校公文种类')) t(clause_id, name, usage, category)",
-    "label_words": "SELECT * FROM (VALUES (1, '义务、禁止', 'obligation,prohibition'), (2, '其他', NULL), (3, '', NULL), (4, '许可', 'permission')) t(id, shown, codes)",
-    "academic_metadata": "SELECT * FROM (VALUES ('a', '10.1000/AB-1', '2021', 'ann@x.org,bo@y.cn', 'Short text.')) t(file_id, doi, year, emails, abstract)",
-    "author_emails": "SELECT * FROM (VALUES ('a', 'Bo Li', 'ann@x.org'), ('a', 'Cy', NULL)) t(file_id, author, email)",
-    "form_metadata": "SELECT * FROM (VALUES ('b', '张三', '财务处', '1200.5')) t(file_id, applicant, department, amount)",
-    "policy_metadata": "SELECT * FROM (VALUES ('c', '校发〔2023〕7号', '教务处', '2023-05-06')) t(file_id, doc_number, issuer, issue_date)",
-    "document_parts": """SELECT * FROM (VALUES ('f', 0, '甲办法', 1, 2, '甲办法' || chr(10) || '第一条 一'), ('f', 1, '乙规定', 2, 3, '附件2：乙' || chr(10) || '规定' || chr(10) || '一、二' || chr(10) || '完'), ('g', 0, '', 1, 1, '甲办法' || chr(10) || '第一条')) t(file_id, part_no, title, page_start, page_end, text)""",
-    "cleaned_json": """SELECT * FROM (VALUES (1, '{"a": [{"id": "<1>", "t": "y"}], "b": "x", "url": "<u>"}'), (2, NULL), (3, NULL)) t(id, cleaned)""",
-    "table_text": "SELECT * FROM (VALUES (1, 'a | b' || chr(10) || 'c'), (2, 'plain')) t(id, text)",
+    "document_type_items": """SELECT '' || p_partkey AS clause_id, p_type AS name, p_name AS usage, '公文种类' AS category FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_size % 3 <> 0""",
+    "label_words": f"""SELECT id, CASE WHEN c OR b OR d THEN array_to_string(list_filter([CASE WHEN c THEN '义务' END, CASE WHEN b THEN '许可' END, CASE WHEN d THEN '禁止' END], lambda x: x IS NOT NULL), '、') ELSE '' END AS shown,
+CASE id % 5 WHEN 0 THEN 'obligation,prohibition' WHEN 3 THEN 'permission' WHEN 4 THEN '' END AS codes FROM ({as_duck(LABELS)})""",
+    "academic_metadata": """SELECT s_suppkey AS file_id, 'On the matter of ' || s_name || ' and its kind ' || s_suppkey AS title,
+CASE s_suppkey % 3 WHEN 0 THEN s_name || ' is looked at in this paper from many sides.' ELSE s_name || ' is here described at some length, so that it is prose of over eighty characters, ' || s_suppkey || '.' END AS abstract,
+'Ann Lee* true ann' || s_suppkey || '@x.org;Bo R Li false;Cy Orr false ann' || s_suppkey || '@x.org' AS authors, '2021' AS year, '10.1000/AB-' || s_suppkey AS doi FROM supplier""",
+    "author_emails": """SELECT c_custkey AS file_id, 'ann ' || c_custkey AS author, CASE WHEN c_custkey % 3 <> 0 THEN 'a' || c_custkey || '@x.org' END AS email FROM customer UNION ALL SELECT c_custkey, 'Cy', NULL FROM customer""",
+    "form_metadata": """SELECT c_custkey AS file_id, '张' || c_custkey % 10 AS applicant, c_mktsegment AS department, '1' || (100 + c_custkey % 900) || '.5' AS amount FROM customer""",
+    "policy_metadata": """SELECT c_custkey AS file_id, CASE c_custkey % 4 WHEN 0 THEN '校发〔2023〕' || c_custkey || '号' WHEN 1 THEN '校字〔2021〕' || c_custkey || '号' END AS doc_number, CASE WHEN c_custkey % 4 = 0 THEN '教务处' END AS issuer,
+CASE WHEN c_custkey % 4 = 0 THEN '2023-05-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0') END AS issue_date FROM customer""",
+    "document_parts": """SELECT p_partkey AS file_id, 0 AS part_no, '甲类' || p_size || '管理办法' AS title, 1 AS page_start, 2 AS page_end, '甲类' || p_size || '管理办法' || chr(10) || '第一条 ' || p_name AS text FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 1, '乙规定', 2, 3, '附件2：乙' || chr(10) || '规定' || chr(10) || '一、' || p_type || chr(10) || '完' FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 0, '', 1, 3, '各单位：' || chr(10) || '甲类' || p_size || '管理办法' || chr(10) || '第一条 ' || p_name || chr(10) || '丙' || chr(10) || '规定' || chr(10) || '一、' || p_type || chr(10) || '完' FROM part WHERE p_size % 2 = 1""",
+    "document_titles": """WITH t AS (SELECT p_partkey AS file_id, p_partkey % 3 = 0 AS n, p_size, '关于印发《甲类' || p_size || '管理办法》《乙规定》的通知' AS notice, '甲类' || p_size || '管理办法' AS own FROM part)
+SELECT file_id, own AS title, CASE WHEN n THEN notice END AS notice_title, CASE WHEN NOT n THEN own WHEN p_size % 2 = 0 THEN '附件2：乙' ELSE notice END AS guessed FROM t""",
+    "cleaned_json": """SELECT event_id AS id, CASE WHEN event_id % 3 = 1 THEN '{"a": [{"id": "<1>", "t": "y"}], "b": "' || event_type || '", "k": ' || props || ', "url": "<u>"}' END AS cleaned FROM events""",
+    "table_text": """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_name || ' | ' || p_size || chr(10) || p_brand END AS text FROM part""",
 }

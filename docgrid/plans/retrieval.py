@@ -15,6 +15,12 @@ def _query(spark, sf_dir, item=0):
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") == item).select(F.col("text").alias("query_text"))
 
 
+def _short_query(spark, sf_dir):
+    """The shortest benchmark item, as a question."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.orderBy(F.length("text"), "item_id").limit(1).select(F.col("text").alias("q"))
+
+
 def _vector(spark, sf_dir, vec=0):
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec).select(F.col("embedding").alias("query_vector"))
 
@@ -53,7 +59,7 @@ def bm25_idf(spark, sf_dir):
 
 
 def keyword_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(_query(spark, sf_dir, 3).select(F.substring("query_text", 1, 24).alias("q"))))
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(_short_query(spark, sf_dir)))
     return docs.select("doc_id", keyword_score(F.col("q"), F.col("text")).alias("keyword_score"))
 
 
@@ -74,18 +80,20 @@ def evidence_selection(spark, sf_dir):
 def rerank_candidates(spark, sf_dir):
     """Similarity and keyword score of the nearest vectors' documents, best row of each."""
     near = R.vector_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 50)
-    c = near.join(table(spark, sf_dir, "documents"), near["vec_id"] == F.col("doc_id")).crossJoin(F.broadcast(_query(spark, sf_dir, 3).select(F.substring("query_text", 1, 24).alias("q"))))
+    c = near.join(table(spark, sf_dir, "documents"), near["vec_id"] == F.col("doc_id")).crossJoin(F.broadcast(_short_query(spark, sf_dir)))
     c = c.select(F.col("doc_id").alias("clause_id"), "similarity", F.lit(0.0).alias("rrf_score"), F.col("text").alias("search_text"), "q")
     return R.rerank(c, F.col("q"), 20).select("clause_id", "score", "keyword_score", "similarity")
 
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{00C0}-\x{024F}]+|[\x{4e00}-\x{9fff}]')"
 _POST = f"""
-tok AS (SELECT doc_id, {_TOK} AS w FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM tok) GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id, {_TOK} AS w FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM tok) GROUP BY doc_id, term),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-df AS (SELECT term, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, st GROUP BY term, n),
-idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df)"""
+cnt AS (SELECT term, count(*) AS c FROM post GROUP BY term),
+df AS (SELECT term, ln(n - c + 0.5::DOUBLE) - ln(c + 0.5::DOUBLE) AS raw FROM cnt, st),
+mn AS (SELECT 0.25::DOUBLE * avg(raw) AS low FROM df),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM df, mn)"""
 _BM25 = f"""{_POST},
 q AS (SELECT term, count(*) AS times FROM (SELECT unnest({_TOK}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term),
 sc AS (SELECT doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25_score
@@ -95,8 +103,8 @@ _VEC = """
 sim AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings),
 ve AS (SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS vector_rank FROM sim ORDER BY vector_rank LIMIT 50)"""
 _KEY = """
-q AS (SELECT lower(regexp_replace(substr(text, 1, 24), '\\s+', '', 'g')) AS q FROM benchmark WHERE item_id = 3),
-terms AS (SELECT DISTINCT substr(q, s, n) AS t FROM q, range(2, 5) r(n), range(1, 24) x(s) WHERE s + n - 1 <= length(q)),
+q AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS q FROM benchmark ORDER BY length(text), item_id LIMIT 1),
+terms AS (SELECT DISTINCT substr(q, s, n) AS t FROM (SELECT q, n, unnest(range(1, length(q) - n + 2)) AS s FROM q, range(2, 5) r(n))),
 ks AS (SELECT doc_id, round_even(least(0.15::DOUBLE, 0.15::DOUBLE * sum(CASE WHEN contains(lower(regexp_replace(text, '\\s+', '', 'g')), t) THEN length(t) ELSE 0 END) / sum(length(t))), 6) AS keyword_score
   FROM documents, terms GROUP BY doc_id)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import sections as S
 
-from .common import table
+from .common import made, table
 
 
 def section_assembly(spark, sf_dir):
@@ -42,9 +42,13 @@ def page_merge(spark, sf_dir):
     return out.select("conv_id", F.length("text").alias("n_chars"), "n_blocks")
 
 
+#: Suppliers as two blocks of numbered lines.
+NUMBERED = """SELECT s_suppkey AS doc, o AS ordinal, CASE WHEN o = 0 THEN '总则' || s_name || chr(10) || '一、目的' || chr(10) || '为规范管理' || s_suppkey || chr(10) || '（一）范围' || chr(10) || '3.14不是标题' || chr(10) || '1.1 细则'
+  WHEN s_suppkey % 2 = 0 THEN '第一章 采购' || chr(10) || '正文' || s_suppkey ELSE '1、首项' || chr(10) || '说明' || s_suppkey END AS text FROM {supplier} CROSS JOIN (VALUES (0), (1)) AS v(o)"""
+
+
 def policy_headings(spark, sf_dir):
-    rows = [(1, 0, "总则\n一、目的\n为规范管理\n（一）范围\n3.14不是标题\n1.1 细则"), (1, 1, "第一章 采购\n正文"), (2, 0, "无标题"), (2, 1, "1、首项\n说明")]
-    lines = S.policy_lines(spark.createDataFrame(rows, "doc int, ordinal int, text string"), "doc", ["ordinal"], "text")
+    lines = S.policy_lines(made(spark, sf_dir, NUMBERED), "doc", ["ordinal"], "text")
     return S.assemble(lines, "doc", ["ordinal", "line_no"], "line", F.col("line").rlike(S.POLICY_HEADING)).select("doc", "section_no", "text")
 
 
@@ -72,5 +76,6 @@ c AS (SELECT doc_id, CASE WHEN a.cur <> '' THEN list_append(a.done, a.cur) ELSE
 e AS (SELECT doc_id, unnest(cs) AS t, CAST(unnest(range(len(cs))) AS INTEGER) AS chunk_index FROM c)
 SELECT doc_id, chunk_index, doc_id || '_chunk_' || chunk_index AS chunk_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM e""",
     "page_merge": f"""SELECT conv_id, CAST(length(string_agg({_STRIP.format("text")}, chr(10) ORDER BY turn)) AS INTEGER) AS n_chars, count(*) AS n_blocks FROM conversations WHERE {_STRIP.format("text")} <> '' GROUP BY 1""",
-    "policy_headings": """SELECT * FROM (VALUES (1, 1::BIGINT, '总则'), (1, 2, '一、目的' || chr(10) || '为规范管理'), (1, 3, '（一）范围' || chr(10) || '3.14不是标题'), (1, 4, '1.1 细则'), (1, 5, '第一章 采购' || chr(10) || '正文'), (2, 1, '无标题'), (2, 2, '1、首项' || chr(10) || '说明')) t(doc, section_no, text)""",
+    "policy_headings": """SELECT s_suppkey AS doc, CAST(n AS BIGINT) AS section_no, CASE n WHEN 1 THEN '总则' || s_name WHEN 2 THEN '一、目的' || chr(10) || '为规范管理' || s_suppkey WHEN 3 THEN '（一）范围' || chr(10) || '3.14不是标题' WHEN 4 THEN '1.1 细则'
+WHEN 5 THEN CASE WHEN s_suppkey % 2 = 0 THEN '第一章 采购' || chr(10) || '正文' || s_suppkey ELSE '1、首项' || chr(10) || '说明' || s_suppkey END END AS text FROM supplier, range(1, 6) x(n)""",
 }

@@ -11,7 +11,7 @@ from docgrid.sources import documents as D
 from docgrid.sources import files as S
 from docgrid.streaming.ingest import event_counts
 
-from .common import table
+from .common import made, table
 
 
 def page_blocks(spark, sf_dir):
@@ -19,16 +19,18 @@ def page_blocks(spark, sf_dir):
     return b.select("page_id", "ordinal", "type", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-ARCHIVE = (
+_PAGE = (
     "MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=x\r\n\r\n--x\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    "<html><body><div class='info-title'>采购 办法</div><div class='info-intro'>发布机构：财务处 文号：校发〔2023〕7号 发布日期：2023</div>"
-    "<nav><p>menu</p></nav><div class='key-content'><h1>标题</h1><p>第一段<script>x</script></p><table><tr><td><p>a</p></td><td>b</td></tr></table><ul><li>项</li></ul></div></body></html>\r\n--x--\r\n"
+    "<html><body><div class=\"info-title\">采购 办法</div><div class=\"info-intro\">发布机构：@处 文号：校发〔2023〕@号 发布日期：2023</div>"
+    "<nav><p>menu</p></nav><div class=\"key-content\"><h1>标题@</h1><p>第一段<script>x</script></p><table><tr><td><p>a</p></td><td>@</td></tr></table><ul><li>项</li></ul></div></body></html>\r\n--x--\r\n"
 )
+#: Customers as web archives under the name of a word document, as files of other kinds and as files no parser knows.
+ARCHIVES = """SELECT c_custkey AS file_id, CASE c_custkey % 4 WHEN 1 THEN 'b.docx' WHEN 2 THEN 'c.pdf' ELSE 'a.doc' END AS file_name,
+  CASE c_custkey % 4 WHEN 0 THEN '""" + _PAGE.replace("\r\n", "' || chr(13) || chr(10) || '").replace("@", "' || c_custkey || '") + """' WHEN 1 THEN 'junk' || c_custkey WHEN 2 THEN '%PDF' ELSE 'not an archive' END AS text FROM {customer}"""
 
 
 def archive_blocks(spark, sf_dir):
-    rows = [("f1", "a.doc", ARCHIVE), ("f2", "b.docx", "junk"), ("f3", "c.pdf", "%PDF"), ("f4", "d.doc", "not an archive")]
-    f = spark.createDataFrame(rows, "file_id string, file_name string, text string").withColumn("content", F.col("text").cast("binary"))
+    f = made(spark, sf_dir, ARCHIVES).withColumn("file_id", F.col("file_id").cast("string")).withColumn("content", F.col("text").cast("binary"))
     p = D.parse_files(f)
     return p.select("file_id", F.size("blocks").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["content"]), " ; ").alias("content"), F.element_at("metadata", F.lit("issuer")).alias("issuer"), F.element_at("metadata", F.lit("doc_number")).alias("doc_number"), "error")
 
@@ -53,8 +55,12 @@ def clause_identity(spark, sf_dir):
 
 
 def image_data(spark, sf_dir):
-    rows = [(1, "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAASwAAAFA"), (2, "R0lGODlhkAEyAA=="), (3, "http://x/y.png"), (4, "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAABAAAAAQ")]
-    d = spark.createDataFrame(rows, "id int, data string")
+    """Parts as the heads of PNG images, as data URIs and as bare base64; those too small are left out."""
+    four = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    p = table(spark, sf_dir, "part")
+    head = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), four(F.col("p_size") * 20), four(F.floor(F.col("p_retailprice") / 3)))
+    data = F.concat(F.when(F.col("p_partkey") % 2 == 0, "data:image/png;base64,").otherwise(""), F.base64(head))
+    d = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, "http://x/y.png").otherwise(data).alias("data"))
     return S.classify_images(d, "data").select("id", "width", "height", "extension", "category")
 
 
@@ -105,14 +111,17 @@ SQL = {
 s AS (SELECT page_id, unnest(string_split_regex(art, '</?(?:p|h1)>')) AS t, unnest(range(len(string_split_regex(art, '</?(?:p|h1)>')))) AS k FROM a),
 b AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS c FROM s)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS ordinal, 'text' AS type, md5(c) AS content_md5 FROM b WHERE c <> ''""",
-    "archive_blocks": """SELECT * FROM (VALUES ('f1', 4, '标题 ; 第一段 ; <table><tr><td>a</td><td>b</td></tr></table> ; 项', '财务处', '校发〔2023〕7号', NULL), ('f2', 0, '', NULL, NULL, 'not a DOCX file'),
-('f3', 0, '', NULL, NULL, 'no parser for remote files'), ('f4', 0, '', NULL, NULL, 'no parser for remote files')) t(file_id, n_blocks, content, issuer, doc_number, error)""",
+    "archive_blocks": """SELECT CAST(c_custkey AS VARCHAR) AS file_id, CASE WHEN c_custkey % 4 = 0 THEN 4 ELSE 0 END AS n_blocks,
+CASE WHEN c_custkey % 4 = 0 THEN '标题' || c_custkey || ' ; 第一段 ; <table><tr><td>a</td><td>' || c_custkey || '</td></tr></table> ; 项' ELSE '' END AS content, CASE WHEN c_custkey % 4 = 0 THEN c_custkey || '处' END AS issuer,
+CASE WHEN c_custkey % 4 = 0 THEN '校发〔2023〕' || c_custkey || '号' END AS doc_number, CASE c_custkey % 4 WHEN 1 THEN 'not a DOCX file' WHEN 2 THEN 'no parser for remote files' WHEN 3 THEN 'no parser for remote files' END AS error FROM customer""",
     "archive_sniff": "SELECT conv_id, turn, turn = 0 AS archive FROM conversations",
     "file_identity": f"""WITH f AS (SELECT doc_id, sha256(text) AS file_hash, 'pdf_' || substr(md5(source || '.pdf:' || substr(md5(text), 1, 16)), 1, 16) AS file_id FROM documents)
 SELECT doc_id, file_hash, file_id, 'policy_' || {_SHA.format("file_id", 24)} AS policy_id, 'policy_' || {_SHA.format("file_id || ':' || substr(sha256('附件'), 1, 24)", 24)} AS part_id FROM f""",
     "clause_identity": f"""SELECT conv_id, turn, 'clause_' || {_SHA.format("conv_id || ':v1:' || turn || ':' || substr(sha256(text), 1, 16)", 32)} AS clause_id, 'matter_' || {_SHA.format("conv_id || ':' || role", 24)} AS matter_id,
 sha256(role) AS owner_hash, 'assertion_' || {_SHA.format("conv_id || '␟' || role", 24)} AS assertion_id FROM conversations""",
-    "image_data": "SELECT * FROM (VALUES (1, 300, 320, 'png', 'chart'), (2, 400, 50, 'gif', 'seal'), (3, 0, 0, NULL, NULL)) t(id, width, height, extension, category) WHERE id < 3",
+    "image_data": """WITH p AS (SELECT p_partkey AS id, p_size * 20 AS w, CAST(floor(p_retailprice / 3) AS INTEGER) AS h FROM part WHERE p_partkey % 5 <> 0)
+SELECT id, w AS width, h AS height, 'png' AS extension, CASE WHEN greatest(w, h)::DOUBLE / greatest(least(w, h), 1) > 5 THEN 'seal' WHEN least(w, h) >= 300 AND greatest(w, h)::DOUBLE / least(w, h) < 1.25 THEN 'chart' ELSE 'photo' END AS category
+FROM p WHERE NOT (w < 100 AND h < 100)""",
     "policy_catalog": """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS title, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS used FROM customer),
 v AS (SELECT c_custkey, title FROM p WHERE NOT (title = '' AND NOT used)) SELECT c_custkey, title, (SELECT count(*) > 60 FROM v) AS has_more FROM v ORDER BY title, c_custkey LIMIT 30 OFFSET 30""",
     "message_feedback": "SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",

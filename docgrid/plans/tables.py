@@ -1,4 +1,4 @@
-"""Extracted tables: literal HTML, and the star schema as stored tables."""
+"""Extracted tables: parts as HTML tables, and the star schema as stored tables."""
 
 from __future__ import annotations
 
@@ -6,50 +6,49 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import tables as T
 
-from .common import table
+from .common import made, table
 
-HTML = [
-    (1, "<table><tr><td rowspan='2'>项目</td><td colspan='2'>合计经费</td></tr><tr><td>预算经费</td><td>决算</td></tr><tr><td>设备</td><td>28,003</td><td>1，200</td></tr><tr><td>差旅</td><td>38</td><td></td></tr></table>"),
-    (2, "<table><tr><th>Name</th><th>Name</th><th>A-B c</th></tr><tr><td>x</td><td>1.5</td><td>2024-01-05</td></tr></table>"),
-    (3, "<table><tr><td>姓名</td><td>张三</td></tr><tr><td>电话</td><td></td></tr></table>"),
-    (4, ""),
-]
+#: Parts as tables with spans, with header cells, as forms, and nothing.
+HTML = """SELECT p_partkey AS id, CASE p_partkey % 4
+  WHEN 0 THEN '<table><tr><td rowspan="2">项目</td><td colspan="2">合计经费</td></tr><tr><td>预算经费</td><td>决算</td></tr><tr><td>' || p_name || '</td><td>28,003</td><td>1，' || (200 + p_size) || '</td></tr><tr><td>差旅</td><td>' || p_size || '</td><td></td></tr></table>'
+  WHEN 1 THEN '<table><tr><th>Name</th><th>Name</th><th>A-B ' || p_brand || '</th></tr><tr><td>x</td><td>' || p_size || '.5</td><td>2024-01-05</td></tr></table>'
+  WHEN 2 THEN '<table><tr><td>姓名</td><td>' || p_name || '</td></tr><tr><td>电话</td><td></td></tr></table>' ELSE '' END AS html FROM {part}"""
 
 
-def _html(spark):
-    return spark.createDataFrame(HTML, "id int, html string")
+def _html(spark, sf_dir):
+    return made(spark, sf_dir, HTML)
 
 
 def table_headers(spark, sf_dir):
-    s = T.structures(_html(spark), "id", "html")
+    s = T.structures(_html(spark, sf_dir), "id", "html")
     return s.select("id", F.array_join("headers", "; ").alias("headers"), F.size("rows").alias("n_rows"))
 
 
 def table_cells(spark, sf_dir):
-    cells = T.long_cells(T.structures(_html(spark), "id", "html"), "id")
+    cells = T.long_cells(T.structures(_html(spark, sf_dir), "id", "html"), "id")
     kinds = T.infer_types(cells, ["id", "col_idx"])
     return cells.join(kinds, ["id", "col_idx"]).select("id", "row_idx", "col_idx", "data_type", T.coerce(F.col("value"), F.col("data_type")).alias("value"))
 
 
 def table_column_keys(spark, sf_dir):
-    s = T.structures(_html(spark), "id", "html").select("id", F.posexplode("headers").alias("ordinal", "label"))
+    s = T.structures(_html(spark, sf_dir), "id", "html").select("id", F.posexplode("headers").alias("ordinal", "label"))
     return T.column_keys(s, "id", "ordinal", "label")
 
 
 def table_classes(spark, sf_dir):
-    s = T.structures(_html(spark), "id", "html")
+    s = T.structures(_html(spark, sf_dir), "id", "html")
     return s.select("id", T.table_class(F.col("headers"), F.col("rows")).alias("category"))
 
 
 def form_fields(spark, sf_dir):
     """Events as form rows: type, value, props; repeated types keep the last row."""
-    e = table(spark, sf_dir, "events").filter("user_id < 40").select(F.col("user_id").alias("form"), F.col("event_id").alias("row"), F.array(F.col("event_type"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("")).alias("cells"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("form"), F.col("event_id").alias("row"), F.array(F.col("event_type"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("")).alias("cells"))
     return T.form_fields(e, "form", "row", "cells")
 
 
 def column_types(spark, sf_dir):
-    """Columns of the first lines as cells of text."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 20")
+    """Columns of the lines as cells of text."""
+    li = table(spark, sf_dir, "lineitem")
     names = ["l_orderkey", "l_quantity", "l_returnflag", "l_extendedprice"]
     cells = li.select(F.col("l_linenumber").alias("row_idx"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names], F.struct(F.lit("day").alias("name"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("value")), F.struct(F.lit("big").alias("name"), (F.col("l_partkey") * 10000000000).cast("string").alias("value")))).alias("c")).select("row_idx", "c.*")
     return T.infer_types(cells, ["name"])
@@ -81,32 +80,39 @@ def catalog_search(spark, sf_dir):
 def nearest_heading(spark, sf_dir):
     """System and assistant turns: an assistant's turn takes the user's turn before it, or else the next."""
     c = table(spark, sf_dir, "conversations")
-    out = T.nearest_heading(c, ["conv_id"], "turn", F.col("role") == "assistant", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
+    out = T.nearest_heading(c, ["conv_id"], "turn", F.col("role") == "assistant", F.when(F.col("role") == "user", F.col("text")))
     return out.select("conv_id", "turn", "heading")
 
 
 def empty_cells(spark, sf_dir):
-    s = T.parse_grids(_html(spark), "id", "html")
+    s = T.parse_grids(_html(spark, sf_dir), "id", "html")
     return s.select("id", F.round(T.empty_ratio(F.flatten("grid")), 4).alias("empty_ratio"))
 
 
 QUERIES = {f.__name__: f for f in (table_headers, table_cells, table_column_keys, table_classes, form_fields, column_types, table_filters, table_page, text_row_filters, catalog_search, nearest_heading, empty_cells)}
 _F = "l_returnflag = 'R' AND l_quantity >= 10 AND l_discount <= 0.05"
 SQL = {
-    "table_headers": "SELECT * FROM (VALUES (1, '项目; 合计经费 / 预算经费; 合计经费 / 决算', 2), (2, 'Name; Name; A-B c', 1), (3, '姓名; 张三', 1), (4, '', 0)) t(id, headers, n_rows)",
-    "table_cells": """SELECT * FROM (VALUES (1, 0, 0, 'TEXT', '设备'), (1, 0, 1, 'INTEGER', '28003'), (1, 0, 2, 'INTEGER', '1200'), (1, 1, 0, 'TEXT', '差旅'), (1, 1, 1, 'INTEGER', '38'), (1, 1, 2, 'INTEGER', NULL),
-(2, 0, 0, 'TEXT', 'x'), (2, 0, 1, 'DOUBLE PRECISION', '1.5'), (2, 0, 2, 'DATE', '2024-01-05'), (3, 0, 0, 'TEXT', '电话'), (3, 0, 1, 'TEXT', NULL)) t(id, row_idx, col_idx, data_type, value)""",
-    "table_column_keys": "SELECT * FROM (VALUES (1, 0, '项目', '项目'), (1, 1, '合计经费 / 预算经费', '合计经费_预算经费'), (1, 2, '合计经费 / 决算', '合计经费_决算'), (2, 0, 'Name', 'name'), (2, 1, 'Name', 'name_2'), (2, 2, 'A-B c', 'a_b_c'), (3, 0, '姓名', '姓名'), (3, 1, '张三', '张三')) t(id, ordinal, label, key)",
-    "table_classes": "SELECT * FROM (VALUES (1, 'data_table'), (2, 'uncertain'), (3, 'form'), (4, 'form')) t(id, category)",
+    "table_headers": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '项目; 合计经费 / 预算经费; 合计经费 / 决算' WHEN 1 THEN 'Name; Name; A-B ' || p_brand WHEN 2 THEN '姓名; ' || p_name ELSE '' END AS headers, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS n_rows FROM part",
+    "table_cells": """WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_name, p_size FROM part)
+SELECT id, r AS row_idx, c AS col_idx, t AS data_type, v AS value FROM (
+SELECT id, k, p_name, p_size, unnest([{'r': 0, 'c': 0, 't': 'TEXT', 'v': p_name}, {'r': 0, 'c': 1, 't': 'INTEGER', 'v': '28003'}, {'r': 0, 'c': 2, 't': 'INTEGER', 'v': '1' || (200 + p_size)}, {'r': 1, 'c': 0, 't': 'TEXT', 'v': '差旅'}, {'r': 1, 'c': 1, 't': 'INTEGER', 'v': '' || p_size}, {'r': 1, 'c': 2, 't': 'INTEGER', 'v': NULL}], recursive := true) FROM p WHERE k = 0
+UNION ALL SELECT id, k, p_name, p_size, unnest([{'r': 0, 'c': 0, 't': 'TEXT', 'v': 'x'}, {'r': 0, 'c': 1, 't': 'DOUBLE PRECISION', 'v': p_size || '.5'}, {'r': 0, 'c': 2, 't': 'DATE', 'v': '2024-01-05'}], recursive := true) FROM p WHERE k = 1
+UNION ALL SELECT id, k, p_name, p_size, unnest([{'r': 0, 'c': 0, 't': 'TEXT', 'v': '电话'}, {'r': 0, 'c': 1, 't': 'TEXT', 'v': NULL}], recursive := true) FROM p WHERE k = 2)""",
+    "table_column_keys": """WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_name, p_brand FROM part)
+SELECT id, CAST(o AS INTEGER) AS ordinal, label, key FROM (
+SELECT id, unnest([0, 1, 2]) AS o, unnest(['项目', '合计经费 / 预算经费', '合计经费 / 决算']) AS label, unnest(['项目', '合计经费_预算经费', '合计经费_决算']) AS key FROM p WHERE k = 0
+UNION ALL SELECT id, unnest([0, 1, 2]), unnest(['Name', 'Name', 'A-B ' || p_brand]), unnest(['name', 'name_2', 'a_b_' || lower(replace(p_brand, '#', '_'))]) FROM p WHERE k = 1
+UNION ALL SELECT id, unnest([0, 1]), unnest(['姓名', p_name]), unnest(['姓名', replace(p_name, ' ', '_')]) FROM p WHERE k = 2)""",
+    "table_classes": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'data_table' WHEN 1 THEN 'uncertain' ELSE 'form' END AS category FROM part",
     "form_fields": """SELECT user_id AS form, event_type AS field, max_by(CASE WHEN event_id % 2 = 0 THEN event_id || ' | ' || props ELSE CAST(event_id AS VARCHAR) END, event_id) AS value
-FROM events WHERE user_id < 40 GROUP BY 1, 2""",
+FROM events GROUP BY 1, 2""",
     "column_types": "SELECT * FROM (VALUES ('l_orderkey', 'INTEGER'), ('l_quantity', 'DOUBLE PRECISION'), ('l_returnflag', 'TEXT'), ('l_extendedprice', 'DOUBLE PRECISION'), ('day', 'DATE'), ('big', 'BIGINT')) t(name, data_type)",
     "table_filters": f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE {_F}",
     "table_page": f"""SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) > 60 FROM lineitem WHERE {_F}) AS has_more FROM lineitem WHERE {_F} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20 OFFSET 40""",
     "text_row_filters": "SELECT p_partkey, p_type, CAST(p_size AS VARCHAR) || CASE WHEN p_size % 7 = 0 THEN ' cm' ELSE '' END AS size FROM part WHERE contains(lower(p_type), 'st') AND p_size >= 30 AND p_size % 7 <> 0",
     "catalog_search": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%2%' OR p_brand ILIKE '%1%2%' OR p_type ILIKE '%1%2%' ORDER BY p_partkey LIMIT 30",
-    "nearest_heading": """WITH h AS (SELECT *, CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS h FROM conversations)
+    "nearest_heading": """WITH h AS (SELECT *, CASE WHEN role = 'user' THEN text END AS h FROM conversations)
 SELECT conv_id, turn, heading FROM (SELECT conv_id, turn, role, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
 first_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS heading FROM h) WHERE role = 'assistant'""",
-    "empty_cells": "SELECT * FROM (VALUES (1, 0.0833::DOUBLE), (2, 0.0::DOUBLE), (3, 0.25::DOUBLE), (4, 0.0::DOUBLE)) t(id, empty_ratio)",
+    "empty_cells": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 0.0833::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS empty_ratio FROM part",
 }

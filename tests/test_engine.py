@@ -90,12 +90,16 @@ def test_filters_refuse(spark):
             tables.compile_filters(df, bad)
 
 
-def test_negation_and_partial_abolition():
-    said = lambda t: [a["title"] for a in extraction.abolitions_of(t)]
+def test_negation_and_partial_abolition(spark):
+    def said(text):
+        d = spark.createDataFrame([(1, text)], "clause_id int, raw_text string")
+        return [r["target_title"] for r in extraction.abolition_candidates(d).orderBy("ordinal").collect()]
+
     assert said("《甲办法》、《乙办法》和《丙办法》同时废止。") == ["甲办法", "乙办法", "丙办法"]
     assert said("《甲办法》不予废止。") == [] and said("不得废止《甲办法》") == [] and said("《甲办法》第二条废止") == []
     assert said("根据《上位法》，《甲办法》即废止") == ["甲办法"] and said("《甲办法》即行废止") == []
-    assert said("《甲办法》继续执行。废止") == []
+    assert said("《甲办法》继续执行。废止") == [] and said("《甲办法》 废止") == ["甲办法"] and said("《甲办法》（1号）第三条废止") == []
+    assert said(f"《甲办法》{'，' * 24}废止") == ["甲办法"] and said(f"《甲办法》{'，' * 25}废止") == []
 
 
 def test_spans_and_types(spark):
