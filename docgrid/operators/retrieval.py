@@ -63,6 +63,53 @@ def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id"
     return ranked(scored, key, "bm25_score", "bm25_rank", top_k, ids)
 
 
+BUCKETS = 256
+
+
+def bucket(term: Column) -> Column:
+    """The part of a stored index that has the term."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def index_rows(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
+    """Postings to store: key, term, tf, dl, bucket and ``keep``; ordered by term, so that a query's filter skips row groups.
+
+    Every document has a row with the empty term, for its length.
+    """
+    words = docs.select(*keep, key, tokens(F.col(text)).alias("w"))
+    each = words.select(*keep, key, F.explode(F.concat("w", F.array(F.lit("")))).alias("term"), F.size("w").cast("long").alias("dl"))
+    rows = each.groupBy(*keep, key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = rows.withColumn("bucket", bucket(F.col("term")))
+    return rows.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", key)
+
+
+def index_statistics(post: DataFrame, key: str) -> dict[str, DataFrame]:
+    """terms (term, bucket, df, idf) and corpus (n, avgdl, mean_idf, one row) of stored postings."""
+    every = post.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = post.filter("term <> ''").groupBy("term", "bucket").agg(F.count("*").alias("df"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    told = df.crossJoin(F.broadcast(every)).withColumn("raw", raw)
+    corpus = every.crossJoin(told.agg(F.avg("raw").alias("mean_idf")))
+    terms = told.crossJoin(F.broadcast(corpus.select("mean_idf"))).select("term", "bucket", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return {"terms": terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "corpus": corpus}
+
+
+def search_index(index: dict[str, DataFrame], query: DataFrame, top_k: int = 50, key: str = "doc_id") -> DataFrame:
+    """(key, bm25_score, bm25_rank) as ``bm25`` gives them, from a stored index (postings, terms, corpus).
+
+    The query's terms are constants of the plan, so the scans read the row groups that may have them and nothing else of
+    the corpus.
+    """
+    asked = query.select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times")).collect()
+    words = [r["term"] for r in asked]
+    times = query.sparkSession.createDataFrame([(r["term"], r["times"]) for r in asked], "term string, times long")
+    here = F.col("term").isin(words) if words else F.lit(False)
+    weights = index["terms"].filter(here).select("term", "idf").join(F.broadcast(times), "term").crossJoin(F.broadcast(index["corpus"].select("avgdl")))
+    hit = index["postings"].filter(here).select(key, "term", "tf", "dl").join(F.broadcast(weights), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return ranked(hit.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score")), key, "bm25_score", "bm25_rank", top_k)
+
+
 def ranked(scored: DataFrame, key: str, score: str, rank: str, top_k: int, ids: list[str] | None = None) -> DataFrame:
     """The ``top_k`` best rows (of each of ``ids``) with their rank; ties go to the smaller key.
 

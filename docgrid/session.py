@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgrid.functions import rules
 from docgrid.functions.ids import owner_hash
-from docgrid.operators import governance, graphs, hierarchy, ledger, retrieval, tables
+from docgrid.operators import governance, graphs, hierarchy, ledger, retrieval, staging, tables
+
+
+class Conflict(ValueError):
+    """Another writer committed first."""
 
 
 class Warehouse:
-    """Tables as Parquet snapshots: a write goes to a new folder, and a one-line pointer makes it current."""
+    """Tables as sets of Parquet files, named by numbered versions.
+
+    A version is a small file: the schema, a line for each data file, and an end mark.  It is created only if it isn't
+    there, so of two writers one fails and tries again; readers take the last version that is whole.  Appending adds files,
+    changing rows rewrites those files alone that have such rows, and ``vacuum`` removes what no version needs.
+    """
+
+    TRIES, PATIENCE = 6, 40
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,45 +38,150 @@ class Warehouse:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _list(self, path: str) -> list[str]:
+        p, fs = self._file(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _version(self, name: str, number: str) -> list[str] | None:
+        """Lines of a version; None while it isn't whole."""
+        path, fs = self._file(f"{self.root}/{name}/versions/{number}")
+        stream = fs.open(path)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        lines = text.split("\n")
+        return lines[:-1] if lines[-1] == "end" else None
+
+    def _last(self, name: str) -> tuple[str | None, list[str]]:
+        """The last version and its lines; a version that is being written is waited for, as it may be whole any moment."""
+        for _ in range(self.PATIENCE):
+            numbers = self._list(f"{self.root}/{name}/versions")
+            if not numbers:
+                return None, []
+            if (lines := self._version(name, numbers[-1])) is not None:
+                return numbers[-1], lines
+            time.sleep(0.25)
+        raise Conflict(f"the last version of {name!r} was never ended; vacuum removes it")
+
     def snapshot(self, name: str) -> str | None:
-        path, fs = self._file(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
+        return self._last(name)[0]
 
     def has(self, name: str) -> bool:
         return self.snapshot(name) is not None
 
-    def read(self, name: str) -> DataFrame:
-        """The table; a table that was never written raises ValueError."""
-        snapshot = self.snapshot(name)
-        if snapshot is None:
+    def _frame(self, name: str, lines: list[str]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(lines[0]))
+        if len(lines) == 1:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in lines[1:]])
+
+    def read(self, name: str, version: str | None = None) -> DataFrame:
+        """The table, or an earlier version of it; a table that was never written raises ValueError."""
+        number, lines = (version, self._version(name, version)) if version else self._last(name)
+        if number is None or lines is None:
             raise ValueError(f"there is no table {name!r}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
+        return self._frame(name, lines)
+
+    def _save(self, name: str, df: DataFrame) -> list[str]:
+        """Write rows as new files and name them."""
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        return [f"{folder}/{f}" for f in self._list(f"{self.root}/{name}/{folder}") if f.endswith(".parquet")]
+
+    def _commit(self, name: str, base: str | None, schema: StructType, files: list[str]) -> str:
+        number = f"{int(base or 0) + 1:012d}"
+        path, fs = self._file(f"{self.root}/{name}/versions/{number}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if fs.exists(path):
+                raise Conflict(f"{name!r} changed meanwhile") from e
+            raise
+        out.write(bytearray("\n".join([schema.json(), *files, "end"]).encode()))
+        out.close()
+        return number
+
+    def _changed(self, name: str, change: Callable[[str | None, list[str]], tuple[StructType, list[str]]]) -> str:
+        """Commit what ``change`` makes of the last version; if another writer was first, of that writer's."""
+        for turn in range(self.TRIES):
+            base, lines = self._last(name)
+            schema, files = change(base, lines)
+            try:
+                return self._commit(name, base, schema, files)
+            except Conflict:
+                if turn == self.TRIES - 1:
+                    raise
+        raise AssertionError
 
     def write(self, name: str, df: DataFrame, expected: str | None = None) -> str:
-        """Replace a table; with ``expected`` only if that snapshot is still current (ValueError otherwise)."""
-        if expected is not None and self.snapshot(name) != expected:
-            raise ValueError(f"{name!r} changed meanwhile")
-        snapshot = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{snapshot}")
-        path, fs = self._file(f"{self.root}/{name}/CURRENT")
-        out = fs.create(path, True)
-        out.write(bytearray(f"{snapshot}\n".encode()))
-        out.close()
-        return snapshot
+        """Replace a table; with ``expected`` only if that version is still the last (ValueError otherwise)."""
+        files = self._save(name, df)
+        if expected is not None:
+            if self.snapshot(name) != expected:
+                raise Conflict(f"{name!r} changed meanwhile")
+            return self._commit(name, expected, df.schema, files)
+        return self._changed(name, lambda base, lines: (df.schema, files))
 
     def append(self, name: str, df: DataFrame) -> str:
-        return self.write(name, self.read(name).unionByName(df) if self.has(name) else df)
+        """Add rows; the files that are there stay as they are."""
+        base, lines = self._last(name)
+        rows = df.select(*StructType.fromJson(json.loads(lines[0])).names) if base else df
+        files = self._save(name, rows)
+        return self._changed(name, lambda base, lines: (StructType.fromJson(json.loads(lines[0])) if base else rows.schema, [*lines[1:], *files]))
+
+    def _rewrite(self, name: str, having: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> str:
+        """Replace the files that have rows which ``having`` keeps by what ``change`` makes of their rows."""
+
+        def once(base: str | None, lines: list[str]) -> tuple[StructType, list[str]]:
+            if base is None:
+                raise ValueError(f"there is no table {name!r}")
+            table = self._frame(name, lines)
+            # as many names as the table has files at most
+            hit = having(table.withColumn("__file", F.col("_metadata.file_path"))).select("__file").distinct().collect() if len(lines) > 1 else []
+            touched = {"/".join(r[0].split("/")[-3:]) for r in hit}
+            some = self._frame(name, [lines[0], *[f for f in lines[1:] if f in touched]])
+            new = change(some).select(*table.columns)
+            return table.schema, [f for f in lines[1:] if f not in touched] + self._save(name, new)
+
+        return self._changed(name, once)
 
     def upsert(self, name: str, df: DataFrame, keys: list[str], version: str) -> str:
-        return self.write(name, ledger.upsert(self.read(name), df, keys, version) if self.has(name) else df)
+        if not self.has(name):
+            return self.write(name, df)
+        return self._rewrite(name, lambda t: t.join(df.select(*keys).distinct(), keys, "left_semi"), lambda some: ledger.upsert(some, df, keys, version))
 
     def delete(self, name: str, where: Column) -> str:
-        return self.write(name, self.read(name).filter(~F.coalesce(where, F.lit(False))))
+        return self.replace(name, where, None)
+
+    def replace(self, name: str, where: Column, rows: DataFrame | None) -> str:
+        """Put ``rows`` in the place of those that ``where`` names."""
+        goes = F.coalesce(where, F.lit(False))
+        stay = lambda some: some.filter(~goes)
+        return self._rewrite(name, lambda t: t.filter(goes), stay if rows is None else lambda some: stay(some).unionByName(rows.select(*some.columns)))
+
+    def swap(self, name: str, keys: DataFrame, on: list[str], rows: DataFrame) -> str:
+        """Put ``rows`` in the place of those whose ``on`` stands in ``keys``."""
+        return self._rewrite(name, lambda t: t.join(keys, on, "left_semi"), lambda some: some.join(keys, on, "left_anti").unionByName(rows.select(*some.columns)))
 
     def update(self, name: str, values: dict[str, Column], where: Column) -> str:
-        return self.write(name, ledger.update_where(self.read(name), values, where))
+        return self._rewrite(name, lambda t: t.filter(F.coalesce(where, F.lit(False))), lambda some: ledger.update_where(some, values, where))
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Remove all versions but the last ``keep`` whole ones, and the data files that these don't name.
+
+        To be called when nobody writes: it also removes versions that were never ended and files not yet committed.
+        """
+        versions = {n: self._version(name, n) for n in self._list(f"{self.root}/{name}/versions")}
+        kept = [n for n, lines in versions.items() if lines is not None][-keep:]
+        needed = {f.split("/")[1] for n in kept for f in versions[n][1:]}
+        for number in versions.keys() - set(kept):
+            path, fs = self._file(f"{self.root}/{name}/versions/{number}")
+            fs.delete(path, False)
+        for folder in self._list(f"{self.root}/{name}/data"):
+            if folder not in needed:
+                path, fs = self._file(f"{self.root}/{name}/data/{folder}")
+                fs.delete(path, True)
 
     def drop(self, name: str) -> None:
         path, fs = self._file(f"{self.root}/{name}")
@@ -86,7 +207,10 @@ class Session:
         k = retrieval.candidate_k(top_k)
         clauses = self.w.read("clauses").filter(F.col("is_active") & F.col("level").isin("article", "paragraph", "item") & (F.trim("search_text") != ""))
         asked = self.spark.createDataFrame([(query,)], "query_text string")
-        lists = [(retrieval.bm25(clauses, asked, k, "clause_id", "search_text"), "bm25_rank")]
+        if self.w.has("postings"):
+            lists = [(retrieval.search_index(self.lexical_index(), asked, k, "clause_id"), "bm25_rank")]
+        else:
+            lists = [(retrieval.bm25(clauses, asked, k, "clause_id", "search_text"), "bm25_rank")]
         if self.embed and self.w.has("vectors"):
             vector = self.spark.createDataFrame([(list(map(float, self.embed(query))),)], "query_vector array<double>")
             lists.append((retrieval.vector_search(self.w.read("vectors"), vector, k, "clause_id"), "vector_rank"))
@@ -98,9 +222,9 @@ class Session:
         return governance.temporal_rank(best, self.w.read("policies"), day, F.lit(today).cast("date") if today else F.current_date(), top_k)
 
     def context(self, hits: DataFrame) -> DataFrame:
-        """Clauses above and below each hit."""
-        pairs = hierarchy.closure(self.w.read("clauses"), "clause_id", "parent_clause_id")
-        return hierarchy.context(hits.select(F.col("clause_id").cast("string").alias("id")), pairs)
+        """Clauses above and below each hit, found from the hits on."""
+        wanted = hits.select(F.col("clause_id").cast("string").alias("id"))
+        return hierarchy.context(wanted, hierarchy.around(wanted, self.w.read("clauses"), "clause_id", "parent_clause_id"))
 
     def search_tables(self, query: str, file_id: str | None = None, limit: int = 10) -> DataFrame:
         catalog = self.w.read("catalog")
@@ -162,10 +286,12 @@ class Session:
 
     def delete_conversation(self, token: str, conversation_id: str) -> None:
         """Delete the owner's conversation and all that belongs to it."""
-        gone = self.w.read("conversations").filter((F.col("conversation_id") == conversation_id) & (F.col("owner_hash") == owner_hash(F.lit(token)))).select("conversation_id")
+        mine = self.w.read("conversations").filter((F.col("conversation_id") == conversation_id) & (F.col("owner_hash") == owner_hash(F.lit(token))))
+        if mine.isEmpty():
+            return
         for name in ("messages", "conversations"):
             if self.w.has(name):
-                self.w.write(name, self.w.read(name).join(gone, "conversation_id", "left_anti"))
+                self.w.delete(name, F.col("conversation_id") == conversation_id)
 
     def rate(self, token: str, message_id: str, rating: str, at: str) -> None:
         """The owner's rating of a message, the last one counts."""
@@ -178,6 +304,45 @@ class Session:
         self.w.upsert("feedback", row, ["message_id"], "rated_at")
 
     def sync_vectors(self, policy_id: str, vectors: DataFrame) -> None:
-        """Replace the vectors of one policy; none leaves it without."""
-        kept = self.w.read("vectors").filter(F.col("policy_id") != policy_id) if self.w.has("vectors") else vectors.limit(0)
-        self.w.write("vectors", kept.unionByName(vectors))
+        """Replace the vectors of one policy; none leaves it without.  Files without rows of the policy stay."""
+        if self.w.has("vectors"):
+            self.w.replace("vectors", F.col("policy_id") == policy_id, vectors)
+        else:
+            self.w.write("vectors", vectors)
+
+    def lexical_index(self) -> dict[str, DataFrame]:
+        """The stored index, as ``retrieval.search_index`` takes it."""
+        return {name: self.w.read(name) for name in ("postings", "terms", "corpus")}
+
+    def index_policies(self, embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Bring the lexical index and the vectors up to date and return how many policies that took.
+
+        A policy is done when ``index_state`` has it with the digest of its clauses; so a run that stopped goes on where
+        it was, and one without changes does nothing.  ``embed`` gives (policy_id, clause_id, embedding) of clauses.
+        """
+        clauses = self.w.read("clauses").filter(F.col("is_active") & F.col("level").isin("article", "paragraph", "item") & (F.trim("search_text") != ""))
+        row = F.xxhash64("clause_id", "search_text").cast("decimal(20,0)")
+        now = clauses.groupBy("policy_id").agg(F.concat_ws("-", F.sum(row).cast("string"), F.count("*").cast("string")).alias("digest"))
+        had = self.w.read("index_state") if self.w.has("index_state") else now.limit(0)
+        changed = now.join(had, ["policy_id", "digest"], "left_anti").withColumn("gone", F.lit(False))
+        gone = had.join(now, "policy_id", "left_anti").withColumn("gone", F.lit(True))
+        todo = staging.cut(changed.unionByName(gone))
+        if not (n := todo.count()):
+            return 0
+        fresh = clauses.join(todo.filter("NOT gone").select("policy_id"), "policy_id", "left_semi")
+        parts = {"postings": retrieval.index_rows(fresh, "clause_id", "search_text", ["policy_id"])}
+        if embed:
+            parts["vectors"] = embed(fresh)
+        for name, rows in parts.items():
+            if self.w.has(name):
+                self.w.swap(name, todo.select("policy_id"), ["policy_id"], rows)
+            else:
+                self.w.write(name, rows)
+        for name, rows in retrieval.index_statistics(self.w.read("postings"), "clause_id").items():
+            self.w.write(name, rows)
+        done = todo.filter("NOT gone").select("policy_id", "digest")
+        if self.w.has("index_state"):
+            self.w.swap("index_state", todo.select("policy_id"), ["policy_id"], done)
+        else:
+            self.w.write("index_state", done)
+        return n
