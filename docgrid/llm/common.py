@@ -3,36 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-SMALL = 64 << 20
+READ_PARTITIONS = "spark.docgrid.readPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``, read by Spark whatever the file system.
 
-    A table under ``SMALL`` bytes in fewer files than cores is dealt over the cores, as its few row groups would leave
-    most of them idle.
+    Where the session sets ``spark.docgrid.readPartitions``, tables of texts are dealt over so many partitions: for a
+    caller whose table is one row group, of which a scan can make one task only.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if name in ("documents", "pages") and int(str(size)) < SMALL and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    asked = spark.conf.get(READ_PARTITIONS, "")
+    return df.repartition(int(asked)) if asked and name in ("documents", "pages") else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Where the session names none (a local run or a test) a temporary folder is set as the checkpoint folder.
+    Where the session names none a temporary folder is set as the checkpoint folder, if driver and executors are one
+    machine; on a cluster without such a folder RuntimeError is raised.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -41,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="docgrid-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -63,11 +64,53 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(columns: list[str]) -> Column:
+    """Columns as one struct, so that none of their names can meet one of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
+def unpacked(rec: str, columns: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of such a struct, but for those named like one of ``without`` in whatever case."""
+    gone = {n.lower() for n in without}
+    return [F.col(rec).getField(c).alias(c) for c in columns if c.lower() not in gone]
+
+
+def numbered(docs: DataFrame, tag: str, columns: list[str], **more: Column) -> DataFrame:
+    """Staged rows (rid, rec, more): rid is a number of the stored row, rec its ``columns`` packed.
+
+    The numbers are written with the rows, so they stay the same whatever is computed again, and equal rows, which
+    nothing else tells apart, can be counted and dealt out one by one.
+    """
+    return staged(docs.select(F.monotonically_increasing_id().alias("rid"), packed(columns).alias("rec"), *[c.alias(n) for n, c in more.items()]), tag)
+
+
+SALTS = 64
+
+
+def occurrences(meta: DataFrame, identity: str, tag: str) -> DataFrame:
+    """Staged ``meta`` (with rid) and occ: 1, 2, ... among the rows that are equal in ``identity``.
+
+    A group of equal rows is counted in ``SALTS`` parts, so that no task gets more than such a part of it.
+    """
+    rows = meta.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    counts = rows.groupBy(identity, "salt").agg(F.count("*").alias("n"))
+    left = Window.partitionBy(identity).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.sum("n").over(left)).filter("start > 0").select(identity, "salt", "start")
+    within = F.row_number().over(Window.partitionBy(identity, "salt").orderBy("rid"))
+    out = rows.withColumn("within", within).join(starts, [identity, "salt"], "left")
+    return staged(out.select(*meta.columns, (F.col("within") + F.coalesce("start", F.lit(0))).cast("long").alias("occ")), tag)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's decimal text leaves 1 modulo 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def hash_limit(rows: float, of: int) -> int:
+    """The signed 64-bit hash up to which ``rows`` of ``of`` rows are expected to lie."""
+    return min((1 << 63) - 1, int((1 << 64) * min(1.0, rows / max(of, 1))) - (1 << 63))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
     """Apply a column-wise function to Arrow batches.
 

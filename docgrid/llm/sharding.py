@@ -2,17 +2,19 @@
 
 A node's documents are split along the dimension in which they spread widest, at the weighted median that gives either
 side its part of the bytes, until each leaf has the target bytes: one shard.  The median is found by Spark in three
-aggregations of bounded size (4096 values of the dimension, then 4096 and 4096 slices of a hash for ties).
+aggregations of bounded size a level: 4096 steps of every dimension, then 4096 and 4096 slices of a hash for ties.  The
+hash includes a number that tells repeated rows apart, so that a median can run through a group of equal rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, occurrences, staged, unpacked
 
 SHARDS = 24
 STEPS = 4096
@@ -28,18 +30,19 @@ def crc_of(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def metadata(docs: DataFrame) -> list[Column]:
-    """size, crc, tie and the dimensions as steps 0 to 4095: length on a logarithmic scale, lang and source by hash."""
+def metadata() -> dict[str, Column]:
+    """size, crc, id (equal for equal rows) and the dimensions as steps 0 to 4095: length on a logarithmic scale, lang
+    and source by hash."""
     size, crc = size_of(F.col("text")), crc_of(F.col("text"))
     named = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), 52).cast("int")
-    return [
-        size.alias("__size"),
-        crc.alias("__crc"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc, size), 40).cast("int").alias("__tie"),
-        F.least(F.floor(F.log2(size.cast("double")) * (STEPS / 48)), F.lit(STEPS - 1)).cast("int").alias("__length"),
-        named("lang").alias("__lang"),
-        named("source").alias("__source"),
-    ]
+    return {
+        "size": size,
+        "crc": crc,
+        "id": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc, size),
+        "length": F.least(F.floor(F.log2(size.cast("double")) * (STEPS / 48)), F.lit(STEPS - 1)).cast("int"),
+        "lang": named("lang"),
+        "source": named("source"),
+    }
 
 
 @dataclass
@@ -58,63 +61,63 @@ class Node:
         """An expression that walks the tree; ``leaf`` gives a leaf's value."""
         if not self.dimension:
             return F.lit(leaf(self))
-        d, h = F.col(f"__{self.dimension}"), F.col("__tie")
+        d, h = F.col(self.dimension), F.col("tie")
         return F.when((d < self.step) | ((d == self.step) & (h < self.tie)), self.left.column(leaf)).otherwise(self.right.column(leaf))
 
     def leaves(self) -> list[Node]:
         return self.left.leaves() + self.right.leaves() if self.dimension else [self]
 
 
-def _crossing(rows: list[tuple[int, int]], before: int, goal: float) -> tuple[int, int]:
+def _crossing(weights: dict[int, int], before: int, goal: float) -> tuple[int, int]:
     """The value at which the running weight reaches ``goal``, and the weight before it."""
-    rows = sorted(rows)
-    for value, weight in rows:
+    for value, weight in sorted(weights.items()):
         if before + weight >= goal:
             return value, before
         before += weight
-    return rows[-1][0], before - rows[-1][1]
+    return value, before - weight
+
+
+def _counted(rows: DataFrame, *by: Column) -> dict:
+    """Bytes by node and value, as dictionaries."""
+    out: dict = defaultdict(dict)
+    for r in rows.groupBy("node", *by).agg(F.sum("size").alias("w")).collect():
+        out[r[:-2] if len(r) > 3 else r[0]][r[-2]] = r[-1]
+    return out
 
 
 def build(meta: DataFrame, shards: int = SHARDS) -> Node:
-    """The tree for rows of metadata; what reaches the driver has at most ``shards`` x 4096 rows at a time."""
+    """The tree for rows of (size, tie, dimensions); what reaches the driver has at most 3 x ``shards`` x 4096 rows at a
+    time."""
     root = Node(shards)
-    spread: dict[str, float] = {}
-    while True:
-        open_nodes = [n for n in root.leaves() if n.shards > 1]
-        if not open_nodes:
-            break
+    spread: dict[str, int] = {}
+    while open_nodes := [n for n in root.leaves() if n.shards > 1]:
         number = {id(n): k for k, n in enumerate(open_nodes)}
-        at = meta.withColumn("__node", root.column(lambda n: number.get(id(n), -1)).cast("int")).filter("__node >= 0")
-        ends = [f(f"__{d}").alias(f"{d}_{name}") for d in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))]
-        facts = {r["__node"]: r for r in at.groupBy("__node").agg(F.sum("__size").alias("bytes"), *ends).collect()}
+        at = meta.withColumn("node", root.column(lambda n: number.get(id(n), -1)).cast("int")).filter("node >= 0")
+        dims = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(d).alias("v")) for i, d in enumerate(DIMENSIONS)])).alias("e")
+        steps = _counted(at.select("node", "size", dims), F.col("e.d").alias("d"), F.col("e.v").alias("v"))
+        goals, found, digits = {}, {}, {}
         for k, n in enumerate(open_nodes):
-            wide = {d: facts[k][f"{d}_hi"] - facts[k][f"{d}_lo"] for d in DIMENSIONS} if k in facts else {}
-            if n is root:
-                spread = {d: max(1, w) for d, w in wide.items()}
+            wide = {d: max(steps[k, i]) - min(steps[k, i]) for i, d in enumerate(DIMENSIONS) if (k, i) in steps}
+            spread = spread or {d: max(1, w) for d, w in wide.items()}
             n.dimension = max(DIMENSIONS, key=lambda d: wide.get(d, 0) / spread.get(d, 1))
-        # the new dimensions of the open nodes, without the new splits
-        value = F.lit(None).cast("int")
-        for k, n in enumerate(open_nodes):
-            value = F.when(F.col("__node") == k, F.col(f"__{n.dimension}")).otherwise(value)
-        at = at.withColumn("__step", value)
-        goals = {k: facts[k]["bytes"] * (n.shards // 2) / n.shards for k, n in enumerate(open_nodes) if k in facts}
-        found = {k: (0, 0) for k in goals}
-        digits = {k: [] for k in goals}
-        high, low = F.shiftright("__tie", 12), F.col("__tie").bitwiseAND(4095)
-        for part in (F.col("__step"), high, low):
+            if wide:
+                weights = steps[k, DIMENSIONS.index(n.dimension)]
+                goals[k] = sum(weights.values()) * (n.shards // 2) / n.shards
+                value, before = _crossing(weights, 0, goals[k])
+                digits[k], found[k] = [value], (weights[value], before)
+        # the hash's digits within the step, then within the first digit
+        high, low = F.shiftright("tie", 12), F.col("tie").bitwiseAND(4095)
+        for depth, part in enumerate((high, low)):
             here = F.lit(False)
+            for k, n in enumerate(open_nodes):
+                if k in goals:
+                    same = (F.col("node") == k) & (F.col(n.dimension) == digits[k][0])
+                    here = here | (same & (high == digits[k][1]) if depth else same)
+            by = _counted(at.filter(here), part.cast("int").alias("v")) if goals else {}
             for k in goals:
-                same = F.col("__node") == k
-                for have, column in zip(digits[k], (F.col("__step"), high), strict=False):
-                    same = same & (column == have)
-                here = here | same
-            by = {}
-            for r in at.filter(here).groupBy("__node", part.cast("int").alias("v")).agg(F.sum("__size").alias("w")).collect():
-                by.setdefault(r["__node"], []).append((r["v"], r["w"]))
-            for k in goals:
-                v, before = _crossing(by[k], found[k][1], goals[k])
-                digits[k].append(v)
-                found[k] = (next(w for x, w in by[k] if x == v), before)
+                value, before = _crossing(by[k], found[k][1], goals[k])
+                digits[k].append(value)
+                found[k] = (by[k][value], before)
         for k, n in enumerate(open_nodes):
             if k in goals:
                 weight, before = found[k]
@@ -126,23 +129,34 @@ def build(meta: DataFrame, shards: int = SHARDS) -> Node:
     return root
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard), size and text_crc32.
+def tie(identity: str = "id", occ: str = "occ") -> Column:
+    """24 bits by which rows of one step are told apart."""
+    return F.shiftrightunsigned(F.xxhash64(identity, occ), 40).cast("int")
+
+
+NEW = ("size", "text_crc32", "shard", "slot")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (the columns ``keep``, by default all) with shard (0 to shards - 1) and slot (gapless from 0 in each
+    shard), size and text_crc32.
 
-    The bytes of the shards are near equal: a border differs from its exact place by less than a document.  Reads
-    doc_id, text, lang and source; nulls are empty.  Equal rows tie and may take each other's slot; rows of equal id
-    and text stay neighbours, so only such rows can make a shard uneven.  An empty table gives an empty result.
-    Columns of ``docs`` named like the new ones are replaced.
+    The bytes of the shards are near equal, repeated rows and groups of equal texts included: a border differs from its
+    exact place by less than a document.  Reads doc_id, text, lang and source; nulls are empty, ids may be of any type.
+    Repeated rows are interchangeable, so which of them gets which slot is open.  An empty table gives an empty result.
+    Columns of ``docs`` named like the new ones, in whatever case, are replaced.
     """
-    plain = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32")]
-    tree = build(staged(docs.select(*metadata(docs)), "shards"), shards)
-    rows = docs.select(*plain, *metadata(docs)).withColumn("shard", tree.column(lambda n: n.shard).cast("int"))
-    rows = rows.withColumn("__slice", F.shiftright("__tie", 12))
+    columns = keep or docs.columns
+    base = numbered(docs, "sharding", columns, **metadata())
+    meta = occurrences(base.drop("rec"), "id", "occurrences").withColumn("tie", tie())
+    tree = build(meta, shards)
+    placed = meta.withColumn("shard", tree.column(lambda n: n.shard).cast("int")).withColumn("slice", F.shiftright("tie", 12))
     # at most shards x 4096 rows
-    counts = staged(rows.groupBy("shard", "__slice").agg(F.count("*").alias("n")), "slots")
-    before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    order = Window.partitionBy("shard", "__slice").orderBy("__tie", F.col("doc_id").asc_nulls_first(), "__crc")
-    slot = (F.col("__start") + F.row_number().over(order) - 1).cast("long")
-    placed = rows.join(starts, ["shard", "__slice"])
-    return placed.select(*plain, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "shard", slot.alias("slot"))
+    counts = staged(placed.groupBy("shard", "slice").agg(F.count("*").alias("n")), "slots")
+    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "slice").orderBy("tie", "id", "occ", "rid")
+    ranked = placed.withColumn("rank", F.row_number().over(order)).join(starts, ["shard", "slice"])
+    slots = ranked.select("rid", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
+    out = base.join(slots, "rid")
+    return out.select(*unpacked("rec", columns, NEW), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
