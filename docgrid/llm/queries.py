@@ -28,13 +28,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
-    out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
-    out = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixing.with_copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -96,7 +96,8 @@ FROM rows GROUP BY conv_id
 
 _OP4 = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS id FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
 r AS (SELECT *, source_size * 2 AS cap, CAST(source_size * 2 AS DOUBLE) / weight AS ratio FROM w),
@@ -107,18 +108,17 @@ l AS (
     row_number() OVER (ORDER BY ratio, source NULLS LAST) AS pos FROM r),
 f AS (SELECT level FROM l WHERE level <= ratio ORDER BY pos LIMIT 1),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * weight) AS target,
-    CAST('0x' || substr(md5('mix' || coalesce('|' || source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u0 FROM l),
+    CAST('0x' || substr(md5('mix' || coalesce('|' || source, '')), 1, 6) AS BIGINT) AS u0 FROM l),
 p AS (
-  SELECT doc_id, d.source, d.size, t.source_size, t.target, u0, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, ((coalesce(doc_id, 0) % 64) + 64) % 64, doc_id NULLS FIRST) AS place
+  SELECT doc_id, d.source, d.size, t.source_size, t.target, u0,
+    CAST(CASE WHEN source_size > 0 THEN floor(target / source_size * 16777216::DOUBLE) ELSE 0 END AS BIGINT) AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, id) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, k, (u0 + k / 32.0::DOUBLE) - floor(u0 + k / 32.0::DOUBLE) AS u FROM p, range(32) x(k)),
-m AS (SELECT source, k, u, abs(sum(size * CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT)) - target) AS miss FROM k GROUP BY source, k, u, target),
-b AS (SELECT source, u FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
-SELECT doc_id, size, source_size, target,
-  CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) * size AS taken,
-  CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) AS copies
-FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+k AS (SELECT *, (u0 + k * 524288) % 16777216 AS u FROM p, range(32) x(k)),
+m AS (SELECT source, k, u, abs(sum(size * (((place * rate + u) >> 24) - (((place - 1) * rate + u) >> 24))) - target) AS miss, target FROM k GROUP BY source, k, u, target),
+b AS (SELECT source, u FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss > target * 0.01::DOUBLE, CASE WHEN miss > target * 0.01::DOUBLE THEN miss ELSE 0 END, k) = 1),
+c AS (SELECT p.*, ((place * rate + u) >> 24) - (((place - 1) * rate + u) >> 24) AS copies FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
