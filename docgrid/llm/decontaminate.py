@@ -2,7 +2,9 @@
 
 Three fixed masks of weight five ignore some of the word positions they span.  Any ten words with two substitutions,
 fifteen with three or twenty with four contain a hit of one of them, so joining the hashes of test and training
-windows finds every alignment with a window of that similarity; each hit is then verified on the aligned words.
+windows finds every alignment with a window of that similarity.  A hit is only a text's hash, an item and the
+difference of their places; the hits are reduced to distinct alignments where they arise, and the words of these alone
+are compared.
 """
 
 from __future__ import annotations
@@ -12,23 +14,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, staged, unpacked
+
 MASKS = ("11111", "111011", "11010011")
 WINDOW = 20
 LEAST_WORDS = 5
 TOLERANT_FROM = 10
 SIMILARITY = 0.8
 BROADCAST_SEEDS = 400_000
+BLOCKS = 8
+PIECE = 1024
+BROADCAST_TEXTS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-case words of a whole text; empty for null and blank texts."""
-    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{WHITE}|{WHITE}\z", "")
+    trimmed = F.lower(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)))
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, WHITE), lambda w: F.xxhash64(w)))
 
 
 def seeds(words: str, position: str) -> Column:
-    """Hash of each mask's window that begins at ``position`` (from 0); null where the window passes the end."""
+    """Hash of each mask's window that begins at ``position`` (from 0), of the words that the mask doesn't ignore; null
+    where the window passes the end."""
     out = []
     for k, mask in enumerate(MASKS):
         picked = [F.get(F.col(words), F.col(position) + i) for i, flag in enumerate(mask) if flag == "1"]
@@ -36,10 +45,75 @@ def seeds(words: str, position: str) -> Column:
     return F.array(*out)
 
 
-def exploded(rows: DataFrame, words: str, position: str, seed: str) -> DataFrame:
-    """A row for each window and mask of ``words``."""
-    at = rows.filter(F.size(words) >= LEAST_WORDS).withColumn(position, F.explode(F.sequence(F.lit(0), F.size(words) - LEAST_WORDS)))
-    return at.withColumn(seed, F.explode(seeds(words, position))).filter(F.col(seed).isNotNull())
+def windows(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, seed, pos) of each window and mask of ``words``.
+
+    Long texts are cut into pieces of ``PIECE`` words and those that their last windows need, so that no row that is
+    made for a window has the whole text.
+    """
+    more = max(map(len, MASKS)) - 1
+    cut = lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, PIECE + more).alias("part"))
+    parts = F.transform(F.sequence(F.lit(0), F.size(words) - LEAST_WORDS, F.lit(PIECE)), cut)
+    pieces = rows.filter(F.size(words) >= LEAST_WORDS).select(key, F.explode(parts).alias("p")).select(key, "p.start", "p.part")
+    at = pieces.select(key, "start", "part", F.explode(F.sequence(F.lit(0), F.least(F.size("part") - LEAST_WORDS, F.lit(PIECE - 1)))).alias("at"))
+    return at.select(key, (F.col("start") + F.col("at")).alias("pos"), F.explode(seeds("part", "at")).alias("seed")).filter("seed is not null")
+
+
+def hits(texts: DataFrame, planted: DataFrame) -> DataFrame:
+    """Distinct alignments (tkey, ikey, diag) of texts (tkey, text) and planted seeds (seed, ikey, ipos).
+
+    The seeds go in blocks of ``BROADCAST_SEEDS`` at most, each broadcast to one scan of the texts.  Beyond ``BLOCKS``
+    of them the windows are dealt by seed instead, as another scan would cost more than moving them once.
+    """
+    seen = windows(texts, "tkey", "dw").withColumnRenamed("pos", "dpos")
+    blocks = max(1, -(-planted.count() // BROADCAST_SEEDS))
+    if blocks > BLOCKS:
+        found = seen.join(planted, "seed")
+    else:
+        found = reduce(DataFrame.unionByName, [seen.join(F.broadcast(planted.filter(F.pmod("ikey", F.lit(blocks)) == b)), "seed") for b in range(blocks)])
+    return found.select("tkey", "ikey", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """tkey (xxhash64 of a text), text, item_id, top (-matched, diag, item_words: the best alignment) of every distinct
+    text and item that overlap."""
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("iw")).filter(F.size("iw") >= LEAST_WORDS).distinct()
+    items = items.withColumn("ikey", F.xxhash64("item_id", "iw"))
+    planted = windows(items, "ikey", "iw").withColumnRenamed("pos", "ipos")
+    texts = docs.select(F.xxhash64("text").alias("tkey"), "text")
+    found = staged(hits(texts.select("tkey", word_hashes(F.col("text")).alias("dw")), planted), "alignments")
+    # the texts that have a hit, each once; a hash that two texts share does no harm, as each is compared itself
+    some = texts.join(limited(found.select("tkey").distinct()), "tkey", "left_semi").distinct()
+    some = some.select("tkey", "text", word_hashes(F.col("text")).alias("dw"))
+    # an item and a text have as many alignments as words at most
+    diags = found.groupBy("tkey", "ikey").agg(F.collect_list("diag").alias("diags"))
+    return verified(some.join(diags, "tkey").join(limited(items, BROADCAST_SEEDS), "ikey"))
+
+
+def limited(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """``keys`` marked for broadcasting if they are at most ``most`` (``BROADCAST_TEXTS``); they are counted for that."""
+    return F.broadcast(keys) if keys.count() <= (most or BROADCAST_TEXTS) else keys
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """tkey, text, item_id, top from rows of tkey, text, dw, item_id, iw and diags: the best of the alignments that pass."""
+    size, width = F.size("iw"), F.least(F.size("iw"), F.lit(WINDOW))
+    need = F.when(width < TOLERANT_FROM, width).otherwise(F.ceil(width * SIMILARITY)).cast("int")
+    add = lambda a, x: a + x
+
+    def compared(d: Column) -> Column:
+        low = F.greatest(F.lit(0), -d)
+        span = F.greatest(F.least(size, F.size("dw") - d) - low, F.lit(0))
+        return F.struct(d.alias("d"), F.zip_with(F.slice("iw", low + 1, span), F.slice("dw", d + low + 1, span), lambda a, b: (a == b).cast("int")).alias("same"))
+
+    def passes(a: Column) -> Column:
+        same = a["same"]
+        starts = F.sequence(F.lit(1), F.size(same) - width + 1)
+        return F.when((F.size(same) < width) | (F.aggregate(same, F.lit(0), add) < need), False).otherwise(F.exists(starts, lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), add) >= need))
+
+    told = lambda a: F.struct((-F.aggregate(a["same"], F.lit(0), add)).alias("m"), a["d"].alias("d"), size.alias("n"))
+    top = F.array_min(F.transform(F.filter(F.transform("diags", compared), passes), told))
+    return found.select("tkey", "text", "item_id", top.alias("top")).filter("top is not null")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -49,49 +123,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     of fewer than ten words).  matched_words counts the equal words of the whole alignment, doc_word is the document's
     word, from 0, at which the item begins (negative if its beginning is missing), item_words the item's length.
 
-    Texts are lower-cased and split at white space.  Null and empty texts match nothing, nor do items of fewer than
-    five words, which any text may hold by chance.  Of equal pairs from repeated rows the best alignment stays, ties
-    going to the first word.  Empty tables give an empty result.  Other columns are ignored.
+    Texts of any length are lower-cased and split at white space as wholes.  Null and empty texts match nothing, nor do
+    items of fewer than five words, which any text may hold by chance.  Of equal pairs from repeated rows the best
+    alignment stays, ties going to the first word.  Empty tables give an empty result.  Other columns are ignored.
     """
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("iw")).filter(F.size("iw") >= LEAST_WORDS).distinct()
-    items = items.withColumn("ikey", F.xxhash64("item_id", "iw"))
-    planted = exploded(items.select("ikey", "iw"), "iw", "ipos", "seed").select("seed", "ikey", "ipos")
-    # the items go in blocks of a checked size, each broadcast; usually one
-    blocks = max(1, -(-planted.count() // BROADCAST_SEEDS))
-    rows = docs.select(F.col(key).alias("__key"), word_hashes(F.col("text")).alias("dw"))
-    windows = exploded(rows, "dw", "dpos", "seed")
-    best = []
-    for b in range(blocks):
-        mine = F.pmod("ikey", F.lit(blocks)) == b
-        hits = windows.join(F.broadcast(planted.filter(mine)), "seed").join(F.broadcast(items.filter(mine)), "ikey")
-        best.append(verified(hits))
-    pairs = reduce(DataFrame.unionByName, best)
-    told = pairs.groupBy("__key", "item_id", "item_words").agg(F.min(F.struct((-F.col("matched")).alias("m"), F.col("diag").alias("d"))).alias("top"))
-    told = told.groupBy("__key", "item_id").agg(F.min(F.struct("top.m", "top.d", "item_words")).alias("top"))
-    return told.select(F.col("__key").alias(key), "item_id", (-F.col("top.m")).cast("long").alias("matched_words"), F.col("top.item_words").cast("long").alias("item_words"), F.col("top.d").cast("long").alias("doc_word"))
-
-
-def verified(hits: DataFrame) -> DataFrame:
-    """Hits whose aligned words pass: __key, item_id, item_words, diag, matched."""
-    diag = F.col("dpos") - F.col("ipos")
-    size = F.size("iw")
-    low = F.greatest(F.lit(0), -diag)
-    high = F.least(size, F.size("dw") - diag)
-    width = F.least(size, F.lit(WINDOW))
-    need = F.when(width < TOLERANT_FROM, width).otherwise(F.ceil(width * SIMILARITY)).cast("int")
-    at = hits.select("__key", "item_id", "iw", "dw", diag.alias("diag"), size.alias("item_words"), low.alias("low"), (high - low).alias("span"), width.alias("width"), need.alias("need"))
-    at = at.filter(F.col("span") >= F.col("width"))
-    same = F.zip_with(F.slice("iw", F.col("low") + 1, F.col("span")), F.slice("dw", F.col("diag") + F.col("low") + 1, F.col("span")), lambda a, b: (a == b).cast("int"))
-    at = at.select("__key", "item_id", "item_words", "diag", "width", "need", "span", same.alias("same"))
-    add = lambda a, x: a + x
-    at = at.withColumn("matched", F.aggregate("same", F.lit(0), add)).filter(F.col("matched") >= F.col("need"))
-    passes = F.exists(F.sequence(F.lit(1), F.col("span") - F.col("width") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("width")), F.lit(0), add) >= F.col("need"))
-    return at.filter(passes).select("__key", "item_id", "item_words", "diag", "matched")
+    of_text = staged(overlaps(docs, benchmark), "overlaps")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("tkey"), "text")
+    keyed = rows.join(limited(of_text.select("tkey").distinct()), "tkey", "left_semi")
+    told = keyed.join(of_text, ["tkey", "text"]).groupBy("key", "item_id").agg(F.min("top").alias("top"))
+    return told.select(F.col("key").alias(key), "item_id", (-F.col("top.m")).cast("long").alias("matched_words"), F.col("top.n").cast("long").alias("item_words"), F.col("top.d").cast("long").alias("doc_word"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; told apart by a hash of the text, so that null
-    and repeated ids do no harm."""
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    leaked = find_leaks(keyed, benchmark, "__text").select("__text").distinct()
-    return keyed.join(leaked, "__text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the documents that overlap a benchmark item.
+
+    Documents are told apart by their text, so that null and repeated ids do no harm; those with a null or empty text
+    stay, long texts are searched as wholes, repeated rows go or stay together, an empty table gives an empty result
+    and no column is touched, whatever its name.
+    """
+    leaked = limited(staged(overlaps(docs, benchmark).select("tkey").distinct(), "leaks"))
+    keyed = docs.select(packed(docs.columns).alias("rec"), F.xxhash64("text").alias("tkey"))
+    return keyed.join(leaked, "tkey", "left_anti").select(*unpacked("rec", docs.columns))
