@@ -13,10 +13,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import hash_limit, map_rows, packed, staged, unpacked
 
 ORDERS = 4
 SLOT_BITS = 20
@@ -25,10 +25,16 @@ NGRAMS = 12_000
 LANDMARKS_PER_LANG = 24
 RIDGE = 0.05
 BATCH = 128
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGS = 256
+WORDLIKE = re.compile(r"[^\W\d_]")
 WHITE = re.compile(r"\s+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category stands in the text; signs like ``½`` are word characters, not letters."""
+    return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
+
+
 def slots(text: str) -> list[np.ndarray]:
     """Hash slots of all n-grams of the whole text, one array for each order."""
     code = np.frombuffer(f" {WHITE.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -49,12 +55,7 @@ class KernelModel:
         self.langs, self.column, self.landmarks, self.project, self.weights = langs, column, landmarks, project, weights
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        """A row of zeros and ones for each text; the last column gathers n-grams outside the alphabet."""
-        x = np.zeros((len(texts), self.landmarks.shape[0] + 1), np.float32)
-        for row, text in zip(x, texts, strict=True):
-            for s in slots(text):
-                row[self.column[s]] = 1
-        return x[:, :-1]
+        return presence(texts, self.column, self.landmarks.shape[0])
 
     def features(self, x: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
@@ -63,7 +64,7 @@ class KernelModel:
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """``und`` and 0 where a text is null or has no letter."""
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not self.langs:
             return lang, score
         for s in range(0, len(some), BATCH):
@@ -75,27 +76,28 @@ class KernelModel:
         return lang, score
 
 
-def train(texts: list[str], labels: list[str]) -> KernelModel:
-    """Fit on labelled texts; the same rows in the same order give the same model."""
+def presence(texts: list[str], column: np.ndarray, n: int) -> np.ndarray:
+    """A row of zeros and ones for each text: which of ``n`` n-grams it has, by the ``column`` of each slot."""
+    x = np.zeros((len(texts), n + 1), np.float32)  # the last column gathers n-grams outside the alphabet
+    for row, text in zip(x, texts, strict=True):
+        for s in slots(text):
+            row[column[s]] = 1
+    return x[:, :-1]
+
+
+def alphabet(best: list[int]) -> np.ndarray:
+    """Column of each slot, len(best) for those that aren't among the ``best``."""
+    column = np.full(1 << SLOT_BITS, len(best), np.int32)
+    column[np.sort(np.array(best, np.int64))] = np.arange(len(best))
+    return column
+
+
+def train(x: np.ndarray, labels: list[str], column: np.ndarray) -> KernelModel:
+    """Fit on rows of n-gram presence; the same rows in the same order give the same model."""
     langs = sorted(set(labels))
     if not langs:
-        return KernelModel([], np.zeros(1 << SLOT_BITS, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)))
+        return KernelModel([], column, np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)))
     y = np.array([langs.index(v) for v in labels])
-    share = np.zeros((len(langs), 1 << SLOT_BITS), np.float32)
-    found = []
-    for t, k in zip(texts, y, strict=True):
-        s = np.unique(np.concatenate(slots(t)))
-        share[k, s] += 1
-        found.append(s)
-    share /= np.bincount(y, minlength=len(langs))[:, None]
-    best = np.argsort(-share.max(axis=0), kind="stable")[:NGRAMS]
-    best = np.sort(best[share.max(axis=0)[best] > 0])
-    column = np.full(1 << SLOT_BITS, len(best), np.int32)
-    column[best] = np.arange(len(best))
-    x = np.zeros((len(texts), len(best) + 1), np.float32)
-    for row, s in zip(x, found, strict=True):
-        row[column[s]] = 1
-    x = x[:, :-1]
     picked = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LANG] for k in range(len(langs))])
     marks = x[picked] / np.sqrt(np.maximum(x[picked].sum(axis=1, keepdims=True), 1))
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -111,25 +113,44 @@ def train(texts: list[str], labels: list[str]) -> KernelModel:
     return model
 
 
-def training_sample(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], list[str]]:
-    """About ``per_lang`` labelled texts of every language among the ``usable`` rows, chosen by a hash of the id.
+def training_sample(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
+    """Staged (k, lang, text): the ``per_lang`` labelled texts of each language with the least hash k of id and text,
+    of the ``most_langs`` languages that have most rows; equal texts of an id count once.
 
-    This is the bound of what reaches the driver: languages times ``per_lang`` rows.
+    This bounds the sample whatever the table: ``per_lang`` x ``most_langs`` rows at most.
     """
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    pick = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(8)), F.lit(1_000_000))
+    known = F.col("lang").isNotNull() & F.regexp_like(F.col("text"), F.lit(r"\p{L}"))
+    rows = docs.filter(usable & known).select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("k"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("k").alias("texts")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    # a share of the hashes that a fifth more than ``per_lang`` texts are expected to have; the window takes those wanted
     wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (pick < min(1_000_000, int(1_000_000 * per_lang / n) + 1)))
-    got = rows.filter(wanted).select("lang", "text", pick.alias("k")).collect() if counts else []
-    got = sorted((r["k"], r["lang"], r["text"]) for r in got if LETTER.search(r["text"]))
-    return [t for _, _, t in got], [v for _, v, _ in got]
+    for lang, n in sorted((r["lang"], r["texts"]) for r in counts):
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("k") <= hash_limit(1.2 * per_lang + 50, n)))
+    some = rows.filter(wanted).groupBy("lang", "k").agg(F.any_value("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    return staged(some.withColumn("place", place).filter(F.col("place") <= per_lang).select("k", "lang", "text"), "sample")
 
 
 def fit(docs: DataFrame, usable: Column) -> KernelModel:
-    """Learn from text and non-null lang of the ``usable`` rows of ``docs`` (columns doc_id, text, lang)."""
-    return train(*training_sample(docs, usable))
+    """Learn from text and non-null lang of the ``usable`` rows of ``docs`` (columns doc_id, text, lang).
+
+    The sample's texts stay on the executors.  What reaches the driver are the numbers of ``NGRAMS`` slots at most (those
+    most frequent in a language) and a row of as many bits for each text of the sample.
+    """
+    sample = training_sample(docs, usable)
+    had = map_rows(sample, lambda: lambda c: {"lang": c["lang"], "slots": [np.unique(np.concatenate(slots(t))).tolist() for t in c["text"]]}, "lang string, slots array<int>")
+    total = sample.groupBy("lang").agg(F.count("*").alias("of"))
+    share = had.select("lang", F.explode("slots").alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n")).join(F.broadcast(total), "lang")
+    top = share.groupBy("slot").agg(F.max((F.col("n") / F.col("of")).cast("float")).alias("share")).orderBy(F.desc("share"), "slot").limit(NGRAMS)
+    column = alphabet([r["slot"] for r in top.collect()])
+    n = int(column.max()) if len(column) else 0
+
+    def bits(c):
+        return {"k": c["k"], "lang": c["lang"], "bits": [np.packbits(row > 0).tobytes() for row in presence(c["text"], column, n)]}
+
+    got = sorted((r["k"], r["lang"], r["bits"]) for r in map_rows(sample, lambda: bits, "k long, lang string, bits binary").collect())
+    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, _, b in got], np.float32).reshape(len(got), n)
+    return train(x, [v for _, v, _ in got], column)
 
 
 def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -138,21 +159,32 @@ def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None,
 
     Null texts and texts without a letter (the empty one too) give ``und`` and 0; so does every row when no labelled
     row was there to learn from.  Ties go to the first language by code point; rows stay as they are, repeated ones
-    too; an empty table gives an empty result.  Columns of ``docs`` named like the new ones are replaced.
+    too; an empty table gives an empty result.  Columns of ``docs`` named like the new ones, in whatever case, are
+    replaced.
     """
+    columns = keep or docs.columns
+    return predicted(docs, model, columns).select(*unpacked("rec", columns, named), F.col("lang").alias(named[0]), F.col("score").alias(named[1]))
+
+
+def predicted(docs: DataFrame, model: KernelModel, columns: list[str]) -> DataFrame:
+    """rec (``columns`` packed), lang and score of every row."""
     # arrays and strings, bounded by NGRAMS x landmarks; the class itself travels with the function
     given = docs.sparkSession.sparkContext.broadcast((model.langs, model.column, model.landmarks, model.project, model.weights))
-    names = [c for c in (keep or docs.columns) if c not in named]
 
     def make():
         here = KernelModel(*given.value)
 
         def apply(c):
-            lang, score = here.score(c["__text"])
-            return {n: c[n] for n in names} | {named[0]: lang, named[1]: score}
+            lang, score = here.score(c["text"])
+            return {"rec": c["rec"], "lang": lang, "score": score}
 
         return apply
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + f", `{named[0]}` string, `{named[1]}` double"
-    return map_rows(docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("__text")), make, schema, raw=tuple(names))
+    rows = docs.select(packed(columns).alias("rec"), "text")
+    return map_rows(rows, make, f"rec {rows.schema['rec'].dataType.simpleString()}, lang string, score double", raw=("rec",))
+
+
+def keep_known(docs: DataFrame, model: KernelModel) -> DataFrame:
+    """The rows of ``docs`` in which a language was found, with the predicted one as lang; no other column is touched."""
+    columns = [F.col("lang").alias(c) if c.lower() == "lang" else F.col("rec").getField(c).alias(c) for c in docs.columns]
+    return predicted(docs, model, docs.columns).filter("lang <> 'und'").select(*columns)

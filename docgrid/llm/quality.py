@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import hash_limit, map_rows
 
 SAMPLE = 12_000
 BINS = 64
@@ -160,17 +160,19 @@ def with_statistics(rows: DataFrame, keep: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE) -> Forest:
     """Learn ``label`` (0 or 1) of the labelled documents that are ``usable`` (a condition on doc_id).
 
-    About ``sample`` labelled rows are used, chosen by a hash of the id: the bound of what reaches the driver, as
-    statistics and not as texts.  An id with several labels counts once for each.
+    At most ``sample`` labelled ids are used, those of the least hash, and as many rows: the bound of what reaches the
+    driver, as statistics and not as texts.  Equal labels of an id count once, and so do equal texts of an id.
     """
-    usual = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("__label"))
-    n = usual.count()
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.lit(1_000_000))
-    chosen = usual.filter(pick < min(1_000_000, int(1_000_000 * sample / max(n, 1)) + 1))
-    # bounded by ``sample``, so that the texts needn't be shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = sorted((r["doc_id"], r["__label"], r["stats"]) for r in with_statistics(rows, ["doc_id", "__label"]).collect())
-    return grow(np.array([s for _, _, s in got]).reshape(len(got), len(NAMES)), np.array([float(v) for _, v, _ in got]))
+    usual = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    usual = usual.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("string"), F.col(label).cast("int")).alias("k"))
+    # a share of the hashes that a fifth more than ``sample`` rows are expected to have, then exactly the wanted ones
+    n = usual.agg(F.approx_count_distinct("k")).first()[0]
+    few = usual.filter(F.col("k") <= hash_limit(1.2 * sample + 50, n)).distinct().orderBy("k", "id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id"))
+    texts = rows.groupBy("id", "label", F.xxhash64("text").alias("t")).agg(F.any_value("text").alias("text"))
+    told = with_statistics(texts, ["id", "label", "t"])
+    got = sorted((r["id"], r["label"], r["t"], r["stats"]) for r in told.orderBy(F.xxhash64("id", "t"), "label").limit(sample).collect())
+    return grow(np.array([s for *_, s in got]).reshape(len(got), len(NAMES)), np.array([float(r[1]) for r in got]))
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
