@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "governance", "sections", "hierarchy", "tables", "ledger", "rules", "sources", "policies", "providers")
+MODULES = ("retrieval", "governance", "sections", "hierarchy", "tables", "ledger", "rules", "sources", "policies", "providers", "outputs")
 
 
 def _all(name: str) -> dict:

@@ -7,6 +7,7 @@ import email.policy
 import html
 import io
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -162,6 +163,35 @@ Parser = Callable[[bytes], tuple[list[dict], dict[str, str]]]
 PARSERS: dict[str, Parser] = {"mhtml": parse_mhtml, "docx": parse_docx}
 
 
+def polled(submit: Callable[[bytes], str], status: Callable[[str], str], fetch: Callable[[str], tuple[list[dict], dict[str, str]]], pages: Callable[[bytes], int | None] = lambda data: None, every: float = 2.0, wait: Callable[[float], None] = time.sleep) -> Parser:
+    """A parser out of a service that takes a file, is asked until it is done, and gives the blocks.
+
+    It is waited for three seconds a page and a minute at least, five minutes where the pages aren't known.  A task that
+    fails, or isn't done by then, raises ValueError, so that the file has an error.
+    """
+
+    def parse(data: bytes) -> tuple[list[dict], dict[str, str]]:
+        task, n = submit(data), pages(data)
+        left = 300.0 if n is None else max(60.0, 3.0 * n)
+        while (now := status(task)) not in ("done", "failed"):
+            if left <= 0:
+                raise ValueError("the remote parser isn't done in time")
+            wait(every)
+            left -= every
+        if now == "failed":
+            raise ValueError("the remote parser failed")
+        return fetch(task)
+
+    return parse
+
+
+def read_pdf(data: bytes) -> tuple[list[dict], dict[str, str]]:
+    """Texts of PDF files that have any; to be given as ``remote`` where there is no better parser."""
+    from .pdf import parse_pdf
+
+    return parse_pdf(data)
+
+
 def parse_files(files: DataFrame, remote: Parser | None = None) -> DataFrame:
     """``files`` (file_id, file_name, content) with blocks, metadata and error; ``remote`` takes what isn't parsed here.
 

@@ -292,3 +292,60 @@ def test_machine_rows_give_way(spark):
     assert graphs.best_entities(e).first()["ordinal"] == 2
     a = spark.createDataFrame([("c1", "machine_extracted"), ("c2", "rejected")], "clause_id string, status string")
     assert graphs.usable(a).count() == 1 and graphs.visible_context(a, a.filter("clause_id = 'c2'")).first()["clause_id"] == "c2"
+
+
+def pdf_file(pages, packed=True):
+    """A small PDF file out of content streams."""
+    import zlib
+
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    parts = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources << /Font << /F1 3 0 R >> >> >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    out = b"%PDF-1.4\n" + b"".join(f"{k} 0 obj\n{t}\nendobj\n".encode() for k, t in enumerate(parts, 1))
+    for i, t in enumerate(pages):
+        data = zlib.compress(t.encode("cp1252")) if packed else t.encode("cp1252")
+        out += f"{4 + 2 * i} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * i} 0 R >>\nendobj\n{5 + 2 * i} 0 obj\n<< {'/Filter /FlateDecode' if packed else ''} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream\nendobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_texts(spark):
+    from docgrid.sources import documents, pdf
+
+    pages = ["BT /F1 12 Tf 72 700 Td (Hello \\(world\\)) Tj 0 -14 Td [(Se) -20 (cond) -300 (line)] TJ ET", "", "BT /F1 9 Tf (\\311t\\351) Tj T* <4142> Tj ET"]
+    for packed in (True, False):
+        blocks, meta = pdf.parse_pdf(pdf_file(pages, packed))
+        assert [(b["page_num"], b["content"]) for b in blocks] == [(0, "Hello (world)\nSecond line"), (2, "Été\nAB")] and meta == {"pages": "3"}
+    assert pdf.character_map(b"1 beginbfchar <0001> <4E2D> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange") == {1: "中", 16: "a", 17: "b", 18: "c"}
+    rows = [("f1", "a.pdf", pdf_file(pages)), ("f2", "b.pdf", b"junk"), ("f3", "c.pdf", pdf_file([""]))]
+    got = {r["file_id"]: r for r in documents.parse_files(spark.createDataFrame(rows, "file_id string, file_name string, content binary"), documents.read_pdf).collect()}
+    assert len(got["f1"]["blocks"]) == 2 and got["f2"]["error"] == "not a PDF file" and got["f3"]["error"] == "the document is empty"
+
+
+def test_polled_parser():
+    from docgrid.sources import documents
+
+    said, waited = ["queued", "running", "done"], []
+    parse = documents.polled(lambda data: "t1", lambda task: said.pop(0), lambda task: ([{"content": task}], {}), wait=waited.append)
+    assert parse(b"x") == ([{"content": "t1"}], {}) and waited == [2.0, 2.0]
+    late = documents.polled(lambda data: "t", lambda task: "running", lambda task: ([], {}), pages=lambda data: 30, every=30.0, wait=waited.append)
+    for bad in (late, documents.polled(lambda data: "t", lambda task: "failed", lambda task: ([], {}))):
+        with pytest.raises(ValueError):
+            bad(b"x")
+    assert len(waited) == 2 + 3
+
+
+def test_outputs_with_rules(spark):
+    """Rules' results stand beside the model's: the surest mention stays, citations go first, doubts are listed."""
+    from docgrid.operators import outputs
+
+    clauses = spark.createDataFrame([("c1", "依据《会计法》，由财务处审核。")], "clause_id string, raw_text string")
+    e = spark.createDataFrame([("c1", 0, "部门", "财务处", "由财务处", None, "0.5"), ("c1", 1, "步骤", "审核", "审核", None, "0.9"), ("c1", 2, "?", "x", "x", None, "1")], "clause_id string, position int, type string, name string, raw_text string, evidence string, confidence string")
+    r = spark.createDataFrame([("c1", 0, "引用", None, None, "《会计法》", None, "0.9"), ("c1", 1, "performed_by", 1, 0, "", "由财务处审核", "0.9"), ("c1", 2, "performed_by", 1, 7, "", "审核", "0.9")], "clause_id string, position int, type string, subject int, object int, target_text string, evidence string, confidence string")
+    out = outputs.build(e, r, clauses, rules=True)
+    kept = {(x["entity_type"], x["name"]): (x["confidence"], x["review_status"]) for x in out["entities"].collect()}
+    assert kept["department", "财务处"] == (0.98, "auto_approved") and kept["step", "审核"] == (0.9, "auto_approved") and ("approval_action", "审核") in kept
+    told = {(x["relation_type"], x["evidence"]): x for x in out["relations"].collect()}
+    assert set(told) == {("based_on", "《会计法》"), ("cites", "《会计法》"), ("performed_by", "由财务处审核"), ("performed_by", "审核")}
+    good = told["performed_by", "由财务处审核"]
+    ids = {x["entity_id"] for x in out["entities"].collect()}
+    assert good["review_status"] == "auto_approved" and {good["subject_id"], good["object_id"]} <= ids and told["performed_by", "审核"]["review_status"] == "pending"
+    assert sorted(x["issue_type"] for x in out["reviews"].collect()) == ["invalid_entity_type", "low_confidence_entity", "low_confidence_relation"]
