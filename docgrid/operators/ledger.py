@@ -131,3 +131,15 @@ def folder_plan(selected: DataFrame, batches: DataFrame, now: Column, file: str
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by the order columns."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def progress(items: DataFrame, run: str, finished: Column, started_at: Column, ended_at: Column) -> DataFrame:
+    """run, done, total, average_seconds and remaining_seconds of runs.
+
+    The average is over the items that are done: from the run's first start to its last end, by their number.
+    """
+    seconds = lambda c: F.unix_timestamp(c).cast("double")
+    g = items.groupBy(run).agg(F.count_if(finished).alias("done"), F.count("*").alias("total"), F.min(seconds(started_at)).alias("first"), F.max(F.when(finished, seconds(ended_at))).alias("last"))
+    average = F.coalesce((F.col("last") - F.col("first")) / F.greatest("done", F.lit(1)), F.lit(0.0))
+    g = g.withColumn("average_seconds", average)
+    return g.select(run, "done", "total", F.round("average_seconds", 1).alias("average_seconds"), F.bround((F.col("total") - F.col("done")) * F.col("average_seconds"), 0).cast("long").alias("remaining_seconds"))

@@ -152,6 +152,12 @@ def workflow_graph_edges(spark, sf_dir):
     return G.workflow_graph(c.unionByName(o), a)[1]
 
 
+def run_progress(spark, sf_dir):
+    """Orders of a customer as the items of a run: what isn't open is done a day after it began."""
+    o = table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    return L.progress(o, "o_custkey", F.col("o_orderstatus") != "O", F.col("at"), F.expr("at + INTERVAL 1 DAY"))
+
+
 #: Customers as clauses and as what a model says of them, with each kind of fault.
 ASSERTIONS = """SELECT CASE WHEN c_custkey % 8 = 5 THEN 'none' || c_custkey ELSE 'c' || c_custkey END AS clause_id, CASE WHEN c_custkey % 8 = 3 THEN 'wish' ELSE 'action' END AS kind, CASE WHEN c_custkey % 8 = 7 THEN 'maybe' ELSE 'required' END AS modality,
   CASE WHEN c_custkey % 8 = 6 THEN '校长' ELSE '申请人' END AS subject, '提交' AS predicate, c_mktsegment AS object,
@@ -169,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         batch_dedupe, ledger_eligible, ledger_transition, batch_rollup, run_rollup, upsert_latest, upsert_guarded, update_rows, current_run, cascade_reset, empty_runs, folder_reset_plan,
-        label_metrics, exact_match, quality_summary, error_code_counts, even_sample, balanced_sample, latest_annotation, graph_candidates, workflow_graph_edges, assertion_checks,
+        label_metrics, exact_match, quality_summary, error_code_counts, even_sample, balanced_sample, latest_annotation, graph_candidates, workflow_graph_edges, assertion_checks, run_progress,
     )
 }
 _METRIC = "coalesce(round({} / nullif({}, 0)::DOUBLE, 6), 0.0::DOUBLE)"
@@ -219,6 +225,8 @@ UNION ALL SELECT 'x' || n_nationkey, 'relation', 'part_of', s.name, o.name FROM
     "workflow_graph_edges": """WITH a AS (SELECT user_id AS k, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT c_custkey AS k FROM customer LEFT JOIN a ON k = c_custkey WHERE coalesce(ok, c_acctbal > 0))
 SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS subject_id, 'c' || (o_custkey + 1) AS object_id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (FROM n) AND o_custkey + 1 IN (FROM n)""",
+    "run_progress": """WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'O') AS done, count(*) AS total, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate) + 86400) FILTER (o_orderstatus <> 'O') AS b FROM orders GROUP BY 1),
+m AS (SELECT *, coalesce((b - a) / greatest(done, 1), 0.0::DOUBLE)::DOUBLE AS v FROM g) SELECT o_custkey, done, total, round(v, 1) AS average_seconds, CAST(round_even((total - done) * v, 0) AS BIGINT) AS remaining_seconds FROM m""",
     "assertion_checks": f"""SELECT clause_id, kind, evidence, CASE WHEN clause_id LIKE 'none%' THEN 'unknown clause' WHEN kind = 'wish' THEN 'unknown kind' WHEN modality = 'maybe' THEN 'unknown modality' WHEN evidence = '' THEN 'no evidence'
 WHEN evidence = '可以' THEN 'evidence isn''t in the clause once' WHEN subject = '校长' THEN 'unsupported subject' END AS error,
 CASE WHEN clause_id NOT LIKE 'none%' AND kind = 'action' AND modality = 'required' AND evidence NOT IN ('', '可以') AND subject = '申请人' THEN CAST("end" - 4 - length(object) AS INTEGER) END AS start FROM ({as_duck(ASSERTIONS)})""",

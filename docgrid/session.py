@@ -310,6 +310,25 @@ class Session:
         else:
             self.w.write("vectors", vectors)
 
+    def warm_up(self) -> dict[str, dict]:
+        """Try the query model and cache the index's terms; a stage that fails is told and fails no other."""
+
+        def terms() -> dict:
+            return {"terms": self.w.read("terms").cache().count()}
+
+        def model() -> dict:
+            return {"dimensions": len(self.embed("warm up"))} if self.embed else {}
+
+        report = {}
+        for stage, work in (("embedding", model), ("lexical", terms)):
+            began = time.perf_counter()
+            try:
+                report[stage] = {"status": "ready"} | work()
+            except Exception as e:  # noqa: BLE001 - a provider may fail in any way, and the first search tries again
+                report[stage] = {"status": "failed", "error": str(e)}
+            report[stage]["seconds"] = round(time.perf_counter() - began, 4)
+        return report
+
     def lexical_index(self) -> dict[str, DataFrame]:
         """The stored index, as ``retrieval.search_index`` takes it."""
         return {name: self.w.read(name) for name in ("postings", "terms", "corpus")}

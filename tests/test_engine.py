@@ -349,3 +349,29 @@ def test_outputs_with_rules(spark):
     ids = {x["entity_id"] for x in out["entities"].collect()}
     assert good["review_status"] == "auto_approved" and {good["subject_id"], good["object_id"]} <= ids and told["performed_by", "审核"]["review_status"] == "pending"
     assert sorted(x["issue_type"] for x in out["reviews"].collect()) == ["invalid_entity_type", "low_confidence_entity", "low_confidence_relation"]
+
+
+def test_service_faults():
+    from docgrid.sources.service import Service, ServiceError
+
+    asked = []
+
+    def transport(method, address, body, seconds):
+        asked.append((method, address, body, seconds))
+        if isinstance(answers[0], Exception):
+            raise answers.pop(0)
+        return answers.pop(0)
+
+    service = Service("http://host:1/", transport)
+    answers = [(200, b'{"a": 1}'), (200, b'{"b": 2}')]
+    assert service.search("x y", 3, "2024-01-01") == {"a": 1} and service.answer("q") == {"b": 2}
+    assert asked[0][:2] == ("GET", "http://host:1/policy-search?q=x+y&top_k=3&as_of=2024-01-01") and asked[1][0] == "POST" and asked[1][3] == 180.0
+    for said, code in [((422, b""), "invalid_parameters"), ((404, b""), "not_found"), ((409, b""), "index_not_ready"), ((500, b"secret"), "service_unavailable"), ((200, b"{"), "invalid_response"), ((200, b"[]"), "invalid_response"), (TimeoutError(), "timeout"), (ConnectionError("secret"), "service_unavailable")]:
+        answers = [said]
+        with pytest.raises(ServiceError) as e:
+            service.policy("a/b")
+        assert e.value.code == code and "secret" not in str(e.value)
+    assert asked[-1][1] == "http://host:1/api/policies/a%2Fb"
+    for bad in ("ftp://x", "http://", "http://x?y=1"):
+        with pytest.raises(ValueError):
+            Service(bad)

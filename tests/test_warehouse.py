@@ -102,6 +102,8 @@ def test_index_runs(spark, house):
     house.write("clauses", clauses_of(spark, [(c, p, t + " new" if p == "p1" else t) for c, p, t in rows if p != "p2"]))
     assert session.index_policies(made) == 2 and session.index_policies(made) == 0
     same()
+    report = Session(house, embed=lambda text: 1 / 0).warm_up()
+    assert report["lexical"]["status"] == "ready" and report["lexical"]["terms"] == house.read("terms").count() and report["embedding"]["status"] == "failed"
     assert {r["policy_id"] for r in house.read("vectors").collect()} == {"p0", "p1"} and house.read("index_state").count() == 2
 
 
