@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgrid.functions import text as T
 from docgrid.operators import governance as G
 
-from .common import table
+from .common import as_duck, made, table
 
 AS_OF, TODAY = "1998-06-01", "2000-01-01"
 
@@ -90,50 +90,42 @@ def backfill_validity(spark, sf_dir):
     return G.backfill_validity(docs, rel)
 
 
-NUMBERS = ["校发（2023）007号", "校发〔2023〕7号", "校字[20230012号", " 教 研﹝2019﹞ 0100 号", "X-2020-001", "校发【2021】000号", "", "内部(2020)5号文"]
-DATES = ["2024年1月5日", "2024/13/01", "2024-02-29 印发", "2023-2-29", "无", "2024.7.1"]
-TITLES = ["关于印发《差旅费管理办法（修订）》的通知", "差旅费管理办法试行", "《采购 规定》", "采购规定（暂行）", "合同办法修订版", ""]
-NORMS = ["各单位应当提前申请，不得拆分采购。", "负责人可以委托他人办理。", "须由主管部门批准", "可向财务处申请", "本办法由财务处解释。", " ", "严禁违规，必须整改，有权拒绝"]
-EFFECTIVE = [("a", "本办法自2024年1月1日起施行。", "2023-12-01"), ("a", "自 2024 年 1 月 1 日起 执行", "2023-12-01"), ("b", "本规定自发布之日起施行", "2022-05-06"), ("c", "自印发之日起执行", None), ("d", "自2020年1月1日起生效", "2019-01-01"), ("d", "自2021年1月1日起施行", "2019-01-01"), ("e", "无日期", "2019-01-01"), ("f", "自2021年2月30日起施行", None)]
-
-
-def _values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+#: Parts as numbers, days and titles in the forms that there are, orders as clauses that say norms and days.
+NUMBERS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN '校发（2023）00' || p_size || '号' WHEN 1 THEN '校发〔' || (1990 + p_size) || '〕' || p_partkey || '号' WHEN 2 THEN '校字[20230' || p_size || '号' WHEN 3 THEN ' 教 研﹝2019﹞ 0' || p_size || ' 号'
+  WHEN 4 THEN 'X-2020-' || p_size WHEN 5 THEN '校发【2021】000号' WHEN 6 THEN '' ELSE '内部(2020)' || p_size || '号文' END AS raw FROM {part}"""
+DATES = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '2024年' || (p_size % 15) || '月5日' WHEN 1 THEN '2024/' || p_size || '/01' WHEN 2 THEN '2024-02-' || p_size || ' 印发' WHEN 3 THEN '20' || p_size || '-2-29' WHEN 4 THEN p_name ELSE '2024.7.' || p_size END AS raw FROM {part}"""
+TITLES = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '关于印发《' || p_type || '管理办法（修订）》的通知' WHEN 1 THEN p_name || '办法试行' WHEN 2 THEN '《' || p_type || ' 规定》' WHEN 3 THEN p_brand || '规定（暂行）' WHEN 4 THEN p_brand || '办法修订版' ELSE '' END AS raw FROM {part}"""
+NORMS = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '各单位应当提前申请' || o_custkey || '，不得拆分采购。' WHEN 1 THEN '负责人' || o_custkey || '可以委托他人办理。' WHEN 2 THEN '须由' || o_orderpriority || '批准' WHEN 3 THEN '可向财务处申请'
+  WHEN 4 THEN '本办法由' || o_orderstatus || '解释。' WHEN 5 THEN ' ' ELSE '严禁违规，必须整改，有权拒绝' END AS raw FROM {orders}"""
+EFFECTIVE = """SELECT o_custkey AS policy_id, CASE o_orderkey % 9 WHEN 0 THEN '本办法自2024年1月' || (1 + o_custkey % 3) || '日起施行。' WHEN 1 THEN '自 2024 年 1 月 ' || (1 + o_orderkey % 31) || ' 日起 执行' WHEN 2 THEN '本规定自发布之日起施行' WHEN 3 THEN '自印发之日起执行' WHEN 4 THEN '自2021年2月30日起施行' ELSE o_orderpriority END AS text,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS issued FROM {orders} WHERE o_orderstatus = 'P'"""
 
 
 def document_numbers(spark, sf_dir):
-    d = _values(spark, [(k, v) for k, v in enumerate(NUMBERS)], "id int, raw string")
+    d = made(spark, sf_dir, NUMBERS)
     return d.select("id", T.normalize_document_number(F.col("raw")).alias("number"), T.display_document_number(F.col("raw")).alias("shown"), T.publication_year(F.col("raw"), F.lit(None).cast("date")).alias("year"))
 
 
 def dates_parsed(spark, sf_dir):
-    d = _values(spark, [(k, v) for k, v in enumerate(DATES)], "id int, raw string")
+    d = made(spark, sf_dir, DATES)
     return d.select("id", T.parse_date(F.col("raw")).cast("string").alias("day"))
 
 
 def family_titles(spark, sf_dir):
-    d = _values(spark, [(k, v) for k, v in enumerate(TITLES)], "id int, raw string")
+    d = made(spark, sf_dir, TITLES)
     return d.select("id", T.normalize_family_title(F.col("raw")).alias("title"))
 
 
 def norm_labels(spark, sf_dir):
-    d = _values(spark, [(k, v) for k, v in enumerate(NORMS)], "id int, raw string")
+    d = made(spark, sf_dir, NORMS)
     return d.select("id", F.array_join(T.norm_labels(F.col("raw")), ",").alias("labels"), (F.size(T.norm_labels(F.col("raw"))) == 0).alias("needs_model"))
 
 
 def effective_date_texts(spark, sf_dir):
-    d = _values(spark, EFFECTIVE, "policy_id string, text string, issued string").withColumn("issued", F.col("issued").cast("date"))
+    d = made(spark, sf_dir, EFFECTIVE)
     return G.effective_date_status(d, "policy_id", "text", "issued").select("policy_id", F.col("effective_date").cast("string").alias("effective_date"), "status")
 
 
-def _lit(v):
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-
-def _rows(rows, names):
-    return f"(VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) t({names})"
-
-
 _SP = r"[\s\x{3000}]+"
 _NUM = rf"regexp_replace(regexp_replace(translate(regexp_replace(raw, '{_SP}', '', 'g'), '（〔﹝［【(）〕﹞］】)', '[[[[[[]]]]]]'), '^([\x{{4e00}}-\x{{9fff}}]+字\[)((?:19|20)[0-9]{{2}})([0-9]{{1,6}}号)$', '\1\2]\3'), '(\[[0-9]{{4}}\])0+([0-9]+号)$', '\1\2')"
 _DATE = r"([0-9]{4})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})"
@@ -159,17 +151,17 @@ SELECT id AS relation_id, CASE WHEN n = 1 THEN b END AS target_policy_id FROM m"
     "same_title_links": "SELECT left_id, right_id FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS left_id, doc_id AS right_id FROM documents) WHERE left_id <> right_id",
     "backfill_validity": """SELECT c_custkey AS policy_id, CASE WHEN c_acctbal < 0 THEN 'invalid' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 'unknown' ELSE 'current' END AS validity_status FROM customer""",
     "document_numbers": f"""SELECT id, {_NUM} AS number, translate({_NUM}, '[]', '〔〕') AS shown,
-TRY_CAST(nullif(regexp_extract({_NUM}, '\\[((?:19|20)[0-9]{{2}})\\]', 1), '') AS INTEGER) AS year FROM {_rows(list(enumerate(NUMBERS)), "id, raw")}""",
+TRY_CAST(nullif(regexp_extract({_NUM}, '\\[((?:19|20)[0-9]{{2}})\\]', 1), '') AS INTEGER) AS year FROM ({as_duck(NUMBERS)})""",
     "dates_parsed": rf"""SELECT id, CAST(TRY_CAST(nullif(regexp_extract(raw, '{_DATE}', 1) || '-' || lpad(regexp_extract(raw, '{_DATE}', 2), 2, '0') || '-' || lpad(regexp_extract(raw, '{_DATE}', 3), 2, '0'), '-00-00') AS DATE) AS VARCHAR) AS day
-FROM {_rows(list(enumerate(DATES)), "id, raw")}""",
+FROM ({as_duck(DATES)})""",
     "family_titles": rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '{_SP}', '', 'g'), '^关于印发《?(.+?)》?的通知$', '\1'), '[（(](?:修订|试行|暂行)[）)]$', ''), '(?:修订版|试行|暂行)$', ''), '^[《》]+|[《》]+$', '', 'g') AS title
-FROM {_rows(list(enumerate(TITLES)), "id, raw")}""",
+FROM ({as_duck(TITLES)})""",
     "norm_labels": f"""SELECT id, CASE WHEN trim(raw) = '' THEN 'other' ELSE concat_ws(',', o, p, n) END AS labels, trim(raw) <> '' AND o IS NULL AND p IS NULL AND n IS NULL AS needs_model FROM (SELECT *,
 CASE WHEN regexp_matches(raw, '应当|必须|须[予由向将对按依在于为]|有义务') THEN 'obligation' END AS o,
 CASE WHEN regexp_matches(raw, '可以|可[向由在按依申请办理享有]|有权') THEN 'permission' END AS p,
-CASE WHEN regexp_matches(raw, '不得|严禁|禁止|不允许') THEN 'prohibition' END AS n FROM {_rows(list(enumerate(NORMS)), "id, raw")})""",
+CASE WHEN regexp_matches(raw, '不得|严禁|禁止|不允许') THEN 'prohibition' END AS n FROM ({as_duck(NORMS)}))""",
     "effective_date_texts": f"""WITH r AS (SELECT policy_id, TRY_CAST(nullif(regexp_replace(regexp_extract(text, '自\\s*(\\d{{4}}\\s*年\\s*\\d{{1,2}}\\s*月\\s*\\d{{1,2}})\\s*日\\s*起\\s*(?:施行|执行|生效)', 1), '\\s*[年月]\\s*', '-', 'g'), '') AS DATE) AS d,
-  regexp_matches(text, '自\\s*(?:发布|印发)\\s*之日\\s*起\\s*(?:施行|执行|生效)') AS rel, CAST(issued AS DATE) AS issued FROM {_rows(EFFECTIVE, "policy_id, text, issued")}),
+  regexp_matches(text, '自\\s*(?:发布|印发)\\s*之日\\s*起\\s*(?:施行|执行|生效)') AS rel, CAST(issued AS DATE) AS issued FROM ({as_duck(EFFECTIVE)})),
 g AS (SELECT policy_id, count(DISTINCT d) AS n, min(d) AS d, bool_or(rel) AS rel FROM (SELECT policy_id, d, rel FROM r UNION ALL SELECT policy_id, issued, rel FROM r WHERE rel) GROUP BY 1)
 SELECT policy_id, CASE WHEN n = 1 THEN CAST(d AS VARCHAR) END AS effective_date, CASE WHEN n > 1 THEN 'conflict' WHEN n = 1 THEN 'identified' WHEN rel THEN 'needs_review' ELSE 'unknown' END AS status FROM g""",
 }
