@@ -1,3 +1,9 @@
+import random
+import time
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
 from docgrid.llm import html_extract as H
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{{}}</style></head><body><header><h2>Site</h2></header>
@@ -8,16 +14,84 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{{}}</style></head>
 
 
 def test_blocks():
-    assert H.Page(PAGE.format(n=1, shared="s")).text(frozenset()) == "Title & 1\n\nFirst para bold line\n\nSecond 1 < 2\n\none\n\ntwo"
+    assert H.read(PAGE.format(n=1, shared="s")).text() == "Title & 1\n\nFirst para bold line\n\nSecond 1 < 2\n\none\n\ntwo"
 
 
 def test_odd_pages():
-    for source in ("", " ", "plain text", "<", "<p", "<p>a<!-- open", "</div></p>x", "<a href='x>y</a>", "<div>" * 3000 + "deep", "<![CDATA[x]]>"):
-        H.Page(source).text(frozenset())
-        H.Page(source).subtrees()
-    assert H.Page("plain &amp; text").text(frozenset()) == "plain & text"
-    assert H.Page("<body><div>a</div>b<p>c").text(frozenset()) == "a\n\nb\n\nc"
-    assert H.Page("<article><p>x<article><p>y</article></article>").text(frozenset()) == "x\n\ny"
+    for source in (None, "", " ", "plain text", "<", "<p", "<p>a<!-- open", "</div></p>x", "<a href='x>y</a>", "<div>" * 3000 + "deep", "<![CDATA[x]]>"):
+        page = H.read(source)
+        page.hashes(page.parts())
+        page.text()
+    assert H.read("plain &amp; text").text() == "plain & text"
+    assert H.read("<body><div>a</div>b<p>c").text() == "a\n\nb\n\nc"
+    assert H.read("<article><p>x<article><p>y</article></article>").text() == "x\n\ny"
+
+
+def test_nothing_of_the_text_is_lost():
+    assert H.read("<article><svg/><p>Hello world</p><svg></svg><p>Bye</p></article>").text() == "Hello world\n\nBye"
+    assert H.read('<div class="layout with-sidebar"><p>Body text</p></div>').text() == "Body text"
+    assert H.read('<article><div class="related-work">A</div><p class="notice">B</p><p>C</p></article>').text() == "A\n\nB\n\nC"
+    assert H.read('<div class="sidebar-right">x</div><div><p>The page\'s own words</p></div>').text() == "The page's own words"
+
+
+def test_comments_go_wherever_they_stand():
+    said = '<ol class="comment-list"><li><article class="comment-body"><p>First! A long comment that is longer than the article itself.</p></article></ol>'
+    assert H.read(f'<main><article><p>Own words</p></article><div id="comments">{said}</div></main>').text() == "Own words"
+    assert H.read(f"<article><p>Own words</p>{said}</article>").text() == "Own words"
+    assert H.read('<body class="comments"><div class="comments-open"><p>Own words</p></div></body>').text() == "Own words"
+    assert H.read('<article><p>Own words</p><div class="sidebar">Side</div><div class="notice">Kept</div></article>').text() == "Own words\n\nKept"
+
+
+def test_time_is_linear_in_the_page():
+    for piece in ("<svg/>", "<svg>", "<canvas>", "<b></i>", "<p><b>", "<li><td>", "<div></p>", "<!--x-->", "<a b='c'>"):
+        began = time.time()
+        H.read(piece * 40_000 + "end").text()
+        assert time.time() - began < 8, piece
+
+
+def test_counts_against_brute_force(spark):
+    """What recurs is counted over pages of different main text, by plain dictionaries here."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(160):
+        host = f"h{rng.choice([0, 0, 0, 1, 1, 2, 3])}"
+        words = " ".join(rng.choice("alpha beta gamma delta omega sigma".split()) + str(rng.randrange(40)) for _ in range(rng.randint(3, 40)))
+        ad = f"<div class='ad ad-{k}'>Buy {rng.randrange(6)} now</div>" if rng.random() < 0.8 else ""
+        box = "<section><h3>Latest</h3><ul><li>one<li>two</ul></section>" if rng.random() < 0.5 else "<section><h3>Other</h3></section>"
+        body = f"<article><h1>T{k}</h1><p>{words}</p><div>Licence</div></article>" if k % 3 else f"<div id=c><p>{words}</p><p>{words}</p></div>"
+        rows.append((k, f"http://{host}/{k}", f"{box}{ad}{body}tail {k % 4}"))
+    rows += [(1000 + k, f"{u}?copy", h) for k, u, h in rows[:30]] + rows[:5]
+    on, hosts = defaultdict(set), defaultdict(set)
+    pages = {(u, h): H.read(h) for _, u, h in rows}
+    told = {}
+    for (u, _), p in pages.items():
+        host, parts = u.split("/")[2], p.parts()
+        told[u] = [(i, *c) for (i, _), c in zip(parts, p.hashes(parts))]
+        hosts[host].add(p.text())
+        for _, place, content in told[u]:
+            on[host, place].add(p.text())
+            on[host, place, content].add(p.text())
+    often = lambda key: len(on[key]) >= H.MIN_PAGES and (len(on[key]) >= H.MIN_SHARE * len(hosts[key[0]]) or len(on[key]) >= H.MANY_PAGES)
+    want = {}
+    for (u, h), p in pages.items():
+        host = u.split("/")[2]
+        if len(hosts[host]) < H.MIN_PAGES:
+            continue
+        gone, recurs = set(), set()
+        for k, (i, place, content) in enumerate(told[u]):
+            if often((host, place)):
+                recurs.add(k)
+                uses = [len(v) for key, v in on.items() if key[:2] == (host, place) and len(key) == 3]
+                stock = sum(n for n in uses if n > 1) >= H.SHARED * sum(uses)
+                if (content and often((host, place, content))) or (stock and not p.inner[i]):
+                    gone.add(k)
+        want[u] = (gone, recurs)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keys = {r["key"]: r["url"] for r in df.select("url", F.xxhash64("url", "html").alias("key")).collect()}
+    got = {keys[r["page_key"]]: (set(r["gone"]), set(r["often"])) for r in H.recurring_parts(df).collect()}
+    assert got == want and sum(map(len, (g for g, _ in want.values()))) > 100
+    text = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert text == {k: pages[u, h].text(*map(frozenset, want[u])) if u in want else pages[u, h].text() for k, u, h in rows}
 
 
 def test_templates_are_removed(spark):
