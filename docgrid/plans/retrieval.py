@@ -111,6 +111,14 @@ ks AS (SELECT doc_id, round_even(least(0.15::DOUBLE, 0.15::DOUBLE * sum(CASE WHE
 QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, bm25_score, bm25_rank FROM bm",
+    "bm25_topk_each": f"""WITH {_POST},
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25_score
+  FROM post JOIN q USING (term) JOIN idf USING (term), st GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, doc_id) AS bm25_rank FROM sc QUALIFY bm25_rank <= 50""",
+    "vector_topk_each": """
+WITH sim AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0)
+SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS vector_rank FROM sim QUALIFY vector_rank <= 50""",
     "vector_topk": f"WITH {_VEC} SELECT vec_id, similarity, vector_rank FROM ve",
     "hybrid_search": f"""WITH {_BM25}, {_VEC},
 u AS (SELECT vec_id AS id, 1.0::DOUBLE / (60 + vector_rank) AS part FROM ve UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + bm25_rank) FROM bm)
