@@ -160,9 +160,9 @@ def latest_run(spark, sf_dir):
 
 
 #: Parts of a brand as the items of a list; every third list is no list of kinds of documents.
-TYPE_CLAUSES = """SELECT '' || p_partkey AS clause_id, p_brand || p_size AS parent_clause_id, CASE WHEN p_partkey % 7 = 0 THEN 'article' ELSE 'item' END AS level,
+TYPE_CLAUSES = """SELECT '' || p_partkey AS clause_id, p_brand || '-' || p_size AS parent_clause_id, CASE WHEN p_partkey % 7 = 0 THEN 'article' ELSE 'item' END AS level,
   '（' || p_size || '）' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' 适用' ELSE '。适用于' || p_name || '。' END AS raw_text FROM {part}
-  UNION ALL SELECT DISTINCT p_brand || p_size, NULL, 'article', CASE WHEN p_size % 3 = 0 THEN '一般规定' ELSE p_brand || '公文种类包括：' END FROM {part}"""
+  UNION ALL SELECT DISTINCT p_brand || '-' || p_size, NULL, 'article', CASE WHEN p_size % 3 = 0 THEN '一般规定' ELSE p_brand || '公文种类包括：' END FROM {part}"""
 
 
 def document_type_items(spark, sf_dir):
