@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.text import decision, strip
+from docgrid.operators.staging import cut
 
 
 def label_metrics(pairs: DataFrame, labels: list[str], predicted: str = "predicted", actual: str = "actual") -> DataFrame:
@@ -38,12 +39,22 @@ def error_codes(rows: DataFrame, column: str) -> DataFrame:
 
 
 def even_sample(rows: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:
-    """``limit`` evenly spaced rows of each group, first and last included: place round(p (n-1) / (limit-1)), half to even."""
-    w = Window.partitionBy(group)
-    r = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    """``limit`` evenly spaced rows of each group, first and last included: place round(p (n-1) / (limit-1)), half to even.
+
+    Rows are dealt by ranges of group and order, and places are counts of the ranges before plus the place within, so a
+    very large group is never one task.
+    """
+    keys = [F.col(group).alias("g"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)]]
+    by = [f"o{k}" for k in range(len(order))]
+    dealt = cut(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("rec"), *keys).repartitionByRange("g", *by).withColumn("part", F.spark_partition_id()))
+    of = Window.partitionBy("g")
+    counts = dealt.groupBy("g", "part").agg(F.count("*").alias("here"))
+    counts = counts.select(F.col("g").alias("of"), F.col("part").alias("at"), F.sum("here").over(of).alias("n"), F.coalesce(F.sum("here").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    r = dealt.join(counts, (F.col("part") == F.col("at")) & F.col("g").eqNullSafe(F.col("of")))
+    r = r.withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("g", "part").orderBy(*by)) - 1)
     # the wanted places of a group are at most ``limit``, listed in each row's group size
-    at = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda p: F.bround(p * (F.col("__n") - 1) / F.lit(max(limit - 1, 1))).cast("int"))
-    return r.filter((F.col("__n") <= limit) | F.array_contains(at, F.col("__i"))).drop("__i", "__n")
+    places = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda p: F.bround(p * (F.col("n") - 1) / F.lit(max(limit - 1, 1))).cast("long"))
+    return r.filter((F.col("n") <= limit) | F.array_contains(places, F.col("i"))).select("rec.*")
 
 
 # Sample categories and the words that put a clause into them; None asks for a parent instead.
