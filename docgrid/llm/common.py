@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,12 +57,43 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are removed at the end, but for those staged with ``kept``.
+
+    For operators that go through many tables to a small one, on which alone their result depends.
+    """
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            _remove(spark, path)
+        _open.paths = outer
+
+
+def observed(df: DataFrame, tag: str, **what: Column) -> tuple[DataFrame, dict]:
+    """``staged`` with the values of aggregations that are taken along while it is written."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(n) for n, c in what.items()]), tag)
+    return out, seen.get
+
+
+def staged(df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table goes with the ``scratch`` around it, unless it is ``kept``, and at the end of the process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrid-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not kept and getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

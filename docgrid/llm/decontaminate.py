@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged, unpacked
+from .common import packed, scratch, staged, unpacked
 
 MASKS = ("11111", "111011", "11010011")
 WINDOW = 20
@@ -127,7 +127,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     items of fewer than five words, which any text may hold by chance.  Of equal pairs from repeated rows the best
     alignment stays, ties going to the first word.  Empty tables give an empty result.  Other columns are ignored.
     """
-    of_text = staged(overlaps(docs, benchmark), "overlaps")
+    with scratch(docs.sparkSession):
+        of_text = staged(overlaps(docs, benchmark), "overlaps", kept=True)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("tkey"), "text")
     keyed = rows.join(limited(of_text.select("tkey").distinct()), "tkey", "left_semi")
     told = keyed.join(of_text, ["tkey", "text"]).groupBy("key", "item_id").agg(F.min("top").alias("top"))
@@ -141,6 +142,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stay, long texts are searched as wholes, repeated rows go or stay together, an empty table gives an empty result
     and no column is touched, whatever its name.
     """
-    leaked = limited(staged(overlaps(docs, benchmark).select("tkey").distinct(), "leaks"))
+    with scratch(docs.sparkSession):
+        leaked = limited(staged(overlaps(docs, benchmark).select("tkey").distinct(), "leaks", kept=True))
     keyed = docs.select(packed(docs.columns).alias("rec"), F.xxhash64("text").alias("tkey"))
     return keyed.join(leaked, "tkey", "left_anti").select(*unpacked("rec", docs.columns))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_limit, map_rows, packed, staged, unpacked
+from .common import hash_limit, map_rows, packed, scratch, staged, unpacked
 
 ORDERS = 4
 SLOT_BITS = 20
@@ -137,20 +137,21 @@ def fit(docs: DataFrame, usable: Column) -> KernelModel:
     The sample's texts stay on the executors.  What reaches the driver are the numbers of ``NGRAMS`` slots at most (those
     most frequent in a language) and a row of as many bits for each text of the sample.
     """
-    sample = training_sample(docs, usable)
-    had = map_rows(sample, lambda: lambda c: {"lang": c["lang"], "slots": [np.unique(np.concatenate(slots(t))).tolist() for t in c["text"]]}, "lang string, slots array<int>")
-    total = sample.groupBy("lang").agg(F.count("*").alias("of"))
-    share = had.select("lang", F.explode("slots").alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n")).join(F.broadcast(total), "lang")
-    top = share.groupBy("slot").agg(F.max((F.col("n") / F.col("of")).cast("float")).alias("share")).orderBy(F.desc("share"), "slot").limit(NGRAMS)
-    column = alphabet([r["slot"] for r in top.collect()])
-    n = int(column.max()) if len(column) else 0
-
-    def bits(c):
-        return {"k": c["k"], "lang": c["lang"], "bits": [np.packbits(row > 0).tobytes() for row in presence(c["text"], column, n)]}
-
-    got = sorted((r["k"], r["lang"], r["bits"]) for r in map_rows(sample, lambda: bits, "k long, lang string, bits binary").collect())
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, _, b in got], np.float32).reshape(len(got), n)
-    return train(x, [v for _, v, _ in got], column)
+    with scratch(docs.sparkSession):
+        sample = training_sample(docs, usable)
+        had = map_rows(sample, lambda: lambda c: {"lang": c["lang"], "slots": [np.unique(np.concatenate(slots(t))).tolist() for t in c["text"]]}, "lang string, slots array<int>")
+        total = sample.groupBy("lang").agg(F.count("*").alias("of"))
+        share = had.select("lang", F.explode("slots").alias("slot")).groupBy("lang", "slot").agg(F.count("*").alias("n")).join(F.broadcast(total), "lang")
+        top = share.groupBy("slot").agg(F.max((F.col("n") / F.col("of")).cast("float")).alias("share")).orderBy(F.desc("share"), "slot").limit(NGRAMS)
+        column = alphabet([r["slot"] for r in top.collect()])
+        n = int(column.max()) if len(column) else 0
+
+        def bits(c):
+            return {"k": c["k"], "lang": c["lang"], "bits": [np.packbits(row > 0).tobytes() for row in presence(c["text"], column, n)]}
+
+        got = sorted((r["k"], r["lang"], r["bits"]) for r in map_rows(sample, lambda: bits, "k long, lang string, bits binary").collect())
+        x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, _, b in got], np.float32).reshape(len(got), n)
+        return train(x, [v for _, v, _ in got], column)
 
 
 def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,9 +1,9 @@
 """SimHash near-duplicate detection with pigeonring filtering.
 
-The 64 bits lie in eight segments on a ring.  If two fingerprints differ in at most two bits, there is a segment from
+The 64 bits lie in sixteen segments on a ring.  If two fingerprints differ in at most two bits, there is a segment from
 which every chain of consecutive segments stays within its proportional budget: the first ``l`` segments differ in at
-most ``floor(l * 2 / 8)`` bits in sum.  So the first three segments of that chain are equal: they are the join key, and
-longer chains and the whole Hamming distance are checked for what the key brings together.
+most ``floor(l * 2 / 16)`` bits in sum.  So the first seven segments of that chain are equal: these 28 bits are the join
+key, and longer chains and the whole Hamming distance are checked for what the key brings together.
 
 Only distinct fingerprints are compared.  A key with more than ``BUCKET`` of them isn't compared pair by pair: its
 fingerprints are linked, exactly, through the 65 values at a distance of at most one from each, since two fingerprints
@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged
+from .common import map_rows, observed, packed, scratch, staged, unpacked
 
 SEED = 42
 WORDS = 3
 DISTANCE = 2
-SEGMENTS = 8
+SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
-CHAIN = 3
+CHAIN = 7
 BUCKET = 2048
 BLOCK = 1 << 17
 
@@ -128,11 +128,11 @@ def links(distinct: DataFrame) -> DataFrame:
     ring = []
     for i in range(SEGMENTS):
         turned = F.when(F.lit(i > 0), F.shiftrightunsigned("fp", i * WIDTH).bitwiseOR(F.shiftleft("fp", 64 - i * WIDTH))).otherwise(F.col("fp")) if i else F.col("fp")
-        ring.append(F.struct(F.shiftleft(turned.bitwiseAND((1 << CHAIN * WIDTH) - 1), 3).bitwiseOR(F.lit(i)).alias("key"), F.lit(i).cast("long").alias("first")))
+        ring.append(F.struct(F.shiftleft(turned.bitwiseAND((1 << CHAIN * WIDTH) - 1), 4).bitwiseOR(F.lit(i)).alias("key"), F.lit(i).cast("long").alias("first")))
     keyed = distinct.select(F.explode(F.array(*ring)).alias("r"), "fp").select("r.key", "r.first", "fp")
-    # sorted by key and counted in one shuffle; alone in a bucket means no partner there
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    small = keyed.filter(F.col("n") <= BUCKET).select("key", "first", "fp").sortWithinPartitions("key")
+    # alone in a bucket means no partner there
+    keyed = keyed.join(staged(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys"), "key")
+    small = keyed.filter(F.col("n") <= BUCKET).select("key", "first", "fp").repartition("key").sortWithinPartitions("key")
     near = small.mapInArrow(_bucket_edges, "a long, b long")
     crowd = keyed.filter(F.col("n") > BUCKET).select("fp").distinct()
     around = crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(64)])).alias("mid"))
@@ -152,13 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours go to the smallest of a node and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        now = staged(small, "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, mark = observed(small, "stars", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if mark == seen:
             return now.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
         seen = mark
@@ -171,29 +170,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and a component of such only has a null one.  Null, empty and blank texts have fingerprint zero and link as others;
     repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    rows = staged(fingerprints(docs), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = staged(least, "least")
-    roots = staged(components(links(least.select("fp"))), "roots")
-    joined = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    to = joined.join(of_root, "root").select("fp", "component_id")
+    rows = staged(fingerprints(docs), "fingerprints", kept=True)
+    with scratch(docs.sparkSession):
+        least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+        roots = staged(components(links(least.select("fp"))), "roots")
+        joined = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+        to = staged(joined.join(of_root, "root").select("fp", "component_id"), "components", kept=True)
     out = rows.join(to, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component.
+    """``docs`` with one row of each near-duplicate component; no column is touched, whatever its name.
 
-    Components are those of ``jaccard``: five-word shingle sets with a similarity of at least 0.8.  The row with the
-    smallest doc_id stays, one without an id only where no other is there; of rows that repeat this doc_id the first by
-    text and then by the other columns' values as JSON.
+    Components are those of ``jaccard``: five-word shingle sets with a similarity of at least 0.8, whatever the texts'
+    length; null, empty and blank texts are one component.  The row with the smallest doc_id stays, one without an id
+    only where no other is there; of rows that repeat this doc_id the one with the least hash of all columns but maps.
+    An empty table gives an empty result.
     """
     from . import jaccard
 
-    roots = staged(jaccard.text_roots(docs).withColumnsRenamed({"text_key": "__key", "root": "__root"}), "text_roots")
-    least = docs.select("doc_id", F.xxhash64("text").alias("__key")).join(roots, "__key").groupBy("__root").agg(F.min("doc_id").alias("__least"))
-    known = docs.withColumn("__key", F.xxhash64("text")).join(roots.join(least, "__root"), "__key").filter(F.col("doc_id").eqNullSafe(F.col("__least")))
-    order = Window.partitionBy("__root").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"}))
-    known = known.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # a null leaves the hash as it is, so whether a value is null is hashed too
+    hash_ = F.xxhash64(*[part for c in hashed for part in (c.isNull(), c)])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), hash_.alias("hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    # which rows stay is found on ids and hashes; the rows themselves move once, dealt by a hash that copies don't share
+    with scratch(docs.sparkSession):
+        first = rows.join(jaccard.text_roots(docs), "text_key").groupBy("root").agg(F.min(order)["hash"].alias("hash"))
+        stay = staged(first.select("hash").distinct(), "stay", kept=True)
+    whole = docs.select(packed(docs.columns).alias("rec"), hash_.alias("hash")).join(stay, "hash")
+    place = F.row_number().over(Window.partitionBy("hash").orderBy(F.xxhash64("rec.text")))
+    return whole.withColumn("place", place).filter("place = 1").select(*unpacked("rec", docs.columns))
