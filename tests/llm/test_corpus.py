@@ -1,15 +1,18 @@
 """Operators over whole tables, against brute force."""
 
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from docgrid.llm import decontaminate, mixing, sharding, simhash
+from docgrid.llm import common, decontaminate, jaccard, mixing, sharding, simhash
 
 from .conftest import ROWS
 
@@ -92,7 +95,7 @@ def test_pigeonring_keeps_every_close_pair():
     a = rng.integers(0, 2**63, 3000, np.uint64)
     b = a ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
     passed = set()
-    for i in range(8):
+    for i in range(simhash.SEGMENTS):
         passed |= set(simhash.within(a, b, np.full(3000, i)).tolist())
     assert len(passed) == 3000
     assert not len(simhash.within(a, ~a, np.zeros(3000, np.int64)))
@@ -106,6 +109,26 @@ def test_keep_one(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_wide_filter_keeps_what_is_near():
+    """Chains of words within their budgets never lose a pair that the Hamming check keeps."""
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, (4000, jaccard.WIDE), np.uint64)
+    b = a.copy()
+    for row, n in zip(b, rng.integers(0, 120, 4000), strict=True):
+        for bit in rng.choice(64 * jaccard.WIDE, n, replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    apart = np.bitwise_count(a ^ b).sum(axis=1)
+    assert (jaccard.within(a, b) == (apart <= jaccard.BUDGET)).all()
+
+
+def test_similar_pairs_are_exact():
+    rng = np.random.default_rng(5)
+    base = rng.choice(10**6, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(200, 300), replace=False), rng.integers(0, 10**6, rng.integers(0, 40)).astype(np.uint64)))) for _ in range(60)] + [np.empty(0, np.uint64)]
+    got = jaccard.similar_pairs(sets[:30], sets[30:])
+    assert (got == [[bool(len(x)) and bool(len(y)) and jaccard.similarity(x, y) >= 0.8 for y in sets[30:]] for x in sets[:30]])[:, :-1].all()
+
+
 def brute_leaks(docs, items):
     out = set()
     for d, text in docs:
@@ -145,8 +168,21 @@ def test_leaks(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def test_repeated_words_against_a_repeated_item(spark):
+    """As many hits as words times words, and as many alignments as words."""
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "b c a"), (3, "b " * 9 + "a " * 18)], "doc_id long, text string")
+    began = time.time()
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(7, "a " * 60), (8, "a " * 20)], "item_id long, text string")).collect()
+    assert time.time() - began < 30
+    assert sorted(tuple(r) for r in got) == [(1, 7, 60, 60, 0), (1, 8, 20, 20, 0), (3, 7, 18, 60, -33), (3, 8, 18, 20, 7)]
+
+
+@pytest.mark.parametrize("blocks", [8, 0])
+def test_leaks_in_blocks(spark, monkeypatch, blocks):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 20)
+    monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 2 if blocks else 1_000_000)
+    monkeypatch.setattr(decontaminate, "PIECE", 4)
     rng = random.Random(3)
     items = [(k, words(rng, 12)) for k in range(6)]
     df = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
@@ -182,6 +218,82 @@ def test_mixing(spark, docs, none):
     assert mixing.with_copies(docs).count() == len(ROWS) and mixing.mix(none).count() == 0 and mixing.with_copies(none).count() == 0
 
 
+def brute_tree(rows, shards, spread=None, first=0):
+    """Rows of (size, tie, length, lang, source, id); the shard of each, by a k-d tree over sorted rows."""
+    if shards == 1 or not rows:
+        return {r[-1]: first for r in rows}
+    wide = {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in (2, 3, 4)}
+    spread = spread or {d: max(1, w) for d, w in wide.items()}
+    d = max((2, 3, 4), key=lambda k: wide[k] / spread[k])
+    rows, goal, run = sorted(rows, key=lambda r: (r[d], r[1])), sum(r[0] for r in rows) * (shards // 2) / shards, 0
+    cells = [list(g) for _, g in itertools.groupby(rows, key=lambda r: (r[d], r[1]))]
+    for k, cell in enumerate(cells):
+        weight = sum(r[0] for r in cell)
+        if run + weight >= goal:
+            k += run + weight - goal <= goal - run
+            break
+        run += weight
+    left, right = ([r for c in part for r in c] for part in (cells[:k], cells[k:]))
+    return brute_tree(left, shards // 2, spread, first) | brute_tree(right, shards - shards // 2, spread, first + shards // 2)
+
+
+def test_tree_is_the_sorted_one(spark):
+    rng = random.Random(11)
+    rows = [(i, "x" * int(rng.expovariate(1 / 90)), rng.choice(["en", "de", None]), f"s{int(rng.random() ** 3 * 9)}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    meta = df.select("doc_id", *[c.alias(n) for n, c in sharding.metadata().items()], F.lit(1).cast("long").alias("occ")).withColumn("tie", sharding.tie())
+    want = brute_tree([(r["size"], r["tie"], r["length"], r["lang"], r["source"], r["doc_id"]) for r in meta.collect()], 24)
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df).collect()} == want
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Half of the rows are one row, ids are null or texts, and columns are named like results and helpers."""
+    rows = [("same", "y" * 200, "en", "a")] * 3000 + [(None, None, None, None)] * 200 + [(f"d{i}", "z" * (i % 400), "de", "b") for i in range(2800)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string").selectExpr("*", "'x' AS Size", "'x' AS SHARD", "'x' AS rid", "'x' AS rec", "'x' AS occ", "'x' AS tie", "'x' AS id")
+    out = sharding.shard_documents(df)
+    assert out.columns == ["doc_id", "text", "lang", "source", "rid", "rec", "occ", "tie", "id", "size", "text_crc32", "shard", "slot"]
+    got = out.collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows) and {r["rid"] for r in got} == {"x"}
+    weight, slots = Counter(), defaultdict(list)
+    for r in got:
+        weight[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(weight.values()) / 24
+    assert len(weight) == 24 and max(abs(w - mean) for w in weight.values()) <= 2 * 408
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_occurrences_count_equal_rows(spark):
+    df = spark.range(500).selectExpr("id AS rid", "CASE WHEN id < 300 THEN 'hot' ELSE concat('c', id % 50) END AS id")
+    got = defaultdict(list)
+    for r in common.occurrences(df, "id", "test").collect():
+        got[r["id"]].append(r["occ"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values()) and len(got["hot"]) == 300
+
+
+def test_mixing_whatever_the_names_and_ids(spark):
+    rows = [(f"d{i}" if i % 3 else None, "w " * (1 + i % 7), ["a", "b", None][i % 3]) for i in range(300)] + [("same", "w w w", "a")] * 300
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string").selectExpr("*", "'x' AS Size", "'x' AS COPIES", "'x' AS rank", "'x' AS skey", "'x' AS rid", "'x' AS __size")
+    out = mixing.with_copies(df)
+    assert out.columns == ["doc_id", "text", "source", "rank", "skey", "rid", "__size", "size", "source_size", "target", "copies"]
+    got = out.collect()
+    assert len(got) == 600 and all(r["size"] == len(r["text"].split()) and 0 <= r["copies"] <= 2 for r in got)
+    taken, target = Counter(), {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 7 for s in target)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.filter("Size <> 'x' OR __size <> 'x'").count() == 0 and mixed.count() == sum(r["copies"] for r in got)
+
+
+def test_crossings_are_exact_far_out(spark):
+    """Whole numbers: no place is taken more than twice, however many documents come before it."""
+    places = [1, 2**32, 2**32 + 1, 2**36, 2**37 - 1]
+    df = spark.createDataFrame([(p,) for p in places], "p long")
+    got = df.select(mixing.crossed(F.col("p") - 1, F.col("p"), F.lit(2 * mixing.ONE).cast("long"), F.lit(mixing.ONE - 1).cast("long")).alias("n")).collect()
+    assert [r["n"] for r in got] == [2] * 5
+
+
 def test_sharding(spark, docs, none):
     rng = random.Random(6)
     rows = [(i, "x" * int(rng.expovariate(1 / 200)), rng.choice(["en", "de"]), f"s{int(rng.random() ** 3 * 9)}") for i in range(6000)]

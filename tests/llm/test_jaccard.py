@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docgrid.llm import jaccard, simhash
 
 from .test_corpus import WORD, words
@@ -36,8 +38,12 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def test_near_copies_are_found(spark):
-    """Copies with edits on both sides of the threshold, chains of them and a large group around one text."""
+@pytest.mark.parametrize(("few", "block"), [(16, 512), (2, 8)])
+def test_near_copies_are_found(spark, monkeypatch, few, block):
+    """Copies with edits on both sides of the threshold, chains of them and a large group around one text; small limits
+    send buckets through tiles of several blocks."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     rng = random.Random(3)
     texts = [words(rng, rng.randint(1, 200)) for _ in range(60)]
     rows = list(enumerate(texts))

@@ -72,12 +72,21 @@ def test_stages(spark, folder):
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_columns_with_clashing_names_stay(spark, folder):
+NAMES = "score lang_pred Size copies fingerprint item_id SHARD __text __n __size __lang __score rec rid hash root tkey Slot n key".split()
+
+
+def test_columns_with_clashing_names_stay(spark, folder, tmp_path):
     path, _, _ = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "'x' score", "'x' lang_pred", "'x' size", "'x' copies", "'x' fingerprint", "'x' item_id")
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *[f"'x' AS `{n}`" for n in NAMES])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, path)
-        assert docs.filter("score <> 'x' OR lang_pred <> 'x' OR size <> 'x' OR copies <> 'x' OR fingerprint <> 'x' OR item_id <> 'x'").count() == 0, name
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() > 50 and docs.filter(" OR ".join(f"`{n}` <> 'x' OR `{n}` IS NULL" for n in NAMES)).count() == 0, name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    out.write.parquet(f"{tmp_path}/last")
+    assert {"size", "shard", "slot", "text_crc32"} <= set(out.columns) and not {"Size", "SHARD", "Slot"} & set(out.columns)
 
 
 def test_run_and_queries(spark, folder):

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import unicodedata
 import wave
 import zlib
 
@@ -12,9 +13,10 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from docgrid.llm import language, media, quality, token_count
-from docgrid.llm.common import held_out
+from docgrid.llm.common import hash_limit, held_out
 
 from .conftest import ROWS
 
@@ -58,6 +60,12 @@ def test_tokens_when_the_cache_is_full(monkeypatch):
 def test_proof_refuses_a_model_that_normalises():
     assert "▁" in token_count.prove(PROTO)
     assert all(len(SP.encode(p[1:])) == 1 for p in list(COUNTING.whole)[:500] if p != "▁")
+    for change in ({"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {"precompiled_charsmap": b"x"}):
+        model = sentencepiece_model_pb2.ModelProto.FromString(PROTO)
+        for name, value in change.items():
+            setattr(model.normalizer_spec, name, value)
+        with pytest.raises((ValueError, RuntimeError)):
+            token_count.prove(model.SerializeToString())
 
 
 def test_media_round_trip(docs, none):
@@ -77,6 +85,21 @@ def test_media_round_trip(docs, none):
     assert media.media_digest(media.media_columns(none)).count() == 0
 
 
+def test_media_fingerprint_by_definition():
+    """Transforms as sums, the strongest lines by comparison, pairs by loops."""
+    text = "".join(chr(int(c)) for c in np.random.default_rng(6).integers(32, 122, 192 * 9))
+    n = np.arange(192)
+    hann, lines = 0.5 - 0.5 * np.cos(2 * np.pi * n / 191), np.exp(-2j * np.pi * np.outer(np.arange(1, 97), n) / 192)
+    top = []
+    for f in np.frombuffer(text.encode(), np.uint8).astype(float).reshape(-1, 192):
+        power = np.abs(lines @ ((f - f.mean()) * hann))
+        assert np.abs(power % 1 - 0.5).min() > 1e-4  # no line's rounding is in doubt
+        top.append(sorted(sorted(range(1, 97), key=lambda k: (-round(power[k - 1]), k))[:2]))
+    want = sorted((t, a << 16 | b << 8 | gap) for t in range(len(top)) for gap in (1, 2, 3) if t + gap < len(top) for a in top[t] for b in top[t + gap])
+    times, pairs = media.fingerprint(media.padded(text.encode()))
+    assert list(zip(times.tolist(), pairs.tolist())) == want
+
+
 def test_media_frames_in_blocks_are_the_same():
     samples = media.padded(np.random.default_rng(1).integers(32, 122, 20_000, np.uint8).tobytes())
     assert (media.peaks(samples, 7) == media.peaks(samples)).all()
@@ -100,14 +123,51 @@ def test_language(spark, docs, none):
 
 
 def test_kernel_is_the_presence_kernel():
-    model = language.train(["aba", "abc", "xyz"], ["p", "p", "q"])
-    x = model.presence(["aba", "abab", "xyz"])
+    texts = ["aba", "abc", "xyz"]
+    column = language.alphabet(sorted({int(x) for t in texts for s in language.slots(t) for x in s}))
+    x = language.presence(["aba", "abab", "xyz"], column, int(column.max()))
     grams = lambda t: {f" {t} "[i : i + n] for n in range(1, 5) for i in range(len(t) + 3 - n)}
     known = grams("aba") | grams("abc") | grams("xyz")
     assert (x @ x.T)[0, 1] == len(grams("aba") & grams("abab") & known)
     assert (x @ x.T)[0, 2] == len(grams("aba") & grams("xyz"))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=8))
+def test_letters_are_letters(text):
+    assert language.has_letter(text) == any(unicodedata.category(c)[0] == "L" for c in text)
+
+
+def test_signs_are_no_language(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["½ ² ٣ _ 12", "Ⅷ ①", "a½", "ª", "日"])]
+    model = language.fit(spark.createDataFrame([(k, "the cat and the dog", "en") for k in range(9)], "doc_id long, text string, lang string"), F.lit(True))
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(got)] == ["und", "und", "en", "en", "en"]
+
+
+def test_samples_are_bounded(spark):
+    """However many rows there are, the least hashes are taken, and never more than asked for."""
+    for n in (10, 10**6, 10**11, 10**15):
+        share = (hash_limit(1.2 * 500 + 50, n) + (1 << 63)) / (1 << 64)
+        assert min(1, 640 / n) <= share <= min(1, 660 / n)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text number ', id) AS text", "concat('l', id % 5) AS lang").unionAll(spark.range(2000).selectExpr("CAST(NULL AS long)", "'the same text'", "'l0'"))
+    sample = language.training_sample(docs, F.lit(True), 40, 3)
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert len(counts) == 3 and "l0" in counts and set(counts.values()) == {40}
+    least = sorted(r["k"] for r in docs.filter("lang = 'l0'").select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("k")).distinct().collect())[:40]
+    assert sorted(r["k"] for r in sample.filter("lang = 'l0'").collect()) == least
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality").unionAll(spark.range(500).selectExpr("7 AS doc_id", "1 AS quality"))
+    copies = docs.unionAll(spark.range(500).selectExpr("7 AS doc_id", "'seven' AS text", "'x'"))
+    seen = []
+    grow = quality.grow
+    try:
+        quality.grow = lambda x, y: seen.append(len(y)) or grow(x, y)
+        quality.fit(copies, labels, F.lit(True), sample=100)
+    finally:
+        quality.grow = grow
+    assert seen and 95 <= seen[0] <= 100
+
+
 def test_quality(spark, docs, none):
     rows = [(i, ("clean prose of words. " if i % 2 else "J@@NK $$$ ### ") * (3 + i % 7), i % 2) for i in range(400)]
     train = spark.createDataFrame(rows, "doc_id long, text string, quality int")
