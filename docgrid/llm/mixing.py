@@ -5,9 +5,9 @@ these expectations are prefix-summed, a random offset of the source is added, an
 whole number that its interval crosses.  Documents go by falling size, so that the words taken differ from the target
 by less than the source's largest document.
 
-The offset is the source's random number, or where this takes words over ``NEAR`` off the target (a source of few large
-documents) the first of its ``TURNS`` even turns that does not, else the nearest; the counts of sizes tell this without a
-look at the documents.  So in all but small sources documents are taken as often as their rate says.
+The offset is the source's random number, or where this takes words over ``NEAR`` off the target (in a source of not so
+many documents) the first of its ``TURNS`` even turns that does not, else the nearest; the counts of sizes tell this
+without a look at the documents.  So in large sources documents are taken as often as their rate says.
 
 Rates and offsets are whole numbers of 2^-24, so the crossings are exact for up to 2^37 documents of a source.
 """
@@ -24,7 +24,7 @@ SHARE = 1.5
 MOST = 2
 WORD = r"[^\x20\x09-\x0D]+"
 TURNS = 32
-NEAR = 0.01
+NEAR = 0.001
 BITS = 24
 ONE = 1 << BITS
 

@@ -116,7 +116,7 @@ p AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, (u0 + k * 524288) % 16777216 AS u FROM p, range(32) x(k)),
 m AS (SELECT source, k, u, abs(sum(size * (((place * rate + u) >> 24) - (((place - 1) * rate + u) >> 24))) - target) AS miss, target FROM k GROUP BY source, k, u, target),
-b AS (SELECT source, u FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss > target * 0.01::DOUBLE, CASE WHEN miss > target * 0.01::DOUBLE THEN miss ELSE 0 END, k) = 1),
+b AS (SELECT source, u FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss > target * 0.001::DOUBLE, CASE WHEN miss > target * 0.001::DOUBLE THEN miss ELSE 0 END, k) = 1),
 c AS (SELECT p.*, ((place * rate + u) >> 24) - (((place - 1) * rate + u) >> 24) AS copies FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
