@@ -97,6 +97,14 @@ def staged(df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_KEYS = 1_000_000
+
+
+def limited(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """``keys`` marked for broadcasting if they are at most ``most`` (``BROADCAST_KEYS``); they are counted for that."""
+    return F.broadcast(keys) if keys.count() <= (most or BROADCAST_KEYS) else keys
+
+
 def packed(columns: list[str]) -> Column:
     """Columns as one struct, so that none of their names can meet one of an operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in columns])

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, scratch, staged, unpacked
+from .common import limited, packed, scratch, staged, unpacked
 
 MASKS = ("11111", "111011", "11010011")
 WINDOW = 20
@@ -24,7 +24,6 @@ SIMILARITY = 0.8
 BROADCAST_SEEDS = 400_000
 BLOCKS = 8
 PIECE = 1024
-BROADCAST_TEXTS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -90,11 +89,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return verified(some.join(diags, "tkey").join(limited(items, BROADCAST_SEEDS), "ikey"))
 
 
-def limited(keys: DataFrame, most: int | None = None) -> DataFrame:
-    """``keys`` marked for broadcasting if they are at most ``most`` (``BROADCAST_TEXTS``); they are counted for that."""
-    return F.broadcast(keys) if keys.count() <= (most or BROADCAST_TEXTS) else keys
-
-
 def verified(found: DataFrame) -> DataFrame:
     """tkey, text, item_id, top from rows of tkey, text, dw, item_id, iw and diags: the best of the alignments that pass."""
     size, width = F.size("iw"), F.least(F.size("iw"), F.lit(WINDOW))

@@ -181,7 +181,7 @@ def test_repeated_words_against_a_repeated_item(spark):
 def test_leaks_in_blocks(spark, monkeypatch, blocks):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 20)
     monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
-    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 2 if blocks else 1_000_000)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 2 if blocks else 1_000_000)
     monkeypatch.setattr(decontaminate, "PIECE", 4)
     rng = random.Random(3)
     items = [(k, words(rng, 12)) for k in range(6)]
