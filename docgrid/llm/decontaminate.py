@@ -69,7 +69,7 @@ def hits(texts: DataFrame, planted: DataFrame) -> DataFrame:
     if blocks > BLOCKS:
         found = seen.join(planted, "seed")
     else:
-        found = reduce(DataFrame.unionByName, [seen.join(F.broadcast(planted.filter(F.pmod("ikey", F.lit(blocks)) == b)), "seed") for b in range(blocks)])
+        found = reduce(DataFrame.unionByName, [seen.join(F.broadcast(planted.filter(F.pmod(F.xxhash64("seed", "ikey", "ipos"), F.lit(blocks)) == b)), "seed") for b in range(blocks)])
     return found.select("tkey", "ikey", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct()
 
 
@@ -86,7 +86,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     some = some.select("tkey", "text", word_hashes(F.col("text")).alias("dw"))
     # an item and a text have as many alignments as words at most
     diags = found.groupBy("tkey", "ikey").agg(F.collect_list("diag").alias("diags"))
-    return verified(some.join(diags, "tkey").join(limited(items, BROADCAST_SEEDS), "ikey"))
+    return verified(some.join(diags, "tkey").join(items, "ikey"))
 
 
 def verified(found: DataFrame) -> DataFrame:
