@@ -121,14 +121,6 @@ def ranked(scored: DataFrame, key: str, score: str, rank: str, top_k: int, ids:
     return best.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(key))))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, similarity, vector_rank) of the nearest vectors to the one-row table ``query`` (column query_vector).
 

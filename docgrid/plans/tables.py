@@ -89,7 +89,14 @@ def empty_cells(spark, sf_dir):
     return s.select("id", F.round(T.empty_ratio(F.flatten("grid")), 4).alias("empty_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (table_headers, table_cells, table_column_keys, table_classes, form_fields, column_types, table_filters, table_page, text_row_filters, catalog_search, nearest_heading, empty_cells)}
+def table_identities(spark, sf_dir):
+    """Parts' headings with a code before the title, without one and with one that is too short."""
+    h = made(spark, sf_dir, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' X' || (100000 + p_partkey) || ' ' || p_name WHEN 1 THEN p_name ELSE 'X1' || p_size || ' ' || p_type END AS heading FROM {part}")
+    code, title = T.table_identity(F.col("heading"))
+    return h.select("p_partkey", code.alias("code"), title.alias("title"))
+
+
+QUERIES = {f.__name__: f for f in (table_headers, table_cells, table_column_keys, table_classes, form_fields, column_types, table_filters, table_page, text_row_filters, catalog_search, nearest_heading, table_identities, empty_cells)}
 _F = "l_returnflag = 'R' AND l_quantity >= 10 AND l_discount <= 0.05"
 SQL = {
     "table_headers": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '项目; 合计经费 / 预算经费; 合计经费 / 决算' WHEN 1 THEN 'Name; Name; A-B ' || p_brand WHEN 2 THEN '姓名; ' || p_name ELSE '' END AS headers, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS n_rows FROM part",
@@ -114,5 +121,6 @@ FROM events GROUP BY 1, 2""",
     "nearest_heading": """WITH h AS (SELECT *, CASE WHEN role = 'user' THEN text END AS h FROM conversations)
 SELECT conv_id, turn, heading FROM (SELECT conv_id, turn, role, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
 first_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS heading FROM h) WHERE role = 'assistant'""",
+    "table_identities": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey < 900000 THEN 'X' || (100000 + p_partkey) ELSE '' END AS code, CASE p_partkey % 3 WHEN 2 THEN 'X1' || p_size || ' ' || p_type ELSE p_name END AS title FROM part",
     "empty_cells": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 0.0833::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS empty_ratio FROM part",
 }
