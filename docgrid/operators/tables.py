@@ -146,8 +146,10 @@ def infer_types(cells: DataFrame, by: list[str], value: str = "value", row: str
     """The type of each column from its first ``sample`` rows: INTEGER, BIGINT, DOUBLE PRECISION, DATE or TEXT."""
     c = cells.filter(F.col(row) < sample).withColumn("v", plain_number(F.col(value))).filter("v <> ''")
     whole = F.col("v").rlike(r"^[-+]?\d+$")
+    # only whole numbers are cast, as a cast that fails costs far more than a match
+    c = c.withColumn("whole", whole).withColumn("n", F.when(F.col("whole"), F.expr("try_cast(v AS bigint)")))
     g = c.groupBy(*by).agg(
-        F.bool_and(whole).alias("whole"), F.bool_and(F.expr("try_cast(v AS int)").isNotNull() & whole).alias("i32"), F.bool_and(F.expr("try_cast(v AS bigint)").isNotNull() & whole).alias("i64"),
+        F.bool_and("whole").alias("whole"), F.bool_and(F.col("n").isNotNull() & F.col("n").between(-(1 << 31), (1 << 31) - 1)).alias("i32"), F.bool_and(F.col("n").isNotNull()).alias("i64"),
         F.bool_and(F.col("v").rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")).alias("real"), F.bool_and(strip(F.col(value)).rlike(DATE_CELL)).alias("day"),
     )
     kind = F.when(F.col("i32"), "INTEGER").when(F.col("i64"), "BIGINT").when(F.col("whole"), "TEXT").when(F.col("real"), "DOUBLE PRECISION").when(F.col("day"), "DATE").otherwise("TEXT")
