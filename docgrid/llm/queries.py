@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language, media, mixing, quality, sharding, simhash, token_count
+from . import chat, decontaminate, html_extract, language, media, mixing, prefix_trie, quality, sharding, simhash, token_count
 from .common import held_out, table
 
 
@@ -73,8 +73,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_kd_sharding, op4_mixing, op5_media, op6_simhash, op7_decontaminate, op8_language, op9_token_count, op10_html_extract)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_chat_format, op2_quality, op3_kd_sharding, op4_mixing, op5_media, op6_simhash, op7_decontaminate, op8_language, op9_token_count, op10_html_extract,
+            op13_prefix_trie,
+        )
+    }
 
 
 #: How many characters the escapes add to a text: one for each backslash, "<|" and "|>".
@@ -143,5 +154,32 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, d
 """
 
 
+_OP13 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, CAST(xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)), 4294967295::BIGINT)) % 9 AS BIGINT) AS h FROM l),
+r AS (SELECT h.conv_id, coalesce(b.turns, [])[1:h] || h.turns[h + 1:] AS turns FROM h LEFT JOIN l b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(turns) AS n, d AS depth, md5(CAST(turns[1:d] AS VARCHAR)) AS node, md5(CAST(turns[1:d - 1] AS VARCHAR)) AS above,
+    CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes FROM r, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+n AS (
+  SELECT depth, node, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS last_bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY depth, node),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children FROM n
+  LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.node = n.above
+  LEFT JOIN (SELECT depth - 1 AS depth, above, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL) c ON c.depth = n.depth AND c.above = n.node),
+s AS (
+  SELECT p.depth, p.node, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((k.n_convs - 1) * k.last_bytes) AS saved_tokens
+  FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256, last_bytes
+FROM k JOIN s USING (depth, node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
+    return {"op13_prefix_trie": _OP13, "op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
