@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language, media, mixing, prefix_trie, quality, sharding, simhash, token_count
+from . import chat, decontaminate, html_extract, language, media, mixing, prefix_trie, quality, sharding, simhash, substring, token_count
 from .common import held_out, table
 
 
@@ -73,6 +73,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words under windows of 35 words that start elsewhere as well."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -83,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_chat_format, op2_quality, op3_kd_sharding, op4_mixing, op5_media, op6_simhash, op7_decontaminate, op8_language, op9_token_count, op10_html_extract,
-            op13_prefix_trie,
+            op12_substring_dedup, op13_prefix_trie,
         )
     }
 
@@ -154,6 +160,19 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, d
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS words FROM documents),
+p AS (SELECT k, words, unnest(range(1, len(words) - 33)) AS s FROM d WHERE len(words) >= 35),
+w AS (SELECT k, s, md5(array_to_string(words[s:s + 34], ' ')) AS seq FROM p),
+g AS (SELECT k, s FROM w JOIN (SELECT seq FROM w GROUP BY seq HAVING count(*) > 1) USING (seq)),
+c AS (SELECT DISTINCT k, s + o AS place FROM g, range(35) r(o)),
+r AS (SELECT d.k, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+t AS (SELECT k, string_agg(word, ' ' ORDER BY place) AS kept FROM r ANTI JOIN c USING (k, place) GROUP BY k),
+n AS (SELECT k, count(*) AS n FROM c GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN n USING (k)
+"""
+
 _OP13 = """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -182,4 +201,4 @@ FROM k JOIN s USING (depth, node)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_prefix_trie": _OP13, "op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
+    return {"op12_substring_dedup": _OP12, "op13_prefix_trie": _OP13, "op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
