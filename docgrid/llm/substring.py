@@ -28,7 +28,6 @@ CELLS = 1 << 27  # of each of the two rows of the sketch: 32 MB of bits altogeth
 SLICE = 1 << 20
 PIECE = 1 << 20  # words of a text that are hashed at a time
 FULL = 1 << 22  # cells counted before a task gives them away
-MASKS = 2_000_000  # places broadcast to the documents; more are joined
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -243,9 +242,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, cells: int =
         low = F.lit((1 << 32) - 1)
         once = once.select("key", F.shiftrightunsigned("at", 32).alias("more"), F.col("at").bitwiseAND(low).alias("place"))
         alone = staged(once.groupBy("key", "more").agg(F.collect_list("place").alias("alone")), "alone", kept=True)
-        places = alone.agg(F.sum(F.size("alone"))).first()[0] or 0
     whole = docs.select(packed(columns).alias("rec"), text.alias("text"), F.xxhash64(text).alias("key"), F.crc32(text.cast("binary")).alias("more"))
-    whole = whole.join(F.broadcast(alone) if places <= MASKS else alone, ["key", "more"], "left").select("rec", "text", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
+    whole = whole.join(alone, ["key", "more"], "left").select("rec", "text", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
     out = StructType([whole.schema["rec"], StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     done = whole.mapInArrow(_cut(shared, cells, window, gram, to_arrow_schema(out)), out)
     return done.select(*unpacked("rec", columns, ("kept", "n_words", "n_removed")), "kept", "n_words", "n_removed")

@@ -54,11 +54,6 @@ def test_against_plain_windows(spark, cells):
     assert removed(spark, texts(), cells=cells) == brute(texts(), 35)
 
 
-def test_more_places_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MASKS", 0)
-    assert removed(spark, texts(), cells=8) == brute(texts(), 35)
-
-
 def test_no_documents(spark):
     assert removed(spark, []) == []
 
