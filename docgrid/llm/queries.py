@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language, media, mixing, prefix_trie, quality, sharding, simhash, substring, token_count
+from . import chat, decontaminate, divergence, html_extract, language, media, mixing, prefix_trie, quality, sharding, simhash, substring, token_count
 from .common import held_out, table
 
 
@@ -73,6 +73,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language diverge, pair by pair, and the terms that set each apart."""
+    return divergence.diverge(table(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words under windows of 35 words that start elsewhere as well."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -89,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_chat_format, op2_quality, op3_kd_sharding, op4_mixing, op5_media, op6_simhash, op7_decontaminate, op8_language, op9_token_count, op10_html_extract,
-            op12_substring_dedup, op13_prefix_trie,
+            op11_divergence, op12_substring_dedup, op13_prefix_trie,
         )
     }
 
@@ -160,6 +165,28 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, d
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM t GROUP BY ALL),
+keep AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(term) AS v, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN keep USING (lang) GROUP BY g.lang),
+s AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n FROM g LEFT JOIN (SELECT c.* FROM c SEMI JOIN keep USING (lang, term)) c USING (lang, source) GROUP BY ALL),
+q AS (SELECT keep.lang, term, 1 + (1000000000::HUGEINT * (keep.n + 5)) // (v.n + 5 * v) AS q FROM keep JOIN v USING (lang)),
+p AS (
+  SELECT s.lang, s.source, keep.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * v) AS p
+  FROM s JOIN v USING (lang) JOIN keep USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = keep.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e QUALIFY part = 'pair' OR rank <= 50
+"""
+
 _OP12 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS words FROM documents),
 p AS (SELECT k, words, unnest(range(1, len(words) - 33)) AS s FROM d WHERE len(words) >= 35),
@@ -201,4 +228,4 @@ FROM k JOIN s USING (depth, node)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_substring_dedup": _OP12, "op13_prefix_trie": _OP13, "op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
+    return {"op11_divergence": _OP11, "op12_substring_dedup": _OP12, "op13_prefix_trie": _OP13, "op1_chat_format": _OP1, "op4_mixing": _OP4, "op7_decontaminate": _OP7}
