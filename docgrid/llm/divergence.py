@@ -11,11 +11,13 @@ in that order, when the totals are known: every task adds up the pairs of source
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +26,23 @@ from .common import limited, scratch, split_batch, staged
 MIN_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 CUT = 3  # bytes of the prefix by which fragments are dealt
 FRAGMENT = 1 << 10  # leaves of a fragment
+COUNTERS = 1 << 22  # counters of leaves and sources that wait before they are added up
 LEAVES = 1 << 17  # leaves that a partition counts before it gives them away, and that a merging task leaves open
-PIECE = 1 << 20  # bytes of a text split at a time
 
 #: A to Z lower-cased; of all other ASCII characters only letters are part of a term.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 class Trie:
-    """A radix trie: the label of the edge to it, children by first byte, and of a leaf [documents, occurrences] by source."""
+    """A radix trie over bytes: the label of the edge to a node, children by first byte, the number of its leaf or -1."""
 
     __slots__ = ("label", "kids", "leaf")
 
     def __init__(self, label: bytes = b""):
-        self.label, self.kids, self.leaf = label, {}, None
+        self.label, self.kids, self.leaf = label, {}, -1
 
-    def add(self, term: bytes, counts: dict[str, tuple[int, int]]) -> bool:
-        """Adds a term's counts by source; whether the term is new."""
+    def place(self, term: bytes, new: int) -> int:
+        """The number of the term's leaf, which is ``new`` if it wasn't there."""
         node, at = self, 0
         while at < len(term):
             kid = node.kids.get(term[at])
@@ -49,13 +51,9 @@ class Trie:
             elif not term.startswith(kid.label, at):
                 kid = node._split(kid, next(i for i, b in enumerate(kid.label) if at + i == len(term) or term[at + i] != b))
             node, at = kid, at + len(kid.label)
-        new = node.leaf is None
-        if new:
-            node.leaf = {}
-        for source, (docs, n) in counts.items():
-            have = node.leaf.get(source)
-            node.leaf[source] = (docs, n) if have is None else (have[0] + docs, have[1] + n)
-        return new
+        if node.leaf < 0:
+            node.leaf = new
+        return node.leaf
 
     def _split(self, kid: Trie, length: int) -> Trie:
         upper = Trie(kid.label[:length])
@@ -64,133 +62,196 @@ class Trie:
         self.kids[upper.label[0]] = upper
         return upper
 
-    def terms(self) -> Iterator[tuple[bytes, dict[str, tuple[int, int]]]]:
-        """Terms with their counts in the order of their bytes."""
+    def terms(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and numbers of leaves in the order of the terms' bytes."""
         stack = [(self, b"")]
         while stack:
             node, before = stack.pop()
             term = before + node.label
-            if node.leaf is not None:
+            if node.leaf >= 0:
                 yield term, node.leaf
             stack += [(node.kids[b], term) for b in sorted(node.kids, reverse=True)]
 
 
-FRAGMENTS = "lang string, prefix binary, first binary, names array<string>, shared array<int>, tails array<binary>, sizes array<int>, who array<int>, docs array<long>, counts array<long>"
-
-
-_LISTS = {"names": pa.string(), "shared": pa.int32(), "tails": pa.binary(), "sizes": pa.int32(), "who": pa.int32(), "docs": pa.int64(), "counts": pa.int64()}
+class Counts:
+    """A trie whose leaves count, by source, documents and occurrences."""
+
+    def __init__(self):
+        self.trie, self.leaves, self.sources, self.parts, self.size = Trie(), 0, {}, [], 0
+
+    def add(self, terms: list[bytes], sizes: np.ndarray, names: list[str], who: np.ndarray, docs: np.ndarray, n: np.ndarray) -> None:
+        """Merges terms with ``sizes`` counters each: index of the source in ``names``, documents, occurrences."""
+        leaf = np.empty(len(terms), np.int64)
+        for i, term in enumerate(terms):
+            leaf[i] = at = self.trie.place(term, self.leaves)
+            self.leaves += at == self.leaves
+        source = np.array([self.sources.setdefault(s, len(self.sources)) for s in names], np.int64)
+        self.parts.append((np.repeat(leaf, sizes), source[who], docs, n))
+        self.size += len(docs)
+        if self.size > COUNTERS:
+            self.parts = [self._summed(np.arange(self.leaves))]
+            self.size = min(len(self.parts[0][0]), COUNTERS // 2)
+
+    def _summed(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf, source, documents and occurrences, one counter for each source of a leaf, ordered by the leaves' places."""
+        leaf, source, docs, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        key = place[leaf] * len(self.sources) + source
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first = order[starts]
+        return leaf[first], source[first], np.add.reduceat(docs[order], starts), np.add.reduceat(n[order], starts)
+
+    def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms in order, where each one's counters begin (and the last ones end), and source, documents, occurrences."""
+        found = list(self.trie.terms())
+        place = np.empty(self.leaves, np.int64)
+        place[[leaf for _, leaf in found]] = np.arange(self.leaves)
+        leaf, source, docs, n = self._summed(place)
+        return [t for t, _ in found], np.searchsorted(place[leaf], np.arange(self.leaves + 1)), source, docs, n
+
+
+FRAGMENTS = "lang string, prefix binary, first binary, shared array<int>, tails array<binary>, sizes array<int>, names array<string>, who array<int>, docs array<long>, counts array<long>"
+KEPT = "lang string, term string, names array<string>, counts array<long>"
+SEEN = "lang string, source string, part string, item string, value long"
+_LISTS = {"shared": pa.int32(), "tails": pa.binary(), "sizes": pa.int32(), "names": pa.string(), "who": pa.int32(), "docs": pa.int64(), "counts": pa.int64()}
 _FRAGMENTS = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("first", pa.binary()), *[(n, pa.list_(t)) for n, t in _LISTS.items()]])
-_KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _SEEN = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
-def fragments(lang: str, trie: Trie) -> Iterator[tuple]:
-    """A trie as rows: at most ``FRAGMENT`` leaves of one prefix each, in order, front-coded."""
-    row, place, last = None, {}, b""
-    for term, leaf in trie.terms():
-        if row is None or term[:CUT] != row[1] or len(row[4]) == FRAGMENT:
-            if row:
-                yield row
-            row, place, last = (lang, term[:CUT], term, [], [], [], [], [], [], []), {}, b""
-        _, _, _, names, shared, tails, sizes, who, docs, counts = row
-        same = next((i for i, (a, b) in enumerate(zip(last, term, strict=False)) if a != b), min(len(last), len(term)))
-        shared.append(same)
-        tails.append(term[same:])
-        sizes.append(len(leaf))
-        for source, (d, n) in leaf.items():
-            if source not in place:
-                place[source] = len(names)
-                names.append(source)
-            who.append(place[source])
-            docs.append(d)
-            counts.append(n)
-        last = term
-    if row:
-        yield row
-
+def _lists(bounds: np.ndarray, values, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
-def graft(trie: Trie, names: list, shared: list, tails: list, sizes: list, who: list, docs: list, counts: list) -> int:
-    """Merges a fragment into a trie; how many terms were new."""
-    term, at, new = b"", 0, 0
-    for same, tail, size in zip(shared, tails, sizes, strict=True):
-        term = term[:same] + tail
-        new += trie.add(term, {names[who[k]]: (docs[k], counts[k]) for k in range(at, at + size)})
-        at += size
-    return new
 
-
-def words(text: bytes) -> Iterator[list[bytes]]:
-    """Terms of a text, lower-cased, piece by piece."""
-    clean, at = text.translate(_LETTERS), 0
-    while at < len(clean):
-        end = clean.find(b" ", at + PIECE) if len(clean) - at > PIECE else -1
-        end = len(clean) if end < 0 else end
-        yield clean[at:end].split()
-        at = end
+def fragments(lang: str, counts: Counts) -> pa.RecordBatch:
+    """A trie as rows: at most ``FRAGMENT`` leaves of one prefix each, in order, each term without what it shares with the
+    one before it."""
+    terms, bounds, source, docs, n = counts.ordered()
+    cuts, shared, last = [], [], b""
+    for k, term in enumerate(terms):
+        if not k or term[:CUT] != last[:CUT] or k - cuts[-1] == FRAGMENT:
+            cuts.append(k)
+            shared.append(0)
+        else:
+            most = min(len(last), len(term))
+            shared.append(most if last[:most] == term[:most] else next(i for i in range(most) if last[i] != term[i]))
+        last = term
+    firsts, cuts = [terms[k] for k in cuts], np.array([*cuts, len(terms)])
+    tails = pa.array([t[k:] for t, k in zip(terms, shared, strict=True)], pa.binary())
+    inside = bounds[cuts]
+    # the sources that a fragment has, and the counters' places among them
+    of = np.repeat(np.arange(len(firsts)), np.diff(inside))
+    used, who = np.unique(of * len(counts.sources) + source, return_inverse=True)
+    named = np.searchsorted(used // len(counts.sources), np.arange(len(firsts) + 1))
+    names = pa.array(list(counts.sources), pa.string()).take(pa.array(used % len(counts.sources)))
+    arrays = [
+        pa.array([lang] * len(firsts), pa.string()), pa.array([t[:CUT] for t in firsts], pa.binary()), pa.array(firsts, pa.binary()), _lists(cuts, shared, pa.int32()), _lists(cuts, tails, pa.binary()),
+        _lists(cuts, np.diff(bounds), pa.int32()), _lists(named, names, pa.string()), _lists(inside, who - named[of], pa.int32()), _lists(inside, docs, pa.int64()), _lists(inside, n, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, schema=_FRAGMENTS)
+
+
+def grouped(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each language of documents (lang, source, text): the language and its terms as ``Counts.add`` takes them."""
+    clean = pa.array([t.translate(_LETTERS) for t in batch.column(2).to_pylist()], pa.binary()).cast(pa.string())
+    split = pc.ascii_split_whitespace(clean)
+    flat, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    doc = np.repeat(np.arange(len(clean)), sizes)[there]
+    coded = flat.filter(pa.array(there)).dictionary_encode()
+    if not len(coded):
+        return
+    lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+    langs, sources, d = lang.dictionary.to_pylist(), source.dictionary.to_pylist(), len(clean)
+    # occurrences of a term in a document, then documents and occurrences of a term in a language's source
+    pair, n = np.unique(coded.indices.to_numpy().astype(np.int64) * d + doc, return_counts=True)
+    term, doc = pair // d, pair % d
+    key = (lang.indices.to_numpy()[doc].astype(np.int64) * len(coded.dictionary) + term) * len(sources) + source.indices.to_numpy()[doc]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    docs, n, key = np.diff([*starts, len(key)]), np.add.reduceat(n[order], starts), key[starts]
+    of, who = key // len(sources), key % len(sources)
+    cuts = np.searchsorted(of // len(coded.dictionary), np.arange(len(langs) + 1))
+    for k, name in enumerate(langs):
+        part = slice(cuts[k], cuts[k + 1])
+        terms, sizes = np.unique(of[part], return_counts=True)
+        yield name, coded.dictionary.take(pa.array(terms % len(coded.dictionary))).cast(pa.binary()).to_pylist(), sizes, sources, who[part], docs[part], n[part]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tries of a partition's documents (lang, source, text)."""
-    schema, tries, leaves = _FRAGMENTS, defaultdict(Trie), 0
+    tries = defaultdict(Counts)
 
     def given() -> Iterator[pa.RecordBatch]:
-        rows = []
-        for lang, trie in tries.items():
-            for row in fragments(lang, trie):
-                rows.append(row)
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for lang, counts in tries.items():
+            if counts.leaves:
+                rows = fragments(lang, counts)
+                for s in range(0, rows.num_rows, 4096):
+                    yield rows.slice(s, 4096)
 
     for batch in batches:
         for part in split_batch(batch):
-            every, having = defaultdict(Counter), defaultdict(Counter)
-            for lang, source, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                n, docs, seen = every[lang, source], having[lang, source], set()
-                for found in words(text):
-                    n.update(found)
-                    seen.update(found)
-                docs.update(seen)
-            for (lang, source), n in every.items():
-                trie, docs = tries[lang], having[lang, source]
-                for term, count in n.items():
-                    leaves += trie.add(term, {source: (docs[term], count)})
-            if leaves > LEAVES:
+            for lang, *terms in grouped(part):
+                tries[lang].add(*terms)
+            if sum(c.leaves for c in tries.values()) > LEAVES:
                 yield from given()
-                tries, leaves = defaultdict(Trie), 0
+                tries = defaultdict(Counts)
     yield from given()
 
 
-KEPT = "lang string, term string, names array<string>, counts array<long>"
-SEEN = "lang string, source string, part string, item string, value long"
-
-
-def _merge(min_docs: int):
+def _merge(min_docs: int) -> Callable:
     """Fragments, ordered by lang, prefix and first term, become the terms with at least ``min_docs`` documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, where, trie, leaves = _KEPT, None, Trie(), 0
-
-        def out(found) -> Iterator[pa.RecordBatch]:
-            rows = [(where[0], term.decode(), list(leaf), [n for _, n in leaf.values()]) for term, leaf in found if sum(d for d, _ in leaf.values()) >= min_docs]
-            for s in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[s : s + 1024], strict=True), schema, strict=True)], schema=schema)
+    def closed(where: tuple, counts: Counts, before: bytes | None = None) -> tuple[list[pa.RecordBatch], Counts]:
+        # the kept ones of the terms below `before`, and the trie of the others
+        terms, bounds, source, docs, n = counts.ordered()
+        done = len(terms) if before is None else bisect_left(terms, before)
+        rest, names = Counts(), pa.array(list(counts.sources), pa.string())
+        if done < len(terms):
+            at = slice(bounds[done], None)
+            rest.add(terms[done:], np.diff(bounds[done:]), list(counts.sources), source[at], docs[at], n[at])
+        total = np.add.reduceat(docs, bounds[:-1])[:done]
+        out, kept = [], np.flatnonzero(total >= min_docs)
+        for s in range(0, len(kept), 4096):
+            some = kept[s : s + 4096]
+            sizes = np.diff(bounds)[some]
+            at = np.repeat(bounds[some] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            arrays = [pa.array([where[0]] * len(some), pa.string()), pa.array([terms[k].decode() for k in some], pa.string()), _lists(ends, names.take(pa.array(source[at])), pa.string()), _lists(ends, n[at], pa.int64())]
+            out.append(pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "names", "counts"]))
+        return out, rest
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, counts = None, Counts()
         for batch in batches:
-            for row in batch.to_pylist():
-                here = (row["lang"], row["prefix"])
-                if here != where:
-                    yield from out(trie.terms())
-                    where, trie, leaves = here, Trie(), 0
-                elif leaves > LEAVES:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            leaves, inside, named = (np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(n)).to_numpy()))) for n in ("shared", "who", "names"))
+            shared, tails, names = (batch.column(n).flatten().to_pylist() for n in ("shared", "tails", "names"))
+            sizes, who, docs, n = (batch.column(c).flatten().to_numpy() for c in ("sizes", "who", "docs", "counts"))
+            who = who + np.repeat(named[:-1], np.diff(inside))
+            low = 0
+            while low < len(keys):
+                if keys[low] != where:
+                    if counts.leaves:
+                        yield from closed(where, counts)[0]
+                    where, counts = keys[low], Counts()
+                elif counts.leaves > LEAVES:
                     # no later fragment has a term before this one's first
-                    yield from out(x for x in trie.terms() if x[0] < row["first"])
-                    rest, trie = [x for x in trie.terms() if x[0] >= row["first"]], Trie()
-                    leaves = sum(trie.add(*x) for x in rest)
-                leaves += graft(trie, *(row[n] for n in ("names", "shared", "tails", "sizes", "who", "docs", "counts")))
-        yield from out(trie.terms())
+                    out, counts = closed(where, counts, batch.column("first")[low].as_py())
+                    yield from out
+                high = low + 1
+                while high < min(len(keys), low + 64) and keys[high] == where:
+                    high += 1
+                terms, term = [], b""
+                for k in range(leaves[low], leaves[high]):
+                    term = term[: shared[k]] + tails[k]
+                    terms.append(term)
+                at, some = slice(inside[low], inside[high]), slice(named[low], named[high])
+                counts.add(terms, sizes[leaves[low] : leaves[high]], names[some], who[at] - named[low], docs[at], n[at])
+                low = high
+        if counts.leaves:
+            yield from closed(where, counts)[0]
 
     return run
 

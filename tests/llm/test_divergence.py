@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from docgrid.llm import divergence
-from docgrid.llm.divergence import Trie, fragments, graft
+from docgrid.llm.divergence import Counts, fragments
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -62,7 +62,7 @@ def test_against_whole_numbers(spark):
 
 def test_small_fragments(spark, monkeypatch):
     """Tries are given away and closed after a few leaves, so terms come together from many places."""
-    for name, value in (("FRAGMENT", 2), ("LEAVES", 5), ("CUT", 1), ("PIECE", 7)):
+    for name, value in (("FRAGMENT", 2), ("LEAVES", 5), ("CUT", 1), ("COUNTERS", 3)):
         monkeypatch.setattr(divergence, name, value)
     assert audit(spark, rows(), 1) == brute(rows(), 1)
 
@@ -77,20 +77,29 @@ def test_any_documents(spark, rows):
     assert audit(spark, rows, 2) == brute(rows, 2)
 
 
-@given(st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("xyz"))), st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("xyz"))))
+some = st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("xyz")), min_size=1)
+
+
+@given(some, some)
 def test_tries_merge(one, two):
-    tries, plain = [], defaultdict(Counter)
+    merged, plain = Counts(), defaultdict(Counter)
     for terms in (one, two):
-        trie = Trie()
+        counts = Counts()
         for t, s in terms:
-            trie.add(t, {s: (1, 2)})
+            counts.add([t], np.array([1]), [s], np.array([0]), np.array([1]), np.array([2]))
             plain[t][s] += 1
-        tries.append(trie)
-    merged = Trie()
-    new = sum(graft(merged, *f[3:]) for trie in tries for f in fragments("en", trie))
-    got = list(merged.terms())
-    assert new == len(got) and [t for t, _ in got] == sorted(plain)
-    assert {t: {s: n for s, n in leaf.items()} for t, leaf in got} == {t: {s: (n, 2 * n) for s, n in c.items()} for t, c in plain.items()}
+        for f in fragments("en", counts).to_pylist():
+            found, term = [], b""
+            for same, tail in zip(f["shared"], f["tails"], strict=True):
+                term = term[:same] + tail
+                found.append(term)
+            assert found[0] == f["first"] and {t[:3] for t in found} == {f["prefix"]} and found == sorted(found)
+            merged.add(found, np.array(f["sizes"]), f["names"], np.array(f["who"]), np.array(f["docs"]), np.array(f["counts"]))
+    terms, bounds, source, docs, n = merged.ordered()
+    names = list(merged.sources)
+    assert terms == sorted(plain) and merged.leaves == len(plain)
+    got = {t: {names[source[k]]: (docs[k], n[k]) for k in range(bounds[i], bounds[i + 1])} for i, t in enumerate(terms)}
+    assert got == {t: {s: (k, 2 * k) for s, k in c.items()} for t, c in plain.items()}
 
 
 @pytest.mark.parametrize("count", [7, 9 * 10**9, 10**17])
