@@ -15,7 +15,6 @@ from docgrid.functions.text import keyword_score
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
-QUERIES = 256
 TOKEN = r"[a-z0-9\x{00C0}-\x{024F}]+|[\x{4e00}-\x{9fff}]"
 
 
@@ -71,45 +70,6 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def index_rows(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
-    """Postings to store: key, term, tf, dl, bucket and ``keep``; ordered by term, so that a query's filter skips row groups.
-
-    Every document has a row with the empty term, for its length.
-    """
-    words = docs.select(*keep, key, tokens(F.col(text)).alias("w"))
-    each = words.select(*keep, key, F.explode(F.concat("w", F.array(F.lit("")))).alias("term"), F.size("w").cast("long").alias("dl"))
-    rows = each.groupBy(*keep, key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    rows = rows.withColumn("bucket", bucket(F.col("term")))
-    return rows.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", key)
-
-
-def index_statistics(post: DataFrame, key: str) -> dict[str, DataFrame]:
-    """terms (term, bucket, df, idf) and corpus (n, avgdl, mean_idf, one row) of stored postings."""
-    every = post.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.filter("term <> ''").groupBy("term", "bucket").agg(F.count("*").alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    told = df.crossJoin(F.broadcast(every)).withColumn("raw", raw)
-    corpus = every.crossJoin(told.agg(F.avg("raw").alias("mean_idf")))
-    terms = told.crossJoin(F.broadcast(corpus.select("mean_idf"))).select("term", "bucket", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return {"terms": terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "corpus": corpus}
-
-
-def search_index(index: dict[str, DataFrame], query: DataFrame, top_k: int = 50, key: str = "doc_id") -> DataFrame:
-    """(key, bm25_score, bm25_rank) as ``bm25`` gives them, from a stored index (postings, terms, corpus).
-
-    The query's terms are constants of the plan, so the scans read the row groups that may have them and nothing else of
-    the corpus.
-    """
-    asked = query.select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times")).collect()
-    words = [r["term"] for r in asked]
-    times = query.sparkSession.createDataFrame([(r["term"], r["times"]) for r in asked], "term string, times long")
-    here = F.col("term").isin(words) if words else F.lit(False)
-    weights = index["terms"].filter(here).select("term", "idf").join(F.broadcast(times), "term").crossJoin(F.broadcast(index["corpus"].select("avgdl")))
-    hit = index["postings"].filter(here).select(key, "term", "tf", "dl").join(F.broadcast(weights), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return ranked(hit.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score")), key, "bm25_score", "bm25_rank", top_k)
-
-
 def ranked(scored: DataFrame, key: str, score: str, rank: str, top_k: int, ids: list[str] | None = None) -> DataFrame:
     """The ``top_k`` best rows (of each of ``ids``) with their rank; ties go to the smaller key.
 
@@ -129,7 +89,9 @@ def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: st
     vectors of each query_id.
     """
     if "query_id" in query.columns:
-        return _vector_search_each(vectors, query, top_k, key, vector)
+        from docgrid.operators.vectors import search_exact
+
+        return search_exact(vectors, query, top_k, key, vector)
     asked = query.select("query_vector").first()
     q = np.asarray(asked[0] if asked and asked[0] is not None else [], np.float64)
     kind = vectors.schema[key].dataType.simpleString()
@@ -148,35 +110,6 @@ def vector_search(vectors: DataFrame, query: DataFrame, top_k: int = 10, key: st
     return ranked(scored.select(key, F.round("similarity", 6).alias("similarity")), key, "similarity", "vector_rank", top_k)
 
 
-def _vector_search_each(vectors: DataFrame, query: DataFrame, top_k: int, key: str, vector: str) -> DataFrame:
-    """Blocks of queries of one length against every batch; of a batch the ``top_k`` nearest go on, and those that rounding ties with them."""
-    kinds = f"query_id {query.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, similarity double"
-    by_length: dict[int, list] = {}
-    for r in query.select("query_id", "query_vector").collect():
-        if r[1]:
-            by_length.setdefault(len(r[1]), []).append(r)
-    blocks = [rows[s : s + QUERIES] for rows in by_length.values() for s in range(0, len(rows), QUERIES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rows in blocks:
-                q = np.asarray([r[1] for r in rows], np.float64)
-                part = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), q.shape[1]))
-                if not part.num_rows:
-                    continue
-                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, q.shape[1])
-                norms = np.linalg.norm(m, axis=1)
-                for (ident, _), one, length in zip(rows, q, np.linalg.norm(q, axis=1), strict=True):
-                    near = m @ one / np.maximum(norms * max(length, 1e-300), 1e-300)
-                    at = np.arange(len(near))
-                    if len(near) > top_k:
-                        at = np.flatnonzero(~(near < np.partition(near, -top_k)[-top_k] - 2e-6))
-                    yield pa.RecordBatch.from_arrays([pa.array([ident] * len(at)), part.column(0).take(pa.array(at)), pa.array(near[at])], ["query_id", key, "similarity"])
-
-    scored = vectors.select(key, vector).mapInArrow(run, kinds)
-    return ranked(scored.select("query_id", key, F.round("similarity", 6).alias("similarity")), key, "similarity", "vector_rank", top_k, ["query_id"])
-
-
 def rrf(lists: list[tuple[DataFrame, str]], key: str, top_k: int = 100, k: int = RRF_K) -> DataFrame:
     """(key, rrf_score): sum of 1 / (k + rank) over ranked lists, given as tables and their rank columns."""
     rows = reduce(DataFrame.unionByName, [t.select(key, (1.0 / (k + F.col(r))).alias("part")) for t, r in lists])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from docgrid.operators.staging import folder
+from docgrid.session import Warehouse
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 READ_PARTITIONS = "spark.docgrid.readPartitions"
 
@@ -16,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(asked)) if asked and name in ("documents", "pages") else df
 
 
+def scratch_house(spark: SparkSession) -> Warehouse:
+    """A warehouse of its own in the shared folder, for queries over stored indexes."""
+    return Warehouse(spark, f"{folder(spark)}/docgrid-house-{uuid.uuid4().hex}")
+
+
 def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows that a query which both engines understand makes from the tables; it names them in braces."""
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql})

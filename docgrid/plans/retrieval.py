@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.text import keyword_score
 from docgrid.operators import retrieval as R
+from docgrid.operators.segments import SegmentIndex
+from docgrid.operators.vectors import InvertedFile
 
-from .common import table
+from .common import scratch_house, table
 
 
 def _query(spark, sf_dir, item=0):
@@ -45,6 +47,29 @@ def vector_topk_each(spark, sf_dir):
     return R.vector_search(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 50)
 
 
+def ivf_topk_each(spark, sf_dir):
+    """The same queries by the inverted file, which looks into a quarter of its cells."""
+    e = table(spark, sf_dir, "embeddings")
+    index = InvertedFile(scratch_house(spark))
+    index.build(e)
+    return index.search(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 50)
+
+
+def indexed_topk_each(spark, sf_dir):
+    """The queries of ``bm25_topk_each`` by the stored index, which grew in three runs and a compaction.
+
+    First the documents of English alone, with their texts doubled, then all as they are, then nothing new.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    q = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    index = SegmentIndex(scratch_house(spark), "documents", "doc_id", "text", "source")
+    index.update(docs.filter("lang = 'en'").withColumn("text", F.concat_ws(" ", "text", "text")), "first", "2024-01-01 00:00:00")
+    index.update(docs, "second", "2024-01-02 00:00:00")
+    index.update(docs, "third", "2024-01-03 00:00:00")
+    index.compact()
+    return index.search(q, 50)
+
+
 def hybrid_search(spark, sf_dir):
     """Lexical and vector lists fused by reciprocal ranks."""
     lexical = R.bm25(table(spark, sf_dir, "documents"), _query(spark, sf_dir), 50).withColumnRenamed("doc_id", "id")
@@ -90,10 +115,9 @@ _POST = f"""
 tok AS MATERIALIZED (SELECT doc_id, {_TOK} AS w FROM documents),
 post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM tok) GROUP BY doc_id, term),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-cnt AS (SELECT term, count(*) AS c FROM post GROUP BY term),
-df AS (SELECT term, ln(n - c + 0.5::DOUBLE) - ln(c + 0.5::DOUBLE) AS raw FROM cnt, st),
-mn AS (SELECT 0.25::DOUBLE * avg(raw) AS low FROM df),
-idf AS (SELECT term, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM df, mn)"""
+cnt AS MATERIALIZED (SELECT term, count(*) AS c FROM post GROUP BY term),
+df AS MATERIALIZED (SELECT term, ln(n - c + 0.5::DOUBLE) - ln(c + 0.5::DOUBLE) AS raw FROM cnt, (SELECT max(n) AS n FROM st)),
+idf AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25::DOUBLE * avg(raw) FROM df) ELSE raw END AS idf FROM df)"""
 _BM25 = f"""{_POST},
 q AS (SELECT term, count(*) AS times FROM (SELECT unnest({_TOK}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term),
 sc AS (SELECT doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25_score
@@ -108,7 +132,7 @@ terms AS (SELECT DISTINCT substr(q, s, n) AS t FROM (SELECT q, n, unnest(range(1
 ks AS (SELECT doc_id, round_even(least(0.15::DOUBLE, 0.15::DOUBLE * sum(CASE WHEN contains(lower(regexp_replace(text, '\\s+', '', 'g')), t) THEN length(t) ELSE 0 END) / sum(length(t))), 6) AS keyword_score
   FROM documents, terms GROUP BY doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
+QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, ivf_topk_each, indexed_topk_each, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, bm25_score, bm25_rank FROM bm",
     "bm25_topk_each": f"""WITH {_POST},
@@ -140,3 +164,4 @@ SELECT policy_id, clause_id, rank, document_rank, clause_rank, evidence_no FROM
 SELECT doc_id AS clause_id, round_even(similarity + keyword_score, 6) AS score, keyword_score, similarity
 FROM ve JOIN ks ON vec_id = doc_id ORDER BY score DESC, similarity DESC, keyword_score DESC, clause_id LIMIT 20""",
 }
+SQL["indexed_topk_each"] = SQL["bm25_topk_each"]

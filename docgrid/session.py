@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from docgrid.functions import rules
 from docgrid.functions.ids import owner_hash
-from docgrid.operators import governance, graphs, hierarchy, ledger, retrieval, staging, tables
+from docgrid.operators import governance, graphs, hierarchy, ledger, retrieval, segments, staging, tables
 
 
 class Conflict(ValueError):
@@ -207,8 +207,8 @@ class Session:
         k = retrieval.candidate_k(top_k)
         clauses = self.w.read("clauses").filter(F.col("is_active") & F.col("level").isin("article", "paragraph", "item") & (F.trim("search_text") != ""))
         asked = self.spark.createDataFrame([(query,)], "query_text string")
-        if self.w.has("postings"):
-            lists = [(retrieval.search_index(self.lexical_index(), asked, k, "clause_id"), "bm25_rank")]
+        if self.w.has("lexical_manifest"):
+            lists = [(self.lexical.search(asked, k), "bm25_rank")]
         else:
             lists = [(retrieval.bm25(clauses, asked, k, "clause_id", "search_text"), "bm25_rank")]
         if self.embed and self.w.has("vectors"):
@@ -314,7 +314,7 @@ class Session:
         """Try the query model and cache the index's terms; a stage that fails is told and fails no other."""
 
         def terms() -> dict:
-            return {"terms": self.w.read("terms").cache().count()}
+            return {"terms": self.w.read("lexical_counts").cache().select("term").distinct().count()}
 
         def model() -> dict:
             return {"dimensions": len(self.embed("warm up"))} if self.embed else {}
@@ -329,39 +329,27 @@ class Session:
             report[stage]["seconds"] = round(time.perf_counter() - began, 4)
         return report
 
-    def lexical_index(self) -> dict[str, DataFrame]:
-        """The stored index, as ``retrieval.search_index`` takes it."""
-        return {name: self.w.read(name) for name in ("postings", "terms", "corpus")}
+    @property
+    def lexical(self) -> segments.SegmentIndex:
+        """The stored index of clauses, with its runs and items."""
+        return segments.SegmentIndex(self.w)
 
-    def index_policies(self, embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    def index_policies(self, embed: Callable[[DataFrame], DataFrame] | None = None, run_id: str | None = None, at: str | None = None) -> int:
         """Bring the lexical index and the vectors up to date and return how many policies that took.
 
-        A policy is done when ``index_state`` has it with the digest of its clauses; so a run that stopped goes on where
-        it was, and one without changes does nothing.  ``embed`` gives (policy_id, clause_id, embedding) of clauses.
+        ``embed`` gives (policy_id, clause_id, embedding) of clauses; it goes first, so a model that fails leaves both
+        indexes as they were, and a run that stopped between them does both again.  Full tiers of segments are merged.
         """
         clauses = self.w.read("clauses").filter(F.col("is_active") & F.col("level").isin("article", "paragraph", "item") & (F.trim("search_text") != ""))
-        row = F.xxhash64("clause_id", "search_text").cast("decimal(20,0)")
-        now = clauses.groupBy("policy_id").agg(F.concat_ws("-", F.sum(row).cast("string"), F.count("*").cast("string")).alias("digest"))
-        had = self.w.read("index_state") if self.w.has("index_state") else now.limit(0)
-        changed = now.join(had, ["policy_id", "digest"], "left_anti").withColumn("gone", F.lit(False))
-        gone = had.join(now, "policy_id", "left_anti").withColumn("gone", F.lit(True))
-        todo = staging.cut(changed.unionByName(gone))
-        if not (n := todo.count()):
-            return 0
-        fresh = clauses.join(todo.filter("NOT gone").select("policy_id"), "policy_id", "left_semi")
-        parts = {"postings": retrieval.index_rows(fresh, "clause_id", "search_text", ["policy_id"])}
+        index = self.lexical
         if embed:
-            parts["vectors"] = embed(fresh)
-        for name, rows in parts.items():
-            if self.w.has(name):
-                self.w.swap(name, todo.select("policy_id"), ["policy_id"], rows)
-            else:
-                self.w.write(name, rows)
-        for name, rows in retrieval.index_statistics(self.w.read("postings"), "clause_id").items():
-            self.w.write(name, rows)
-        done = todo.filter("NOT gone").select("policy_id", "digest")
-        if self.w.has("index_state"):
-            self.w.swap("index_state", todo.select("policy_id"), ["policy_id"], done)
-        else:
-            self.w.write("index_state", done)
-        return n
+            todo = staging.cut(index.pending(clauses).select(F.col("item").alias("policy_id")))
+            if not todo.isEmpty():
+                rows = embed(clauses.join(todo, "policy_id", "left_semi"))
+                if self.w.has("vectors"):
+                    self.w.swap("vectors", todo, ["policy_id"], staging.cut(rows))
+                else:
+                    self.w.write("vectors", rows)
+        run = index.update(clauses, run_id or uuid.uuid4().hex, at or time.strftime("%Y-%m-%d %H:%M:%S"), resume=True)
+        index.compact()
+        return run["done"]
