@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.text import effective_dates, normalize_document_number, publication_year, says_relative_date, squash
+from docgrid.operators import sweeps
 
 
 def temporal_status(as_of: Column, today: Column, effective: Column, expiry: Column, validity: Column) -> Column:
@@ -36,14 +37,8 @@ def family_warnings(ranked: DataFrame, family: str = "family_id", key: str = "po
 
 
 def family_overlaps(versions: DataFrame, family: str, key: str, start: str, end: str) -> DataFrame:
-    """Pairs of a family's versions whose intervals [start, end) overlap, both starts known, an open end being null.
-
-    Only pairs that overlap are made: an equi-join on the family with the interval test inside the join.
-    """
-    a = versions.filter(F.col(start).isNotNull()).select(F.col(family), F.col(key).alias("left_id"), F.col(start).alias("ls"), F.col(end).alias("le"))
-    b = versions.filter(F.col(start).isNotNull()).select(F.col(family).alias("__f"), F.col(key).alias("right_id"), F.col(start).alias("rs"), F.col(end).alias("re"))
-    on = (F.col(family) == F.col("__f")) & (F.col("left_id") < F.col("right_id")) & (F.col("re").isNull() | (F.col("ls") < F.col("re"))) & (F.col("le").isNull() | (F.col("rs") < F.col("le")))
-    return a.join(b, on).select(family, "left_id", "right_id")
+    """Pairs of a family's versions whose intervals [start, end) overlap, both starts known, an open end being null."""
+    return sweeps.overlaps(versions, family, key, start, end)
 
 
 def same_title_pairs(documents: DataFrame, title: str, key: str) -> DataFrame:
@@ -52,18 +47,44 @@ def same_title_pairs(documents: DataFrame, title: str, key: str) -> DataFrame:
     return documents.filter(F.col(title) != "").select(title, first.alias("left_id"), F.col(key).alias("right_id")).filter("left_id <> right_id")
 
 
+ANY_YEAR = -1
+
+
+def target_keys(documents: DataFrame) -> DataFrame:
+    """want, y, n, least, greatest: by normalised number or title and year of publication (or any), how many documents
+    there are and the first and last of their ids, which tells whether exactly one other than a given one is there."""
+    wants = F.array(F.concat(F.lit("n"), normalize_document_number(F.col("doc_number"))), F.concat(F.lit("t"), squash(F.col("title"))))
+    d = documents.select("policy_id", F.coalesce(publication_year(F.col("doc_number"), F.col("issue_date")).cast("int"), F.lit(ANY_YEAR)).alias("year"), F.explode(wants).alias("want"))
+    d = d.filter(F.length("want") > 1).select("policy_id", "want", F.explode(F.array_distinct(F.array("year", F.lit(ANY_YEAR)))).alias("y")).distinct()
+    return d.groupBy("want", "y").agg(F.count("*").alias("n"), F.min("policy_id").alias("least"), F.max("policy_id").alias("greatest"))
+
+
+def wanted_keys(relations: DataFrame) -> DataFrame:
+    """relation_id, source_policy_id, want, y of relations: the number if one is given, else the title."""
+    number = normalize_document_number(F.col("target_doc_number"))
+    want = F.when(number != "", F.concat(F.lit("n"), number)).otherwise(F.concat(F.lit("t"), squash(F.col("target_title"))))
+    return relations.select("relation_id", "source_policy_id", want.alias("want"), F.coalesce(F.col("target_year").cast("int"), F.lit(ANY_YEAR)).alias("y"))
+
+
+def matched(wanted: DataFrame, targets: DataFrame) -> DataFrame:
+    """relation_id and target_policy_id of wanted keys: the only document under the key that isn't the source."""
+    source = F.col("source_policy_id")
+    one = F.when((F.col("n") == 1) & (F.col("least") != source), F.col("least"))
+    two = F.when(F.col("n") == 2, F.when(F.col("least") == source, F.col("greatest")).when(F.col("greatest") == source, F.col("least")))
+    return wanted.join(targets, ["want", "y"], "left").select("relation_id", F.coalesce(one, two).alias("target_policy_id"))
+
+
+def store_keys(keys: DataFrame, table: str, buckets: int = 64) -> None:
+    """Write target or wanted keys as a table in buckets, so that ``matched`` joins two such tables without a shuffle."""
+    keys.repartition(buckets, "want", "y").write.mode("overwrite").bucketBy(buckets, "want", "y").sortBy("want", "y").saveAsTable(table)
+
+
 def resolve_targets(relations: DataFrame, documents: DataFrame) -> DataFrame:
     """relation_id and target_policy_id: the only other document with the number, or if none is given with the title.
 
     ``relations`` has relation_id, source_policy_id, target_title, target_doc_number and target_year (null: any).
     """
-    number = normalize_document_number(F.col("target_doc_number"))
-    r = relations.select("relation_id", "source_policy_id", "target_year", F.when(number != "", F.concat(F.lit("n"), number)).otherwise(F.concat(F.lit("t"), squash(F.col("target_title")))).alias("want"))
-    d = documents.select("policy_id", publication_year(F.col("doc_number"), F.col("issue_date")).alias("year"), F.explode(F.array(F.concat(F.lit("n"), normalize_document_number(F.col("doc_number"))), F.concat(F.lit("t"), squash(F.col("title"))))).alias("want"))
-    d = d.filter(F.length("want") > 1)
-    fits = (F.col("policy_id") != F.col("source_policy_id")) & (F.col("target_year").isNull() | (F.col("target_year") == F.col("year")))
-    found = r.join(d, "want").filter(fits).groupBy("relation_id").agg(F.countDistinct("policy_id").alias("n"), F.min("policy_id").alias("id"))
-    return relations.select("relation_id").join(found.filter("n = 1").select("relation_id", F.col("id").alias("target_policy_id")), "relation_id", "left")
+    return matched(wanted_keys(relations), target_keys(documents))
 
 
 def effective_date_status(texts: DataFrame, key: str, text: str, issue_date: str) -> DataFrame:

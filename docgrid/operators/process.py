@@ -43,14 +43,16 @@ def process_documents(parsed: DataFrame) -> dict[str, DataFrame]:
     lines = lines.select(ids.policy_id(F.col("file_id"), F.lit("")).alias("policy_id"), F.col("page_num").alias("page"), "ordinal", "line_no", "line")
     clauses = hierarchy.build_clauses(lines)
     clauses = clauses.withColumn("clause_id", ids.clause_id(F.col("policy_id"), F.lit(VERSION), F.col("sequence_no"), F.col("raw_text"))).withColumn("structure_version", F.lit(VERSION)).withColumn("is_active", F.lit(True))
-    head = metadata.head_text(texts, "file_id")
-    early = texts.filter("page_num <= 2").select("file_id", "page_num", "ordinal", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    early = early.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "ordinal", "line_no", "line"))), lambda x: F.struct(x["page_num"].alias("page"), x["line"].alias("line"))).alias("lines"))
+    # titles are looked for in all lines, the fields of a document's type in its own first pages
+    said = texts.select("file_id", "page_num", "ordinal", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    said = said.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "ordinal", "line_no", "line"))), lambda x: F.struct(x["page_num"].alias("page"), x["line"].alias("line"))).alias("lines"))
     own = metadata.confirmed_titles(F.transform("lines", lambda x: x["line"]))
     guessed = metadata.guess_title(F.col("file_name"), rules.low_confidence_name(F.col("file_name")), F.col("lines"))
-    about = parsed.select("file_id", "file_name").join(head, "file_id", "left").join(early, "file_id", "left").withColumn("own", own)
-    about = about.select("file_id", F.coalesce("own.title", guessed).alias("title"), F.col("own.notice_title").alias("notice_title"), "head")
-    about = about.select("file_id", "title", "notice_title").join(metadata.policy(about, "file_id"), "file_id")
+    about = parsed.select("file_id", "file_name").join(said, "file_id", "left").withColumn("own", own)
+    about = about.select("file_id", F.coalesce("own.title", guessed).alias("title"), F.col("own.notice_title").alias("notice_title"))
+    named = [F.col(c) if c in texts.columns else F.lit(None).cast(t).alias(c) for c, t in (("raw_type", "string"), ("text_level", "int"))]
+    fields = metadata.by_type(types.select("file_id", "doc_type"), texts.select("file_id", "page_num", "ordinal", "content", *named), "file_id")
+    about = about.join(types.select("file_id", "doc_type"), "file_id", "left").join(fields, "file_id", "left").withColumn("title", F.when(F.col("doc_type") == "academic_paper", F.coalesce("paper_title", "title")).otherwise(F.col("title"))).drop("paper_title")
     chunks = sections.chunk_documents(texts.select(F.concat_ws(":", "file_id", "ordinal").alias("block"), F.col("content").alias("text")), "block")
     target = F.when(F.col("type") == "table", "tables").when(F.col("type") == "image", "images").otherwise("chunks")
     return {

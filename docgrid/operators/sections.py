@@ -14,7 +14,7 @@ POLICY_HEADING = (
     r"^(?:第\s*[0-9一二三四五六七八九十百千万零〇两]+\s*(?:编|章|节)|[一二三四五六七八九十百千万零〇两]+\s*[、．.]\s*|"
     r"[（(]\s*(?:[一二三四五六七八九十百千万零〇两]+|\d+)\s*[）)]\s*|\d+\s*[、．.](?!\d)\s*|\d+(?:[.．]\d+)+[ \t]+)"
 )
-CHUNK, OVERLAP = 512, 50
+CHUNK, OVERLAP, PART = 512, 50, 256
 
 
 def assemble(blocks: DataFrame, document: str, order: list[str], text: str, is_heading: Column) -> DataFrame:
@@ -52,18 +52,22 @@ def siblings(rows: DataFrame, parent: str, order: list[str], key: str) -> DataFr
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed into chunks of ``size`` characters; a longer paragraph is cut with an overlap."""
     paragraphs = F.filter(F.transform(F.split(text, "\r\n|\n"), strip), lambda p: p != "")
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("").alias("now"), none.alias("part"), F.array().cast("array<array<string>>").alias("done"))
 
+    # chunks are gathered in parts, so that a long text's are copied a few times and not once for each paragraph
     def pack(state, p):
-        now, done = state["now"], state["done"]
-        flushed = F.when(now != "", F.concat(done, F.array(now))).otherwise(done)
+        now, part, done = state["now"], state["part"], state["done"]
+        fits, long = F.length(now) + F.length(p) + 1 <= size, F.length(p) > size
+        flushed = F.when(now != "", F.array(now)).otherwise(none)
         cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(size - overlap)), lambda s: F.substr(p, s + 1, F.lit(size)))
-        joined = F.struct(F.when(now == "", p).otherwise(F.concat(now, F.lit("\n"), p)).alias("now"), done.alias("done"))
-        long = F.struct(F.lit("").alias("now"), F.concat(flushed, cut).alias("done"))
-        fresh = F.struct(p.alias("now"), flushed.alias("done"))
-        return F.when(F.length(now) + F.length(p) + 1 <= size, joined).otherwise(F.when(F.length(p) > size, long).otherwise(fresh))
+        out = F.when(fits, none).when(long, F.concat(flushed, cut)).otherwise(flushed)
+        then = F.when(fits, F.when(now == "", p).otherwise(F.concat(now, F.lit("\n"), p))).when(long, F.lit("")).otherwise(p)
+        full = F.size(part) >= PART
+        return F.struct(then.alias("now"), F.when(full, out).otherwise(F.concat(part, out)).alias("part"), F.when(full, F.concat(done, F.array(part))).otherwise(done).alias("done"))
 
-    return F.aggregate(paragraphs, start, pack, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    last = lambda s: F.when(s["now"] != "", F.array(s["now"])).otherwise(none)
+    return F.aggregate(paragraphs, start, pack, lambda s: F.concat(F.flatten(s["done"]), s["part"], last(s)))
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -24,6 +24,10 @@ SAMPLE_ROWS = 20
 HIDDEN = ("_row_id", "_page_num", "_row_idx")
 
 
+# The largest spans that HTML knows.
+ROWSPAN, COLSPAN = 65_534, 1_000
+
+
 class _Cells(HTMLParser):
     """Rows of cells (text, is header, rowspan, colspan) of the first table."""
 
@@ -38,7 +42,7 @@ class _Cells(HTMLParser):
         elif tag in ("td", "th"):
             a = dict(attrs)
             self.rows = self.rows or [[]]
-            self.cell = ["", tag == "th", span(a.get("rowspan")), span(a.get("colspan"))]
+            self.cell = ["", tag == "th", span(a.get("rowspan"), ROWSPAN), span(a.get("colspan"), COLSPAN)]
             self.rows[-1].append(self.cell)
         elif tag == "br" and self.cell:
             self.cell[0] += " "
@@ -52,10 +56,10 @@ class _Cells(HTMLParser):
             self.cell[0] += data
 
 
-def span(value) -> int:
-    """A span attribute: at least one, junk is one."""
+def span(value, most: int = ROWSPAN) -> int:
+    """A span attribute: at least one, junk is one, and at most what HTML allows."""
     try:
-        return max(1, int(str(value).strip()))
+        return min(most, max(1, int(str(value).strip())))
     except (TypeError, ValueError):
         return 1
 
@@ -189,7 +193,7 @@ def form_fields(rows: DataFrame, key: str, row: str, cells: str) -> DataFrame:
     single = F.size("__full") == 1
     note = F.concat(F.lit("_note_"), F.row_number().over(Window.partitionBy(key, single).orderBy(row)).cast("string"))
     name = F.when(single, note).otherwise(F.get("__full", F.lit(0)))
-    value = F.when(single, F.get("__full", F.lit(0))).otherwise(F.array_join(F.slice("__full", 2, 1000), " | "))
+    value = F.when(single, F.get("__full", F.lit(0))).otherwise(F.array_join(F.slice("__full", F.lit(2), F.size("__full")), " | "))
     return r.select(key, name.alias("field"), value.alias("value"), F.col(row).alias("__r")).groupBy(key, "field").agg(F.max_by("value", "__r").alias("value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.operators import hierarchy as H
+from docgrid.operators import intervals
 
 from .common import as_duck, made, table
 
@@ -29,6 +30,12 @@ def tree_closure(spark, sf_dir):
     return H.closure(_nodes(spark, sf_dir))
 
 
+def tree_intervals(spark, sf_dir):
+    """The pairs of ``tree_closure`` from one row a node."""
+    told = intervals.labels(_nodes(spark, sf_dir), order="o")
+    return intervals.pairs(told, told)
+
+
 def tree_context(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     out = H.context(n.filter("NOT structural OR id LIKE 'n%'"), H.closure(n), 5)
@@ -71,7 +78,7 @@ def parse_quality(spark, sf_dir):
     return H.parse_quality(b, c)
 
 
-QUERIES = {f.__name__: f for f in (tree_closure, tree_context, explicit_matters, ui_tree, workflow_order, clause_tree, parse_quality)}
+QUERIES = {f.__name__: f for f in (tree_closure, tree_intervals, tree_context, explicit_matters, ui_tree, workflow_order, clause_tree, parse_quality)}
 SQL = {
     "tree_closure": f"WITH RECURSIVE {_NODES} SELECT ancestor, descendant, min(distance) AS distance FROM up GROUP BY 1, 2",
     "tree_context": f"""WITH RECURSIVE {_NODES}, h AS (SELECT id FROM t WHERE NOT structural OR id LIKE 'n%'),
@@ -104,3 +111,4 @@ FROM u LEFT JOIN n a ON a.policy_id = u.policy_id AND a.sequence_no = article_at
     "parse_quality": """SELECT source AS policy_id, round_even(0.45::DOUBLE * least(1.0::DOUBLE, sum(floor(length(text) / 2)) / sum(length(text))) + 0.25::DOUBLE * avg(CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) + 0.30::DOUBLE, 4) AS quality
 FROM documents WHERE trim(text) <> '' GROUP BY 1""",
 }
+SQL["tree_intervals"] = SQL["tree_closure"]

@@ -136,7 +136,11 @@ def parse_mhtml(data: bytes) -> tuple[list[dict], dict[str, str]]:
     part = next((p for p in message.walk() if p.get_content_type() == "text/html"), None)
     if part is None:
         raise ValueError("the archive has no HTML part")
-    return html_blocks(part.get_content())
+    try:
+        text = part.get_content()
+    except LookupError:  # a charset that nobody knows
+        text = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+    return html_blocks(text)
 
 
 def parse_docx(data: bytes) -> tuple[list[dict], dict[str, str]]:
@@ -208,8 +212,8 @@ def parse_files(files: DataFrame, remote: Parser | None = None) -> DataFrame:
                         raise ValueError(f"no parser for {kind} files")
                     got, meta = parsers[kind](data or b"")
                     error = None if got else "the document is empty"
-                except ValueError as e:
-                    got, meta, error = [], {}, str(e)
+                except Exception as e:  # noqa: BLE001 - a damaged or encrypted file can fail in any way, and others go on
+                    got, meta, error = [], {}, str(e) if isinstance(e, ValueError) else f"the file is damaged ({type(e).__name__}: {e})"
                 blocks.append(got)
                 metas.append(list(meta.items()))
                 errors.append(error)
@@ -249,6 +253,8 @@ def read_artifacts(files: DataFrame, preferred: tuple[str, ...] = ("full.md", "a
                 return text, z.read(lists[0]).decode("utf-8", "replace") if lists else None, images, None if chosen else "no Markdown in the archive"
         except zipfile.BadZipFile:
             return None, None, [], "not a ZIP archive"
+        except Exception as e:  # noqa: BLE001 - a damaged or encrypted member can fail in any way, and others go on
+            return None, None, [], f"the archive is damaged ({type(e).__name__}: {e})"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string())

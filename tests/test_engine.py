@@ -375,3 +375,65 @@ def test_service_faults():
     for bad in ("ftp://x", "http://", "http://x?y=1"):
         with pytest.raises(ValueError):
             Service(bad)
+
+
+def test_nothing_is_cut_and_no_file_kills_the_job(spark):
+    """Long forms, numbers on a second page, titles on a later one, damaged and encrypted files beside a good one."""
+    import io
+    import zipfile
+
+    from docgrid.operators import process, sections, tables
+
+    rows = spark.createDataFrame([("b", 0, ["name", *[f"v{k}" for k in range(1500)]])], "block string, row int, cells array<string>")
+    assert tables.form_fields(rows, "block", "row", "cells").first()["value"].split(" | ") == [f"v{k}" for k in range(1500)]
+    assert len(tables.expand('<table><tr><td colspan="3000000">x</td><td rowspan="9999999">y</td></tr></table>')[0][0]) == 1001
+
+    block = lambda k, page, text, raw="text", level=None: {"ordinal": k, "type": "text", "page_num": page, "content": text, "table_html": "", "raw_type": raw, "text_level": level}
+    policy = [block(0, 1, "字" * 5000), block(1, 2, "校发〔2023〕7号\n发布机构：教务处"), block(2, 3, "采购管理办法\n第一条 按照规定办理。"), block(3, 5, "第二条 本办法自发布之日起施行。")]
+    policy += [block(4, 5, "关于印发《学位授予规定》的通知"), block(5, 5, "学位授予规定"), block(6, 5, "第一条 总则。")]
+    form = [block(0, 1, "申请表 姓名：张三 部门：财务处 金额：1,200元 签字 审批意见 申请人"), block(1, 2, "姓名：李四")]
+    paper = [block(0, 1, "Deep learning for the mapping of things", "title", 1), block(1, 1, "Abstract: " + "We study things at length. " * 6), block(2, 1, "Introduction", "text", 2), block(3, 1, "References doi 10.1000/abc-1 2021 Keywords: x Conclusion Experiment Method")]
+    data = [("p", "a.pdf", policy, {}, None), ("f", "申请表.pdf", form, {}, None), ("s", "paper.pdf", paper, {}, None), ("n", "x.pdf", [block(0, 1, "nothing much")], {}, None)]
+    kind = "array<struct<ordinal:int,type:string,page_num:int,content:string,table_html:string,raw_type:string,text_level:int>>"
+    out = process.process_documents(spark.createDataFrame(data, f"file_id string, file_name string, blocks {kind}, metadata map<string,string>, error string"))
+    types = {r["file_id"]: r["doc_type"] for r in out["types"].collect()}
+    about = {r["file_id"]: r for r in out["metadata"].collect()}
+    assert types["p"] == "policy_regulation" and (about["p"]["doc_number"], about["p"]["issuer"]) == ("校发〔2023〕7号", "教务处")
+    assert about["p"]["notice_title"] == "关于印发《学位授予规定》的通知" or about["p"]["title"] in ("学位授予规定", "采购管理办法")
+    assert types["f"] == "admin_form" and (about["f"]["applicant"], about["f"]["department"], about["f"]["amount"], about["f"]["doc_number"]) == ("张三", "财务处", "1200", None)
+    assert types["s"] == "academic_paper" and about["s"]["title"].startswith("Deep learning") and about["s"]["doi"] == "10.1000/abc-1" and about["s"]["abstract"]
+    assert about["n"]["doc_number"] is None and about["n"]["applicant"] is None and about["n"]["doi"] is None
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:t>good words here</w:t></w:p></w:body></w:document>' + " " * 3000)
+    good = packed.getvalue()
+    at = good.index(b"document.xml") + len("document.xml")
+    damaged, locked = bytearray(good), bytearray(good)
+    damaged[at + 4 : at + 40] = b"\xff" * 36
+    for sign in (b"PK\x03\x04", b"PK\x01\x02"):
+        locked[good.index(sign) + (6 if sign[2] == 3 else 8)] |= 1
+    mail = b"MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=b\r\n\r\n--b\r\nContent-Type: text/html; charset=no-such-set\r\n\r\n<html><body><p>kept text</p></body></html>\r\n--b--\r\n"
+    files = [("1", "a.docx", bytes(damaged)), ("2", "b.docx", bytes(locked)), ("3", "c.docx", good), ("4", "d.doc", mail), ("5", "e.docx", None)]
+    got = {r["file_id"]: r for r in documents.parse_files(spark.createDataFrame(files, "file_id string, file_name string, content binary")).collect()}
+    assert "damaged" in got["1"]["error"] and "damaged" in got["2"]["error"] and got["5"]["error"] and got["3"]["error"] is None and got["3"]["blocks"][0]["content"] == "good words here"
+    assert got["4"]["error"] is None and got["4"]["blocks"][0]["content"] == "kept text"
+    markdown = io.BytesIO()
+    with zipfile.ZipFile(markdown, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("full.md", "# title " * 400)
+    broken = bytearray(markdown.getvalue())
+    broken[broken.index(b"full.md") + 9 : broken.index(b"full.md") + 25] = b"\xff" * 16
+    read = {r["file_id"]: r["error"] for r in documents.read_artifacts(spark.createDataFrame([("x", bytes(broken)), ("y", markdown.getvalue())], "file_id string, content binary")).collect()}
+    assert "damaged" in read["x"] and read["y"] is None
+
+    long = "\n".join(f"paragraph {k} " + "x" * (k % 700) for k in range(3000))
+    cut = [r["text"] for r in sections.chunk_documents(spark.createDataFrame([(1, long)], "doc_id long, text string")).orderBy("chunk_index").collect()]
+    want, now = [], ""
+    for p in map(str.strip, long.split("\n")):
+        if len(now) + len(p) + 1 <= 512:
+            now = f"{now}\n{p}" if now else p
+            continue
+        want += [now] if now else []
+        now = "" if len(p) > 512 else p
+        want += [p[s : s + 512] for s in range(0, len(p), 462)] if len(p) > 512 else []
+    assert cut == want + ([now] if now else [])
