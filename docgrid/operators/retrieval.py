@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,15 +36,16 @@ def idf(post: DataFrame, n_docs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, query: DataFrame, top_k: int = 50, key: str = "doc_id", text: str = "text", words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, bm25_score, bm25_rank) of the best documents for the one-row table ``query`` (column query_text).
 
     A query term counts as often as it occurs; documents that share no term with the query aren't returned.  With a
-    column query_id every row is a query of its own, and the result has the best documents of each query_id.
+    column query_id every row is a query of its own, and the result has the best documents of each query_id.  ``words``
+    gives the terms of a text.
     """
     ids = [c for c in query.columns if c == "query_id"]
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
-    wanted = query.select(*ids, F.explode(tokens(F.col("query_text"))).alias("term")).groupBy(*ids, "term").agg(F.count("*").alias("times"))
+    split, words = words, docs.select(F.col(key), words(F.col(text)).alias("w"))
+    wanted = query.select(*ids, F.explode(split(F.col("query_text"))).alias("term")).groupBy(*ids, "term").agg(F.count("*").alias("times"))
     # one pass counts everything about the corpus: document frequencies combine before their shuffle, and the empty term,
     # which every document gets, has the number of documents and their lengths
     each = words.select(F.explode(F.concat(F.array_distinct("w"), F.array(F.lit("")))).alias("term"), F.size("w").alias("dl")).filter(F.col("term").isNotNull())

@@ -95,7 +95,7 @@ def empty_runs(spark, sf_dir):
 def folder_reset_plan(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     items = e.select(F.concat("user_id", F.lit("-"), F.col("event_id") % 7).alias("file_id"), "user_id", (F.col("event_id") % 5).alias("batch_id"), F.when(F.col("event_type") == "purchase", "running").otherwise("succeeded").alias("status"), F.col("ts").alias("heartbeat_at"))
-    chosen = items.filter("user_id < 200").groupBy("file_id").agg(F.min("batch_id").alias("batch_id"))
+    chosen = items.groupBy("file_id").agg(F.min("batch_id").alias("batch_id"))
     return L.folder_plan(chosen, items, _now())
 
 
@@ -139,7 +139,7 @@ def latest_annotation(spark, sf_dir):
 def graph_candidates(spark, sf_dir):
     """Nations and regions as entities, their belonging as relations."""
     n = table(spark, sf_dir, "nation")
-    e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").filter("r_regionkey < 4").select(F.concat(F.lit("r"), "r_regionkey").alias("entity_id"), F.col("r_name").alias("name")))
+    e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("entity_id"), F.col("r_name").alias("name")))
     r = n.select(F.concat(F.lit("x"), "n_nationkey").alias("relation_id"), F.lit("part_of").alias("relation_type"), F.concat(F.lit("n"), "n_nationkey").alias("subject_id"), F.concat(F.lit("r"), "n_regionkey").alias("object_id"))
     return G.graph_candidates(e, r)
 
@@ -205,7 +205,7 @@ UNION ALL SELECT -o_orderkey - 1, 'new', 'pending' FROM orders WHERE o_orderkey
 SELECT 'orders' AS t, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE o_orderkey NOT IN (FROM g) UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (FROM g)""",
     "empty_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "folder_reset_plan": f"""WITH i AS (SELECT user_id || '-' || event_id % 7 AS file_id, user_id, event_id % 5 AS batch_id, event_type = 'purchase' AS running, epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)) > 1800 AS old FROM events),
-c AS (SELECT file_id, min(batch_id) AS mine FROM i WHERE user_id < 200 GROUP BY 1)
+c AS (SELECT file_id, min(batch_id) AS mine FROM i GROUP BY 1)
 SELECT file_id, CASE WHEN bool_or(running AND NOT old) THEN 'busy' WHEN bool_or(running AND old) THEN 'stale' WHEN bool_or(batch_id <> mine) THEN 'shared' ELSE 'free' END AS plan FROM c JOIN i USING (file_id) GROUP BY 1""",
     "label_metrics": f"""WITH d AS (SELECT NOT regexp_matches(text, '[*&$%#|!]{{2}}') AS pg, regexp_matches(lower(text), 'idiot|stupid|scum') AS pt, quality = 1 AS ag, toxic = 1 AS at_ FROM labels JOIN documents USING (doc_id)),
 u AS (SELECT 'good' AS label, pg AS p, ag AS a FROM d UNION ALL SELECT 'toxic', pt, at_ FROM d UNION ALL SELECT 'none', false, false FROM d),
@@ -219,7 +219,7 @@ SELECT count(*) FILTER (t IS NOT NULL OR o IS NOT NULL) AS reviewed, count(*) FI
 SELECT source, doc_id FROM r WHERE n <= 7 OR i IN (SELECT CAST(round_even(p * (n - 1) / 6.0::DOUBLE, 0) AS BIGINT) FROM range(7) x(p))""",
     "latest_annotation": """WITH c AS (SELECT conv_id || '/' || role AS candidate_id, CASE WHEN turn = 0 AND role = 'user' THEN 'added' ELSE 'approved' END AS decision, turn AS created_at, turn AS annotation_id FROM conversations)
 (SELECT * FROM c WHERE decision <> 'added' QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY created_at DESC, annotation_id DESC) = 1) UNION ALL SELECT * FROM c WHERE decision = 'added'""",
-    "graph_candidates": """WITH e AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region WHERE r_regionkey < 4)
+    "graph_candidates": """WITH e AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region)
 SELECT id AS candidate_id, 'entity' AS candidate_type, name, NULL::VARCHAR AS subject_name, NULL::VARCHAR AS object_name FROM e
 UNION ALL SELECT 'x' || n_nationkey, 'relation', 'part_of', s.name, o.name FROM nation LEFT JOIN e s ON s.id = 'n' || n_nationkey LEFT JOIN e o ON o.id = 'r' || n_regionkey""",
     "workflow_graph_edges": """WITH a AS (SELECT user_id AS k, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.text import keyword_score
 from docgrid.operators import retrieval as R
+from docgrid.operators import segmenter
 from docgrid.operators.segments import SegmentIndex
 from docgrid.operators.vectors import InvertedFile
 
@@ -70,6 +71,21 @@ def indexed_topk_each(spark, sf_dir):
     return index.search(q, 50)
 
 
+#: Latin letters as CJK characters, so that conversations are runs of words without spaces.
+AS_CJK = "".join(chr(0x4E00 + 7 * k) for k in range(26))
+
+
+def segmented_topk(spark, sf_dir):
+    """Conversations written without spaces in CJK characters, segmented by what they teach, for the first words of each
+    conversation whose id is divisible by 20."""
+    c = table(spark, sf_dir, "conversations")
+    plain = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz ", AS_CJK)
+    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), plain.alias("text"))
+    tokens = segmenter.tokenizer(segmenter.learn(docs, words=500))
+    asked = c.filter("conv_id % 20 = 0 AND turn = 0").select(F.col("conv_id").alias("query_id"), plain.alias("query_text"))
+    return R.bm25(docs, asked, 10, words=tokens)
+
+
 def hybrid_search(spark, sf_dir):
     """Lexical and vector lists fused by reciprocal ranks."""
     lexical = R.bm25(table(spark, sf_dir, "documents"), _query(spark, sf_dir), 50).withColumnRenamed("doc_id", "id")
@@ -132,7 +148,7 @@ terms AS (SELECT DISTINCT substr(q, s, n) AS t FROM (SELECT q, n, unnest(range(1
 ks AS (SELECT doc_id, round_even(least(0.15::DOUBLE, 0.15::DOUBLE * sum(CASE WHEN contains(lower(regexp_replace(text, '\\s+', '', 'g')), t) THEN length(t) ELSE 0 END) / sum(length(t))), 6) AS keyword_score
   FROM documents, terms GROUP BY doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, ivf_topk_each, indexed_topk_each, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
+QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, bm25_topk_each, vector_topk_each, ivf_topk_each, indexed_topk_each, segmented_topk, hybrid_search, bm25_idf, keyword_scores, assertion_boost, evidence_selection, rerank_candidates)}
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, bm25_score, bm25_rank FROM bm",
     "bm25_topk_each": f"""WITH {_POST},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docgrid.functions import ids
 from docgrid.operators import graphs as G
 from docgrid.operators import tables as T
+from docgrid.operators import variants as V
 from docgrid.sources import documents as D
 from docgrid.sources import files as S
 from docgrid.streaming.ingest import event_counts
@@ -104,9 +105,28 @@ def structure_export(spark, sf_dir):
     return c.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("document"), "clauses")).alias("json"))
 
 
-QUERIES = {f.__name__: f for f in (page_blocks, archive_blocks, archive_sniff, file_identity, clause_identity, image_data, policy_catalog, message_feedback, document_type_nodes, event_windows, content_blocks, structure_export)}
+def variant_filter(spark, sf_dir):
+    """Events whose properties, as Variant documents, have a number above 50 and no other key."""
+    e = table(spark, sf_dir, "events").select("event_id", V.parsed(F.col("props")).alias("v"))
+    e = e.filter(V.where(F.col("v"), "$.k", "gt", 50) & ~V.where(F.col("v"), "$.other", "exists"))
+    return e.select("event_id", V.value_at(F.col("v"), "$.k", "bigint").alias("k"))
+
+
+def variant_upsert(spark, sf_dir):
+    """The events' documents with the value of purchases put at a path; events beyond the table are new documents."""
+    e = table(spark, sf_dir, "events")
+    docs = e.filter("event_type <> 'error'").select("event_id", V.parsed(F.col("props")).alias("v"))
+    changes = e.filter("event_type IN ('purchase', 'error')").select("event_id", F.col("user_id").alias("value"))
+    out = V.upsert_at(docs, changes, "event_id", "v", "$.who.id")
+    return out.select("event_id", V.value_at(F.col("v"), "$.k", "bigint").alias("k"), V.value_at(F.col("v"), "$.who.id", "bigint").alias("who"))
+
+
+QUERIES = {f.__name__: f for f in (variant_filter, variant_upsert, page_blocks, archive_blocks, archive_sniff, file_identity, clause_identity, image_data, policy_catalog, message_feedback, document_type_nodes, event_windows, content_blocks, structure_export)}
 _SHA = "substr(sha256({}), 1, {})"
 SQL = {
+    "variant_filter": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50",
+    "variant_upsert": """SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+  CASE WHEN event_type IN ('purchase', 'error') THEN user_id END AS who FROM events""",
     "page_blocks": r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
 s AS (SELECT page_id, unnest(string_split_regex(art, '</?(?:p|h1)>')) AS t, unnest(range(len(string_split_regex(art, '</?(?:p|h1)>')))) AS k FROM a),
 b AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS c FROM s)
