@@ -89,3 +89,21 @@ def cached_scores(candidates: DataFrame, cache: DataFrame, question: str, now: C
     fresh = cache.filter(F.unix_timestamp(now) - F.unix_timestamp("cached_at") <= ttl_seconds)
     last = fresh.groupBy("cache_key").agg(F.max_by("score", "cached_at").alias("cached_score"))
     return candidates.withColumn("cache_key", cache_key(F.lit(question), F.col(text), version)).join(last, "cache_key", "left")
+
+
+CACHED = 256
+
+
+def merged_cache(cache: DataFrame, uses: DataFrame, generation: int, now: Column, ttl_seconds: int = 600, most: int = CACHED) -> DataFrame:
+    """The cache (cache_key, score, cached_at, last_used, generation) after ``uses`` (cache_key, score, used_at, generation).
+
+    A use with a score stores it, one without only reads it.  Entries of another generation, without a score, or older than
+    ``ttl_seconds`` leave; of the others the ``most`` last used stay, ties going to the smaller key.  Of stores at one
+    time the larger score counts, and a null key is no entry.
+    """
+    told = uses.select("cache_key", F.col("score").cast("double").alias("score"), F.when(F.col("score").isNotNull(), F.col("used_at")).alias("cached_at"), F.col("used_at").alias("last_used"), "generation")
+    rows = cache.select("cache_key", F.col("score").cast("double").alias("score"), "cached_at", "last_used", "generation").unionByName(told).filter((F.col("generation") == generation) & F.col("cache_key").isNotNull())
+    one = rows.groupBy("cache_key").agg(F.max(F.when(F.col("score").isNotNull(), F.struct("cached_at", "score"))).alias("s"), F.max("last_used").alias("last_used"))
+    one = one.select("cache_key", F.col("s.score").alias("score"), F.col("s.cached_at").alias("cached_at"), "last_used", F.lit(generation).alias("generation"))
+    young = one.filter(F.col("score").isNotNull() & (F.unix_timestamp(now) - F.unix_timestamp("cached_at") <= ttl_seconds))
+    return young.orderBy(F.desc("last_used"), "cache_key").limit(most)

@@ -148,16 +148,19 @@ def plain_number(value: Column) -> Column:
 
 def infer_types(cells: DataFrame, by: list[str], value: str = "value", row: str = "row_idx", sample: int = SAMPLE_ROWS) -> DataFrame:
     """The type of each column from its first ``sample`` rows: INTEGER, BIGINT, DOUBLE PRECISION, DATE or TEXT."""
-    c = cells.filter(F.col(row) < sample).withColumn("v", plain_number(F.col(value))).filter("v <> ''")
-    whole = F.col("v").rlike(r"^[-+]?\d+$")
+    # one pass: cells that tell nothing are null and count for no test, but their columns are there
+    v = F.when(F.col(row) < sample, plain_number(F.col(value)))
+    c = cells.select(*by, F.when(v != "", v).alias("v"), F.col(value).alias("said"))
+    c = c.withColumn("whole", F.col("v").rlike(r"^[-+]?\d+$"))
     # only whole numbers are cast, as a cast that fails costs far more than a match
-    c = c.withColumn("whole", whole).withColumn("n", F.when(F.col("whole"), F.expr("try_cast(v AS bigint)")))
+    c = c.withColumn("n", F.when(F.col("whole"), F.expr("try_cast(v AS bigint)")))
+    some = lambda test: F.bool_and(F.when(F.col("v").isNotNull(), test))
     g = c.groupBy(*by).agg(
-        F.bool_and("whole").alias("whole"), F.bool_and(F.col("n").isNotNull() & F.col("n").between(-(1 << 31), (1 << 31) - 1)).alias("i32"), F.bool_and(F.col("n").isNotNull()).alias("i64"),
-        F.bool_and(F.col("v").rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")).alias("real"), F.bool_and(strip(F.col(value)).rlike(DATE_CELL)).alias("day"),
+        F.bool_and("whole").alias("whole"), some(F.col("n").isNotNull() & F.col("n").between(-(1 << 31), (1 << 31) - 1)).alias("i32"), some(F.col("n").isNotNull()).alias("i64"),
+        some(F.col("whole") | F.col("v").rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")).alias("real"), some(strip(F.col("said")).rlike(DATE_CELL)).alias("day"),
     )
     kind = F.when(F.col("i32"), "INTEGER").when(F.col("i64"), "BIGINT").when(F.col("whole"), "TEXT").when(F.col("real"), "DOUBLE PRECISION").when(F.col("day"), "DATE").otherwise("TEXT")
-    return cells.select(*by).distinct().join(g, by, "left").select(*by, F.coalesce(kind, F.lit("TEXT")).alias("data_type"))
+    return g.select(*by, F.coalesce(kind, F.lit("TEXT")).alias("data_type"))
 
 
 def coerce(value: Column, data_type: Column) -> Column:

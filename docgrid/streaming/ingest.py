@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions import ids
@@ -20,8 +20,9 @@ def ingest(spark: SparkSession, folder: str, warehouse: str, process: Callable[[
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        w = Window.partitionBy("file_hash").orderBy(F.lower("path"), "path")
-        new = batch.withColumn("file_hash", ids.file_hash(F.col("content"))).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+        # the first path of each content is found on hashes alone; contents aren't dealt out for that
+        first = batch.select("path", ids.file_hash(F.col("content")).alias("file_hash")).groupBy("file_hash").agg(F.min(F.struct(F.lower("path").alias("lower"), "path"))["path"].alias("path"))
+        new = batch.join(first, "path")
         done = known(batch.sparkSession, warehouse, number)
         if done is not None:
             new = new.join(done, "file_hash", "left_anti")
