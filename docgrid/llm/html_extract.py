@@ -3,9 +3,11 @@
 A first pass hashes the element subtrees of every page, once as its place (the names and classes from the root down) and
 once as its content.  Spark counts per host on how many pages of different main text a place and a content occur, so that
 copies of one page count once.  A second pass deletes what recurs across many pages of the host: a content that recurs,
-or a place whose contents are mostly shared by pages.  Class words and a page's ``article`` only break ties: where a
-place recurs with other content on each page, or where a host has too few pages to tell, they decide.  Elements that are
-no text of a page by their kind (scripts, forms, menus, footers, ...) go always, as do reader comments.
+or a place that is filled from a stock, so that pages of different text share contents there more often than texts do by
+chance.  Class words decide where a place recurs with contents of which hardly two are equal; only on hosts of too few
+pages to tell do they decide alone, and a page's ``article`` with them.  Headings and paragraphs beside an article are its
+own unless they recur or are marked.  Elements that are no text of a page by their kind (scripts, forms, menus, footers,
+...) go always, as do reader comments.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch, staged
+from .common import limited, map_rows, scratch, staged
 
 MIN_PAGES = 4
 MIN_SHARE = 0.2
 MANY_PAGES = 50
-SHARED = 0.5
+SHARED = 0.1
 MOST_TEXT_INSIDE = 0.2
+BROADCAST_MARKS = 200_000  # pages whose marks are broadcast
 
 # Element names and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +46,9 @@ BOILER_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended comment comments disqus respond reply replies login signin search widget widgets toolbar pagination pager masthead topbar skip header top".split()
 )
 INSIDE_WORDS = BOILER_WORDS - frozenset("notice notices alert header top skip".split())
+AD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+LINK_WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs related recommended pagination pager toolbar widget widgets".split())
+OWN = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
 BESIDE_WORDS = frozenset("bar box list container wrapper wrap block area section links link item items inner left right bottom main site page post global primary secondary thread posts articles".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -180,6 +186,10 @@ class Page:
                 self.dead[i] = True
             self.dead[i] = self.dead[i] or self.dead[parent[i]]
         self.size = self._sizes([0 if d else x for x, d in zip(lengths, self.dead, strict=True)])
+        link = [False] * n
+        for i in range(1, n):
+            link[i] = tag[i] == "a" or link[parent[i]]
+        self.linked = self._sizes([x if k and not d else 0 for x, k, d in zip(lengths, link, self.dead, strict=True)])
         core = self._core()
         self.holds, self.inner = [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
@@ -218,11 +228,21 @@ class Page:
                 core = i
         return core
 
-    def marked(self, i: int) -> bool:
-        """Whether class words, or standing beside an article, mark a part as boilerplate."""
-        if self.inner[i]:
-            return self.tag[i] in CONTAINERS and any(says(t, INSIDE_WORDS) for t in self.tokens[i])
-        return self.has_main or any(says(t, BOILER_WORDS) for t in self.tokens[i])
+    def marked(self, i: int, alone: bool = False) -> bool:
+        """Whether class words mark a part as boilerplate, or on a host of which nothing is known (``alone``) its standing
+        beside an article does.
+
+        Within the page's own text an advert may be any element, other boilerplate containers only, and what is named
+        like a list of links has to be one.
+        """
+        tokens = self.tokens[i]
+        if not self.inner[i]:
+            return (alone and self.has_main and self.tag[i] not in OWN) or any(says(t, BOILER_WORDS) for t in tokens)
+        if any(says(t, AD_WORDS) for t in tokens):
+            return True
+        if self.tag[i] not in CONTAINERS:
+            return False
+        return any(says(t, INSIDE_WORDS - LINK_WORDS) for t in tokens) or (any(says(t, LINK_WORDS) for t in tokens) and 2 * self.linked[i] >= self.size[i])
 
     def _small(self, i: int) -> bool:
         return self.size[i] <= MOST_TEXT_INSIDE * self.size[0]
@@ -240,7 +260,7 @@ class Page:
             if self.holds[i]:
                 if self.runs[i] and not self.inner[i]:
                     out.append((i, True))
-            elif not self.inner[i] or (self.tag[i] in CONTAINERS and (self._small(i) or self.marked(i))):
+            elif not self.inner[i] or (self.tag[i] in CONTAINERS and self._small(i)) or self.marked(i):
                 out.append((i, False))
         return out
 
@@ -284,7 +304,7 @@ class Page:
         """
         dead, silent = list(self.dead), set()
         for k, (i, alone) in enumerate(self.parts()):
-            if (gone is not None and k in gone) or ((gone is None or k in often) and self.marked(i)):
+            if (gone is not None and k in gone) or ((gone is None or k in often) and self.marked(i, gone is None)):
                 if alone:
                     silent.add(i)
                 else:
@@ -320,7 +340,7 @@ def recurring_parts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
 
     A content or place recurs if it is on ``min_pages`` and on ``min_share`` of the host's pages, or on ``many`` of them.
     A part goes if its content recurs, or if it stands beside the page's own text in a place that recurs and whose
-    contents are for the greater part on two pages or more.  Pages of a host with equal main text count as one page,
+    contents are a stock: at least ``SHARED`` of them are on two pages or more.  Pages of a host with equal main text count as one page,
     whatever their urls.  On hosts of fewer than ``min_pages`` pages both are null.
     """
 
@@ -362,7 +382,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key"))
     with scratch(pages.sparkSession):
         marks = staged(recurring_parts(pages, min_pages, min_share).withColumnRenamed("page_key", "key"), "marks", kept=True)
-    rows = keyed.join(marks, "key", "left").select("page_id", "url", "html", "gone", "often")
+    # the html isn't dealt out as long as the marks are few enough to be sent to it
+    rows = keyed.join(limited(marks, BROADCAST_MARKS), "key", "left").select("page_id", "url", "html", "gone", "often")
 
     def make():
         def apply(c):

@@ -121,3 +121,60 @@ def test_copied_articles_keep_lists_tables_and_sections(spark):
     assert {got[i] for i in range(8)} == {f"{long}\n\none\n\ntwo\n\na b\n\nlast part"}
     assert all(got[20 + i] == f"Own text {i} of a page that has no article at all" for i in range(8))
     assert {got[40 + i] for i in range(8)} == {f"{long}\n\none\n\ntwo"}
+
+
+def _site(n, page, host="stock.example"):
+    return [(k, f"http://{host}/{k}", f"<html><body>{page(k)}</body></html>") for k in range(n)]
+
+
+def test_a_stock_in_one_place_goes_and_own_parts_beside_an_article_stay(spark):
+    """Without any class word: lines from a stock go by recurrence, headings and leads that differ on every page stay."""
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    page = lambda k: f"<h1>Title {'abcdefghijklmnopqrstuvwxyz'[k]}</h1><p>Lead {own(k)[:40].strip()}</p><div><span>Buy thing {k % 9} now</span></div><article><p>{own(k)}</p></article>"
+    rows = _site(24, page) + [(100 + k, u.replace("stock", "tiny"), h) for k, u, h in _site(2, page)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(24):
+        assert got[k] == f"Title {'abcdefghijklmnopqrstuvwxyz'[k]}\n\nLead {own(k)[:40].strip()}\n\n{own(k)}"
+    # too few pages to tell: what stands beside the article goes, but for headings and paragraphs
+    assert got[100] == f"Title a\n\nLead {own(0)[:40].strip()}\n\n{own(0)}"
+
+
+def test_adverts_of_any_element_and_menus_of_dishes(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    html = f"""<html><body><article><h1>Lunch</h1><p class="ad">BUY</p><p>{text} <span class="advert">NOW</span></p><ul class="menu"><li>Soup</li><li>Bread</li></ul>
+    <ul class="menu"><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></article></body></html>"""
+    got = H.extract(spark.createDataFrame([(1, "http://a.example/1", html)], "page_id long, url string, html string")).first()["text"]
+    assert got == f"Lunch\n\n{text}\n\nSoup\n\nBread"
+
+
+def test_extraction_by_another_parser(spark):
+    """Pages of a plain template, their article read by the standard library's parser, which knows nothing of templates."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if self.inside and tag in ("p", "h1", "li"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            if self.inside and self.blocks:
+                self.blocks[-1] += data
+
+    def page(k):
+        body = "".join(f"<p>{' '.join(f'p{k}q{i}r{j}' for j in range(12 + k))} &amp; &eacute;</p>" for i in range(4))
+        return f"<div id=top>Site</div><nav><a href=/>Home</a></nav><div class='side bar'>Links of the day {k % 3}</div><article><h1>Head {'abcdefghij'[k]}</h1>{body}<ul><li>one{k}</li><li>two{k}</li></ul></article><div>All rights reserved</div>"
+
+    rows = _site(10, page)
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, html in rows:
+        reader = Article()
+        reader.feed(html)
+        assert got[k] == "\n\n".join(" ".join(b.split()) for b in reader.blocks if b.strip())
