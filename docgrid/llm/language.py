@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ LANDMARKS_PER_LANG = 24
 RIDGE = 0.05
 BATCH = 128
 MOST_LANGS = 256
+MOST_LANDMARKS = 1_536  # of all languages together
+PARTS = 4  # tasks that add up the ridge's equations
 WORDLIKE = re.compile(r"[^\W\d_]")
 WHITE = re.compile(r"\s+")
 
@@ -92,27 +96,38 @@ def alphabet(best: list[int]) -> np.ndarray:
     return column
 
 
-def train(x: np.ndarray, labels: list[str], column: np.ndarray) -> KernelModel:
-    """Fit on rows of n-gram presence; the same rows in the same order give the same model."""
-    langs = sorted(set(labels))
+def mapped(marks: np.ndarray, langs: list[str], column: np.ndarray) -> KernelModel:
+    """The Nyström map of landmarks (rows of n-gram presence), without weights."""
     if not langs:
         return KernelModel([], column, np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)))
-    y = np.array([langs.index(v) for v in labels])
-    picked = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LANG] for k in range(len(langs))])
-    marks = x[picked] / np.sqrt(np.maximum(x[picked].sum(axis=1, keepdims=True), 1))
+    marks = marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * max(value.max(), 1e-9)
     project = vector[:, keep] / np.sqrt(value[keep])
-    model = KernelModel(langs, column, np.ascontiguousarray(marks.T, np.float32), project.astype(np.float32), np.zeros((0, 0)))
+    return KernelModel(langs, column, np.ascontiguousarray(marks.T, np.float32), project.astype(np.float32), np.zeros((0, 0)))
+
+
+def products(model: KernelModel, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What rows of presence and their languages add to the ridge's equations: z'Wz beside z'Wt.
+
+    Every language weighs alike, however many of its rows the sample has.
+    """
     z = model.features(x).astype(np.float64)
-    target = (y[:, None] == np.arange(len(langs))) * 1.0
-    # every language weighs alike, however many of its rows the sample has
-    weight = (1 / np.bincount(y, minlength=len(langs)))[y][:, None] * len(y) / len(langs)
-    gram = z.T @ (weight * z) + RIDGE * len(y) / 100 * np.eye(z.shape[1])
-    model.weights = np.linalg.solve(gram, z.T @ (weight * target)).astype(np.float32)
+    weight = counts.sum() / len(counts) / counts[y][:, None]
+    return z.T @ (weight * np.concatenate((z, (y[:, None] == np.arange(len(counts))) * 1.0), axis=1))
+
+
+def solved(model: KernelModel, sums: np.ndarray, rows: int) -> KernelModel:
+    d = model.project.shape[1]
+    model.weights = np.linalg.solve(sums[:, :d] + RIDGE * rows / 100 * np.eye(d), sums[:, d:]).astype(np.float32)
     return model
 
 
+def landmarks_each(langs: int) -> int:
+    """Landmarks of a language: fewer where many languages share what the driver may hold."""
+    return max(1, min(LANDMARKS_PER_LANG, MOST_LANDMARKS // max(langs, 1)))
+
+
 def training_sample(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
     """Staged (k, lang, text): the ``per_lang`` labelled texts of each language with the least hash k of id and text,
     of the ``most_langs`` languages that have most rows; equal texts of an id count once.
@@ -134,8 +149,9 @@ def training_sample(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_
 def fit(docs: DataFrame, usable: Column) -> KernelModel:
     """Learn from text and non-null lang of the ``usable`` rows of ``docs`` (columns doc_id, text, lang).
 
-    The sample's texts stay on the executors.  What reaches the driver are the numbers of ``NGRAMS`` slots at most (those
-    most frequent in a language) and a row of as many bits for each text of the sample.
+    The sample stays on the executors.  The driver gets the numbers of ``NGRAMS`` slots at most (those most frequent in a
+    language), the landmarks (48 kB each, ``MOST_LANDMARKS`` at most), and of each of ``PARTS`` tasks the sums of the
+    ridge's equations, as many rows as there are landmarks.
     """
     with scratch(docs.sparkSession):
         sample = training_sample(docs, usable)
@@ -149,9 +165,34 @@ def fit(docs: DataFrame, usable: Column) -> KernelModel:
         def bits(c):
             return {"k": c["k"], "lang": c["lang"], "bits": [np.packbits(row > 0).tobytes() for row in presence(c["text"], column, n)]}
 
-        got = sorted((r["k"], r["lang"], r["bits"]) for r in map_rows(sample, lambda: bits, "k long, lang string, bits binary").collect())
-        x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, _, b in got], np.float32).reshape(len(got), n)
-        return train(x, [v for _, v, _ in got], column)
+        found = staged(map_rows(sample, lambda: bits, "k long, lang string, bits binary"), "bits")
+        counts = {r["lang"]: r["of"] for r in total.collect()}
+        langs = sorted(counts)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+        marks = found.withColumn("place", place).filter(F.col("place") <= landmarks_each(len(langs))).collect()
+        unpack = lambda rows: np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b in rows], np.float32).reshape(len(rows), n)
+        model = mapped(unpack([r["bits"] for r in sorted(marks, key=lambda r: (r["lang"], r["k"]))]), langs, column)
+        if not langs:
+            return model
+        given = docs.sparkSession.sparkContext.broadcast((langs, column, model.landmarks, model.project, np.array([counts[v] for v in langs])))
+
+        def add(batches):
+            *parts, of = given.value
+            here, sums = KernelModel(*parts, np.zeros((0, 0))), 0
+            for batch in batches:
+                for s in range(0, batch.num_rows, BATCH):
+                    rows = batch.slice(s, BATCH)
+                    y = np.array([here.langs.index(v) for v in rows.column(0).to_pylist()])
+                    sums = sums + products(here, unpack(rows.column(1).to_pylist()), y, of)
+            if not isinstance(sums, int):
+                pid = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([pid] * len(sums)), pa.array(range(len(sums))), pa.array(list(sums), pa.list_(pa.float64()))], names=["pid", "i", "row"])
+
+        sums = found.select("lang", "bits").coalesce(PARTS).mapInArrow(add, "pid long, i long, row array<double>").collect()
+        whole = np.zeros((model.project.shape[1], model.project.shape[1] + len(langs)))
+        for r in sorted(sums, key=lambda r: r["pid"]):
+            whole[r["i"]] += r["row"]
+        return solved(model, whole, sum(counts.values()))
 
 
 def identify(docs: DataFrame, model: KernelModel, keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

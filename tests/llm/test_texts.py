@@ -203,3 +203,27 @@ def test_forest_walks_as_nodes_do():
 @pytest.mark.parametrize("text", ["", "a", " ", "\n\n", "x" * 100_000])
 def test_statistics_of_odd_texts(text):
     assert len(quality.statistics(text)) == len(quality.NAMES) and np.isfinite(quality.statistics(text)).all()
+
+
+def test_predictions_by_plain_ridge_regression(spark):
+    """Against the kernel matrix of the sample itself: the same landmarks, map and equations, solved in one piece."""
+    words = {"aa": "the cat and dog of house", "bb": "le chat et chien de maison", "cc": "der hund und katze im haus"}
+    of = np.random.default_rng(7)
+    rows = [(k, " ".join(of.choice(words[lang].split(), 5)) + f" {'xyz'[k % 3]}", lang) for k in range(90) for lang in [["aa", "aa", "bb", "cc"][k % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language.fit(docs, F.lit(True))
+    sample = sorted((r["lang"], r["k"], r["text"]) for r in language.training_sample(docs, F.lit(True)).collect())
+    n = model.landmarks.shape[0]
+    x = language.presence([t for _, _, t in sample], model.column, n).astype(np.float64)
+    y = np.array([sorted(words).index(v) for v, _, _ in sample])
+    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    marks = np.concatenate([unit[y == k][: language.LANDMARKS_PER_LANG] for k in range(3)])
+    value, vector = np.linalg.eigh(marks @ marks.T)
+    keep = value > 1e-6 * value.max()
+    z = unit @ marks.T @ (vector[:, keep] / np.sqrt(value[keep]))
+    weight = (len(y) / 3 / np.bincount(y))[y]
+    told = np.linalg.solve(z.T @ (weight[:, None] * z) + language.RIDGE * len(y) / 100 * np.eye(z.shape[1]), z.T @ (weight[:, None] * np.eye(3)[y]))
+    want = np.clip(z @ told, 0, 1)
+    lang, score = model.score([t for _, _, t in sample])
+    assert lang == [sorted(words)[k] for k in want.argmax(axis=1)] and np.allclose(score, want.max(axis=1), atol=2e-3)
+    assert [language.landmarks_each(k) for k in (0, 4, 64, 256, 5000)] == [24, 24, 24, 6, 1]
