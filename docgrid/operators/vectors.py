@@ -23,7 +23,7 @@ BLOCK = 2_000  # queries of a block
 SAMPLE = 200_000  # vectors from which centres are learned, those of the least hashes
 CELLS = 4_096  # most cells
 ROUNDS = 8
-PROBES = 0.25  # share of the cells that a search looks into
+RECALL, ASKED, NEAR = 0.96, 200, 50  # how many cells a search looks into is measured: share of the neighbours, questions, neighbours of each
 
 
 def usable(vectors: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
@@ -162,24 +162,38 @@ class InvertedFile:
         share = min(1.0, 1.1 * SAMPLE / n)
         sample = cut(rows.filter(F.xxhash64("key") <= int((1 << 64) * share) - (1 << 63) - 1).orderBy(F.xxhash64("key")).limit(SAMPLE) if share < 1 else rows)
         centres = train(sample, min(cells or ceil(sqrt(n)), CELLS, n))
-        told = self.spark.createDataFrame([(i, [float(x) for x in c], key) for i, c in enumerate(centres)], "cell int, centre array<double>, key string")
+        probes = self._measured(sample, centres)
+        told = self.spark.createDataFrame([(i, [float(x) for x in c], key, probes) for i, c in enumerate(centres)], "cell int, centre array<double>, key string, probes int")
         placed = assigned(rows, centres).select("key", "v", F.col("cells")[0].alias("cell"))
         # few files a cell: hot cells get several by the hash of the key
         placed.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(4))).repartition("cell", "deal").drop("deal").write.mode("overwrite").partitionBy("cell").parquet(self._data)
         self.w.write(f"{self.name}_centres", told)
         return len(centres)
 
-    def centres(self) -> tuple[np.ndarray, str]:
+    def _measured(self, sample: DataFrame, centres: np.ndarray) -> int:
+        """How many of the nearest cells hold ``RECALL`` of the ``NEAR`` nearest vectors of ``ASKED`` vectors of the sample.
+
+        Vectors in clear groups need few cells, and such without any nearly all of them.
+        """
+        asked = cut(sample.orderBy(F.xxhash64("key", F.lit("asked"))).limit(ASKED).select("key", "v"))
+        near = search_exact(sample, asked.select(F.col("key").alias("query_id"), F.col("v").alias("query_vector")), NEAR + 1, "key", "v").filter("key <> query_id")
+        cell = assigned(sample, centres).select("key", F.col("cells")[0].alias("cell"))
+        order = assigned(asked, centres, len(centres)).select(F.col("key").alias("query_id"), "cells")
+        place = near.join(cell, "key").join(order, "query_id").select(F.array_position("cells", F.col("cell")).alias("place"))
+        return int(place.agg(F.percentile("place", RECALL)).first()[0] or 0) + 1
+
+    def centres(self) -> tuple[np.ndarray, str, int]:
         rows = self.w.read(f"{self.name}_centres").orderBy("cell").collect()
-        return np.array([r["centre"] for r in rows]), rows[0]["key"]
+        return np.array([r["centre"] for r in rows]), rows[0]["key"], rows[0]["probes"]
 
     def search(self, queries: DataFrame, top_k: int = 10, probes: int | None = None) -> DataFrame:
-        """(query_id, key, similarity, vector_rank) of the nearest vectors in each query's ``probes`` nearest cells.
+        """(query_id, key, similarity, vector_rank) of the nearest vectors in each query's ``probes`` nearest cells, by default
+        as many as were measured when the index was built.
 
         Only the folders of cells that a query looks into are read.
         """
-        centres, key = self.centres()
-        probes = probes or ceil(len(centres) * PROBES)
+        centres, key, measured = self.centres()
+        probes = probes or measured
         q = usable(queries, "query_id", "query_vector", centres.shape[1])
         looks = cut(assigned(q, centres, probes).select(F.col("key").alias("query_id"), F.col("v").alias("q"), F.explode("cells").alias("cell")))
         wanted = [r[0] for r in looks.select("cell").distinct().collect()]  # cells at most

@@ -49,7 +49,7 @@ def vector_topk_each(spark, sf_dir):
 
 
 def ivf_topk_each(spark, sf_dir):
-    """The same queries by the inverted file, which looks into a quarter of its cells."""
+    """The same queries by the inverted file, which looks into as many cells as it has measured to be needed."""
     e = table(spark, sf_dir, "embeddings")
     index = InvertedFile(scratch_house(spark))
     index.build(e)
