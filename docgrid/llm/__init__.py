@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten corpus operators and their registered queries.
+"""Operators of a training-data pipeline: thirteen corpus operators and their registered queries.
 
 Nothing else in the package imports this subpackage.  Functions defined here are pickled by value, so executors need no
 copy of the package on their path.

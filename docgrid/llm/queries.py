@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the thirteen operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
