@@ -3,8 +3,8 @@
 Three fixed masks of weight five ignore some of the word positions they span.  Any ten words with two substitutions,
 fifteen with three or twenty with four contain a hit of one of them, so joining the hashes of test and training
 windows finds every alignment with a window of that similarity.  A hit is only a text's hash, an item and the
-difference of their places; the hits are reduced to distinct alignments where they arise, and the words of these alone
-are compared.
+difference of their places; the hits are reduced to distinct alignments where they arise, and of these alone words are
+compared, around their hits first.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ def windows(rows: DataFrame, key: str, words: str) -> DataFrame:
 
 
 def hits(texts: DataFrame, planted: DataFrame) -> DataFrame:
-    """Distinct alignments (tkey, ikey, diag) of texts (tkey, text) and planted seeds (seed, ikey, ipos).
+    """Distinct alignments (tkey, ikey, diag) of texts (tkey, text) and planted seeds (seed, ikey, ipos), with the first
+    and the last place in the item of their hits.
 
     The seeds go in blocks of ``BROADCAST_SEEDS`` at most, each broadcast to one scan of the texts.  Beyond ``BLOCKS``
     of them the windows are dealt by seed instead, as another scan would cost more than moving them once.
@@ -70,7 +71,8 @@ def hits(texts: DataFrame, planted: DataFrame) -> DataFrame:
         found = seen.join(planted, "seed")
     else:
         found = reduce(DataFrame.unionByName, [seen.join(F.broadcast(planted.filter(F.pmod(F.xxhash64("seed", "ikey", "ipos"), F.lit(blocks)) == b)), "seed") for b in range(blocks)])
-    return found.select("tkey", "ikey", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct()
+    aligned = found.select("tkey", "ikey", (F.col("dpos") - F.col("ipos")).alias("diag"), "ipos")
+    return aligned.groupBy("tkey", "ikey", "diag").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,29 +87,45 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     some = texts.join(limited(found.select("tkey").distinct()), "tkey", "left_semi").distinct()
     some = some.select("tkey", "text", word_hashes(F.col("text")).alias("dw"))
     # an item and a text have as many alignments as words at most
-    diags = found.groupBy("tkey", "ikey").agg(F.collect_list("diag").alias("diags"))
+    diags = found.groupBy("tkey", "ikey").agg(F.collect_list(F.struct("diag", "first", "last")).alias("diags"))
     return verified(some.join(diags, "tkey").join(items, "ikey"))
 
 
 def verified(found: DataFrame) -> DataFrame:
-    """tkey, text, item_id, top from rows of tkey, text, dw, item_id, iw and diags: the best of the alignments that pass."""
+    """tkey, text, item_id, top from rows of tkey, text, dw, item_id, iw and diags: the best of the alignments that pass.
+
+    Alignments come by the most words that they could match.  One that can't beat the best so far isn't compared; of
+    any other the words around its hits are, and the whole alignment only if a window there passes.  So repeated words,
+    which pass in every alignment, cost about one alignment, and chance hits cost a window each.
+    """
     size, width = F.size("iw"), F.least(F.size("iw"), F.lit(WINDOW))
-    need = F.when(width < TOLERANT_FROM, width).otherwise(F.ceil(width * SIMILARITY)).cast("int")
-    add = lambda a, x: a + x
+    allowed = width - F.when(width < TOLERANT_FROM, width).otherwise(F.ceil(width * SIMILARITY)).cast("int")
+    least_span = min(map(len, MASKS))
 
-    def compared(d: Column) -> Column:
-        low = F.greatest(F.lit(0), -d)
-        span = F.greatest(F.least(size, F.size("dw") - d) - low, F.lit(0))
-        return F.struct(d.alias("d"), F.zip_with(F.slice("iw", low + 1, span), F.slice("dw", d + low + 1, span), lambda a, b: (a == b).cast("int")).alias("same"))
+    def bounded(a: Column) -> Column:
+        low, high = F.greatest(F.lit(0), -a["diag"]), F.least(size, F.size("dw") - a["diag"])
+        begin, end = F.greatest(low, a["first"] + least_span - width), F.least(high, a["last"] + width)
+        return F.struct((low - high).alias("m"), a["diag"].alias("d"), low.alias("low"), high.alias("high"), begin.alias("begin"), end.alias("end"))
 
-    def passes(a: Column) -> Column:
-        same = a["same"]
-        starts = F.sequence(F.lit(1), F.size(same) - width + 1)
-        return F.when((F.size(same) < width) | (F.aggregate(same, F.lit(0), add) < need), False).otherwise(F.exists(starts, lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), add) >= need))
+    def places(begin: Column, end: Column, d: Column, equal: bool) -> Column:
+        same = lambda i: F.get("iw", i) == F.get("dw", i + d)
+        return F.filter(F.sequence(begin, end - 1), same if equal else lambda i: ~same(i))
 
-    told = lambda a: F.struct((-F.aggregate(a["same"], F.lit(0), add)).alias("m"), a["d"].alias("d"), size.alias("n"))
-    top = F.array_min(F.transform(F.filter(F.transform("diags", compared), passes), told))
-    return found.select("tkey", "text", "item_id", top.alias("top")).filter("top is not null")
+    def passes(a: Column) -> Column:
+        # a window passes where ``width`` places lie between a difference and the one ``allowed + 1`` further on
+        ends = F.concat(F.array(a["begin"] - 1), places(a["begin"], a["end"], a["d"], False), F.array_repeat(a["end"], allowed + 1))
+        wide = lambda x, y: y - x > width
+        return (a["end"] - a["begin"] >= width) & F.exists(F.array(ends), lambda e: F.exists(F.zip_with(e, F.slice(e, allowed + 2, F.size(e)), wide), lambda w: F.coalesce(w, F.lit(False))))
+
+    def better(best: Column, a: Column) -> Column:
+        hopeless = F.struct(a["m"], a["d"]) >= best
+        told = F.struct((-F.size(places(a["low"], a["high"], a["d"], True))).alias("m"), a["d"].alias("d"))
+        return F.when(hopeless, best).when(passes(a), F.least(best, told)).otherwise(best)
+
+    none = F.struct(F.lit(1).alias("m"), F.lit(0).alias("d"))
+    top = F.aggregate(F.sort_array(F.transform("diags", bounded)), none, better)
+    best = found.select("tkey", "text", "item_id", size.alias("n"), top.alias("top")).filter("top.m < 0")
+    return best.select("tkey", "text", "item_id", F.struct("top.m", "top.d", "n").alias("top"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

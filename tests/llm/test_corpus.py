@@ -177,6 +177,46 @@ def test_repeated_words_against_a_repeated_item(spark):
     assert sorted(tuple(r) for r in got) == [(1, 7, 60, 60, 0), (1, 8, 20, 20, 0), (3, 7, 18, 60, -33), (3, 8, 18, 20, 7)]
 
 
+def test_long_repeated_text_against_a_long_item(spark):
+    """62,000 alignments of up to 2,000 words, nearly all of which pass: bounds settle all but a few."""
+    texts = ["a " * 60_000, "a b " * 30_000, "b " + "a " * 1999, "c " * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(7, "a " * 2000), (8, "a b " * 1000)], "item_id long, text string")).collect()
+    assert time.time() - began < 40
+    assert sorted(tuple(r) for r in got if r["item_id"] == 7) == [(0, 7, 2000, 2000, 0), (2, 7, 1999, 2000, 0)]
+    assert sorted(tuple(r) for r in got if r["item_id"] == 8) == [(1, 8, 2000, 2000, 0)]
+
+
+def test_best_alignments_of_noise(spark):
+    """Texts of few words, where alignments without number have hits and some pass: whole rows against brute force."""
+    rng = random.Random(12)
+    noise = lambda n, k: [rng.choice("abcd"[:k]) for _ in range(n)]
+    items = {i: noise(n, 2 + i % 3) for i, n in enumerate((5, 8, 10, 13, 20, 33, 70))}
+    docs = {}
+    for d in range(60):
+        x, part = noise(rng.randint(0, 90), 2 + d % 3), list(items[d % 7])
+        for p in rng.sample(range(len(part)), len(part) * (d % 4) // 12):
+            part[p] = "z"
+        docs[d] = x + part[rng.randint(0, len(part) // 3) :] + noise(rng.randint(0, 20), 3)
+    want = set()
+    for d, dw in docs.items():
+        for i, iw in items.items():
+            n, width = len(iw), min(len(iw), 20)
+            need = width if width < 10 else -(-width * 8 // 10)
+            best = []
+            for diag in range(-n, len(dw)):
+                low, high = max(0, -diag), min(n, len(dw) - diag)
+                same = [iw[k] == dw[k + diag] for k in range(low, high)]
+                if any(sum(same[s : s + width]) >= need for s in range(high - low - width + 1)):
+                    best.append((-sum(same), diag))
+            if best:
+                want.add((d, i, -min(best)[0], n, min(best)[1]))
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
+    got = decontaminate.find_leaks(table(docs, "doc_id"), table(items, "item_id")).collect()
+    assert len(want) > 50 and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("blocks", [8, 0])
 def test_leaks_in_blocks(spark, monkeypatch, blocks):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 20)
