@@ -193,8 +193,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     # a null leaves the hash as it is, so whether a value is null is hashed too
-    hash_ = F.xxhash64(*[part for c in hashed for part in (c.isNull(), c)])
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), hash_.alias("hash"))
+    parts = [part for c in hashed for part in (c.isNull(), c)]
+    # 128 bits, so that rows told apart by it are not taken for one row at any size
+    hash_ = F.struct(F.xxhash64(*parts).alias("one"), F.xxhash64(F.lit(1), *parts).alias("two"))
+    rows = docs.select("doc_id", jaccard.text_key(F.col("text")).alias("text_key"), hash_.alias("hash"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     # which rows stay is found on ids and hashes; the rows themselves move once, dealt by a hash that copies don't share
     with scratch(docs.sparkSession):

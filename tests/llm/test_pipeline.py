@@ -8,7 +8,8 @@ import pytest
 import corpus_pipeline
 from docgrid.llm import queries
 
-from .test_corpus import brute_components, brute_fingerprint, brute_leaks
+from .test_corpus import brute_leaks
+from .test_jaccard import brute_keep, edited
 
 SYLLABLES = {"en": "th er on an re he in ed nd ha at en".split(), "de": "sch ung keit ver der ich ein und auf".split()}
 
@@ -23,6 +24,8 @@ def folder(spark, tmp_path_factory):
     items = [(k, prose(rng, "en", 20)) for k in range(4)]
     rows = [(i, prose(rng, "de" if i % 4 == 0 else "en", rng.randint(5, 80)), "de" if i % 4 == 0 else "en", f"s{i % 3}") for i in range(150)]
     rows += [(200 + i, rows[i][1].upper() if i % 2 else rows[i][1], rows[i][2], "s9") for i in range(0, 30)]
+    long = [k for k in range(150) if len(rows[k][1].split()) >= 45]
+    rows += [(600 + k, edited(rng, rows[k][1], k % 2 + 1), rows[k][2], "s9") for k in long[:40]]
     rows += [(300 + k, f"{prose(rng, 'en', 9)} {t} {prose(rng, 'en', 9)}", "en", None) for k, t in items]
     rows += [(400, None, "en", "s1"), (401, "123 456", "en", "s1"), (402, "", None, "s1"), (403, prose(rng, "de", 40), None, "s1"), (5, rows[5][1], "en", "s2"), (None, prose(rng, "en", 30), "en", "s0")]
     out = tmp_path_factory.mktemp("sf")
@@ -45,8 +48,11 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["lang"] for r in kept.collect()}[403] == "de"
 
     had = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    groups = brute_components([(d, brute_fingerprint(t)) for d, t in had])
-    want = {c for c in groups if c is not None}
+    known = [r for r in had if r[0] is not None]
+    want = set(brute_keep(known))
+    # near copies are on both sides of the threshold
+    near = {d for d, _ in known if d >= 600}
+    assert near & want and near - want
     one = stages["near_duplicates"](spark, kept, path).cache()
     assert one.columns == columns
     assert Counter(r["doc_id"] for r in one.collect()) == Counter({**dict.fromkeys(want, 1), None: 1})
