@@ -12,7 +12,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,7 @@ WORDS = 50_000  # words of a vocabulary at most, single characters apart (of whi
 SEEDS = 10  # candidates for each of these words at the beginning
 RARE = 2  # occurrences below which a substring is no candidate, and expected ones below which a word leaves
 ROUNDS = 8
+BLOCK = 1 << 18  # places of the runs that are looked at together
 UNSEEN = -30.0  # logarithm of a character's probability that no text has shown
 
 
@@ -78,14 +81,125 @@ def expected(run: str, score: dict[str, float], longest: int = LONGEST) -> dict[
     return out
 
 
-def _expect(score: dict[str, float], longest: int):
+class Lattices:
+    """Words as a trie of numbered prefixes, and the lattices of many runs at once as arrays over their characters.
+
+    Runs of like lengths are a block, of ``BLOCK`` places at most unless one run has more; a step along the runs is one
+    operation on all runs of the block.
+    """
+
+    def __init__(self, score: dict[str, float], longest: int):
+        ids = {"": 0}
+        for word in score:
+            for k in range(1, min(len(word), longest) + 1):
+                ids.setdefault(word[:k], len(ids))
+        #: The word of each state; what is a prefix only has the score -inf.
+        self.words, self.longest = list(ids), longest
+        self.score = np.array([score.get(w, -np.inf) if w else -np.inf for w in self.words])
+        edges = np.array([ids[w[:-1]] << 16 | ord(w[-1]) for w in self.words[1:]], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.to = np.append(edges[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        edge = state << 16 | code
+        at = np.searchsorted(self.edges, edge)
+        return np.where((state >= 0) & (self.edges[at] == edge), self.to[at], -1)
+
+    def blocks(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """Numbers of the runs of a block, the longest first, their lengths, their codes (a row a place), and for each
+        length of a word the states and scores of the words that begin at each place."""
+        size = np.array([len(r) for r in runs], np.int64)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        while len(order):
+            here, order = np.split(order, [max(1, BLOCK // int(size[order[0]]))])
+            n, most = size[here], int(size[here[0]])
+            code = np.full((most + self.longest, len(here)), -1, np.int64)
+            flat = np.frombuffer("".join([runs[i] for i in here.tolist()]).encode("utf-16-le"), np.uint16)
+            run = np.repeat(np.arange(len(here)), n)
+            code[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), run] = flat
+            state, states, scores = np.zeros((most, len(here)), np.int64), [], []
+            for k in range(self.longest):
+                now = code[k : most + k]
+                state = np.where(now >= 0, self._next(state, now), -1)
+                said = np.where(state >= 0, self.score[state], -np.inf)
+                states.append(state)
+                scores.append(np.where((said == -np.inf) & (now >= 0), UNSEEN, said) if k == 0 else said)
+            yield here, n, code, states, scores
+
+    def expected(self, runs: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the word of each state is expected in the runs, each ``times`` over, and each character that is no word."""
+        out, unseen = np.zeros(len(self.words)), np.zeros(1 << 16)
+
+        def total(ways: list[np.ndarray]) -> np.ndarray:
+            top = reduce(np.maximum, ways)
+            safe = np.where(top == -np.inf, 0.0, top)
+            return np.log(sum(np.exp(w - safe) for w in ways)) + safe
+
+        with np.errstate(divide="ignore"):
+            for here, n, code, states, scores in self.blocks(runs):
+                most, wide = int(n[0]), len(here)
+                going = np.searchsorted(-n, -np.arange(most), side="left")  # runs longer than a place
+                ahead = np.full((most + 1, wide), -np.inf)
+                ahead[0] = 0.0
+                for end in range(1, most + 1):
+                    g = going[end - 1]
+                    ahead[end, :g] = total([ahead[end - k, :g] + scores[k - 1][end - k, :g] for k in range(min(self.longest, end), 0, -1)])
+                behind = np.full((most + self.longest, wide), -np.inf)
+                behind[n, np.arange(wide)] = 0.0
+                for begin in range(most - 1, -1, -1):
+                    g = going[begin]
+                    behind[begin, :g] = total([behind[begin + k, :g] + scores[k - 1][begin, :g] for k in range(1, self.longest + 1)])
+                whole = ahead[n, np.arange(wide)]
+                for k in range(1, self.longest + 1):
+                    some = scores[k - 1] > -np.inf
+                    run = np.nonzero(some)[1]
+                    x = times[here[run]] * np.exp(ahead[:most][some] + scores[k - 1][some] + behind[k : most + k][some] - whole[run])
+                    state = states[k - 1][some]
+                    known = (state >= 0) & (self.score[state] > -np.inf)
+                    out += np.bincount(state[known], x[known], len(out))
+                    unseen += np.bincount(code[:most][some][~known], x[~known], len(unseen))
+        return out, unseen
+
+    def best(self, runs: list[str]) -> list[list[str]]:
+        """``best_path`` of each run."""
+        out: list[list[str]] = [[] for _ in runs]
+        for here, n, _, _, scores in self.blocks(runs):
+            most, wide = int(n[0]), len(here)
+            going = np.searchsorted(-n, -np.arange(most), side="left")
+            best, count, last = np.zeros((most + 1, wide)), np.zeros((most + 1, wide), np.int64), np.ones((most + 1, wide), np.int64)
+            for end in range(1, most + 1):
+                g = going[end - 1]
+                b, c, at = best[end - 1, :g] + scores[0][end - 1, :g], count[end - 1, :g] + 1, np.ones(g, np.int64)
+                for k in range(2, min(self.longest, end) + 1):
+                    s, w = best[end - k, :g] + scores[k - 1][end - k, :g], count[end - k, :g] + 1
+                    # of equal paths the one with fewer words, then the longer last word
+                    wins = (s > b) | ((s == b) & (w <= c))
+                    b, c, at = np.where(wins, s, b), np.where(wins, w, c), np.where(wins, k, at)
+                best[end, :g], count[end, :g], last[end, :g] = b, c, at
+            ends, place, of = np.zeros((wide, most + 1), bool), n.copy(), np.arange(wide)
+            while len(of):
+                ends[of, place] = True
+                place = place - last[place, of]
+                of, place = of[place > 0], place[place > 0]
+            run, end = np.nonzero(ends)
+            end, first = end.tolist(), np.searchsorted(run, np.arange(wide + 1)).tolist()
+            for k, i in enumerate(here.tolist()):
+                cuts, said = end[first[k] : first[k + 1]], runs[i]
+                out[i] = [said[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
+
+def _expect(lattices: Lattices):
+    """(state, n) of what ``Lattices.expected`` gives; characters that are no word have the states below zero."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, unseen = np.zeros(len(lattices.words)), np.zeros(1 << 16)
         for batch in batches:
-            sums: Counter = Counter()
-            for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, x in expected(text, score, longest).items():
-                    sums[word] += n * x
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["word", "n"])
+            x, y = lattices.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64))
+            words, unseen = words + x, unseen + y
+        at, alone = np.flatnonzero(words), np.flatnonzero(unseen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, -alone))), pa.array(np.concatenate((words[at], unseen[alone])))], ["state", "n"])
 
     return run
 
@@ -138,7 +252,9 @@ def learn(docs: DataFrame, text: str = "text", words: int = WORDS, longest: int
     several = runs.select(F.explode(parts).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
     score = _scores(single + several.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(SEEDS * words).collect())
     for left in range(rounds if score else 0, 0, -1):
-        found = runs.mapInArrow(_expect(score, longest), "word string, n double").groupBy("word").agg(F.sum("n").alias("n")).collect()  # as many rows as there are words
+        lattices = Lattices(score, longest)
+        found = runs.mapInArrow(_expect(lattices), "state long, n double").groupBy("state").agg(F.sum("n").alias("n")).collect()  # as many rows as there are words
+        found = [{"word": lattices.words[r["state"]] if r["state"] > 0 else chr(-r["state"]), "n": r["n"]} for r in found]
         score = _scores(found, RARE)
         many = sum(len(w) > 1 for w in score)
         # down to `words` by the last round but one, by the same factor each time
@@ -152,14 +268,13 @@ def learn(docs: DataFrame, text: str = "text", words: int = WORDS, longest: int
 def tokenizer(score: dict[str, float], longest: int = LONGEST) -> Callable[[Column], Column]:
     """A column function: lower-case words of letters and digits, and the words of CJK runs, in order."""
 
+    lattices = Lattices(score, longest)
+
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
-        def of(text: str | None) -> list[str]:
-            out: list[str] = []
-            for part in PARTS.findall((text or "").lower()):
-                out += best_path(part, score, longest) if part[0] >= "一" else [part]
-            return out
-
-        return texts.map(of)
+        parts = [PARTS.findall((text or "").lower()) for text in texts]
+        runs = list({part for said in parts for part in said if part[0] >= "一"})
+        words = dict(zip(runs, lattices.best(runs), strict=True))
+        return pd.Series([[w for part in said for w in words.get(part, (part,))] for said in parts], index=texts.index, dtype=object)
 
     return tokens

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,24 @@ def test_best_path_and_expectations_are_exact():
     assert segmenter.best_path("", {}) == [] and segmenter.best_path("生", {}) == ["生"]
 
 
+def test_many_runs_at_once_are_as_one_by_one(monkeypatch):
+    of = random.Random(3)
+    monkeypatch.setattr(segmenter, "BLOCK", 300)
+    for longest in (1, 3, 5):
+        score = {w: -round(of.random() * 6, 1) for w in {"".join(of.choice("甲乙丙") for _ in range(of.randrange(1, longest + 1))) for _ in range(14)}}
+        runs = ["".join(of.choice("甲乙丙丁") for _ in range(of.randrange(0, 40))) for _ in range(200)]
+        lattices = segmenter.Lattices(score, longest)
+        assert lattices.best(runs) == [segmenter.best_path(r, score, longest) for r in runs]
+        times = [of.randrange(1, 9) for _ in runs]
+        words, alone = lattices.expected(runs, np.array(times, float))
+        want = {}
+        for r, n in zip(runs, times, strict=True):
+            for w, x in segmenter.expected(r, score, longest).items():
+                want[w] = want.get(w, 0) + n * x
+        got = {w: x for w, x in zip(lattices.words, words, strict=True) if x} | {chr(c): alone[c] for c in np.flatnonzero(alone)}
+        assert got == pytest.approx(want)
+
+
 def test_words_are_learned_and_searched(spark):
     of = random.Random(9)
     said = [[of.choice(VOCABULARY) for _ in range(of.randrange(4, 12))] for _ in range(400)]
