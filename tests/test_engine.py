@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrid.functions import rules
-from docgrid.operators import extraction, graphs, hierarchy, ledger, retrieval, review, sections, tables
+from docgrid.operators import extraction, graphs, hierarchy, ledger, metadata, retrieval, review, sections, tables
 from docgrid.session import Session, Warehouse
 from docgrid.sources import documents, files
 from docgrid.streaming import ingest
@@ -437,3 +437,10 @@ def test_nothing_is_cut_and_no_file_kills_the_job(spark):
         now = "" if len(p) > 512 else p
         want += [p[s : s + 512] for s in range(0, len(p), 462)] if len(p) > 512 else []
     assert cut == want + ([now] if now else [])
+
+
+def test_year_of_publication_is_no_other_number(spark):
+    texts = ["On Supplier#000001900 and its kind 1900\nann2000@x.org, Received 12 May 2021", "No 0000019001, 2016", "20170501", "Accepted 3\n1999", "none"]
+    b = spark.createDataFrame([(k, 1, 0, t, "text", None) for k, t in enumerate(texts)], "file_id int, page_num int, ordinal int, content string, raw_type string, text_level int")
+    got = {r["file_id"]: r["year"] for r in metadata.academic(metadata.paper_heads(b, "file_id"), "file_id").collect()}
+    assert got == {0: "2021", 1: "2016", 2: "2017", 3: "1999", 4: None}
