@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgrid.functions.text import strip
 from docgrid.operators.staging import cut
@@ -142,8 +145,8 @@ def build_clauses(lines: DataFrame) -> DataFrame:
     """Clause trees of documents from their ordered lines (policy_id, page, ordinal, line_no, line).
 
     Returns policy_id, sequence_no, parent_no, level, label, article_no, paragraph_no, item_no, chapter_path, raw_text,
-    page_start, page_end.  Lines are marked and gathered into clauses by Spark; only the clauses' slots go through a
-    stack, one document at a time.
+    page_start, page_end.  Lines are marked and gathered into clauses by Spark; the clauses stream through a stack, one
+    document after another.
     """
     order = ["page", "ordinal", "line_no", "part_no"]
     each = Window.partitionBy("policy_id").orderBy(*order)
@@ -155,39 +158,43 @@ def build_clauses(lines: DataFrame) -> DataFrame:
     nodes = m.groupBy("policy_id", "sequence_no").agg(F.max("begins").alias("b"), text.alias("raw_text"), F.min_by("page", F.struct(*order)).alias("page_start"), F.max("page").alias("page_end"))
     numbered = F.min("b.slot").over(Window.partitionBy("policy_id")) > PARAGRAPH
     nodes = nodes.select("policy_id", "sequence_no", "b.level", "b.label", "b.slot", numbered.alias("numbered"), "raw_text", "page_start", "page_end")
-    kind = lines.schema["policy_id"].dataType.simpleString()
-    up = nodes.select("policy_id", "sequence_no", "slot", "label", "numbered").groupBy("policy_id").applyInPandas(_stacked, f"policy_id {kind}, sequence_no int, parent_no int, article_no string, chapter_path array<string>")
+    # clauses stream through in order with all they have, so nothing is made twice to be joined
+    dealt = nodes.filter("policy_id IS NOT NULL").repartition("policy_id").sortWithinPartitions("policy_id", "sequence_no")
+    schema = StructType([*dealt.schema.fields, *StructType.fromDDL("parent_no int, article_no string, chapter_path array<string>")])
     number = F.expr("substring(label, 2, length(label) - 2)")
-    return nodes.join(up, ["policy_id", "sequence_no"]).select(
+    return dealt.mapInArrow(_stacked, schema).select(
         "policy_id", "sequence_no", "parent_no", "level", "label", "article_no", F.when(F.col("level") == "paragraph", number).otherwise("").alias("paragraph_no"),
         F.when(F.col("level") == "item", F.col("label")).otherwise("").alias("item_no"), "chapter_path", "raw_text", "page_start", "page_end",
     )
 
 
-def _stacked(rows: pd.DataFrame) -> pd.DataFrame:
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parents by a stack of open slots: a clause closes all slots that it can't stand under, then stands under the top.
 
     Items stand under articles and paragraphs; under items of a higher rank too, if the document has no formal level or
-    an article or paragraph is open.
+    an article or paragraph is open.  Documents follow one another, and only the open slots of one are held.
     """
-    rows = rows.sort_values("sequence_no")
-    free = bool(rows["numbered"].iloc[0])
+    document, free = None, False
     open_: list[tuple[int, int, str]] = []
-    parents, articles, paths = [], [], []
-    for number, slot, label in zip(rows["sequence_no"], rows["slot"], rows["label"], strict=True):
-        if slot in UNDER:
-            under = UNDER[slot]
-        else:
-            outer = [s for s, _, _ in open_ if s <= PARAGRAPH or s == PREAMBLE]
-            nested = free or (outer and outer[-1] in (ARTICLE, PARAGRAPH))
-            under = (ARTICLE, PARAGRAPH, *(range(PARAGRAPH + 1, slot) if nested else ()))
-        while open_ and open_[-1][0] not in under:
-            open_.pop()
-        parents.append(open_[-1][1] if open_ else None)
-        open_.append((slot, number, label))
-        articles.append(next((x[1:-1] for s, _, x in open_ if s == ARTICLE), ""))
-        paths.append([x for s, _, x in open_ if s <= SECTION])
-    return pd.DataFrame({"policy_id": rows["policy_id"], "sequence_no": rows["sequence_no"], "parent_no": pd.array(parents, "Int64"), "article_no": articles, "chapter_path": paths})
+    for b in batches:
+        parents, articles, paths = [], [], []
+        for policy, number, slot, label, numbered in zip(*(b.column(c).to_pylist() for c in ("policy_id", "sequence_no", "slot", "label", "numbered")), strict=True):
+            if policy != document:
+                document, free, open_ = policy, numbered, []
+            if slot in UNDER:
+                under = UNDER[slot]
+            else:
+                outer = [s for s, _, _ in open_ if s <= PARAGRAPH or s == PREAMBLE]
+                nested = free or (outer and outer[-1] in (ARTICLE, PARAGRAPH))
+                under = (ARTICLE, PARAGRAPH, *(range(PARAGRAPH + 1, slot) if nested else ()))
+            while open_ and open_[-1][0] not in under:
+                open_.pop()
+            parents.append(open_[-1][1] if open_ else None)
+            open_.append((slot, number, label))
+            articles.append(next((x[1:-1] for s, _, x in open_ if s == ARTICLE), ""))
+            paths.append([x for s, _, x in open_ if s <= SECTION])
+        more = [pa.array(parents, pa.int32()), pa.array(articles, pa.string()), pa.array(paths, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "parent_no", "article_no", "chapter_path"])
 
 
 def parse_quality(blocks: DataFrame, clauses: DataFrame, key: str = "policy_id") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docgrid.operators import governance, hierarchy, intervals, sweeps
@@ -89,3 +90,11 @@ def test_many_documents_of_one_title(spark):
     rel = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("relation_id"), F.lit("p1").alias("source_policy_id"), F.lit("通知").alias("target_title"), F.lit(None).cast("string").alias("target_doc_number"), F.lit(None).cast("int").alias("target_year"))
     began = time.time()
     assert governance.resolve_targets(rel, docs).filter("target_policy_id IS NULL").count() == 20_000 and time.time() - began < 30
+
+
+def test_clauses_stream_over_batches():
+    columns = ["policy_id", "sequence_no", "slot", "label", "numbered"]
+    rows = [(1, 1, hierarchy.ARTICLE, "第1条", False), (1, 2, hierarchy.PARAGRAPH + 2, "（一）", False), (2, 1, hierarchy.PARAGRAPH + 2, "（一）", True), (2, 2, hierarchy.PARAGRAPH + 3, "1.", True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], columns) for part in (rows[:1], rows[1:3], rows[3:])]
+    got = [r for b in hierarchy._stacked(iter(batches)) for r in b.select(["policy_id", "sequence_no", "parent_no", "article_no"]).to_pylist()]
+    assert [tuple(r.values()) for r in got] == [(1, 1, None, "1"), (1, 2, 1, "1"), (2, 1, None, ""), (2, 2, 1, "")]
