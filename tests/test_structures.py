@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docgrid.operators import governance, hierarchy, intervals, sweeps
+from docgrid.plans import common
 
 TREE = [("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("e", "gone"), ("f", "e"), ("x", "z"), ("y", "x"), ("z", "y"), ("u", "y"), ("v", "u"), ("self", "self"), ("under", "self"), ("alone", None)]
 
@@ -98,3 +99,10 @@ def test_clauses_stream_over_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], columns) for part in (rows[:1], rows[1:3], rows[3:])]
     got = [r for b in hierarchy._stacked(iter(batches)) for r in b.select(["policy_id", "sequence_no", "parent_no", "article_no"]).to_pylist()]
     assert [tuple(r.values()) for r in got] == [(1, 1, None, "1"), (1, 2, 1, "1"), (2, 1, None, ""), (2, 2, 1, "")]
+
+
+def test_narrow_tables_are_dealt(spark, tmp_path):
+    spark.range(100).selectExpr("id AS p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = common.made(spark, str(tmp_path), "SELECT p_partkey FROM {part}")
+    full = made.rdd.glom().map(len).filter(lambda n: n > 0).count()
+    assert full > 1 and made.count() == 100
