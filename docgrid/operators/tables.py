@@ -146,21 +146,47 @@ def plain_number(value: Column) -> Column:
     return F.regexp_replace(strip(value), "[,，]", "")
 
 
-def infer_types(cells: DataFrame, by: list[str], value: str = "value", row: str = "row_idx", sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The type of each column from its first ``sample`` rows: INTEGER, BIGINT, DOUBLE PRECISION, DATE or TEXT."""
-    # one pass: cells that tell nothing are null and count for no test, but their columns are there
+def _told(cells: DataFrame, by: list[str], value: str, row: str, sample: int) -> DataFrame:
+    """``cells`` with what the type of a column is told by: v, said, whole and n, null where a cell tells nothing."""
     v = F.when(F.col(row) < sample, plain_number(F.col(value)))
-    c = cells.select(*by, F.when(v != "", v).alias("v"), F.col(value).alias("said"))
+    c = cells.withColumn("v", F.when(v != "", v)).withColumn("said", F.col(value))
     c = c.withColumn("whole", F.col("v").rlike(r"^[-+]?\d+$"))
     # only whole numbers are cast, as a cast that fails costs far more than a match
-    c = c.withColumn("n", F.when(F.col("whole"), F.expr("try_cast(v AS bigint)")))
+    return c.withColumn("n", F.when(F.col("whole"), F.expr("try_cast(v AS bigint)")))
+
+
+def _tests() -> dict[str, Column]:
+    """Aggregates over the cells of a column from ``_told``: cells that tell nothing are null and count for no test."""
     some = lambda test: F.bool_and(F.when(F.col("v").isNotNull(), test))
-    g = c.groupBy(*by).agg(
-        F.bool_and("whole").alias("whole"), some(F.col("n").isNotNull() & F.col("n").between(-(1 << 31), (1 << 31) - 1)).alias("i32"), some(F.col("n").isNotNull()).alias("i64"),
-        some(F.col("whole") | F.col("v").rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")).alias("real"), some(strip(F.col("said")).rlike(DATE_CELL)).alias("day"),
-    )
-    kind = F.when(F.col("i32"), "INTEGER").when(F.col("i64"), "BIGINT").when(F.col("whole"), "TEXT").when(F.col("real"), "DOUBLE PRECISION").when(F.col("day"), "DATE").otherwise("TEXT")
-    return g.select(*by, F.coalesce(kind, F.lit("TEXT")).alias("data_type"))
+    real = F.col("whole") | F.col("v").rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")
+    return {
+        "whole": F.bool_and("whole"), "i32": some(F.col("n").isNotNull() & F.col("n").between(-(1 << 31), (1 << 31) - 1)), "i64": some(F.col("n").isNotNull()),
+        "real": some(real), "day": some(strip(F.col("said")).rlike(DATE_CELL)),
+    }
+
+
+def _kind(of: str = "") -> Column:
+    c = lambda name: F.col(of + name)
+    kind = F.when(c("i32"), "INTEGER").when(c("i64"), "BIGINT").when(c("whole"), "TEXT").when(c("real"), "DOUBLE PRECISION").when(c("day"), "DATE").otherwise("TEXT")
+    return F.coalesce(kind, F.lit("TEXT")).alias("data_type")
+
+
+def infer_types(cells: DataFrame, by: list[str], value: str = "value", row: str = "row_idx", sample: int = SAMPLE_ROWS) -> DataFrame:
+    """The type of each column from its first ``sample`` rows: INTEGER, BIGINT, DOUBLE PRECISION, DATE or TEXT."""
+    # one pass: cells that tell nothing are null and count for no test, but their columns are there
+    g = _told(cells.select(*by, value, row), by, value, row, sample).groupBy(*by).agg(*[c.alias(n) for n, c in _tests().items()])
+    return g.select(*by, _kind())
+
+
+def typed_cells(cells: DataFrame, by: list[str], value: str = "value", row: str = "row_idx", sample: int = SAMPLE_ROWS) -> DataFrame:
+    """``cells`` with the type of their column, as ``infer_types`` tells it.
+
+    The types meet the cells in one shuffle and not in a join, so that what gives the cells (a parser) runs once.  It is for
+    columns of extracted tables, of which each was a row before; stored tables of any size are for ``infer_types``.
+    """
+    w = Window.partitionBy(*by)
+    told = _told(cells, by, value, row, sample)
+    return told.select(*[F.col(c) for c in cells.columns], F.struct(*[c.over(w).alias(n) for n, c in _tests().items()]).alias("__t")).select(*cells.columns, _kind("__t."))
 
 
 def coerce(value: Column, data_type: Column) -> Column:

@@ -25,9 +25,8 @@ def table_headers(spark, sf_dir):
 
 
 def table_cells(spark, sf_dir):
-    cells = T.long_cells(T.structures(_html(spark, sf_dir), "id", "html"), "id")
-    kinds = T.infer_types(cells, ["id", "col_idx"])
-    return cells.join(kinds, ["id", "col_idx"]).select("id", "row_idx", "col_idx", "data_type", T.coerce(F.col("value"), F.col("data_type")).alias("value"))
+    cells = T.typed_cells(T.long_cells(T.structures(_html(spark, sf_dir), "id", "html"), "id"), ["id", "col_idx"])
+    return cells.select("id", "row_idx", "col_idx", "data_type", T.coerce(F.col("value"), F.col("data_type")).alias("value"))
 
 
 def table_column_keys(spark, sf_dir):
