@@ -11,6 +11,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from docgrid.session import Warehouse
 
 PART = 20_000  # vectors that meet a block of queries at a time
 BLOCK = 2_000  # queries of a block
+CELLS_AT_ONCE = 1 << 21  # of a product that is in memory
 SAMPLE = 200_000  # vectors from which centres are learned, those of the least hashes
 CELLS = 4_096  # most cells
 ROUNDS = 8
@@ -46,13 +48,31 @@ def _nearest(top_k: int, schema: pa.Schema):
     def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        near = _matrix(queries.column("q")) @ _matrix(vectors.column("v")).T
-        if near.shape[1] > top_k:
-            edge = np.partition(near, -top_k, axis=1)[:, -top_k]
-            of, at = np.nonzero(near >= edge[:, None] - 2e-6)
-        else:
-            of, at = (x.ravel() for x in np.indices(near.shape))
-        return pa.table([queries.column("query_id").take(pa.array(of)), vectors.column("key").take(pa.array(at)), pa.array(near[of, at])], schema=schema)
+        v, q = _matrix(vectors.column("v")).T, _matrix(queries.column("q"))
+        place = np.empty(vectors.num_rows, np.int64)
+        place[pc.sort_indices(vectors.column("key")).to_numpy()] = np.arange(len(place))
+        found = []
+        # a few queries at a time, so that no product has more than CELLS_AT_ONCE cells
+        step = max(1, CELLS_AT_ONCE // len(place))
+        for begin in range(0, len(q), step):
+            near = q[begin : begin + step] @ v
+            if near.shape[1] > top_k:
+                edge = np.partition(near, -top_k, axis=1)[:, -top_k]
+                of, at = np.nonzero(near >= edge[:, None] - 2e-6)
+            else:
+                of, at = (x.ravel() for x in np.indices(near.shape))
+            said = near[of, at]
+            if len(of) > 2 * top_k * len(near):
+                # of copies, which are equal but for the last digits, those of the smallest keys
+                level = np.rint(said * 1e12).astype(np.int64)
+                order = np.lexsort((place[at], -level, of))
+                of, at, said, level = of[order], at[order], said[order], level[order]
+                first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (level[1:] != level[:-1]))))
+                kept = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < top_k
+                of, at, said = of[kept], at[kept], said[kept]
+            found.append((of + begin, at, said))
+        of, at, said = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([queries.column("query_id").take(pa.array(of)), vectors.column("key").take(pa.array(at)), pa.array(said)], schema=schema)
 
     return meet
 
