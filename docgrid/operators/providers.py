@@ -17,6 +17,7 @@ from docgrid.functions.text import is_blank
 from .retrieval import tokens
 
 CANDIDATES = 30
+TOKENS = 1 << 20  # of the rows that are looked at together
 
 
 def index_text(*parts: Column) -> Column:
@@ -32,17 +33,25 @@ def assertion_text(subject: Column, predicate: Column, obj: Column, receiver: Co
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """key and a unit vector of signed token hashes: a substitute for a model, the same everywhere."""
     kind = rows.schema[key].dataType.simpleString()
-    hashed = rows.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h"))
+    # what Python gets of a token is its place and sign in one short number
+    cell = lambda h: (F.pmod(h, F.lit(dim)) * 2 + F.shiftright(h, 40).bitwiseAND(F.lit(1))).cast("smallint" if dim < 1 << 14 else "int")
+    hashed = rows.select(key, F.transform(tokens(F.col(text)), lambda t: cell(F.xxhash64(t))).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(1)
-            out = np.zeros((b.num_rows, dim))
-            place = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
-            h = column.flatten().to_numpy(zero_copy_only=False)
-            np.add.at(out, (place, h % dim), np.where(h >> 40 & 1, 1.0, -1.0))
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], [key, "embedding"])
+        for whole in batches:
+            # rows of one batch by the thousand, fewer where they have more tokens
+            ends = whole.column(1).offsets.to_numpy().astype(np.int64)
+            begin = 0
+            while begin < whole.num_rows:
+                end = min(whole.num_rows, begin + 1000, max(begin + 1, int(np.searchsorted(ends, ends[begin] + TOKENS, "right")) - 1))
+                h = whole.column(1).values.slice(ends[begin], ends[end] - ends[begin]).to_numpy()
+                place = np.repeat(np.arange(end - begin), np.diff(ends[begin : end + 1]))
+                out = np.bincount(place * (2 * dim) + h, minlength=2 * dim * (end - begin)).reshape(end - begin, dim, 2)
+                out = (out[:, :, 1] - out[:, :, 0]).astype(np.float64)
+                out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(begin, end - begin), vectors], [key, "embedding"])
+                begin = end
 
     return hashed.mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
 

@@ -2,13 +2,17 @@
 
 import io
 import json
+import re
+import time
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docgrid.functions import rules
-from docgrid.operators import extraction, graphs, hierarchy, ledger, metadata, retrieval, review, sections, tables
+from docgrid.operators import extraction, graphs, hierarchy, ledger, metadata, providers, retrieval, review, sections, tables, vectors
 from docgrid.plans import tables as plans
 from docgrid.session import Session, Warehouse
 from docgrid.sources import documents, files
@@ -458,3 +462,61 @@ def test_parts_beyond_six_digits_have_no_code(spark, tmp_path):
     spark.createDataFrame([(899_997, "a b", "t", 1), (900_000, "a b", "t", 1), (900_001, "c", "t", 1), (900_002, "d", "t", 7)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["p_partkey"]: (r["code"], r["title"]) for r in plans.table_identities(spark, str(tmp_path)).collect()}
     assert got == {899_997: ("X999997", "a b"), 900_000: ("", "a b"), 900_001: ("", "c"), 900_002: ("", "X17 t")}
+
+
+def test_addresses_are_looked_for_once_in_a_run():
+    began = time.time()
+    assert re.search(metadata.EMAIL, "x" * 30_000 + " ,") is None and time.time() - began < 0.5
+    assert re.search(metadata.EMAIL, "x@y, +a.b@c-d.org.").group() == "+a.b@c-d.org"
+
+
+def test_types_with_their_cells(spark):
+    rows = [(1, r, c, v) for r, cells in enumerate([["1", "a", "", "2,000"], ["2", "3", "", "2.5"]]) for c, v in enumerate(cells)] + [(2, 0, 0, "2024-01-05")]
+    cells = spark.createDataFrame(rows, "id long, row_idx int, col_idx int, value string")
+    got = tables.typed_cells(cells, ["id", "col_idx"])
+    want = cells.join(tables.infer_types(cells, ["id", "col_idx"]), ["id", "col_idx"]).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_copies_and_products_are_bounded(monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS_AT_ONCE", 3_000)
+    of = np.random.default_rng(1)
+    some = np.concatenate([np.tile(of.normal(size=(1, 4)), (900, 1)), of.normal(size=(100, 4))])
+    keys = of.permutation(1000)
+    schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
+    asked = some[[0, 950, 999]]
+    found = vectors._nearest(20, schema)(pa.table({"key": keys, "v": some.tolist()}), pa.table({"query_id": [1, 2, 3], "q": asked.tolist()})).to_pylist()
+    assert len(found) < 200
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.round(unit(asked) @ unit(some).T, 6)
+    for q in range(3):
+        want = sorted(zip(-near[q], keys.tolist(), strict=True))[:20]
+        got = sorted((-round(r["similarity"], 6), r["key"]) for r in found if r["query_id"] == q + 1)[:20]
+        assert got == want
+
+
+def test_hashed_vectors_are_the_tokens_hashes(spark):
+    texts = ["a b c a", "", None, "学 生 word " * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    hashes = {r["id"]: r["h"] for r in rows.select("id", F.transform(retrieval.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")).collect()}
+    out = providers.hashed_vectors(rows, "id", "text", 16)
+    for r in out.collect():
+        want = np.zeros(16)
+        for h in hashes[r["id"]]:
+            want[h % 16] += 1 if h >> 40 & 1 else -1
+        assert np.allclose(r["embedding"], want / max(np.linalg.norm(want), 1e-12), atol=1e-7)
+    # Python gets a short number for each token
+    assert "smallint" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_of_quantities_are_those_of_the_text(spark):
+    texts = ["应当" + "x" * 25 + "30日", "住宿费不超过500元，应当在30日内，不超过 20 万元。另不少于3%；须在5 个工作日内", "每人每天12.5 元\n标准为7，上限8人民币 限期9年", "", "最高"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string")
+    for sign, pattern in ((extraction.AMOUNT_SIGN, extraction.AMOUNT), (extraction.DEADLINE_SIGN, extraction.DEADLINE)):
+        said = lambda k, p=pattern: F.regexp_extract_all("t", F.lit(p), F.lit(k))
+        rows = got.select(said(1).alias("e"), said(2).alias("v"), said(3).alias("u"), extraction._quantities(F.col("t"), "x", sign, pattern, "?").alias("x")).collect()
+        assert any(r["x"] for r in rows)
+        for r in rows:
+            assert [(x["value"], x["unit"]) for x in r["x"]] == [(float(v), u or "?") for v, u in zip(r["v"], r["u"], strict=True)]
+            assert [x["evidence"] for x in r["x"]] == [e.strip(extraction.TRIM) for e in r["e"]]
