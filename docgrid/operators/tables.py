@@ -146,7 +146,7 @@ def plain_number(value: Column) -> Column:
     return F.regexp_replace(strip(value), "[,，]", "")
 
 
-def _told(cells: DataFrame, by: list[str], value: str, row: str, sample: int) -> DataFrame:
+def _told(cells: DataFrame, value: str, row: str, sample: int) -> DataFrame:
     """``cells`` with what the type of a column is told by: v, said, whole and n, null where a cell tells nothing."""
     v = F.when(F.col(row) < sample, plain_number(F.col(value)))
     c = cells.withColumn("v", F.when(v != "", v)).withColumn("said", F.col(value))
@@ -174,7 +174,7 @@ def _kind(of: str = "") -> Column:
 def infer_types(cells: DataFrame, by: list[str], value: str = "value", row: str = "row_idx", sample: int = SAMPLE_ROWS) -> DataFrame:
     """The type of each column from its first ``sample`` rows: INTEGER, BIGINT, DOUBLE PRECISION, DATE or TEXT."""
     # one pass: cells that tell nothing are null and count for no test, but their columns are there
-    g = _told(cells.select(*by, value, row), by, value, row, sample).groupBy(*by).agg(*[c.alias(n) for n, c in _tests().items()])
+    g = _told(cells.select(*by, value, row), value, row, sample).groupBy(*by).agg(*[c.alias(n) for n, c in _tests().items()])
     return g.select(*by, _kind())
 
 
@@ -185,7 +185,7 @@ def typed_cells(cells: DataFrame, by: list[str], value: str = "value", row: str
     columns of extracted tables, of which each was a row before; stored tables of any size are for ``infer_types``.
     """
     w = Window.partitionBy(*by)
-    told = _told(cells, by, value, row, sample)
+    told = _told(cells, value, row, sample)
     return told.select(*[F.col(c) for c in cells.columns], F.struct(*[c.over(w).alias(n) for n, c in _tests().items()]).alias("__t")).select(*cells.columns, _kind("__t."))
 
 
