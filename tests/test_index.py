@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docgrid.operators import retrieval, vectors
+from docgrid.operators import retrieval, segments, vectors
 from docgrid.operators.segments import SegmentIndex, tier
 from docgrid.session import Warehouse
 
@@ -111,6 +111,39 @@ def test_failed_and_stopped_runs(spark, house, monkeypatch):
     same(spark, index, rows)
 
 
+def test_postings_are_blocks(spark, house, monkeypatch):
+    """A term is one row with all documents of a block, and blocks, runs of tokens and files that are small change no result."""
+    of = random.Random(3)
+    rows = {f"c{k:02}": (f"p{k % 5}", text(of)) for k in range(40)} | {"c40": ("p1", "common " * 30 + "w1 w2 w1"), "c41": ("p2", None), "c42": ("p2", "?!")}
+    index = SegmentIndex(house)
+    index.update(docs_of(spark, rows).coalesce(1), "r1", "2024-01-01 00:00:00")
+    want = {}
+    for k, (_, words) in rows.items():
+        for w in set((words or "").replace("?!", "").split()):
+            want.setdefault(w, set()).add(k)
+    post = house.read("lexical_postings")
+    assert post.agg(F.sum("n")).first()[0] == index.manifest()[0]["postings"] == sum(map(len, want.values()))
+    # as many rows as blocks have terms, not as documents have
+    blocks = len(files(house, "docs"))
+    assert post.count() <= blocks * len(want) < sum(map(len, want.values()))
+    got = {}
+    for r in post.collect():
+        assert len(r["keys"]) == len(r["occurs"]) == len(r["lengths"]) == r["n"]
+        got.setdefault(r["term"], []).extend(r["keys"])
+        if "c40" in r["keys"]:
+            at = r["keys"].index("c40")
+            assert (r["occurs"][at], r["lengths"][at]) == ({"common": 30, "w1": 2, "w2": 1}[r["term"]], 33)
+    assert {t: set(k) for t, k in got.items()} == want and sum(map(len, got.values())) == sum(map(len, want.values()))
+    same(spark, index, rows)
+    monkeypatch.setattr(segments, "TOKENS", 7)
+    monkeypatch.setattr(segments, "PAIRS", 5)
+    monkeypatch.setattr(segments, "PART", 20)
+    rows |= {f"c{k:02}": ("p3", text(of) + " fresh") for k in range(20, 60)}
+    index.update(docs_of(spark, rows), "r2", "2024-01-02 00:00:00")
+    assert index.manifest()[-1]["postings"] > house.read("lexical_postings").filter("segment = 2").filter("term = 'fresh'").count() > 1
+    same(spark, index, rows)
+
+
 def test_no_index_and_no_documents(spark, house):
     index = SegmentIndex(house)
     asked = spark.createDataFrame(QUERIES, "query_id long, query_text string")
