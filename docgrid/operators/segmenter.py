@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.operators.staging import cut
+from docgrid.operators.staging import cut, packed, unpacked
 
 RUN = r"[\x{4e00}-\x{9fff}]+"
 PARTS = re.compile("[a-z0-9À-ɏ]+|[一-鿿]+")
@@ -30,6 +30,8 @@ SEEDS = 10  # candidates for each of these words at the beginning
 RARE = 2  # occurrences below which a substring is no candidate, and expected ones below which a word leaves
 ROUNDS = 8
 BLOCK = 1 << 18  # places of the runs that are looked at together
+TABLE = 1 << 22  # cells of a table of states and characters at most
+COUNTED = 1 << 21  # characters whose substrings are counted together
 UNSEEN = -30.0  # logarithm of a character's probability that no text has shown
 
 
@@ -99,11 +101,20 @@ class Lattices:
         edges = np.array([ids[w[:-1]] << 16 | ord(w[-1]) for w in self.words[1:]], np.int64)
         order = np.argsort(edges)
         self.edges, self.to = np.append(edges[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+        # characters are numbered from 1; where that is small, each state's next ones are a row of a table
+        known = np.unique(edges & 0xFFFF)
+        self.letter, self.table = np.zeros(1 << 16, np.int64), None
+        self.letter[known] = np.arange(1, len(known) + 1)
+        if len(self.words) * (len(known) + 1) <= TABLE:
+            self.table = np.full((len(self.words), len(known) + 1), -1, np.int32)
+            self.table[edges >> 16, self.letter[edges & 0xFFFF]] = np.arange(1, len(self.words))
 
     def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return np.where((state >= 0) & (code >= 0), self.table[state, self.letter[code]], -1)
         edge = state << 16 | code
         at = np.searchsorted(self.edges, edge)
-        return np.where((state >= 0) & (self.edges[at] == edge), self.to[at], -1)
+        return np.where((state >= 0) & (code >= 0) & (self.edges[at] == edge), self.to[at], -1)
 
     def blocks(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
         """Numbers of the runs of a block, the longest first, their lengths, their codes (a row a place), and for each
@@ -121,15 +132,44 @@ class Lattices:
             state, states, scores = np.zeros((most, len(here)), np.int64), [], []
             for k in range(self.longest):
                 now = code[k : most + k]
-                state = np.where(now >= 0, self._next(state, now), -1)
+                state = self._next(state, now)
                 said = np.where(state >= 0, self.score[state], -np.inf)
                 states.append(state)
                 scores.append(np.where((said == -np.inf) & (now >= 0), UNSEEN, said) if k == 0 else said)
             yield here, n, code, states, scores
 
-    def expected(self, runs: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often the word of each state is expected in the runs, each ``times`` over, and each character that is no word."""
-        out, unseen = np.zeros(len(self.words)), np.zeros(1 << 16)
+    def _shares(self, n: np.ndarray, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length of a word the share of a run's segmentations, by probability, that have it at each place."""
+        most, wide = int(n[0]), len(n)
+        going = np.searchsorted(-n, -np.arange(most), side="left")  # runs longer than a place
+        alone = scores[0][scores[0] > -np.inf]
+        if alone.min() < -400 / self.longest:
+            return self._shares_by_logarithms(n, scores, going)
+        said = [np.exp(s) for s in scores]
+        # sums over the ways to a place are kept as their ratio to those to the place before: of at most `longest` ratios
+        # that follow each other, no product is beyond what a number can hold, as no single character is less probable
+        ratio = np.ones((most + self.longest, wide))
+        for end in range(1, most + 1):
+            g = going[end - 1]
+            sums, over = said[0][end - 1, :g].copy(), np.ones(g)
+            for k in range(2, min(self.longest, end) + 1):
+                over = over * ratio[end - k, :g]
+                sums += said[k - 1][end - k, :g] / over
+            ratio[end - 1, :g] = sums
+        over = np.ones((most, wide))
+        for k in range(self.longest):
+            over = over * ratio[k : most + k]
+            said[k] /= over
+        behind = np.zeros((most + self.longest, wide))
+        behind[n, np.arange(wide)] = 1.0
+        for begin in range(most - 1, -1, -1):
+            g = going[begin]
+            behind[begin, :g] = sum(behind[begin + k, :g] * said[k - 1][begin, :g] for k in range(1, self.longest + 1))
+        return [s * behind[k : most + k] for k, s in enumerate(said, 1)]
+
+    def _shares_by_logarithms(self, n: np.ndarray, scores: list[np.ndarray], going: np.ndarray) -> list[np.ndarray]:
+        """``_shares`` where characters are too improbable for products."""
+        most, wide = int(n[0]), len(n)
 
         def total(ways: list[np.ndarray]) -> np.ndarray:
             top = reduce(np.maximum, ways)
@@ -137,28 +177,30 @@ class Lattices:
             return np.log(sum(np.exp(w - safe) for w in ways)) + safe
 
         with np.errstate(divide="ignore"):
-            for here, n, code, states, scores in self.blocks(runs):
-                most, wide = int(n[0]), len(here)
-                going = np.searchsorted(-n, -np.arange(most), side="left")  # runs longer than a place
-                ahead = np.full((most + 1, wide), -np.inf)
-                ahead[0] = 0.0
-                for end in range(1, most + 1):
-                    g = going[end - 1]
-                    ahead[end, :g] = total([ahead[end - k, :g] + scores[k - 1][end - k, :g] for k in range(min(self.longest, end), 0, -1)])
-                behind = np.full((most + self.longest, wide), -np.inf)
-                behind[n, np.arange(wide)] = 0.0
-                for begin in range(most - 1, -1, -1):
-                    g = going[begin]
-                    behind[begin, :g] = total([behind[begin + k, :g] + scores[k - 1][begin, :g] for k in range(1, self.longest + 1)])
-                whole = ahead[n, np.arange(wide)]
-                for k in range(1, self.longest + 1):
-                    some = scores[k - 1] > -np.inf
-                    run = np.nonzero(some)[1]
-                    x = times[here[run]] * np.exp(ahead[:most][some] + scores[k - 1][some] + behind[k : most + k][some] - whole[run])
-                    state = states[k - 1][some]
-                    known = (state >= 0) & (self.score[state] > -np.inf)
-                    out += np.bincount(state[known], x[known], len(out))
-                    unseen += np.bincount(code[:most][some][~known], x[~known], len(unseen))
+            ahead = np.full((most + 1, wide), -np.inf)
+            ahead[0] = 0.0
+            for end in range(1, most + 1):
+                g = going[end - 1]
+                ahead[end, :g] = total([ahead[end - k, :g] + scores[k - 1][end - k, :g] for k in range(min(self.longest, end), 0, -1)])
+            behind = np.full((most + self.longest, wide), -np.inf)
+            behind[n, np.arange(wide)] = 0.0
+            for begin in range(most - 1, -1, -1):
+                g = going[begin]
+                behind[begin, :g] = total([behind[begin + k, :g] + scores[k - 1][begin, :g] for k in range(1, self.longest + 1)])
+        whole = ahead[n, np.arange(wide)]
+        return [np.exp(ahead[:most] + s + behind[k : most + k] - whole) for k, s in enumerate(scores, 1)]
+
+    def expected(self, runs: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the word of each state is expected in the runs, each ``times`` over, and each character that is no word."""
+        out, unseen = np.zeros(len(self.words)), np.zeros(1 << 16)
+        for here, n, code, states, scores in self.blocks(runs):
+            for k, share in enumerate(self._shares(n, scores)):
+                some = scores[k] > -np.inf
+                x, state = (share * times[here])[some], states[k][some]
+                known = (state >= 0) & (self.score[state] > -np.inf)
+                out += np.bincount(state[known], x[known], len(out))
+                if k == 0:
+                    unseen += np.bincount(code[: len(some)][some][~known], x[~known], len(unseen))
         return out, unseen
 
     def best(self, runs: list[str]) -> list[list[str]]:
@@ -190,12 +232,51 @@ class Lattices:
         return out
 
 
+def substrings(runs: list[str], times: np.ndarray, longest: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """For each length up to ``longest`` the substrings of the runs, and how often each occurs, each run ``times`` over."""
+    said = "".join(runs)
+    size = np.array([len(r) for r in runs], np.int64)
+    code = np.frombuffer(said.encode("utf-16-le"), np.uint16).astype(np.int64)
+    left, n = np.repeat(np.cumsum(size), size) - np.arange(len(code)), np.repeat(times, size)  # characters to the end of the run
+    at, number = np.arange(len(code)), np.zeros(len(code), np.int64)
+    for k in range(1, longest + 1):
+        # a substring is the number of its beginning, and its last character
+        long = left[at] >= k
+        at, number = at[long], number[long]
+        if not len(at):
+            return
+        _, first, number = np.unique(number << 16 | code[at + k - 1], return_index=True, return_inverse=True)
+        yield [said[i : i + k] for i in at[first].tolist()], np.bincount(number, n[at]).astype(np.int64)
+
+
+def _count(longest: int):
+    """(word, n) of the substrings of runs, counted over ``COUNTED`` characters together."""
+
+    def counted(runs: list[str], times: list[int]) -> Iterator[pa.RecordBatch]:
+        for words, n in substrings(runs, np.array(times, np.int64), longest):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], ["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, times, size = [], [], 0
+        for batch in unpacked(batches):
+            for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                runs.append(r)
+                times.append(n)
+                size += len(r)
+                if size >= COUNTED:
+                    yield from counted(runs, times)
+                    runs, times, size = [], [], 0
+        yield from counted(runs, times)
+
+    return run
+
+
 def _expect(lattices: Lattices):
     """(state, n) of what ``Lattices.expected`` gives; characters that are no word have the states below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, unseen = np.zeros(len(lattices.words)), np.zeros(1 << 16)
-        for batch in batches:
+        for batch in unpacked(batches):
             x, y = lattices.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64))
             words, unseen = words + x, unseen + y
         at, alone = np.flatnonzero(words), np.flatnonzero(unseen)
@@ -244,12 +325,9 @@ def learn(docs: DataFrame, text: str = "text", words: int = WORDS, longest: int
     their number; null texts have none; a corpus without CJK characters has no words.
     """
     runs = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(RUN), F.lit(0))).alias("run"))
-    runs = cut(runs.groupBy("run").agg(F.count("*").alias("n")))
-    one = F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substr("run", i, F.lit(1)))
-    single = runs.select(F.explode(one).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    lengths = F.filter(F.sequence(F.lit(2), F.lit(max(longest, 2))), lambda k: (k <= F.length("run")) & (k <= longest))
-    parts = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substr("run", i, k))))
-    several = runs.select(F.explode(parts).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
+    runs = packed(runs.groupBy("run").agg(F.count("*").alias("n")))
+    counted = cut(runs.mapInArrow(_count(longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter((F.length("word") == 1) | (F.col("n") >= RARE)))
+    single, several = counted.filter(F.length("word") == 1).collect(), counted.filter(F.length("word") > 1)
     score = _scores(single + several.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(SEEDS * words).collect())
     for left in range(rounds if score else 0, 0, -1):
         lattices = Lattices(score, longest)

@@ -99,6 +99,69 @@ def test_words_are_learned_and_searched(spark):
     assert segmenter.learn(docs.limit(0)) == {}
 
 
+def test_characters_that_are_hardly_ever_alone():
+    of = random.Random(3)
+    score = {"甲": -900.0, "乙": -250.0, "丙": -2.0, "甲乙": -3.0, "丙甲": -4.0, "乙丙乙": -5.0}
+    runs = ["".join(of.choice("甲乙丙") for _ in range(of.randrange(1, 30))) for _ in range(100)]
+    words, _ = segmenter.Lattices(score, 3).expected(runs, np.ones(100))
+    want = {}
+    for r in runs:
+        for w, x in segmenter.expected(r, score, 3).items():
+            want[w] = want.get(w, 0) + x
+    assert dict(zip(segmenter.Lattices(score, 3).words, words, strict=True)) == pytest.approx(want | {"": 0, "乙丙": 0})
+
+
+def test_substrings_are_counted_as_one_by_one():
+    of = random.Random(5)
+    runs = ["".join(of.choice("甲乙丙") for _ in range(of.randrange(0, 12))) for _ in range(50)]
+    times, want = [of.randrange(1, 5) for _ in runs], {}
+    for r, n in zip(runs, times, strict=True):
+        for a, b in itertools.combinations(range(len(r) + 1), 2):
+            if b - a <= 3:
+                want[r[a:b]] = want.get(r[a:b], 0) + n
+    assert {w: n for words, ns in segmenter.substrings(runs, np.array(times), 3) for w, n in zip(words, ns.tolist(), strict=True)} == want
+    assert list(segmenter.substrings([], np.array([], np.int64), 3)) == []
+
+
+def test_bm25_each_is_bm25_and_pairs_are_no_rows(spark, monkeypatch):
+    of = random.Random(7)
+    # copies, keys that occur again with texts of other lengths, nulls, and words that most documents have (a negative idf)
+    docs = [(k % 450 if k % 50 else None, None if k % 70 == 3 else " ".join(of.choice(("la", f"w{of.randrange(60)}", "x y")) for _ in range(of.randrange(0, 12)))) for k in range(600)]
+    docs = spark.createDataFrame(docs + [(1000 + k, "same text w1") for k in range(40)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(f"w{of.randrange(80)}" for _ in range(6)) + " la la") for k in range(200)] + [(None, "w1 w2"), (900, None), (901, "unheard"), (902, "same text")], "query_id long, query_text string")
+    want = {(r["query_id"], r["bm25_rank"]): r for r in retrieval.bm25(docs, asked, 5).collect()}
+    for cells, rows in ((1 << 21, 4096), (300, 7)):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "ROWS", rows)
+        before = _shuffled(spark)
+        found = retrieval.bm25_each(docs, asked, 5).collect()
+        # 100,000 pairs share a term
+        assert _shuffled(spark) - before < 40_000
+        got = {(r["query_id"], r["bm25_rank"]): r for r in found}
+        assert len(found) == len(got) == len(want) and {k: r["doc_id"] for k, r in got.items()} == {k: r["doc_id"] for k, r in want.items()}
+        assert [got[k]["bm25_score"] for k in want] == pytest.approx([r["bm25_score"] for r in want.values()], abs=2e-6)
+    assert retrieval.bm25_each(docs.limit(0), asked, 5).collect() == [] and retrieval.bm25_each(docs, asked.limit(0), 5).collect() == []
+
+
+def _shuffled(spark) -> int:
+    """Rows that shuffles have written so far."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_segmented_search_writes_no_row_for_each_pair(spark):
+    from docgrid.plans.retrieval import AS_CJK
+
+    text = "".join(AS_CJK[k % 26] for k in range(0, 90, 7))
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.substring(F.lit(AS_CJK), (F.col("id") % 26 + 1).cast("int"), F.lit(1))).alias("text"))
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    before = _shuffled(spark)
+    found = retrieval.bm25_each(docs, asked, 10, words=segmenter.tokenizer(segmenter.learn(docs, words=20))).collect()
+    assert len(found) == 1_000 and _shuffled(spark) - before < 50_000
+
+
 DOCUMENTS = [(1, '{"a": {"b": 5, "c": "x"}, "n": null, "l": [1, "two", {"k": true}]}'), (2, '{"a": {"b": "5"}, "l": []}'), (3, '{"a": 7.5, "o k": 1}'), (4, "[1, 2]"), (5, "not json"), (6, None), (7, '{"a": {"b": 6.5}}')]
 
 
